@@ -29,3 +29,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most `rows`; else Spark joins it by its keys."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most terms that are broadcast, and their total length in characters.
-HEAD, HEAD_CHARS = 65_536, 4 << 20
+HEAD, HEAD_CHARS = 262_144, 4 << 20
 #: Distinct terms that a task holds before it passes its counts on.
-HELD = 200_000
+HELD = 500_000
 
 
 def counter(split):
