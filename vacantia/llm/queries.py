@@ -23,6 +23,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import score
+
+    return score(_table(spark, sf_dir, "documents"), _piece_model())
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_index import archived
 
@@ -72,7 +78,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,11 +59,11 @@ def head_floor(counts: DataFrame, most: int = HEAD) -> int:
 
 
 def joined_sums(partial: DataFrame, table: DataFrame, values: dict[str, F.Column]) -> DataFrame:
-    """`partial` (row_key, …, tail array<struct<term, freq>>) with a sum per text of each of `values`.
+    """`partial` (row_key, …, tail: an array of structs with a term) with a sum per text of each of `values`.
 
-    `values` are expressions over `freq` and the columns of `table` (null where a term isn't there); absent: 0.
+    `values` are expressions over the structs' fields and the columns of `table` (null where a term isn't there); absent: 0.
     """
-    tail = partial.filter(F.size("tail") > 0).select("row_key", F.explode("tail").alias("t")).select("row_key", "t.term", "t.freq")
+    tail = partial.filter(F.size("tail") > 0).select("row_key", F.explode("tail").alias("t")).select("row_key", "t.*")
     found = tail.join(table, "term", "left").groupBy("row_key").agg(*(F.sum(c).alias(k) for k, c in values.items()))
     return partial.drop("tail").join(found, "row_key", "left").na.fill(0, list(values))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +24,7 @@ def slices(batches, column: str = "text", target: int = SLICE_BYTES) -> Iterator
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def filled(column) -> pa.Array:
