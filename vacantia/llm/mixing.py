@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .scratch import sized, written
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the order key that each of two histograms resolves: 4096 bins per leaf, then 4096 in the last one.
-DIGITS = 3
+#: Hex digits of the order key that each histogram resolves, and histograms: 256 bins per leaf, then 256 in the last one.
+DIGITS, HISTOGRAMS = 2, 3
 
 TOKENS = r"[\x20\x09-\x0D]+"
 
@@ -87,20 +87,20 @@ def leaf_plan(rows: DataFrame, share: float, epochs: int, power: float, weights:
 def _prefix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """leaf, key bound: rows (`_leaf`, `_key`, `_n`) of a leaf's last epoch are taken up to and without the key `stop`.
 
-    Two histograms by the key's leading digits find the bin in which the budget ends; only that bin's rows are put in
+    Histograms by the key's leading digits find the bin in which the budget ends; only that bin's rows are put in
     order. Every sum is pre-aggregated, so no task ever holds the rows of a leaf.
     """
     leaf = [F.col("_leaf")[c].alias(c) for c in LEVELS]
     rest = plan.filter("rest > 0").select(F.struct(*LEVELS).alias("_leaf"), "rest")
     at = rest.withColumns({"_at": F.lit(""), "_left": F.col("rest")}).drop("rest")
-    for level in range(1, 3):
+    for level in range(1, HISTOGRAMS + 1):
         bins = rows.withColumn("_at", F.substring("_key", 1, DIGITS * (level - 1))).join(sized(at), ["_leaf", "_at"])
         bins = bins.groupBy("_leaf", "_left", F.substring("_key", 1, DIGITS * level).alias("_at")).agg(F.sum("_n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("_leaf").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
         over = bins.withColumn("upto", upto).filter("upto > _left")
         at = written(over.groupBy("_leaf").agg(F.min_by(F.struct("_at", (F.col("_left") - F.col("upto") + F.col("n")).alias("_left")), "_at").alias("x")).select("_leaf", "x.*"), "prefix-bins")
     order = Window.partitionBy("_leaf").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
-    last = rows.withColumn("_at", F.substring("_key", 1, 2 * DIGITS)).join(sized(at), ["_leaf", "_at"])
+    last = rows.withColumn("_at", F.substring("_key", 1, HISTOGRAMS * DIGITS)).join(sized(at), ["_leaf", "_at"])
     stop = last.withColumn("upto", F.sum("_n").over(order)).filter("upto > _left").groupBy("_leaf").agg(F.min("_key").alias("stop"))
     return stop.select(*leaf, "stop")
 

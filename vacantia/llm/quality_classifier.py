@@ -128,10 +128,10 @@ def _pooled(vectors: np.ndarray):
     return run
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """doc_id and the pooled vector of each text; a null or empty text has zeros."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pooled(word_vectors(docs)), "doc_id bigint, features array<float>")
+    return docs.mapInArrow(_pooled(vectors), "doc_id bigint, features array<float>")
 
 
 class Network:
@@ -181,10 +181,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(pooled: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Network:
-    """The network from at most `sample` labelled documents that aren't held out; of several labels of an id, the least."""
+def known_labels(labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, y of at most `sample` labelled ids that aren't held out; of several labels of an id, the least."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
-    known = known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def fit(pooled: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Network:
+    """The network from the rows of `pooled` (doc_id, features) with a label in `known`, at most `sample`."""
     got = pooled.join(F.broadcast(known), "doc_id").select("doc_id", "y", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).toPandas()
     if not len(got):
         return Network(np.zeros((0, FEATURES)), np.zeros(0, dtype=int))
@@ -198,8 +202,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     equal texts score alike, and a null or empty text is scored as one without words. Each row gives a row, repeated
     rows and null ids too. Without labels of both kinds (or under 20) every score is the smoothed share of label 1.
     """
-    pooled = written(features(docs), "pooled-vectors")
-    net = fit(pooled, labels, label)
+    pooled = written(features(docs, word_vectors(docs)), "pooled-vectors")
+    net = fit(pooled, known_labels(labels, label))
 
     def run(batches):
         import pyarrow as pa
@@ -210,3 +214,23 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
 
     out = pooled.mapInArrow(run, "doc_id bigint, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality") -> DataFrame:
+    """The rows of `docs`, with its own columns, that `classify` predicts as 1."""
+    vectors, known = word_vectors(docs), known_labels(labels, label)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    net = fit(features(some, vectors), known)
+    pool = _pooled(vectors)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from . import texts
+
+        for s in texts.slices(batches):
+            rows = pa.RecordBatch.from_arrays([pa.nulls(s.num_rows, pa.int64()), s.column("text")], ["doc_id", "text"])
+            x = np.concatenate([b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES) for b in pool(iter([rows]))])
+            yield s.filter(pa.array(net.score(x.astype(float)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -164,6 +164,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with its own columns."""
-    rows = measured(docs.withColumns(_group(docs)))
-    limits = thresholds(written(rows.select("_lang", "_source", "_m", "_base"), "measured"))
-    return _judged(rows, limits).filter("kept").select(*docs.columns)
+    rows = written(measured(docs.withColumns(_group(docs))).select(*docs.columns, "_lang", "_source", "_m", "_base"), "measured")
+    return _judged(rows, thresholds(rows)).filter("kept").select(*docs.columns)

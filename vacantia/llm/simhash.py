@@ -12,7 +12,7 @@ from .scratch import written
 SAMPLE, SHARDS, PER_SHARD = 65_536, 4096, 512
 
 
-def _fingerprints(width: int, seed: int):
+def _fingerprints(width: int, seed: int, *more: str):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -44,7 +44,7 @@ def _fingerprints(width: int, seed: int):
                 bits[part] = np.add.reduceat(unpacked, begin[part] - lo, axis=0, dtype=np.int32)
             set_ = (2 * bits > each[:, None]) & (each[:, None] > 0)
             fp = np.packbits(set_, axis=1, bitorder="little").view(np.int64).reshape(-1)
-            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(fp), *(s.column(c) for c in more)], ["doc_id", "fp", *more])
 
     return run
 
@@ -110,10 +110,34 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) ->
     gives a row with the component's smallest id, null where the component has none. An empty table gives no rows.
     """
     fps = written(fingerprints(docs, width, seed), "fingerprints")
+    return fps.join(_named(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id of each fingerprint of `fps` (doc_id, fp)."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = written(components(near_links(distinct.select("fp"), distinct.count(), radius), "near-links"), "roots")
     # Only fingerprints with partners of other fingerprints are in `roots`; the others are components of their own.
     each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(each.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
-    return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return written(each.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
+
+
+def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """One row of `docs` for each group of `groups`: that with the smallest doc_id, of several the one that sorts first.
+
+    Where a whole group has no id, one of its rows stays. Rows that are equal in doc_id and text count as one.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    fps = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "h").mapInArrow(_fingerprints(width, seed, "h"), "doc_id bigint, fp bigint, h bigint"), "fingerprints")
+    named = fps.join(_named(fps.select("doc_id", "fp"), radius), "fp")
+    first = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x"))
+    stay = written(first.select("x.doc_id", "x.h"), "survivors")
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    kept = docs.withColumn("_h", key).join(stay.select(F.col("h").alias("_h")).distinct(), "_h", "left_semi")
+    often = fps.join(stay.select("h").distinct(), "h", "left_semi").groupBy("h").count().filter("count > 1").select(F.col("h").alias("_h"))
+    often = written(often, "repeated-rows")
+    if often.isEmpty():
+        return kept.drop("_h")
+    once = kept.join(often, "_h", "left_semi").dropDuplicates(["_h"])
+    return kept.join(often, "_h", "left_anti").unionByName(once).drop("_h")
