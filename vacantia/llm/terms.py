@@ -6,8 +6,6 @@ table of terms and joined. A term outside the head is rare by construction, so n
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,23 +17,28 @@ HELD = 500_000
 
 
 def counter(split):
-    """A task that counts the terms of `split(batch) -> (distinct terms, codes)` and emits them in bounded pieces."""
+    """A task that counts the terms of `split(batches) -> (distinct terms, codes)` and emits them in bounded pieces."""
     import numpy as np
 
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("term").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["term", "n"])
 
     def run(batches):
-        held: Counter = Counter()
+        held, rows = [], 0
         for terms, codes in split(batches):
-            for t, n in zip(terms, np.bincount(codes, minlength=len(terms)).tolist(), strict=True):
-                if n:
-                    held[t] += n
-            if len(held) > HELD:
-                yield out(held)
-                held = Counter()
-        if held:
-            yield out(held)
+            terms = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.string())
+            n = np.bincount(codes, minlength=len(terms))
+            now = pa.table({"term": terms, "n": pa.array(n, pa.int64())})
+            held.append(now.filter(pa.array(n > 0)) if (n == 0).any() else now)
+            rows += held[-1].num_rows
+            if rows > 2 * HELD:
+                held = [merged(held)]
+                rows = held[0].num_rows
+                if rows > HELD:
+                    yield from held[0].combine_chunks().to_batches()
+                    held, rows = [], 0
+        if rows:
+            yield from merged(held).combine_chunks().to_batches()
 
     return run
 
@@ -77,6 +80,13 @@ def tail_column(rows: int, per_row, terms: list[str], codes, freqs) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def places(found: pa.Array, head: pa.Array):
+    """The place of each term in `head`, -1 if it isn't there."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(found, value_set=head), -1).to_numpy(zero_copy_only=False).astype("int64")
+
+
 TAIL = "array<struct<term:string,freq:int>>"
 
 

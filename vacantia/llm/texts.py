@@ -57,6 +57,12 @@ def coded(flat: pa.Array) -> tuple[list[str], np.ndarray]:
     return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
 
 
+def indexed(flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """As `coded`, with the distinct strings as an Arrow array."""
+    d = flat.dictionary_encode()
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
+
+
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of `values` over consecutive runs of `counts` (0 for empty runs)."""
     ends = np.cumsum(counts)

@@ -33,7 +33,7 @@ def piece_counts(pretokens: DataFrame, model: str) -> DataFrame:
     return pretokens.mapInArrow(run, "term string, n bigint, pieces int")
 
 
-def _partial(head: dict[str, int]):
+def _partial(head: list[str], count: list[int]):
     """Per row: UTF-8 bytes, the tokens of its head pre-tokens, and its other pre-tokens with frequencies."""
 
     def run(batches):
@@ -43,10 +43,11 @@ def _partial(head: dict[str, int]):
 
         from . import pieces, texts
 
+        words, each = pa.array(head, pa.string()), np.array([*count, -1], dtype=np.int64)
         for s in texts.slices(batches):
             text = texts.filled(s.column("text"))
             found, codes, counts = pieces.pretokens(text)
-            known = np.array([head.get(t, -1) for t in found] or [0], dtype=np.int64)
+            known = each[terms.places(pa.array(found, pa.string()), words)]
             here = known[codes] if len(codes) else np.zeros(0, np.int64)
             row, code, freq = terms.row_freqs(codes, counts, known < 0)
             tail = terms.tail_column(len(counts), np.bincount(row, minlength=len(counts)), found, code, freq)
@@ -72,8 +73,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     distinct = written(piece_counts(terms.term_counts(docs.select("text"), _split), model), "pretokens")
     floor = terms.head_floor(distinct)
-    head = {r.term: r.pieces for r in distinct.filter(F.col("n") >= floor).select("term", "pieces").toLocalIterator()}
-    partial = docs.mapInArrow(_partial(head), f"doc_id bigint, n_bytes bigint, head_tokens bigint, tail {terms.TAIL}")
+    head = distinct.filter(F.col("n") >= floor).select("term", "pieces").toPandas()
+    partial = docs.mapInArrow(_partial(head["term"].tolist(), head["pieces"].tolist()), f"doc_id bigint, n_bytes bigint, head_tokens bigint, tail {terms.TAIL}")
     partial = written(partial.withColumn("row_key", F.monotonically_increasing_id()), "token-sums")
     rare = distinct.filter(F.col("n") < floor).select("term", "pieces")
     out = terms.joined_sums(partial, rare, {"tail_tokens": F.col("freq") * F.col("pieces").cast("long")})
