@@ -107,7 +107,7 @@ def _prefix(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def _placed(text: Column, seed: int) -> Column:
     """The place of a row in its leaf's last epoch: 32 hex digits, by doc_id and text digest."""
-    parts = (F.lit(str(seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
+    parts = (F.lit(str(seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
     return F.md5(F.concat_ws("|", *parts).cast("binary"))
 
 
@@ -116,13 +116,13 @@ def _digest() -> Column:
 
 
 def _copies(rows: DataFrame, text: Column, slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """`rows` (with `_leaf`) with budget and copies."""
-    small = sized(plan.select(F.struct(*LEVELS).alias("_leaf"), "full_epochs", "rest", "budget"))
-    order = slim.join(small, "_leaf").filter("rest > 0").select("_leaf", "_n", _placed(F.col("_text"), seed).alias("_key"))
-    stop = written(_prefix(order, plan).select(F.struct(*LEVELS).alias("_leaf"), "stop"), "prefix-ends")
+    """`rows` (with `_leaf`) with `_budget` and `_copies`."""
+    small = sized(plan.select(F.struct(*LEVELS).alias("_leaf"), F.col("full_epochs").alias("_full"), F.col("rest").alias("_rest"), F.col("budget").alias("_budget")))
+    order = slim.join(small, "_leaf").filter("_rest > 0").select("_leaf", "_n", _placed(F.col("_text"), seed).alias("_key"))
+    stop = written(_prefix(order, plan).select(F.struct(*LEVELS).alias("_leaf"), F.col("stop").alias("_stop")), "prefix-ends")
     out = rows.join(small, "_leaf").join(sized(stop), "_leaf", "left")
-    extra = (F.col("rest") > 0) & (_placed(text, seed) < F.col("stop"))
-    return out.withColumn("copies", (F.col("full_epochs") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int"))
+    extra = (F.col("_rest") > 0) & (_placed(text, seed) < F.col("_stop"))
+    return out.withColumn("_copies", (F.col("_full") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int"))
 
 
 def _mix(docs: DataFrame, share: float, epochs: int, power: float, seed: int, weights: DataFrame | None, domain: Column | None):
@@ -142,15 +142,15 @@ def mix_table(docs: DataFrame, share: float = 0.9, epochs: int = 4, power: float
     """
     _, slim, plan = _mix(docs, share, epochs, power, seed, weights, domain)
     out = _copies(slim, F.col("_text"), slim, plan, seed)
-    return out.select("doc_id", "_leaf.*", F.col("_n").alias("n_tokens"), "budget", "copies")
+    return out.select("doc_id", "_leaf.*", F.col("_n").alias("n_tokens"), F.col("_budget").alias("budget"), F.col("_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, share: float = 0.95, epochs: int = 1, power: float = 0.5, seed: int = 11, weights: DataFrame | None = None, domain: Column | None = None) -> DataFrame:
     """The rows of `docs`, with its own columns, as often as the mix takes them; see `mix_table`."""
     rows, slim, plan = _mix(docs, share, epochs, power, seed, weights, domain)
-    out = _copies(rows, _digest(), slim, plan, seed).filter("copies > 0")
+    out = _copies(rows, _digest(), slim, plan, seed).filter("_copies > 0")
     if epochs > 1:
-        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*docs.columns)
 
 

@@ -98,7 +98,7 @@ def pretokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         extra.append((code(" " * int(behind[k])), k))
     rows = row[at]
     if extra:
-        order = np.argsort(np.array(extra_at), kind="stable")
+        order = np.lexsort((np.array([r for _, r in extra]), np.array(extra_at)))
         where = np.array(extra_at)[order]
         made = np.insert(made, where, np.array([extra[i][0] for i in order]))
         rows = np.insert(rows, where, np.array([extra[i][1] for i in order]))

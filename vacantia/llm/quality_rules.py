@@ -138,13 +138,13 @@ def thresholds(measured_rows: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """`rows` with `kept`: base rules passed and each metric inside the fences of its language and source."""
-    limits = written(limits, "thresholds")
+    """`rows` with `_kept`: base rules passed and each metric inside the fences of its language and source."""
+    limits = written(limits.withColumnsRenamed({f"{m}_{e}": f"_{m}_{e}" for m in FENCES for e in ("hi", "lo")}), "thresholds")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     inside = F.lit(True)
     for m in FENCES:
-        inside = inside & (F.col("_m")[m] <= F.col(m + "_hi")) & (F.col("_m")[m] >= F.col(m + "_lo"))
-    return rows.join(limits, ["_lang", "_source"], "left").withColumn("kept", ~F.col("_base") & F.coalesce(inside, F.lit(True)))
+        inside = inside & (F.col("_m")[m] <= F.col(f"_{m}_hi")) & (F.col("_m")[m] >= F.col(f"_{m}_lo"))
+    return rows.join(limits, ["_lang", "_source"], "left").withColumn("_kept", ~F.col("_base") & F.coalesce(inside, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = written(rows.select("doc_id", "_lang", "_source", "_q", "_m", "_base"), "measured")
     out = _judged(rows, thresholds(rows))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *(F.col("_q")[c].alias(c) for c in counts), F.col("_base").alias("base_failed"), "kept", *(F.col("_m")[m].alias(m) for m in FENCES))
+    return out.select("doc_id", *(F.col("_q")[c].alias(c) for c in counts), F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"), *(F.col("_m")[m].alias(m) for m in FENCES))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with its own columns."""
     rows = written(measured(docs.withColumns(_group(docs))).select(*docs.columns, "_lang", "_source", "_m", "_base"), "measured")
-    return _judged(rows, thresholds(rows)).filter("kept").select(*docs.columns)
+    return _judged(rows, thresholds(rows)).filter("_kept").select(*docs.columns)
