@@ -45,7 +45,7 @@ def dedupe(events: DataFrame, keys: list[str], time: str = "ts", horizon: str =
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def lease_timeouts(events: DataFrame, key: str = "job_id", lease_s: int = 60) -> DataFrame:
+def lease_timeouts(events: DataFrame, by: str = "job_id", lease_s: int = 60) -> DataFrame:
     """job_id, stuck_since of work that stays PROCESSING beyond its lease. events: job_id (long), status, ts (watermarked)."""
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -54,7 +54,7 @@ def lease_timeouts(events: DataFrame, key: str = "job_id", lease_s: int = 60) ->
             self.handle = handle
             self.since = handle.getValueState("since", "ms bigint")
 
-        def handleInputRows(self, keys, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
             for frame in rows:
@@ -68,18 +68,18 @@ def lease_timeouts(events: DataFrame, key: str = "job_id", lease_s: int = 60) ->
                         self.handle.registerTimer(ms + lease_s * 1000)
             return iter(())
 
-        def handleExpiredTimer(self, keys, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             if self.since.exists():
                 ms = self.since.get()[0]
                 self.since.clear()
-                yield pd.DataFrame({key: [keys[0]], "stuck_since_ms": [ms]})
+                yield pd.DataFrame({by: [key[0]], "stuck_since_ms": [ms]})
 
         def close(self):
             pass
 
-    return events.groupBy(key).transformWithStateInPandas(Lease(), f"{key} bigint, stuck_since_ms bigint", "Append", "EventTime")
+    return events.groupBy(by).transformWithStateInPandas(Lease(), f"{by} bigint, stuck_since_ms bigint", "Append", "EventTime")
 
 
 def daily_intake(events: DataFrame, by: str, time: str = "ts", late: str = "1 day") -> DataFrame:
