@@ -166,3 +166,30 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, with its own columns."""
     rows = written(measured(docs.withColumns(_group(docs))).select(*docs.columns, "_lang", "_source", "_m", "_base"), "measured")
     return _judged(rows, thresholds(rows)).filter("_kept").select(*docs.columns)
+
+
+def _oracle() -> str:
+    """The same rules in SQL, with exact quantiles (which the sketches are up to SKETCH values)."""
+    fence = lambda m, e, at, sign, n: f"round(q{at}_{m} {sign} {n}::DOUBLE * greatest(q3_{m} - q1_{m}, {FENCES[m][0]}::DOUBLE), 6) AS {m}_{e}"
+    quartiles = ", ".join(f"quantile_disc({m}, 0.25) AS q1_{m}, quantile_disc({m}, 0.75) AS q3_{m}" for m in FENCES)
+    limits = ", ".join([fence(m, "hi", 3, "+", a) for m, (_, a, _) in FENCES.items()] + [fence(m, "lo", 1, "-", b) for m, (_, _, b) in FENCES.items() if b is not None])
+    inside = " AND ".join([f"{m} <= {m}_hi" for m in FENCES] + [f"{m} >= {m}_lo" for m, (_, _, b) in FENCES.items() if b is not None])
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, w FROM w WHERE len(w) > 2), h AS (SELECT r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS x FROM g),
+d AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, x) AS n FROM h) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT p + k) AS n FROM d, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
+q AS (SELECT w.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper FROM w LEFT JOIN c ON c.r = w.r),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share,
+  CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM q),
+ok AS (SELECT * FROM m WHERE NOT base_failed),
+a AS (SELECT lang, source, count(*) AS n, {quartiles} FROM ok GROUP BY lang, source), b AS (SELECT lang, count(*) AS n, {quartiles} FROM ok GROUP BY lang), z AS (SELECT {quartiles} FROM ok),
+k AS (SELECT a.lang, a.source, u.* FROM a JOIN b ON b.lang = a.lang, LATERAL (SELECT a.* EXCLUDE (lang, source, n) WHERE a.n >= {LEAST} UNION ALL SELECT b.* EXCLUDE (lang, n) WHERE a.n < {LEAST} AND b.n >= {LEAST} UNION ALL SELECT z.* FROM z WHERE a.n < {LEAST} AND b.n < {LEAST}) u),
+f AS (SELECT lang, source, {limits} FROM k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, true) AS kept, {', '.join(FENCES)} FROM m LEFT JOIN f ON f.lang = m.lang AND f.source = m.source
+"""
+
+
+ORACLE = _oracle()

@@ -82,6 +82,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, warc_index
+    from . import mixing, quality_rules, warc_index
 
-    return {"op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE}
