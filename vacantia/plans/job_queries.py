@@ -134,8 +134,7 @@ def e8(spark, d):
 
 def e10(spark, d):
     new, old = _stored(spark, d)
-    jobs_ = new.select("fingerprint", F.crc32(c("fingerprint").cast("binary")).alias("h"))
-    emb = jobs_.filter("h % 2 = 0").select("fingerprint")
+    emb = new.filter(F.ascii(F.substring("digest", 1, 1)) % 2 == 0).select("fingerprint")
     return keyed.reconciliation({"raw_without_normalized": (new.select("fingerprint"), old, "fingerprint"), "normalized_without_embedding": (old.select("fingerprint"), emb, "fingerprint"), "embedding_without_job": (emb, old, "fingerprint")})
 
 
@@ -243,6 +242,15 @@ _ACTION = "act AS (SELECT new.fingerprint, CASE WHEN old.fingerprint IS NULL THE
 _UP = f"up AS (SELECT l.*, a.first_seen_at, a.last_seen_at, a.sightings, a.first_seen_at + INTERVAL 30 DAY AS expires_at FROM (SELECT * FROM (SELECT *, {_LAST} AS r FROM obs) WHERE r = 1) l JOIN (SELECT fingerprint, min(collected_at) AS first_seen_at, max(collected_at) AS last_seen_at, count(*) AS sightings FROM obs GROUP BY fingerprint) a ON a.fingerprint = l.fingerprint)"
 _W = f"WITH {base.OBS}"
 
+
+def _step(i: int, label: str, column: str, most: int) -> str:
+    """One section added to the text within 90 characters."""
+    cut = f"CASE WHEN length({column}) > {most} THEN rtrim(substring({column}, 1, {most - 1})) || '…' ELSE {column} END"
+    fit = "CASE WHEN length(x) > room THEN rtrim(substring(x, 1, room - 1)) || '…' ELSE x END"
+    return f"""s{i + 1} AS (SELECT * EXCLUDE (v, x, room), CASE WHEN x IS NULL OR room <= 1 THEN v ELSE v || CASE WHEN v = 'query: ' THEN '' ELSE chr(10) END || '{label}: ' || {fit} END AS v FROM (SELECT *, {cut} AS x, 90 - length(v) - {len(label) + 2} - 1 AS room FROM s{i}))"""
+
+
+
 ORACLES = {
     "a1_read_raw_observations": f"{_W} SELECT source_job_id, detail_url, title, l_orderkey, l_linenumber FROM obs WHERE source_code = 'ALPHA'",
     "a2_load_taxonomy": f"SELECT {base.compact('alias')} AS alias_key, count(DISTINCT canonical) AS n FROM (SELECT p_name AS alias, p_type AS canonical FROM part UNION ALL SELECT alias, canonical FROM {_SKILLS} UNION ALL SELECT alias, canonical FROM {_PLACES}) GROUP BY 1 HAVING count(DISTINCT canonical) > 1",
@@ -272,6 +280,9 @@ SELECT o.location_text, coalesce(string_agg(v, '|' ORDER BY pos), '') AS locatio
     "d12_normalize_deadline_at": f"{_W} SELECT deadline_text, collected_at, count(*) AS count, {_DAY} + CASE deadline_text WHEN 'in 3 days' THEN INTERVAL 4 DAY WHEN 'còn 5 ngày nữa' THEN INTERVAL 6 DAY WHEN 'tomorrow' THEN INTERVAL 2 DAY END - INTERVAL 7 HOUR - INTERVAL 1 MICROSECOND AS deadline_at FROM obs GROUP BY deadline_text, collected_at",
     "d13_normalize_apply": f"{_W} SELECT DISTINCT detail_url, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'mailto:jobs@mail.example.com' WHEN 1 THEN regexp_extract(detail_url, '^https?://[^/]+') || '/apply' WHEN 2 THEN detail_url ELSE 'https://apply.example.org/x' END AS apply_url, CASE l_linenumber % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'APPLY_BUTTON' WHEN 2 THEN 'DETAIL_PAGE' ELSE 'EXTERNAL' END AS apply_type FROM obs",
     "d14_content_hash": f"{_W} SELECT l_orderkey, l_linenumber, detail_url, collected_at, {_hash(_HASHED)} AS content_hash FROM obs",
+    "d15_job_text_query": f"""{_W}, o AS (SELECT DISTINCT title, company_name, skills_text, experience_text FROM obs), s0 AS (SELECT *, 'query: ' AS v FROM o),
+{_step(0, 'Title', 'title', 20)}, {_step(1, 'Company', 'company_name', 40)}, {_step(2, 'Skills', 'skills_text', 30)}, {_step(3, 'Experience', 'experience_text', 40)}
+SELECT title, company_name, skills_text, experience_text, v AS value FROM s4""",
     "d16_job_text_passage": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, CASE WHEN length(v) > 80 THEN rtrim(substring(v, 1, 79)) || '…' ELSE v END AS value FROM (SELECT *, 'passage: ' || concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || skills_text, 'Experience: ' || experience_text) AS v FROM obs)",
     "d17_format_experience": f"{_W} SELECT DISTINCT experience_text, {_case('experience_text', dict(zip(_EXP, ("'From 3 years'", "'0.5 - 1 years'", "'2 - 4 years'", "'From 0 years'", "'From 1.5 years'", "'0 - 1 years'"))))} AS value FROM obs",
     "d18_join_stable": f"{_W}, p AS (SELECT skills_text, trim(unnest(regexp_split_to_array(skills_text, '[,;]'))) AS v FROM (SELECT DISTINCT skills_text FROM obs)), f AS (SELECT skills_text, {base.fold('v')} AS f, min(v) AS v FROM p GROUP BY 1, 2) SELECT skills_text, string_agg(v, ', ' ORDER BY f, v) AS value FROM f GROUP BY skills_text",
@@ -286,6 +297,8 @@ SELECT o.location_text, coalesce(string_agg(v, '|' ORDER BY pos), '') AS locatio
 SELECT *, CAST(sum(processed) OVER () AS BIGINT) AS total, max(page) OVER () + 1 AS pages, CASE WHEN page < max(page) OVER () THEN page + 1 END AS next_page FROM g""",
     "e8_embedding_work_queue": "SELECT p_partkey AS job_id, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 4 = 1 THEN 'PROCESS' WHEN p_partkey % 3 <> 0 AND p_partkey IN (SELECT vec_id FROM embeddings) THEN 'SKIP_READY' WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'SKIP_LEASED' ELSE 'PROCESS' END AS decision FROM part",
     "e9_latest_per_key": f"{_W} SELECT detail_url, title, salary_text, collected_at, l_orderkey, l_linenumber FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY detail_url ORDER BY collected_at DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM obs) WHERE r = 1",
+    "e10_pipeline_reconciliation": f"""{_W}, {_STORED}, emb AS (SELECT fingerprint FROM new WHERE ascii(digest[1]) % 2 = 0), g AS (SELECT 'raw_without_normalized' AS stage FROM new ANTI JOIN old USING (fingerprint) UNION ALL SELECT 'normalized_without_embedding' FROM old ANTI JOIN emb USING (fingerprint) UNION ALL SELECT 'embedding_without_job' FROM emb ANTI JOIN old USING (fingerprint))
+SELECT stage, count(*) AS missing FROM g GROUP BY stage""",
     "e11_status_transition_audit": "SELECT before, after, count(*) AS n FROM (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) WHERE before <> after AND (before, after) NOT IN (('view', 'click'), ('click', 'purchase'), ('signup', 'view')) GROUP BY ALL",
     "e12_duplicate_content_report": "SELECT sha256(coalesce(text, '')) AS digest, count(*) AS n, min(doc_id) AS survivor FROM documents GROUP BY 1 HAVING count(*) > 1",
     "e13_version_coverage": f"{_W} SELECT source_code, v AS normalization_version, count(*) AS n, CAST(grouping_id(source_code, v) AS BIGINT) AS level FROM (SELECT source_code, 'rule-v2' AS v FROM obs) GROUP BY ROLLUP (source_code, v)",

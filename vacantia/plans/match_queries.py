@@ -159,6 +159,7 @@ ORACLES = {
     "g1_embed_batch": "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, 1.0::DOUBLE AS norm, 'hash-v1' AS embedding_version FROM documents",
     "g2_validate_vectors": "SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'WRONG_LENGTH' WHEN 1 THEN 'NOT_UNIT' WHEN 2 THEN 'NULL_VECTOR' END AS reason FROM embeddings",
     "g3_l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings",
+    "g4_point_id": "WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_partkey || ':hash-v1')) AS h FROM part) SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h",
     "g5_top_k_cosine": f"WITH {_TOP} SELECT query_id, point_id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10",
     "g7_upsert_points": "SELECT point_id, arg_max(ts, (ts, payload)) AS ts, arg_max(payload, (ts, payload)) AS payload FROM (SELECT o_custkey % 97 AS point_id, o_orderdate AS ts, o_orderkey AS payload FROM orders) GROUP BY point_id",
     "g8_compatibility_check": "SELECT CAST(min(len(embedding)) AS INTEGER) AS least, CAST(max(len(embedding)) AS INTEGER) AS most, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_length, count(*) FILTER (WHERE vec_id % 7 = 0) AS other_version FROM embeddings",

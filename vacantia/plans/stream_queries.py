@@ -99,5 +99,6 @@ QUERIES = {"j1_stream_upsert_seen": j1, "j2_stream_changed_feed": j2, "j3_stream
 ORACLES = {
     "j1_stream_upsert_seen": "SELECT event_type || ':' || user_id AS fingerprint, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY event_type, user_id",
     "j3_stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "j5_windowed_intake": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL",
     "j5_sessions": "WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f, event_id FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o) SELECT user_id, min(ts) AS start_at, max(ts) + INTERVAL 30 MINUTE AS end_at, count(*) AS n FROM s GROUP BY user_id, s",
 }

@@ -35,6 +35,7 @@ ORACLES = {
     "c3_fold": _of(base.fold("text")),
     "c4_compact_key": _of(base.compact("text")),
     "c5_norm_document": f"SELECT doc_id, substring(v, 1, 2000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 2000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
+    "c6_mojibake": "SELECT doc_id, CAST(3 * len(regexp_extract_all(text, 'Ã[\\x{80}-\\x{bf}]')) + 2 * len(regexp_extract_all(text, 'Â[\\x{80}-\\x{bf}]')) + 3 * len(regexp_extract_all(text, 'â€')) + 5 * len(regexp_extract_all(text, '\\x{fffd}')) AS BIGINT) AS score, text AS value FROM documents",
     "c7_norm_match": _of(r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"),
     "c8_truncate_marked": _of("CASE WHEN length(text) > 120 THEN rtrim(substring(text, 1, 119)) || '…' ELSE text END"),
     "c9_stable_unique": f"""WITH l AS (SELECT doc_id, i, nullif(trim(regexp_replace(x, '{_BLANK}', ' ', 'g')), '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
