@@ -81,26 +81,17 @@ def links_in_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.select(key, "link", kind.alias("kind")).distinct()
 
 
-def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
-    """key, at, n, alias and the columns of `aliases` (alias: folded words) for every run of words that is an alias."""
-    tokens = docs.select(key, F.split(F.trim(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
-    heads = aliases.select(F.element_at(F.split("alias", " "), 1).alias("w")).distinct()
-    each = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).join(F.broadcast(heads), "w", "left_semi")
-    runs = each.select(key, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(words), F.size("t") - F.col("at")))).alias("n"), "t")
-    return runs.select(key, "at", "n", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), " ").alias("alias")).join(F.broadcast(aliases), "alias")
-
-
 def find_locations(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kind, canonical: the earliest place of each kind, of those at one point the longest."""
     known = places.select(F.trim(F.regexp_replace(fold(F.col("alias")), r"[^a-z0-9+#.]+", " ")).alias("alias"), "canonical", "kind").dropDuplicates(["alias"])
-    hits = phrase_hits(docs, known, key, text)
+    hits = jobs.phrase_hits(docs, known, key, text)
     return hits.groupBy(key, "kind").agg(F.min_by("canonical", F.struct("at", -F.col("n"), "canonical")).alias("canonical"))
 
 
 def match_skills(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, canonical, at: alias hits that aren't inside a longer hit, the first of each canonical name."""
     known = skills.select(fold(F.col("alias")).alias("alias"), "canonical").dropDuplicates(["alias"])
-    hits = phrase_hits(docs, known, key, text)
+    hits = jobs.phrase_hits(docs, known, key, text)
     w = Window.partitionBy(key).orderBy("at", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     free = hits.withColumn("_reach", F.coalesce(F.max(F.col("at") + F.col("n")).over(w), F.lit(0))).filter(F.col("at") + F.col("n") > F.col("_reach"))
     return free.groupBy(key, "canonical").agg(F.min("at").alias("at"))
@@ -208,14 +199,14 @@ def order_work_history(periods_: DataFrame, key: str, order: str) -> DataFrame:
 def normalize_title(titles: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """key, title: the canonical title whose alias is in the text; exact first, then the longest; the rest must be a level word."""
     known = aliases.select(fold(F.col("alias")).alias("alias"), F.col("canonical"))
-    hits = phrase_hits(titles, known, key, text).join(titles.select(key, fold(F.col(text)).alias("_f")), key)
+    hits = jobs.phrase_hits(titles, known, key, text).join(titles.select(key, fold(F.col(text)).alias("_f")), key)
     rest = F.trim(F.regexp_replace(F.expr("replace(_f, alias, ' ')"), r"\s+", " "))
     fine = (rest == "") | (jobs.classify_seniority(rest) != "UNKNOWN")
     return hits.filter(fine).groupBy(key).agg(F.min_by("canonical", F.struct(F.col("alias") != F.col("_f"), -F.length("alias"), "canonical")).alias("title"))
 
 
 def highest_education(docs: DataFrame, degrees: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    hits = phrase_hits(docs, degrees, key, text)
+    hits = jobs.phrase_hits(docs, degrees, key, text)
     return hits.groupBy(key).agg(F.max_by("level", F.struct("rank", "level")).alias("level"))
 
 

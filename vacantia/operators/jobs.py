@@ -231,22 +231,22 @@ def skill_list(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> Data
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("all")).select(key, stable_unique(F.col("all")).alias("skills"))
 
 
-def prose_skills(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """key, at, words, alias, canonical: alias phrases in a text, found by joining its word runs to the alias table.
+def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
+    """key, at, n, alias and the columns of `aliases` (alias: folded words) for every run of words that is an alias.
 
-    A word run is one to five words of the folded text joined by single marks, so an alias costs one hash lookup.
-    Ambiguous aliases and ones under three letters are never taken from prose.
+    Only words that begin some alias start a run, so an alias costs one hash lookup and no pattern is tried.
     """
-    f = F.col("_f")
-    marked = rows.select(key, fold(F.col(text)).alias("_f"))
-    tokens = marked.select(key, F.split(F.trim(F.regexp_replace(f, r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
-    usable = aliases.select(fold(F.col("alias")).alias("alias"), "canonical").filter((F.length("alias") > 2) & ~F.col("alias").isin(*taxonomy.AMBIGUOUS)).dropDuplicates(["alias"])
-    usable = usable.withColumn("n", F.size(F.split("alias", " ")))
-    heads = usable.select(F.element_at(F.split("alias", " "), 1).alias("w")).distinct()
+    tokens = docs.select(key, F.split(F.trim(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
+    heads = aliases.select(F.element_at(F.split("alias", " "), 1).alias("w")).distinct()
     each = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).join(F.broadcast(heads), "w", "left_semi")
-    runs = each.select(key, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.size("t") - F.col("at")))).alias("n"), "t")
-    runs = runs.select(key, "at", "n", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), " ").alias("alias"))
-    return runs.join(F.broadcast(usable), ["alias", "n"]).select(key, "at", F.col("n").alias("words"), "alias", "canonical")
+    runs = each.select(key, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(words), F.size("t") - F.col("at")))).alias("n"), "t")
+    return runs.select(key, "at", "n", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), " ").alias("alias")).join(F.broadcast(aliases), "alias")
+
+
+def prose_skills(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """key, at, n, alias, canonical: alias phrases in a text; ambiguous aliases and ones under three letters never count."""
+    known = aliases.select(fold(F.col("alias")).alias("alias"), "canonical").filter((F.length("alias") > 2) & ~F.col("alias").isin(*taxonomy.AMBIGUOUS))
+    return phrase_hits(rows, known.dropDuplicates(["alias"]), key, text)
 
 
 def merge_skills(raw: Column, found: Column, rich: int = 2) -> Column:

@@ -71,16 +71,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k_cosine(queries: DataFrame, points: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def top_k_cosine(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """query_id, point_id, score, rank: the k nearest points by cosine, exactly; ties by point id.
 
-    The stated query set (its size is checked) is broadcast against all points in blocks: each task keeps its own k best
-    per query, so what is shuffled is k rows per query and task, whatever the number of points.
+    Queries are broadcast in sets of a bounded size against all points in blocks: each task keeps its own k best per
+    query, so what is shuffled is k rows per query and task, whatever the number of points.
     """
-    n = queries.count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"{n} queries; search in sets of at most {BROADCAST_ROWS}")
-    got = queries.select("query_id", "embedding").toPandas()
+    queries = queries.select("query_id", "embedding")
+    sets = max(1, -(-queries.count() // BROADCAST_ROWS))
+    found = None
+    for i in range(sets):
+        part = _nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i), points, k)
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """The k best points of each task for one bounded set of queries."""
+    got = queries.toPandas()
 
     def run(batches):
         import numpy as np
@@ -104,9 +113,7 @@ def top_k_cosine(queries: DataFrame, points: DataFrame, k: int, blocks: int = 8)
         if best_s.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_p.reshape(-1)), pa.array(best_s.reshape(-1))], ["query_id", "point_id", "score"])
 
-    found = points.select("point_id", "embedding").mapInArrow(run, "query_id bigint, point_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return points.select("point_id", "embedding").mapInArrow(run, "query_id bigint, point_id bigint, score double")
 
 
 def top_k_lsh(queries: DataFrame, points: DataFrame, k: int, bucket: float = 1.0, tables: int = 6) -> DataFrame:
