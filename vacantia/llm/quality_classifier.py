@@ -49,7 +49,7 @@ def _streams(batches):
     """Per slice: the batch, words of each text, word buckets and shape buckets."""
     from . import texts
 
-    for s in texts.slices(batches):
+    for s in texts.slices(batches, target=1 << 20):
         flat, counts = texts.words(texts.filled(s.column("text")))
         found, codes = texts.coded(flat)
         word, form = _buckets(found)
@@ -78,19 +78,22 @@ def _contexts(batches):
                 order = np.argsort(own, kind="stable")
                 own, of, w = own[order], of[order], times[order].astype(np.float32)
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
-                for i in range(0, len(first), 2048):
+                for i in range(0, len(first), 512):
                     lo = first[i]
-                    hi = first[i + 2048] if i + 2048 < len(first) else len(own)
-                    total[own[first[i : i + 2048]]] += np.add.reduceat(index_of[of[lo:hi]] * w[lo:hi, None], first[i : i + 2048] - lo, axis=0)
+                    hi = first[i + 512] if i + 512 < len(first) else len(own)
+                    total[own[first[i : i + 512]]] += np.add.reduceat(index_of[of[lo:hi]] * w[lo:hi, None], first[i : i + 512] - lo, axis=0)
     at = np.flatnonzero(total.any(axis=1))
     if len(at):
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k].astype(np.float32)) for k in range(DIM))], ["bucket", *(f"v{k}" for k in range(DIM))])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, k].astype(np.int64)) for k in range(DIM))], ["bucket", *(f"v{k}" for k in range(DIM))])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors of all buckets over all texts, of unit length; the table's size is fixed (2 MB)."""
-    columns = ", ".join(f"v{k} float" for k in range(DIM))
-    rows = docs.select("text").mapInArrow(_contexts, f"bucket bigint, {columns}").groupBy("bucket").agg(*(F.sum(F.round(f"v{k}", 3).cast("decimal(28,3)")).cast("float").alias(f"v{k}") for k in range(DIM)))
+    """Context vectors of all buckets over all texts, of unit length; the table's size is fixed (2 MB).
+
+    Index vectors are of -1, 0 and 1, so the sums are whole numbers and don't depend on the order of tasks.
+    """
+    columns = ", ".join(f"v{k} bigint" for k in range(DIM))
+    rows = docs.select("text").mapInArrow(_contexts, f"bucket bigint, {columns}").groupBy("bucket").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)))
     got = rows.toPandas()
     out = np.zeros((WORDS + SHAPES, DIM), dtype=np.float32)
     if len(got):
@@ -117,9 +120,9 @@ def _pooled(vectors: np.ndarray):
                 out = np.zeros((n, DIM), dtype=np.float64)
                 some = np.flatnonzero(np.bincount(r, minlength=n)) if len(r) else np.zeros(0, np.int64)
                 first = np.searchsorted(r, some)
-                for i in range(0, len(some), 256):
-                    lo, hi = first[i], (first[i + 256] if i + 256 < len(some) else len(r))
-                    out[some[i : i + 256]] = np.add.reduceat(vectors[b[lo:hi]] * times[lo:hi, None], first[i : i + 256] - lo, axis=0)
+                for i in range(0, len(some), 64):
+                    lo, hi = first[i], (first[i + 64] if i + 64 < len(some) else len(r))
+                    out[some[i : i + 64]] = np.add.reduceat(vectors[b[lo:hi]] * times[lo:hi, None], first[i : i + 64] - lo, axis=0)
                 mean = out / np.maximum(counts, 1)[:, None]
                 parts += [mean, np.linalg.norm(mean, axis=1, keepdims=True)]
             flat = np.concatenate(parts, axis=1).astype(np.float32)
