@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a task keeps between slices.
-CACHED = 100_000
+CACHED = 250_000
 
 
 def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
@@ -21,10 +21,11 @@ def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in sorted(found, key=lambda x: (x[0], x[1], order[x[2]], order[x[3]]))]
 
 
-def rebuilt(path: str, prefix: bool = True):
+def rebuilt(path: str, texts: bool = True):
     """A tokenizers.Tokenizer that gives the ids of the SentencePiece model at `path`.
 
-    prefix: whether the model's dummy prefix is put before each text (off for pre-tokens, which spell it out).
+    texts: False for pre-tokens that spell the dummy prefix and the space marks out; they need neither normaliser nor
+    pre-tokeniser, and no cache of words, as each comes once.
     """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -37,14 +38,15 @@ def rebuilt(path: str, prefix: bool = True):
     if proto.trainer_spec.model_type == 1:
         model = models.Unigram([(p.piece, p.score) for p in proto.pieces], unk_id=vocab[unk], byte_fallback=fallback)
     else:
-        model = models.BPE(vocab, merges({p.piece: p.score for p in proto.pieces if p.type in (1, 4)}), unk_token=unk, fuse_unk=True, byte_fallback=fallback)
+        model = models.BPE(vocab, merges({p.piece: p.score for p in proto.pieces if p.type in (1, 4)}), unk_token=unk, fuse_unk=True, byte_fallback=fallback, cache_capacity=10_000 if texts else 0)
     t = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.precompiled_charsmap)] if spec.precompiled_charsmap else []
     if spec.remove_extra_whitespaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    dummy = spec.add_dummy_prefix and prefix
-    t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
-    t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+    dummy = spec.add_dummy_prefix and texts
+    if texts:
+        t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if dummy else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return t
@@ -55,37 +57,42 @@ def _encode(path: str, threads: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
+        from array import array
+
         import numpy as np
         import pyarrow as pa
 
         from . import pieces, texts
 
-        own, theirs = rebuilt(path, prefix=False), pieces.processor(path)
-        cache: dict[str, tuple[list[int], bool, bool]] = {}
+        own, theirs = rebuilt(path, texts=False), pieces.processor(path)
+        cache: dict[str, bytes] = {}  # ids as four bytes each
+        bad: tuple[set[str], set[str]] = set(), set()  # pre-tokens that don't decode, or on which the libraries differ
         for s in texts.slices(batches):
             text = texts.filled(s.column("text"))
             terms, codes, counts = pieces.pretokens(text)
             new = [t for t in terms if t not in cache]
-            if len(cache) + len(new) > CACHED:
-                cache, new = {}, terms
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
-                ids = [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)]
-                back = own.decode_batch(ids, skip_special_tokens=False)
-                cache.update(zip(part, zip(ids, map(str.__eq__, part, back), map(list.__eq__, ids, theirs.encode(part, num_threads=1)), strict=True), strict=True))
+                ids = [e.ids for e in own.encode_batch_fast([t.replace(" ", pieces.MARK) for t in part], add_special_tokens=False)]
+                bad[0].update(t for t, x in zip(part, own.decode_batch(ids, skip_special_tokens=False), strict=True) if t != x)
+                bad[1].update(t for t, x, y in zip(part, ids, theirs.encode(part, num_threads=1), strict=True) if x != y)
+                cache.update(zip(part, (array("i", x).tobytes() for x in ids), strict=True))
             found = [cache[t] for t in terms]
-            size = np.array([len(f[0]) for f in found] or [0], dtype=np.int64)
-            flat = np.fromiter((i for f in found for i in f[0]), dtype=np.int32, count=int(size.sum()))
+            if len(cache) > CACHED:  # what this slice has stays: frequent pre-tokens are in every slice
+                cache = dict(zip(terms, found, strict=True))
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            flat = np.frombuffer(b"".join(found), dtype=np.int32)
             begin = np.cumsum(size) - size
             each = size[codes] if len(codes) else np.zeros(0, np.int64)
-            at = np.repeat(begin[codes] if len(codes) else each, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            at = np.repeat((begin[codes] if len(codes) else each) - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
             n = texts.sums(each, counts)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat[at]))
-            flags = [texts.sums(np.array([not f[k] for f in found] or [False], dtype=np.int64)[codes] if len(codes) else each, counts) == 0 for k in (1, 2)]
+            fine = [np.ones(len(counts), dtype=bool)] * 2
+            for k in (0, 1):
+                if bad[k]:
+                    fine[k] = texts.sums(np.array([t in bad[k] for t in terms], dtype=np.int64)[codes], counts) == 0
             marked = pa.compute.match_substring(text, pieces.MARK).to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays(
-                [s.column("doc_id"), pa.array(n), ids, pa.array(flags[0] & ~marked), pa.array(flags[1])], ["doc_id", "n_tokens", "ids", "decodes", "parity"]
-            )
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n), ids, pa.array(fine[0] & ~marked), pa.array(fine[1])], ["doc_id", "n_tokens", "ids", "decodes", "parity"])
 
     return run
 
