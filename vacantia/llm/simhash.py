@@ -26,7 +26,6 @@ def _fingerprints(width: int, seed: int, *more: str):
             n, bits = len(counts), np.zeros((len(counts), 64), dtype=np.int64)
             each = np.maximum(counts - width + 1, np.minimum(counts, 1))
             full = np.flatnonzero(texts.within(counts, width))
-            row = np.repeat(np.arange(n), counts)
             hashes = np.zeros(int(each.sum()), dtype=np.uint64)
             if len(full):
                 at = pa.array(full)

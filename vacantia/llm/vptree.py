@@ -85,7 +85,7 @@ def _direct(points: np.ndarray, at: np.ndarray, radius: int) -> list[np.ndarray]
             x, y = np.nonzero(near)
             x, y = a[x], b[y]
             label = np.concatenate([a, b])
-            keys, where = np.unique(label, return_inverse=True)
+            keys = np.unique(label)
             own = np.arange(len(keys))
             px, py = np.searchsorted(keys, x), np.searchsorted(keys, y)
             while True:  # least label among neighbours until nothing changes

@@ -71,7 +71,7 @@ def read(member: bytes) -> dict:
 
 def surt(url: str | None) -> str:
     """The reversed-host key of a URL: `com,example,www)/path?query`, A-Z of the host lower-cased; others as they are."""
-    head, sep, rest = (url or "").partition("://")
+    _, sep, rest = (url or "").partition("://")
     if not sep:
         return url or ""
     cut = min((i for i in (rest.find(c) for c in "/?#") if i >= 0), default=len(rest))

@@ -9,8 +9,8 @@ from .scratch import sized, written
 
 #: Compressed bytes of an archive and captures of an index block, about; payload bytes from which repeats are revisits.
 ARCHIVE_BYTES, BLOCK_LINES, LEAST_PAYLOAD = 2 << 20, 1024, 1000
-#: Directory entries that are broadcast; beyond, every 512th is, and the others are joined.
-DIRECTORY, STRIDE = 50_000, 512
+#: Directory entries that are broadcast; beyond, blocks are joined by as many ranges as DIRECTORY over STRIDE.
+DIRECTORY, STRIDE = 50_000, 16
 
 _CAPTURE = "struct<key:string,page_id:bigint,offset:bigint,length:bigint>"
 
@@ -61,33 +61,38 @@ def write_archives(pages: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_write, f"archive string, data binary, captures array<{_CAPTURE}>"), "archives")
 
 
-def _blocks(batches):
-    import uuid
-    import zlib
+def _blocks(most: int):
+    """Sorted captures as compressed blocks of `most` lines, each with its first and last capture."""
 
-    import pyarrow as pa
+    def run(batches):
+        import uuid
+        import zlib
 
-    lines: list[tuple] = []
+        import pyarrow as pa
 
-    def out(part):
-        text = "\n".join("\t".join((k.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), "" if p is None else str(p), a, str(o), str(n))) for k, p, a, o, n in part)
-        first, end = part[0], part[-1]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x[i]], t) for x in (first, end) for i, t in ((0, pa.string()), (1, pa.int64()))), pa.array([zlib.compress(text.encode(), 6)], pa.binary())], ["block", "first_key", "first_id", "last_key", "last_id", "data"])
+        lines: list[tuple] = []
 
-    for b in batches:
-        lines += zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "archive", "offset", "length")), strict=True)
-        while len(lines) >= BLOCK_LINES:
-            yield out(lines[:BLOCK_LINES])
-            lines = lines[BLOCK_LINES:]
-    if lines:
-        yield out(lines)
+        def out(part):
+            text = "\n".join("\t".join((k.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), "" if p is None else str(p), a, str(o), str(n))) for k, p, a, o, n in part)
+            ends = [pa.array([x[i]], t) for x in (part[0], part[-1]) for i, t in ((0, pa.string()), (1, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *ends, pa.array([zlib.compress(text.encode(), 6)], pa.binary())], ["block", "first_key", "first_id", "last_key", "last_id", "data"])
 
+        for b in batches:
+            lines += zip(*(b.column(c).to_pylist() for c in ("key", "page_id", "archive", "offset", "length")), strict=True)
+            while len(lines) >= most:
+                yield out(lines[:most])
+                lines = lines[most:]
+        if lines:
+            yield out(lines)
+
+    return run
 
-def capture_index(archives: DataFrame) -> DataFrame:
+
+def capture_index(archives: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """Index blocks: captures in the order of (key, page_id), compressed, with the first and last of each block."""
     captures = archives.select("archive", F.inline("captures")).select(F.coalesce("key", F.lit("")).alias("key"), "page_id", "archive", "offset", "length")
     ordered = captures.repartitionByRange("key", "page_id", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
-    return written(ordered.mapInArrow(_blocks, "block string, first_key string, first_id bigint, last_key string, last_id bigint, data binary"), "index-blocks")
+    return written(ordered.mapInArrow(_blocks(lines), "block string, first_key string, first_id bigint, last_key string, last_id bigint, data binary"), "index-blocks")
 
 
 def _order(key: str | None, page_id: int | None) -> tuple:
@@ -154,18 +159,37 @@ def look_up(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "data").join(each, "block").select("data", "wanted").mapInArrow(_in_blocks, "archive string, offset bigint, length bigint")
 
 
+def _parts(bounds: list[tuple], first: tuple[str, str], last: tuple[str, str] | None, names: list[str]):
+    """Rows with `part`, the ranges between `bounds` from their first to their last capture (or that of the first)."""
+
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+
+        for b in batches:
+            at = [bisect.bisect_right(bounds, _order(k, p)) for k, p in zip(b.column(first[0]).to_pylist(), b.column(first[1]).to_pylist(), strict=True)]
+            end = at if last is None else [bisect.bisect_right(bounds, _order(k, p)) for k, p in zip(b.column(last[0]).to_pylist(), b.column(last[1]).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([list(range(x, y + 1)) for x, y in zip(at, end, strict=True)], pa.list_(pa.int32()))], [*names, "parts"])
+
+    return run
+
+
 def _by_range(wanted: DataFrame, directory: DataFrame) -> DataFrame:
-    """The same pairs when the directory is too large to broadcast: blocks and wanted captures meet by key ranges.
+    """The same pairs when the directory is too large to broadcast: blocks and wanted captures meet by ranges of captures.
 
-    Range bounds are a bounded sample of the directory; a block counts for every range that it touches.
+    Range bounds are a bounded sample of the directory's first captures, ids included, so a hot key has many ranges; a
+    block counts for every range that it touches.
     """
-    some = sorted({r.first_key for r in directory.orderBy(F.xxhash64("block")).limit(DIRECTORY // STRIDE * 8).select("first_key").collect()}, key=str.encode)
-    bounds = F.array(*(F.lit(x) for x in some))
-    at = lambda c: F.size(F.filter(bounds, lambda x: x <= c))
-    near = directory.withColumn("part", F.explode(F.sequence(at(F.col("first_key")), at(F.col("last_key")))))
-    left = wanted.withColumn("part", at(F.col("key")))
-    low = (F.col("key") > F.col("first_key")) | ((F.col("key") == F.col("first_key")) & (F.coalesce("page_id", F.lit(-(1 << 63))) >= F.coalesce("first_id", F.lit(-(1 << 63)))))
-    high = (F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (F.coalesce("page_id", F.lit(-(1 << 63))) <= F.coalesce("last_id", F.lit(-(1 << 63)))))
+    some = directory.orderBy(F.xxhash64("block"), "block").limit(max(1, DIRECTORY // STRIDE)).select("first_key", "first_id").collect()
+    bounds = sorted(_order(r.first_key, r.first_id) for r in some)
+    names = ["block", "first_key", "first_id", "last_key", "last_id"]
+    near = directory.mapInArrow(_parts(bounds, ("first_key", "first_id"), ("last_key", "last_id"), names), "block string, first_key string, first_id bigint, last_key string, last_id bigint, parts array<int>")
+    left = wanted.mapInArrow(_parts(bounds, ("key", "page_id"), None, ["key", "page_id"]), "key string, page_id bigint, parts array<int>")
+    near, left = (x.withColumn("part", F.explode("parts")).drop("parts") for x in (near, left))
+    id_ = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
+    low = (F.col("key") > F.col("first_key")) | ((F.col("key") == F.col("first_key")) & (id_("page_id") >= id_("first_id")))
+    high = (F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (id_("page_id") <= id_("last_id")))
     return left.join(near, "part").filter(low & high).select("key", "page_id", "block")
 
 
