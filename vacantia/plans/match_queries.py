@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators import jobs, keyed, match, query, vectors
+from vacantia.operators import keyed, match, query, vectors
 from vacantia.plans import base
 from vacantia.sources import feed
 
