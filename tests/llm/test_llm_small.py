@@ -244,6 +244,21 @@ def test_attention_is_causal_and_windows_score_once():
     assert np.allclose(one, 1, atol=1e-3)
 
 
+def test_attention_windows_reach_back():
+    import numpy as np
+
+    from vacantia.llm import attention as a
+
+    assert a.WIDTH >= 32 and a.CONTEXT >= 8 and a.DIM >= 24
+    row, start, first = a.windows(np.array([10 * a.WIDTH]))
+    assert (first[1:] >= 8).all()
+    m, x = a.Model(50), np.random.default_rng(0).integers(0, 50, (3, a.WIDTH))
+    where, want = np.arange(3 * a.WIDTH), np.arange(3 * a.WIDTH) * 7 % a.CLASSES
+    late = where % a.WIDTH >= a.CONTEXT
+    cut = m.log_shares(x, np.arange(late.sum()), want[late], a.CONTEXT)
+    assert np.allclose(cut, m.log_shares(x, where, want)[late], atol=1e-5)
+
+
 def test_attention_gradients():
     import numpy as np
 
