@@ -336,3 +336,43 @@ def test_head_floor(spark):
     counts = spark.createDataFrame([(f"t{i}", 1 + i) for i in range(100)], "term string, n long")
     floor = terms.head_floor(counts, 20)
     assert 0 < counts.filter(F.col("n") >= floor).count() <= 20
+
+
+def test_attention_training_grows_with_the_corpus_and_copies_are_drawn_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from vacantia.llm.attention import WIDTH
+
+    long = " ".join(f"word{i % 97} of {i % 31}" for i in range(4000))
+    cut = [long[slice(*attention_lm._passage(long, k))] for k in range(-(-len(long) // attention_lm.PASSAGE))]
+    assert "".join(cut) == long and all(c[-1] == " " for c in cut[:-1])
+
+    def windows(texts, share, ids=None):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids or range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        return [np.frombuffer(y, np.int32) for b in attention_lm._sampled(_piece_model(), share)([batch]) for y in b.column("y").to_pylist()]
+
+    every = np.concatenate(windows([long, None], 1.0))
+    assert (every >= 0).sum() > WIDTH * attention_lm.PER_PASSAGE * 8  # far more than eight windows of one text
+    n = [len(windows(["a copied text"] * k, 0.2)) for k in (1000, 4000)]
+    assert 120 < n[0] < 280 and 600 < n[1] < 1000
+
+
+def test_attention_parts_are_averaged_by_spark(spark):
+    import numpy as np
+
+    from vacantia.llm import attention as a
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(3, 40, (30_000, 1)) + np.arange(a.WIDTH) % 7
+    rows = [(bytearray(r.astype(np.int32).tobytes()), bytearray(((r + 1) % 50).astype(np.int32).tobytes())) for r in x[:26_000]]
+    net, group = a.Model(50), np.arange(50)
+    before = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50).mean()
+    attention_lm._fit(net, spark.createDataFrame(rows, "x binary, y binary"), group)
+    after = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50).mean()
+    assert after > before / 4
+    one, two = a.Model(50), a.Model(50)
+    start = [p.copy() for p in one.p]
+    one.train(x[:640], x[:640] % 50, epochs=1)
+    two.move(one.moved(start, x[:640]))
+    assert all(np.allclose(p, q, atol=1e-4) for p, q in zip(one.p, two.p))
