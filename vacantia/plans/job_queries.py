@@ -85,6 +85,16 @@ def d16(spark, d):
     return o.select("*", jobs.text_passage({"Title": c("title"), "Company": c("company_name"), "Skills": c("skills_text"), "Experience": c("experience_text")}, 80).alias("value"))
 
 
+def d15_whole(spark, d):
+    o = feed.observations(spark, d).select("title", "company_name", "skills_text", "experience_text").distinct()
+    return o.select("*", jobs.text_query({"Title": (c("title"), 2400), "Company": (c("company_name"), 2400), "Skills": (c("skills_text"), 2400), "Experience": (c("experience_text"), 2400)}).alias("value"))
+
+
+def d16_whole(spark, d):
+    o = feed.observations(spark, d).select("title", "company_name", "skills_text", "experience_text").distinct()
+    return o.select("*", jobs.text_passage({"Title": c("title"), "Company": c("company_name"), "Skills": c("skills_text"), "Experience": c("experience_text")}).alias("value"))
+
+
 def d17(spark, d):
     o = feed.observations(spark, d).select("experience_text").distinct().withColumn("e", jobs.experience(c("experience_text")))
     return o.select("experience_text", jobs.format_experience(c("e.experience_min"), c("e.experience_max")).alias("value"))
@@ -187,6 +197,8 @@ QUERIES = {
     "d14_content_hash": d14,
     "d15_job_text_query": d15,
     "d16_job_text_passage": d16,
+    "d15_job_text_query_whole": d15_whole,
+    "d16_job_text_passage_whole": d16_whole,
     "d17_format_experience": d17,
     "d18_join_stable": d18,
     "d19_normalize_jobs": d19,
@@ -284,6 +296,9 @@ SELECT o.location_text, coalesce(string_agg(v, '|' ORDER BY pos), '') AS locatio
 {_step(0, 'Title', 'title', 20)}, {_step(1, 'Company', 'company_name', 40)}, {_step(2, 'Skills', 'skills_text', 30)}, {_step(3, 'Experience', 'experience_text', 40)}
 SELECT title, company_name, skills_text, experience_text, v AS value FROM s4""",
     "d16_job_text_passage": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, CASE WHEN length(v) > 80 THEN rtrim(substring(v, 1, 79)) || '…' ELSE v END AS value FROM (SELECT *, 'passage: ' || concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || skills_text, 'Experience: ' || experience_text) AS v FROM obs)",
+    # Fields are far shorter than 2,400 characters together; a test cuts longer ones.
+    "d15_job_text_query_whole": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, v AS value FROM (SELECT *, 'query: ' || concat_ws(chr(10), 'Title: ' || nullif(title, ''), 'Company: ' || nullif(company_name, ''), 'Skills: ' || nullif(skills_text, ''), 'Experience: ' || nullif(experience_text, '')) AS v FROM obs)",
+    "d16_job_text_passage_whole": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, CASE WHEN length(v) > 2400 THEN rtrim(substring(v, 1, 2399)) || '…' ELSE v END AS value FROM (SELECT *, 'passage: ' || concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || skills_text, 'Experience: ' || experience_text) AS v FROM obs)",
     "d17_format_experience": f"{_W} SELECT DISTINCT experience_text, {_case('experience_text', dict(zip(_EXP, ("'From 3 years'", "'0.5 - 1 years'", "'2 - 4 years'", "'From 0 years'", "'From 1.5 years'", "'0 - 1 years'"))))} AS value FROM obs",
     "d18_join_stable": f"{_W}, p AS (SELECT skills_text, trim(unnest(regexp_split_to_array(skills_text, '[,;]'))) AS v FROM (SELECT DISTINCT skills_text FROM obs)), f AS (SELECT skills_text, {base.fold('v')} AS f, min(v) AS v FROM p GROUP BY 1, 2) SELECT skills_text, string_agg(v, ', ' ORDER BY f, v) AS value FROM f GROUP BY skills_text",
     "d19_normalize_jobs": f"{_W} SELECT fingerprint, l_orderkey, l_linenumber, collected_at, {_salary('salary_text')}, CAST({_LOW} AS DOUBLE) AS experience_min, CAST({_HIGH} AS DOUBLE) AS experience_max, {_RESOLVED} AS seniority, {_TYPE} AS job_type FROM obs",

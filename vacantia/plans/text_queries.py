@@ -17,6 +17,7 @@ QUERIES = {
     "c3_fold": _docs(lambda x: [t.fold(x).alias("value")]),
     "c4_compact_key": _docs(lambda x: [t.compact_key(x).alias("value")]),
     "c5_norm_document": _docs(lambda x: [t.norm_document(x, 2000)[0].alias("value"), F.array_join(t.norm_document(x, 2000)[1], ",").alias("warnings")]),
+    "c5_norm_document_whole": _docs(lambda x: [t.norm_document(x)[0].alias("value"), F.array_join(t.norm_document(x)[1], ",").alias("warnings")]),
     "c6_mojibake": _docs(lambda x: [t.mojibake_score(x).cast("long").alias("score"), t.repair_mojibake(x).alias("value")]),
     "c7_norm_match": _docs(lambda x: [t.norm_match(x).alias("value")]),
     "c8_truncate_marked": _docs(lambda x: [t.truncate_marked(x, 120).alias("value")]),
@@ -35,6 +36,7 @@ ORACLES = {
     "c3_fold": _of(base.fold("text")),
     "c4_compact_key": _of(base.compact("text")),
     "c5_norm_document": f"SELECT doc_id, substring(v, 1, 2000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 2000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
+    "c5_norm_document_whole": f"SELECT doc_id, substring(v, 1, 200000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 200000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
     "c6_mojibake": "SELECT doc_id, CAST(3 * len(regexp_extract_all(text, 'Ã[\\x{80}-\\x{bf}]')) + 2 * len(regexp_extract_all(text, 'Â[\\x{80}-\\x{bf}]')) + 3 * len(regexp_extract_all(text, 'â€')) + 5 * len(regexp_extract_all(text, '\\x{fffd}')) AS BIGINT) AS score, text AS value FROM documents",
     "c7_norm_match": _of(r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"),
     "c8_truncate_marked": _of("CASE WHEN length(text) > 120 THEN rtrim(substring(text, 1, 119)) || '…' ELSE text END"),
