@@ -76,20 +76,35 @@ def redact(x: Column, most: int = 500) -> Column:
     return F.substring(F.regexp_replace(x, r"(?i)((?:token|password|secret)=)[^ &;,]+", "$1***"), 1, most)
 
 
-# What broken encodings look like, and how much each counts.
-MOJIBAKE = (("Ã[\u0080-¿]", 3), ("Â[\u0080-¿]", 2), ("â€", 3), ("�", 5))
+# What broken encodings look like, and how much each counts; the characters of cp1252 for bytes 80 to 9F, and
+# the same bytes in Latin-1.
+CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_BYTES = CP1252.encode("cp1252").decode("latin-1")
+MOJIBAKE = (("[\u0080-\u009f]", 4), ("[ÃÂÄÅÆÐÑ][\u0080-¿]", 3), ("á[º»]", 4), (f"â[\u0080-¿{CP1252}]", 4), ("ð[\u0080-¿]", 4))
+#: Ends of lines, each kept with its line.
+_LINE_ENDS = "(?<=[\n\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])|(?<=\r)(?!\n)"
 
 
-def mojibake_score(x: Column) -> Column:
+def _broken(x: Column) -> Column:
     return sum((F.regexp_count(x, F.lit(p)) * w for p, w in MOJIBAKE), F.lit(0))
 
 
+def mojibake_score(x: Column) -> Column:
+    """Signs of text that was read in a wrong encoding, and lost characters."""
+    return _broken(x) + F.regexp_count(x, F.lit("\ufffd")) * 5
+
+
+def _read_again(x: Column) -> Column:
+    """Latin-1 or cp1252 text that was UTF-8 is read again, where that lowers the score; no text can be of both."""
+    fits = (_broken(x) > 0) & ~x.rlike(f"[^\u0000-ÿ{CP1252}]") & ~(x.rlike("[\u0080-\u009f]") & x.rlike(f"[{CP1252}]"))
+    raw = F.encode(F.translate(F.when(fits, x), CP1252, _BYTES), "ISO-8859-1").cast("string")
+    return let(F.when(F.is_valid_utf8(raw), raw), lambda again: F.when(again.isNotNull() & (_broken(again) < _broken(x)), again).otherwise(x))
+
+
 def repair_mojibake(x: Column) -> Column:
-    """Latin-1 text that was UTF-8 is read again, where that lowers the score."""
-    latin = (mojibake_score(x) > 0) & ~x.rlike("[^\u0000-ÿ]")
-    raw = F.encode(F.when(latin, x), "ISO-8859-1")
-    again = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return F.when(again.isNotNull() & (mojibake_score(again) < mojibake_score(x)), again).otherwise(x)
+    """The whole text read again if that helps, else each of its lines for which it helps."""
+    lines = lambda t: F.array_join(F.transform(F.split(t, _LINE_ENDS), _read_again), "")
+    return let(_read_again(x), lambda whole: F.when(whole != x, whole).when(_broken(x) > 0, lines(x)).otherwise(x))
 
 
 def text_hash(x: Column) -> Column:

@@ -11,6 +11,21 @@ from vacantia.sources.feed import table
 _docs = lambda make: lambda spark, d: table(spark, d, "documents").select("doc_id", *make(F.col("text")))
 _BLANK = r"[\s\x00-\x1f\x7f\x{a0}]+"
 
+# Lines that are put below each document and broken: by Latin-1 with the whole text, by Latin-1 and by cp1252 alone.
+_SOUND = ("Trường Đại học Công nghệ, déjà vu", "Kỹ sư phần mềm", "déjà vu – ‘été’ 5 €")
+_KEPT = "Nguyễn — Huệ"
+
+
+def _broken_rows(spark, d):
+    """Documents with broken lines, and what is repaired of them."""
+    x, kind = F.col("text"), F.col("doc_id") % 3
+    latin = lambda y: F.decode(F.encode(y, "UTF-8"), "ISO-8859-1")
+    whole = latin(F.concat_ws("\n", x, F.lit(_SOUND[0])))
+    lines = [F.concat_ws("\n", x, F.lit(_KEPT), F.lit(y)) for y in (_SOUND[1].encode().decode("latin-1"), _SOUND[2].encode().decode("cp1252"))]
+    rows = table(spark, d, "documents").select("doc_id", F.when(kind == 0, whole).when(kind == 1, lines[0]).otherwise(lines[1]).alias("text"))
+    return rows.select("doc_id", t.repair_mojibake(x).alias("value"))
+
+
 QUERIES = {
     "c1_norm_inline": _docs(lambda x: [t.norm_inline(x).alias("value")]),
     "c2_norm_multiline": _docs(lambda x: [t.norm_multiline(x).alias("value")]),
@@ -19,6 +34,7 @@ QUERIES = {
     "c5_norm_document": _docs(lambda x: [t.norm_document(x, 2000)[0].alias("value"), F.array_join(t.norm_document(x, 2000)[1], ",").alias("warnings")]),
     "c5_norm_document_whole": _docs(lambda x: [t.norm_document(x)[0].alias("value"), F.array_join(t.norm_document(x)[1], ",").alias("warnings")]),
     "c6_mojibake": _docs(lambda x: [t.mojibake_score(x).cast("long").alias("score"), t.repair_mojibake(x).alias("value")]),
+    "c6_mojibake_repairs": _broken_rows,
     "c7_norm_match": _docs(lambda x: [t.norm_match(x).alias("value")]),
     "c8_truncate_marked": _docs(lambda x: [t.truncate_marked(x, 120).alias("value")]),
     "c9_stable_unique": _docs(lambda x: [F.array_join(t.stable_unique(F.split(x, "\n"), 20), "\n").alias("value")]),
@@ -38,6 +54,7 @@ ORACLES = {
     "c5_norm_document": f"SELECT doc_id, substring(v, 1, 2000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 2000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
     "c5_norm_document_whole": f"SELECT doc_id, substring(v, 1, 200000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 200000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
     "c6_mojibake": "SELECT doc_id, CAST(3 * len(regexp_extract_all(text, 'Ã[\\x{80}-\\x{bf}]')) + 2 * len(regexp_extract_all(text, 'Â[\\x{80}-\\x{bf}]')) + 3 * len(regexp_extract_all(text, 'â€')) + 5 * len(regexp_extract_all(text, '\\x{fffd}')) AS BIGINT) AS score, text AS value FROM documents",
+    "c6_mojibake_repairs": f"SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || '{_SOUND[0]}' WHEN 1 THEN chr(10) || '{_KEPT}' || chr(10) || '{_SOUND[1]}' ELSE chr(10) || '{_KEPT}' || chr(10) || '{_SOUND[2]}' END AS value FROM documents",
     "c7_norm_match": _of(r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"),
     "c8_truncate_marked": _of("CASE WHEN length(text) > 120 THEN rtrim(substring(text, 1, 119)) || '…' ELSE text END"),
     "c9_stable_unique": f"""WITH l AS (SELECT doc_id, i, nullif(trim(regexp_replace(x, '{_BLANK}', ' ', 'g')), '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
