@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.llm import attention_lm, components, matroska, mixing, pieces, quality_classifier, quality_rules, simhash, spm_codec, terms, token_counts, url_rules, warc_index
+from vacantia.llm import attention_lm, components, matroska, mixing, near_copies, pieces, quality_classifier, quality_rules, simhash, spm_codec, terms, token_counts, url_rules, warc_index
 from vacantia.llm.queries import _piece_model
 
 TEXTS = [None, "", " ", "\n", "a", "a  b", " a\n\nb ", "word " * 3000, "x" * 20000, "Ünï çødé ☃ 😀", "▁ ▁▁a ▁", "<s> </s> <0x0A>", "tab\tb\x0bc\x0cd\r\n e", "same text here now", "same text here now", "the cat sat on the mat the cat sat on the mat"]
@@ -95,12 +95,85 @@ def test_simhash_groups(spark, docs):
     got = {(-1 if r.doc_id is None else r.doc_id): (r.fingerprint, r.component_id) for r in simhash.groups(docs).collect()}
     assert got[0] == ("0" * 16, 0) and got[1][1] == got[2][1] == got[-1][1] == 0 and got[13] == got[14] and got[13][1] == 13
     assert simhash.groups(docs.limit(0)).count() == 0
-    kept = simhash.deduplicated(docs)
+    kept = near_copies.deduplicated(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 1 and 14 not in ids and 13 in ids and len(ids) == len(set(ids))
 
 
+def test_fingerprints_by_brute_force(spark, docs):
+    """Bit by bit votes of XXH64 over the three-word shingles of each whole text, and components by all pairs."""
+    import xxhash
+
+    def fingerprint(t):
+        w = words(t, True)
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(16)] + [" ".join(base * 40), " ".join(base * 40 + ["end"])]
+    rows = [(100 + i, t) for i, t in enumerate(near)] + [(i, t) for i, t in enumerate(TEXTS)]
+    want = {i: fingerprint(t) for i, t in rows}
+    root = {i: i for i in want}
+    for _ in want:
+        for i in want:
+            root[i] = min(root[j] for j in want if (want[i] ^ want[j]).bit_count() <= 2)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (f"{want[i]:016x}", root[i]) for i in want}
+
+
+def test_large_shards_are_split(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 1500, dtype=np.int64)
+    near = base[:300] ^ (1 << rng.integers(0, 60, 300))
+    points = np.unique(np.concatenate([base, near]))
+    df = spark.createDataFrame([(int(x),) for x in points], "fp long")
+    out = simhash.sharded(df, len(points), 2, most=200).toPandas()
+    assert out.groupby("shard").size().max() <= 400 and set(out.fp) == set(points.tolist())
+    together = {(a, b) for _, g in out.groupby("shard") for a in set(g.fp) for b in set(g.fp) if a < b and (a ^ b).bit_count() <= 2}
+    p = points.view(np.uint64)
+    assert together == {(int(points[i]), int(points[j])) for i in range(len(p)) for j in np.flatnonzero(np.bitwise_count(p[i] ^ p) <= 2) if points[i] < points[j]}
+
+
+def test_near_copies_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, i = [(0, None, "a"), (1, "", "b"), (2, " \n", "c"), (None, "lone text of no id here", "d"), (3, "Lone text of no id HERE", "e"), (3, "Lone text of no id HERE", "f"), (3, "other words than before", "g")], 10
+    for size in (6, 30, 60, 200, 900):
+        for _ in range(12):
+            base = [rng.choice(vocabulary) for _ in range(size)]
+            for _ in range(3):
+                copy = list(base)
+                for _ in range(rng.choice([0, 0, 1, size // 60, size // 45])):
+                    copy[rng.randrange(size)] = "new%d" % rng.randrange(1000)
+                rows.append((i, " ".join(copy), "x"))
+                i += 1
+    sets = []
+    for _, t, _ in rows:
+        w = words(t, True)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    root = list(range(len(rows)))
+    alike = [[j for j in range(len(rows)) if len(a & sets[j]) >= 0.8 * len(a | sets[j])] for a in sets]
+    for _ in rows:
+        root = [min(root[j] for j in alike[k]) for k in range(len(rows))]
+    least = {}
+    for k, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[root[k]] = min(least.get(root[k], d), d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in near_copies.classes(docs).collect())
+    assert got == sorted((-1 if d is None else d, least.get(root[k], -1)) for k, (d, *_) in enumerate(rows))
+    kept = near_copies.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({(least[root[k]], rows[min((m for m in range(len(rows)) if root[m] == root[k] and rows[m][0] == least[root[k]]), key=lambda m: m)][1]) for k in range(len(rows))})
+    assert near_copies.deduplicated(docs.limit(0)).count() == 0 and near_copies.classes(docs.limit(0)).count() == 0
+
+
 def test_vptree_finds_all_links():
     import numpy as np
 

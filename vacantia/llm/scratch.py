@@ -12,14 +12,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the setting is absent (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder; a folder of our own only where the setting is absent and driver and tasks are one machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="vacantia-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="vacantia-"))
     return named.rstrip("/")
 
 
@@ -36,3 +39,12 @@ def sized(df: DataFrame, rows: int = 50_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any case of letters, and that no name of `df` begins with."""
+    taken = [c.lower() for c in df.columns]
+    out = f"_{name}"
+    while any(c.startswith(out) for c in taken):
+        out = "_" + out
+    return out

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import written
 
-#: Fingerprints from which the tree of shards is made, at most; shards, at most; fingerprints meant for a shard.
+#: Fingerprints from which a tree of shards is made, at most; its shards, at most; fingerprints meant for a shard.
 SAMPLE, SHARDS, PER_SHARD = 65_536, 4096, 512
+#: Fingerprints beyond which a shard gets a tree of its own, shards that are split in one pass, and their samples.
+MOST, SPLIT, SUB_SAMPLE = 32_768, 256, 2048
+#: A fingerprint with more than this share of all rows is hot; there are at most its inverse of them.
+HOT = 1e-4
 
 
 def _fingerprints(width: int, seed: int, *more: str):
@@ -56,17 +60,21 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(width, seed), "doc_id bigint, fp bigint")
 
 
-def _routed(tree):
+def _routed(trees: dict):
+    """Fingerprints of each shard in `trees` through its tree: shards of a tree are numbered below their parent's."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            fp = b.column("fp").to_numpy()
-            for a in range(0, len(fp), 16_384):
-                part = fp[a : a + 16_384]
-                at, shard = tree.route(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(part[at])], ["shard", "fp"])
+            shard, fp = b.column("shard").to_numpy(), b.column("fp").to_numpy()
+            for own in np.unique(shard):
+                of = fp[shard == own]
+                for a in range(0, len(of), 16_384):
+                    part = of[a : a + 16_384]
+                    at, sub = trees[int(own)].route(part.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(sub.astype(np.int64) + int(own) * (SHARDS * 4) + 1), pa.array(part[at])], ["shard", "fp"])
 
     return run
 
@@ -85,20 +93,46 @@ def _linked(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, count: int, radius: int = 2) -> DataFrame:
-    """Links (a, b) that connect what pairs of `distinct` fingerprints (fp: long) within `radius` bits connect.
+def _tree(rows: DataFrame, most: int, shards: int, radius: int):
+    """A tree from the first `most` fingerprints of `rows` in a fixed random order."""
+    import numpy as np
 
-    A bounded sample shapes the tree; every fingerprint goes through it, and to each shard in which it may have a
-    partner. No pair within the radius is missed, whatever the sample.
-    """
     from .vptree import Tree
 
+    sample = [r.fp for r in rows.orderBy(F.xxhash64("fp"), "fp").limit(most).collect()] if shards > 1 else []
+    return Tree(np.array(sample, dtype=np.int64).view(np.uint64), shards, radius)
+
+
+def sharded(distinct: DataFrame, count: int, radius: int, most: int = MOST) -> DataFrame:
+    """shard, fp: every fingerprint in its shard, and as a guest in each shard in which it may have a partner.
+
+    One tree, from a bounded sample, makes up to `SHARDS` shards. Shards that hold more than `most` fingerprints get trees
+    of their own, and so on, until none is larger or splitting no longer makes them smaller.
+    """
     shards = max(1, min(SHARDS, count // PER_SHARD))
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, 32 * shards)).collect()] if shards > 1 else []
-    import numpy as np
+    out = distinct.select(F.lit(0).cast("long").alias("shard"), "fp").mapInArrow(_routed({0: _tree(distinct, min(SAMPLE, 32 * shards), shards, radius)}), "shard bigint, fp bigint")
+    if count <= most:
+        return out
+    out, kept = written(out, "shards"), set()
+    while True:
+        large = out.groupBy("shard").count().filter((F.col("count") > most) & ~F.col("shard").isin(*kept)).orderBy("shard").limit(SPLIT).collect()
+        if not large:
+            return out
+        trees = {r.shard: _tree(out.filter(F.col("shard") == r.shard), SUB_SAMPLE, min(SHARDS, SUB_SAMPLE // 8, max(2, r["count"] // PER_SHARD)), radius) for r in large}
+        whole = [k for k, t in trees.items() if t.shards < 2]  # dense beyond any split: compared in blocks by one task
+        kept.update(whole)
+        trees = {k: t for k, t in trees.items() if t.shards > 1}
+        if trees:
+            split = F.col("shard").isin(*trees)
+            out = written(out.filter(~split).unionByName(out.filter(split).mapInArrow(_routed(trees), "shard bigint, fp bigint")), "shards")
 
-    tree = Tree(np.array(sample, dtype=np.int64).view(np.uint64), shards, radius)
-    return distinct.mapInArrow(_routed(tree), "shard int, fp bigint").groupBy("shard").applyInArrow(_linked(radius), "a bigint, b bigint")
+
+def near_links(distinct: DataFrame, count: int, radius: int = 2) -> DataFrame:
+    """Links (a, b) that connect what pairs of `distinct` fingerprints (fp: long) within `radius` bits connect.
+
+    No pair within the radius is missed, whatever the sample that shapes the trees.
+    """
+    return sharded(distinct, count, radius).groupBy("shard").applyInArrow(_linked(radius), "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -109,34 +143,14 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) ->
     gives a row with the component's smallest id, null where the component has none. An empty table gives no rows.
     """
     fps = written(fingerprints(docs, width, seed), "fingerprints")
-    return fps.join(_named(fps, radius), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def _named(fps: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id of each fingerprint of `fps` (doc_id, fp)."""
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = written(components(near_links(distinct.select("fp"), distinct.count(), radius), "near-links"), "roots")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+    count, rows = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = written(components(near_links(distinct.select("fp"), count, radius), "near-links"), "roots")
     # Only fingerprints with partners of other fingerprints are in `roots`; the others are components of their own.
-    each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(each.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
-
-
-def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """One row of `docs` for each group of `groups`: that with the smallest doc_id, of several the one that sorts first.
-
-    Where a whole group has no id, one of its rows stays. Rows that are equal in doc_id and text count as one.
-    """
-    rows = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
-    fps = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "h").mapInArrow(_fingerprints(width, seed, "h"), "doc_id bigint, fp bigint, h bigint"), "fingerprints")
-    named = fps.join(_named(fps.select("doc_id", "fp"), radius), "fp")
-    first = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x"))
-    stay = written(first.select("x.doc_id", "x.h"), "survivors")
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    kept = docs.withColumn("_h", key).join(stay.select(F.col("h").alias("_h")).distinct(), "_h", "left_semi")
-    often = fps.join(stay.select("h").distinct(), "h", "left_semi").groupBy("h").count().filter("count > 1").select(F.col("h").alias("_h"))
-    often = written(often, "repeated-rows")
-    if often.isEmpty():
-        return kept.drop("_h")
-    once = kept.join(often, "_h", "left_semi").dropDuplicates(["_h"])
-    return kept.join(often, "_h", "left_anti").unionByName(once).drop("_h")
+    each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(each.join(least, "root").select("fp", "n", "component_id"), "components")
+    hot = F.broadcast(named.filter(F.col("n") > rows * HOT).select("fp", "component_id"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= rows * HOT).select("fp", "component_id"), "fp")
+    out = rest.unionByName(fps.join(hot, "fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
