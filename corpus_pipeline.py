@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import mixing, quality_classifier, quality_rules, simhash, spm_codec
+from vacantia.llm import mixing, near_copies, quality_classifier, quality_rules, spm_codec
 from vacantia.llm.scratch import written
 
 
@@ -23,8 +23,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity from 0.8), the one with the smallest id."""
+    return near_copies.deduplicated(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
