@@ -359,9 +359,11 @@ def test_attention_gradients():
 
 def test_warc(spark):
     big, other = "x" * 1500, "é" * 600
-    rows = [(1, "http://A.example.com/p?q=1", big, 0), (2, "https://b.example.com", big, 0), (3, None, None, 0), (4, "no url", "small", 0), (5, "http://c/\n\tz\\n", other, 0), (6, "http://A.example.com/p?q=1", other, 0), (6, "http://A.example.com/p?q=1", other, 0), (None, "http://d/", big, 0), (7, "x://[::1]:80/a#b", "", 0)]
+    rows = [(1, "http://A.example.com/p?q=1", big, 0), (2, "https://b.example.com", big, 0), (3, None, None, 0), (4, "no url", "small", 0), (5, "http://c/\n\tz\\n", other, 0), (6, "http://A.example.com/p?q=1", other, 0), (6, "http://A.example.com/p?q=1", other, 0), (None, "http://d/", big, 0), (7, "x://[::1]:80/a#b", "", 0), (8, "http://c/\0n\\0", "nul", 0), (9, " http://d\r\n ", "breaks", 0), (10, "", "empty", 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int")
-    got = sorted(((r.page_id or -1), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_index.archived(pages).collect())
+    back = warc_index.archived(pages).collect()
+    assert sorted((str(r.page_id), str(r.url)) for r in back) == sorted((str(i), str(u)) for i, u, *_ in rows)
+    got = sorted(((r.page_id or -1), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back)
     want = []
     for i, _, h, _ in rows:
         raw = (h or "").encode()
@@ -376,9 +378,9 @@ def test_warc(spark):
 def test_index_by_ranges(spark, monkeypatch):
     rows = [(i, f"http://h{i % 7}.example.com/{i % 11}", "p" * (i % 50)) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    archives = warc_index.write_archives(pages)
-    blocks = warc_index.capture_index(archives, 16)
-    wanted = archives.select(F.inline("captures")).select("key", "page_id")
+    folder, captures = warc_index.write_archives(pages)
+    blocks = warc_index.capture_index(captures, 16)
+    wanted = captures.select("key", "page_id")
     small = sorted(map(tuple, warc_index.look_up(wanted, blocks).collect()))
     monkeypatch.setattr(warc_index, "DIRECTORY", 5)
     monkeypatch.setattr(warc_index, "STRIDE", 1)
@@ -386,6 +388,35 @@ def test_index_by_ranges(spark, monkeypatch):
     assert sorted(map(tuple, warc_index.look_up(wanted, blocks).collect())) == small
 
 
+def test_archives_are_files_of_whole_records(spark, monkeypatch):
+    import gzip
+
+    from vacantia.llm import scratch
+
+    pages = spark.createDataFrame([(i % 40, f"http://h/{i % 40}", "p" * 1200 if i % 3 else f"own {i}") for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc_index, "ARCHIVE_BYTES", 4000)
+    folder, captures = warc_index.write_archives(pages)
+    system, path = scratch.opened(folder)
+    names = {r.archive for r in captures.collect()}
+    raw = {n: gzip.decompress(system.open_input_file(f"{path}/{n}").read()) for n in names}
+    assert sum(x.count(b"WARC-Type: warcinfo") for x in raw.values()) == len(names)
+    assert all(x.count(b"WARC/1.1\r\n") == x.count(b"WARC-Date: 2") for x in raw.values())
+    records = warc_index.read_ranges(folder, captures).collect()
+    assert len(records) == 60 == len({r.record_id for r in records})
+    assert warc_index.read_ranges(folder, captures.filter("page_id = 7")).count() == captures.filter("page_id = 7").count()
+
+
+def test_join_with_hot_keys(spark, monkeypatch):
+    from vacantia.llm import scratch
+
+    rows = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)], "k long, v long")
+    table = spark.createDataFrame([(k, f"x{k}", 30 if k < 3 else 1) for k in [0, 1, 2, *range(90, 110)]], "k long, x string, n long")
+    want = sorted((r.k, r.v, str(r.x)) for r in scratch.joined(rows, table, ["k"], "left", 120).collect())
+    monkeypatch.setattr(scratch, "SMALL", 5)
+    monkeypatch.setattr(scratch, "HOT", 0.1)
+    assert sorted((r.k, r.v, str(r.x)) for r in scratch.joined(rows, table, ["k"], "left", 120).collect()) == want and len(want) == 120
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://EXAMPLE.com/en/7?x", "http://a.example.com/en/1", "http://xexample.net/de/8", "http://example.net/de/8/", "http://q.org/es/", "http://q.org?es/", "ftp://org/es/x#y"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, verdict string")

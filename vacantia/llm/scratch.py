@@ -48,3 +48,32 @@ def free_name(df: DataFrame, name: str) -> str:
     while any(c.startswith(out) for c in taken):
         out = "_" + out
     return out
+
+
+#: Rows up to which a table of keys is broadcast whole; a key with more than this share of all rows is hot.
+SMALL, HOT = 50_000, 1e-4
+
+
+def joined(rows: DataFrame, table: DataFrame, on: list[str], how: str, total: int) -> DataFrame:
+    """`rows` with `table`, which has one row per key and in `n` how many of the `total` rows have it.
+
+    A small table is broadcast. Of a large one the hot keys are, of which there are at most 1 / HOT; the others are
+    joined by shuffling, where no key is hot.
+    """
+    from pyspark.sql import functions as F
+
+    if table.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(table.drop("n")), on, how)
+    hot = F.broadcast(table.filter(F.col("n") > total * HOT).drop("n"))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(table.filter(F.col("n") <= total * HOT).drop("n"), on, how)
+    return rest.unionByName(rows.join(hot, on))
+
+
+def opened(folder: str):
+    """The file system of a folder's URI and the folder's path there; `file:` with any number of slashes is local."""
+    from pyarrow import fs
+
+    if folder.startswith("file:") or "://" not in folder:
+        path = folder.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + path.lstrip("/")
+    return fs.FileSystem.from_uri(folder)

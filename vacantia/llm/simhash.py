@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import written
+from .scratch import joined, written
 
 #: Fingerprints from which a tree of shards is made, at most; its shards, at most; fingerprints meant for a shard.
 SAMPLE, SHARDS, PER_SHARD = 65_536, 4096, 512
 #: Fingerprints beyond which a shard gets a tree of its own, shards that are split in one pass, and their samples.
 MOST, SPLIT, SUB_SAMPLE = 32_768, 256, 2048
-#: A fingerprint with more than this share of all rows is hot; there are at most its inverse of them.
-HOT = 1e-4
 
 
 def _fingerprints(width: int, seed: int, *more: str):
@@ -150,7 +148,5 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) ->
     each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = each.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(each.join(least, "root").select("fp", "n", "component_id"), "components")
-    hot = F.broadcast(named.filter(F.col("n") > rows * HOT).select("fp", "component_id"))
-    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") <= rows * HOT).select("fp", "component_id"), "fp")
-    out = rest.unionByName(fps.join(hot, "fp"))
+    out = joined(fps, named, ["fp"], "inner", rows)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

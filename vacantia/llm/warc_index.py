@@ -2,69 +2,91 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import sized, written
+from .scratch import joined, opened, shared_dir, written
 
 #: Compressed bytes of an archive and captures of an index block, about; payload bytes from which repeats are revisits.
-ARCHIVE_BYTES, BLOCK_LINES, LEAST_PAYLOAD = 2 << 20, 1024, 1000
+ARCHIVE_BYTES, BLOCK_LINES, LEAST_PAYLOAD = 64 << 20, 1024, 1000
+#: Neighbouring records that are read at once, in bytes.
+READ_BYTES = 1 << 20
 #: Directory entries that are broadcast; beyond, blocks are joined by as many ranges as DIRECTORY over STRIDE.
 DIRECTORY, STRIDE = 50_000, 16
 
-_CAPTURE = "struct<key:string,page_id:bigint,offset:bigint,length:bigint>"
-
+CAPTURES = "archive string, key string, page_id bigint, offset bigint, length bigint"
 
-def _write(batches):
-    import hashlib
-    import uuid
 
-    import pyarrow as pa
+def _write(folder: str):
+    """Records into .warc.gz files of `folder`; what is passed on are their captures, never the bytes."""
 
-    from . import texts, warc
+    def run(batches):
+        import hashlib
+        import uuid
 
-    kind = pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]))
+        import pyarrow as pa
 
-    def out(name, data, captures):
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bytes(data)], pa.binary()), pa.array([captures], kind)], ["archive", "data", "captures"])
+        from . import texts, warc
+        from .scratch import opened
+
+        system, path = opened(folder)
+        names = [x.split()[0] for x in CAPTURES.split(", ")]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        name, out, at, n = None, None, 0, 0
+        for s in texts.slices(batches, "html"):
+            found = []
+            for page_id, url, html, digest, refers, refers_url in zip(*(s.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "refers_url")), strict=True):
+                if out is None:
+                    name, date = f"pages-{uuid.uuid4().hex}.warc.gz", warc.now()
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
+                    head = warc.info(name, date)
+                    out.write(head)
+                    at, n = len(head), 0
+                payload, n = (html or "").encode(), n + 1
+                member = warc.page(name, n, date, page_id, url, payload, digest or hashlib.sha1(payload).hexdigest(), refers, refers_url)
+                out.write(member)
+                found.append((name, warc.surt(url), page_id, at, len(member)))
+                at += len(member)
+                if at >= ARCHIVE_BYTES:
+                    out.close()
+                    out = None
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
+        if out is not None:
+            out.close()
 
-    name, data, captures = None, bytearray(), []
-    for s in texts.slices(batches, "html"):
-        for page_id, url, html, digest, refers in zip(*(s.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-            if name is None:
-                name = f"pages-{uuid.uuid4().hex}.warc.gz"
-                data += warc.info(name)
-            payload = (html or "").encode()
-            member = warc.page(page_id, url, payload, digest or hashlib.sha1(payload).hexdigest(), refers)
-            captures.append({"key": warc.surt(url), "page_id": page_id, "offset": len(data), "length": len(member)})
-            data += member
-            if len(data) >= ARCHIVE_BYTES:
-                yield out(name, data, captures)
-                name, data, captures = None, bytearray(), []
-    if captures:
-        yield out(name, data, captures)
+    return run
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
-    """archive, data (the bytes of a .warc.gz) and its captures (key, page_id, byte range), in the shared folder.
+def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
+    """The folder with the .warc.gz files, and the captures in them: archive, key, page_id, offset, length.
 
-    Of equal payloads of at least 1000 bytes the one with the largest page_id is a response, the others revisit it.
+    The folder is a new one in the shared folder unless given, as a URI that driver and executors can open. Of equal
+    payloads of at least 1000 bytes the one with the largest page_id is a response, the others revisit it. A task that is
+    run again writes files of new names; only those of the run that Spark kept have captures.
     """
+    if folder is None:
+        folder = f"{shared_dir(pages.sparkSession)}/vacantia/archives-{uuid.uuid4().hex}"
+    system, path = opened(folder)
+    system.create_dir(path, recursive=True)
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("_size"))
-    large = rows.filter(F.col("_size") >= LEAST_PAYLOAD)
-    last = large.groupBy("digest", "_size").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    last = sized(written(last, "repeated-payloads"))
-    rows = rows.join(last, ["digest", "_size"], "left")
-    rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last")))
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to")
-    return written(rows.mapInArrow(_write, f"archive string, data binary, captures array<{_CAPTURE}>"), "archives")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(raw).alias("digest"), F.octet_length(raw).alias("size"))
+    newest = F.max_by(F.struct(F.col("page_id").alias("last"), F.col("url").alias("last_url")), F.struct("page_id", "url")).alias("x")
+    sums = rows.filter(F.col("size") >= LEAST_PAYLOAD).groupBy("digest", "size").agg(newest, F.count("*").alias("n"))
+    last = written(sums.filter("n > 1").select("digest", "size", "x.*", "n"), "repeated-payloads")
+    total = last.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = joined(rows, last, ["digest", "size"], "left", total)
+    revisit = ~F.col("page_id").eqNullSafe(F.col("last"))
+    rows = rows.select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("last_url")).alias("refers_url"))
+    return folder, written(rows.mapInArrow(_write(folder), CAPTURES), "captures")
 
 
 def _blocks(most: int):
     """Sorted captures as compressed blocks of `most` lines, each with its first and last capture."""
 
     def run(batches):
+        import json
         import uuid
         import zlib
 
@@ -73,7 +95,7 @@ def _blocks(most: int):
         lines: list[tuple] = []
 
         def out(part):
-            text = "\n".join("\t".join((k.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n"), "" if p is None else str(p), a, str(o), str(n))) for k, p, a, o, n in part)
+            text = "\n".join(json.dumps(line) for line in part)
             ends = [pa.array([x[i]], t) for x in (part[0], part[-1]) for i, t in ((0, pa.string()), (1, pa.int64()))]
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *ends, pa.array([zlib.compress(text.encode(), 6)], pa.binary())], ["block", "first_key", "first_id", "last_key", "last_id", "data"])
 
@@ -88,9 +110,9 @@ def _blocks(most: int):
     return run
 
 
-def capture_index(archives: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
+def capture_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """Index blocks: captures in the order of (key, page_id), compressed, with the first and last of each block."""
-    captures = archives.select("archive", F.inline("captures")).select(F.coalesce("key", F.lit("")).alias("key"), "page_id", "archive", "offset", "length")
+    captures = captures.select(F.coalesce("key", F.lit("")).alias("key"), "page_id", "archive", "offset", "length")
     ordered = captures.repartitionByRange("key", "page_id", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
     return written(ordered.mapInArrow(_blocks(lines), "block string, first_key string, first_id bigint, last_key string, last_id bigint, data binary"), "index-blocks")
 
@@ -125,6 +147,7 @@ def _find(directory: list[tuple]):
 def _in_blocks(batches):
     """The captures of the wanted keys of each block, by binary search in its lines."""
     import bisect
+    import json
     import zlib
 
     import pyarrow as pa
@@ -133,19 +156,15 @@ def _in_blocks(batches):
     for b in batches:
         rows = []
         for data, wanted in zip(b.column("data").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            lines = [x.split("\t") for x in zlib.decompress(data).decode().split("\n")]
-            order = [_order(_plain(x[0]), int(x[1]) if x[1] else None) for x in lines]
+            lines = [json.loads(x) for x in zlib.decompress(data).split(b"\n")]
+            order = [_order(x[0], x[1]) for x in lines]
             for w in wanted:
                 want = _order(w["key"], w["page_id"])
                 for i in range(bisect.bisect_left(order, want), bisect.bisect_right(order, want)):
-                    rows.append((lines[i][2], int(lines[i][3]), int(lines[i][4])))
+                    rows.append(tuple(lines[i][2:]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), kinds, strict=True)], ["archive", "offset", "length"])
 
 
-def _plain(key: str) -> str:
-    return key.replace("\\\\", "\0").replace("\\t", "\t").replace("\\n", "\n").replace("\0", "\\")
-
-
 def look_up(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     """archive, offset, length of every capture of the `wanted` (key, page_id), which are made distinct first."""
     wanted = wanted.select(F.coalesce("key", F.lit("")).alias("key"), F.col("page_id").cast("long").alias("page_id")).distinct()
@@ -193,24 +212,39 @@ def _by_range(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     return left.join(near, "part").filter(low & high).select("key", "page_id", "block")
 
 
-def _read(batches):
-    import pyarrow as pa
+def _read(folder: str):
+    """The records at the ranges of each archive: the file is opened, each run of neighbouring records is sought and read."""
 
-    from . import warc
+    def run(batches):
+        import pyarrow as pa
 
-    fields = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()))
-    for b in batches:
-        for data, ranges in zip(b.column("data"), b.column("ranges").to_pylist(), strict=True):
-            view = memoryview(data.as_buffer())
-            got = [warc.read(view[r["offset"] : r["offset"] + r["length"]]) for r in ranges]
-            yield pa.RecordBatch.from_arrays([pa.array([g[f] for g in got], t) for f, t in fields], [f for f, _ in fields])
+        from . import warc
+        from .scratch import opened
+
+        system, path = opened(folder)
+        fields = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("date", pa.string()))
+        for b in batches:
+            for name, ranges in zip(b.column("archive").to_pylist(), b.column("ranges").to_pylist(), strict=True):
+                ranges = sorted((r["offset"], r["length"]) for r in ranges)
+                with system.open_input_file(f"{path}/{name}") as f:
+                    i = 0
+                    while i < len(ranges):
+                        j, end = i + 1, ranges[i][0] + ranges[i][1]
+                        while j < len(ranges) and ranges[j][0] <= end and end - ranges[i][0] < READ_BYTES:
+                            end, j = max(end, ranges[j][0] + ranges[j][1]), j + 1
+                        f.seek(ranges[i][0])
+                        data = memoryview(f.read(end - ranges[i][0]))
+                        got = [warc.read(data[o - ranges[i][0] : o - ranges[i][0] + n]) for o, n in ranges[i:j]]
+                        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in fields], [k for k, _ in fields])
+                        i = j
+
+    return run
 
 
-def read_ranges(archives: DataFrame, captures: DataFrame) -> DataFrame:
-    """The records at `captures` (archive, offset, length): page_id, url, payload_bytes, payload_digest, type, refers_to."""
+def read_ranges(folder: str, captures: DataFrame) -> DataFrame:
+    """The records at `captures` (archive, offset, length): page_id, url, payload_bytes, payload_digest, type, refers_to, record_id, date."""
     each = captures.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    found = archives.select("archive", "data").join(each, "archive").select("data", "ranges")
-    return found.mapInArrow(_read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, type string, refers_to bigint")
+    return each.mapInArrow(_read(folder), "page_id bigint, url string, payload_bytes bigint, payload_digest string, type string, refers_to bigint, record_id string, date string")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -221,9 +255,8 @@ def archived(pages: DataFrame) -> DataFrame:
     row; equal payloads under the largest page_id are all responses. A null id counts as below all others. An empty
     table gives no rows.
     """
-    archives = write_archives(pages)
-    wanted = archives.select(F.inline("captures")).select("key", "page_id")
-    records = read_ranges(archives, look_up(wanted, capture_index(archives)))
+    folder, captures = write_archives(pages)
+    records = read_ranges(folder, look_up(captures.select("key", "page_id"), capture_index(captures)))
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "url")
 
 
