@@ -35,28 +35,37 @@ def _shares(nodes: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
     out = out.withColumn("_full", (F.col("weight") > 0) & (needs <= F.col("given")))
     left = F.col("given") - F.sum(F.when(F.col("_full"), F.col("capacity")).otherwise(0)).over(all_)
     open_ = F.sum(F.when(~F.col("_full"), F.col("weight")).otherwise(0)).over(all_)
-    share = F.floor(F.try_divide(left.cast("double") * F.col("weight"), open_)).cast("long")
+    out = out.withColumns({"_left": left, "_exact": F.when(~F.col("_full") & (F.col("weight") > 0), F.try_divide(left.cast("double") * F.col("weight"), open_))})
+    out = out.withColumn("_share", F.floor("_exact").cast("long"))
+    # What flooring leaves over goes to the largest remainders.
+    spare = F.col("_left") - F.sum("_share").over(all_)
+    place = F.row_number().over(Window.partitionBy(*parent).orderBy((F.col("_exact") - F.col("_share")).desc_nulls_last(), *order))
+    out = out.withColumns({"_spare": spare, "_place": place})
+    share = F.col("_share") + F.when(F.col("_place") <= F.col("_spare"), 1).otherwise(0)
     budget = F.when(F.col("_full"), F.col("capacity")).when(F.col("weight") > 0, F.least("capacity", share)).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("budget", budget).drop("_held", "_rest", "_full")
+    return out.withColumn("budget", budget).drop("_held", "_rest", "_full", "_left", "_exact", "_share", "_spare", "_place")
 
 
 def budgets(leaves: DataFrame, total: Column) -> DataFrame:
     """`leaves` (domain, lang, source, tokens, weight, capacity) with the token `budget` of each, at most its capacity.
 
-    A leaf's weight is a whole number; an inner node's is the sum of its leaves'. One window per level over the tree's
-    nodes, which are few against the documents.
+    A leaf's weight is a whole number; an inner node's is the one given in domain_weight or lang_weight, where those columns
+    are there and not null, else the sum of its leaves'. One window per level over the tree's nodes, which are few against
+    the documents.
     """
-    d = leaves.groupBy("domain").agg(F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity"))
+    given = lambda c: F.coalesce(F.max(c), F.sum("weight")) if c in leaves.columns else F.sum("weight")
+    d = leaves.groupBy("domain").agg(given("domain_weight").alias("weight"), F.sum("capacity").alias("capacity"))
     d = _shares(d.withColumn("given", total.cast("long")), [], ["domain"]).select("domain", F.col("budget").alias("given"))
-    l = leaves.groupBy("domain", "lang").agg(F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity")).join(d, "domain")
+    l = leaves.groupBy("domain", "lang").agg(given("lang_weight").alias("weight"), F.sum("capacity").alias("capacity")).join(d, "domain")
     l = _shares(l, ["domain"], ["lang"]).select("domain", "lang", F.col("budget").alias("given"))
     return _shares(leaves.join(l, ["domain", "lang"]), ["domain", "lang"], ["source"]).drop("given")
 
 
-def keyed(docs: DataFrame, domain: Column) -> DataFrame:
-    """`docs` with `_leaf` (domain, lang, source; null: empty name) and `_n` tokens."""
+def keyed(docs: DataFrame, domain: Column, *more: Column) -> DataFrame:
+    """doc_id, `_leaf` (domain, lang, source; null: empty name), `_n` tokens and the digest `_text` of each row of `docs`, and `more`."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return docs.withColumns({"_leaf": F.struct(F.coalesce(domain, F.lit("")).alias("domain"), name("lang").alias("lang"), name("source").alias("source")), "_n": n_tokens(F.col("text"))})
+    leaf = F.struct(F.coalesce(domain, F.lit("")).alias("domain"), name("lang").alias("lang"), name("source").alias("source"))
+    return docs.select(F.col("doc_id").alias("doc_id"), leaf.alias("_leaf"), n_tokens(F.col("text")).alias("_n"), _digest().alias("_text"), *more)
 
 
 def domain_of_source(groups: int = 4) -> Column:
@@ -68,16 +77,21 @@ def domain_of_source(groups: int = 4) -> Column:
 def leaf_plan(rows: DataFrame, share: float, epochs: int, power: float, weights: DataFrame | None = None) -> DataFrame:
     """Each leaf's tokens, weight, capacity and budget. rows: `_leaf`, `_n`.
 
-    Weights: a table domain, lang, source, weight (whole numbers; leaves that it lacks get 0), or the leaf's tokens to
-    the `power`, rounded. The total is `share` of all tokens; a leaf can give its tokens `epochs` times.
+    Weights: a table domain, lang, source, weight (whole numbers), or the leaf's tokens to the `power`, rounded. A row of the
+    table without source weighs a language of its domain against the others, one without lang and source a domain. Leaves
+    that the table lacks get 0, but below a weighed language or domain they get their default. The total is `share` of all
+    tokens; a leaf can give its tokens `epochs` times.
     """
     sums = rows.groupBy("_leaf").agg(F.sum("_n").alias("tokens"), F.count("*").alias("docs")).select("_leaf.*", "tokens", "docs")
-    if weights is None:
-        flat = F.sqrt(F.col("tokens").cast("double")) if power == 0.5 else F.pow(F.col("tokens").cast("double"), F.lit(power))
-        leaves = sums.withColumn("weight", F.round(flat * 1000).cast("long"))
-    else:
-        own = weights.groupBy(*LEVELS).agg(F.sum(F.col("weight").cast("long")).alias("weight"))
-        leaves = sums.join(own, list(LEVELS), "left").na.fill(0, ["weight"])
+    flat = F.sqrt(F.col("tokens").cast("double")) if power == 0.5 else F.pow(F.col("tokens").cast("double"), F.lit(power))
+    leaves = sums.withColumn("weight", F.round(flat * 1000).cast("long"))
+    if weights is not None:
+        own = lambda keys, name: weights.filter(" AND ".join(f"{c} IS {'NOT ' if c in keys else ''}NULL" for c in LEVELS)).groupBy(*keys).agg(F.sum(F.col("weight").cast("long")).alias(name))
+        leaves = leaves.withColumnRenamed("weight", "_default")
+        for k, name in ((1, "domain_weight"), (2, "lang_weight"), (3, "weight")):
+            leaves = leaves.join(own(LEVELS[:k], name), list(LEVELS[:k]), "left")
+        above = F.col("domain_weight").isNotNull() | F.col("lang_weight").isNotNull()
+        leaves = leaves.withColumn("weight", F.coalesce("weight", F.when(above, F.col("_default")).otherwise(0))).drop("_default")
     leaves = written(leaves.withColumn("capacity", F.col("tokens") * epochs), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     plan = budgets(leaves, F.lit(int(total * share)))
@@ -115,20 +129,20 @@ def _digest() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
-def _copies(rows: DataFrame, text: Column, slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """`rows` (with `_leaf`) with `_budget` and `_copies`."""
+def _copies(rows: DataFrame, slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """`rows` (as `keyed`) with `_budget` and `_copies`."""
     small = sized(plan.select(F.struct(*LEVELS).alias("_leaf"), F.col("full_epochs").alias("_full"), F.col("rest").alias("_rest"), F.col("budget").alias("_budget")))
     order = slim.join(small, "_leaf").filter("_rest > 0").select("_leaf", "_n", _placed(F.col("_text"), seed).alias("_key"))
     stop = written(_prefix(order, plan).select(F.struct(*LEVELS).alias("_leaf"), F.col("stop").alias("_stop")), "prefix-ends")
     out = rows.join(small, "_leaf").join(sized(stop), "_leaf", "left")
-    extra = (F.col("_rest") > 0) & (_placed(text, seed) < F.col("_stop"))
+    extra = (F.col("_rest") > 0) & (_placed(F.col("_text"), seed) < F.col("_stop"))
     return out.withColumn("_copies", (F.col("_full") + F.coalesce(extra, F.lit(False)).cast("int")).cast("int"))
 
 
 def _mix(docs: DataFrame, share: float, epochs: int, power: float, seed: int, weights: DataFrame | None, domain: Column | None):
-    rows = keyed(docs, domain_of_source() if domain is None else domain)
-    slim = written(rows.select("doc_id", "_leaf", "_n", _digest().alias("_text")), "leaf-rows")
-    return rows, slim, leaf_plan(slim, share, epochs, power, weights)
+    domain = domain_of_source() if domain is None else domain
+    slim = written(keyed(docs, domain), "leaf-rows")
+    return domain, slim, leaf_plan(slim, share, epochs, power, weights)
 
 
 def mix_table(docs: DataFrame, share: float = 0.9, epochs: int = 4, power: float = 0.5, seed: int = 11, weights: DataFrame | None = None, domain: Column | None = None) -> DataFrame:
@@ -141,17 +155,18 @@ def mix_table(docs: DataFrame, share: float = 0.9, epochs: int = 4, power: float
     row gives a row, also with copies 0; an empty table gives no rows.
     """
     _, slim, plan = _mix(docs, share, epochs, power, seed, weights, domain)
-    out = _copies(slim, F.col("_text"), slim, plan, seed)
+    out = _copies(slim, slim, plan, seed)
     return out.select("doc_id", "_leaf.*", F.col("_n").alias("n_tokens"), F.col("_budget").alias("budget"), F.col("_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, share: float = 0.95, epochs: int = 1, power: float = 0.5, seed: int = 11, weights: DataFrame | None = None, domain: Column | None = None) -> DataFrame:
     """The rows of `docs`, with its own columns, as often as the mix takes them; see `mix_table`."""
-    rows, slim, plan = _mix(docs, share, epochs, power, seed, weights, domain)
-    out = _copies(rows, _digest(), slim, plan, seed).filter("_copies > 0")
+    domain, slim, plan = _mix(docs, share, epochs, power, seed, weights, domain)
+    rows = keyed(docs, domain, F.struct(*docs.columns).alias("row"))
+    out = _copies(rows, slim, plan, seed).filter("_copies > 0")
     if epochs > 1:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    return out.select("row.*")
 
 
 ORACLE = r"""
@@ -165,8 +180,11 @@ d0 AS (SELECT domain, sum(weight) AS weight, sum(capacity) AS capacity, (SELECT
     f"""{n}1 AS (SELECT *, coalesce(sum(capacity) OVER p, 0) AS held, sum(weight) OVER (PARTITION BY {part}) - coalesce(sum(weight) OVER p, 0) AS rest FROM {n}0
   WINDOW p AS (PARTITION BY {part} ORDER BY weight <= 0, CAST(capacity AS DOUBLE) / nullif(weight, 0), {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {n}2 AS (SELECT *, coalesce(weight > 0 AND held + CAST(capacity AS DOUBLE) * rest / nullif(weight, 0) <= given, false) AS is_full FROM {n}1),
-{n} AS (SELECT * EXCLUDE (given), CASE WHEN is_full THEN capacity WHEN weight > 0 THEN least(capacity, floor(CAST(given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY {part}) AS DOUBLE) * weight
-  / nullif(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {part}), 0))) ELSE 0 END AS budget FROM {n}2),
+{n}3 AS (SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER (PARTITION BY {part}) AS remaining,
+  sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {part}) AS open_weight FROM {n}2),
+{n}4 AS (SELECT *, CASE WHEN NOT is_full AND weight > 0 THEN CAST(remaining AS DOUBLE) * weight / nullif(open_weight, 0) END AS exact FROM {n}3),
+{n}5 AS (SELECT *, remaining - sum(floor(exact)) OVER (PARTITION BY {part}) AS spare, row_number() OVER (PARTITION BY {part} ORDER BY exact - floor(exact) DESC NULLS LAST, {own}) AS place FROM {n}4),
+{n} AS (SELECT * EXCLUDE (given), CASE WHEN is_full THEN capacity WHEN weight > 0 THEN least(capacity, floor(exact) + CASE WHEN place <= spare THEN 1 ELSE 0 END) ELSE 0 END AS budget FROM {n}5),
 {after}"""
     for n, part, own, after in (
         ("d", "1", "domain", "l0 AS (SELECT leaf.domain, leaf.lang, sum(leaf.weight) AS weight, sum(leaf.capacity) AS capacity, min(d.budget) AS given FROM leaf JOIN d ON leaf.domain = d.domain GROUP BY leaf.domain, leaf.lang),\n"),
