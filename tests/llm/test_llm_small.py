@@ -436,6 +436,77 @@ def test_mined_url_rules(spark):
     assert all((got[i] == "block") == (i % 3 == 0) for i in range(300))
 
 
+def test_mined_rules_by_brute_force(spark):
+    """Every combination of tokens that isn't implied by a part of it, with its exact confidence and support."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        tokens = sorted(t for t, p in zip("abcdef", (0.5, 0.4, 0.3, 0.6, 0.2, 0.1)) if rng.random() < p) + ["z"]
+        bad = ("a" in tokens and "b" in tokens) or ("e" in tokens and rng.random() < 0.7) or rng.random() < 0.1
+        rows.append((i, tokens, int(bad)))
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, _, b in rows], "doc_id long, quality int, toxic int")
+    got = url_rules.mined(spark.createDataFrame([r[:2] for r in rows], "page_id long, tokens array<string>"), labels, 0.01, 0.5, 5).collect()
+    want, n = {}, len(rows)
+    for k in range(1, 7):
+        for part in itertools.combinations("abcdef", k):
+            of = [b for _, t, b in rows if set(part) <= set(t)]
+            if sum(of) >= max(5, 0.01 * n) and sum(of) / len(of) >= 0.5:
+                want[part] = sum(of) / len(of)
+    kept = {p: c for p, c in want.items() if not any(set(q) < set(p) and want[q] >= c for q in want)}
+    assert {tuple(r.antecedent): round(r.confidence, 9) for r in got} == {p: round(c, 9) for p, c in kept.items()} and len(kept) > 2
+
+
+def test_url_token_sets_dont_run_into_each_other(spark):
+    """Paths with blanks once gave the key of another set of tokens; repeated rows and null ids each give a row."""
+    rows = [(i, f"http://h.example/{'bad/' if i % 2 else 'good/'}x{i % 5}") for i in range(200)]
+    pages = spark.createDataFrame(rows + [(900, "http://h.example/a p:bad/"), (901, "http://h.example/a/bad/"), (901, "http://h.example/a/bad/"), (None, "http://h.example/bad/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = sorted((-1 if r.page_id is None else r.page_id, r.verdict) for r in url_rules.judge(pages, labels, rules=()).collect() if r.page_id is None or r.page_id >= 900)
+    assert got == [(-1, "block"), (900, "allow"), (901, "block"), (901, "block")]
+    assert url_rules.judge(pages.limit(0), labels.limit(0)).count() == 0
+
+
+def test_long_urls_are_mined_whole(spark):
+    """Forty tokens that always stand together are one; a rule of more than three tokens is found."""
+    tail = "/".join(f"w{k}" for k in range(40))
+    rows = [(i, "http://h.example/" + "/".join(t for k, t in enumerate("abcd") if i >> k & 1) + ("/" + tail if i % 3 == 0 else "/q")) for i in range(480)]
+    labels = spark.createDataFrame([(i, int(i & 15 != 15), 0) for i in range(480)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=(), confidence=0.9).collect()}
+    assert all((got[i] == "block") == (i & 15 == 15) for i in range(480))
+
+
+CLASHING = ["_lang", "_source", "_w", "_h", "_m", "_q", "_base", "_lines", "row", "_leaf", "_n", "_copies", "_budget", "_text", "_full", "_rest", "_key", "key", "h", "fp", "n", "root", "__key"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = "some words of a plain text that go on for a while and differ in each row of the table "
+    rows = [(i, text + " ".join(f"n{i}x{k}" for k in range(60)), "en", "src1", *(f"{c}{i}" for c in CLASHING)) for i in range(30)] + [(None, None, None, None, *CLASHING)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    stages = {
+        "rules": quality_rules.kept_documents(docs), "copies": near_copies.deduplicated(docs), "mix": mixing.mixed_documents(docs, share=1.0), "classifier": quality_classifier.accepted(docs, labels),
+    }
+    for name, out in stages.items():
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) >= 25, name
+        assert all(r[c] == (f"{c}{r.doc_id}" if r.doc_id is not None else c) for r in got for c in CLASHING), name
+    assert [quality_rules.kept_documents(docs.limit(0)).count(), mixing.mixed_documents(docs.limit(0)).count(), quality_classifier.accepted(docs.limit(0), labels.limit(0)).count()] == [0, 0, 0]
+
+
+def test_weights_at_every_level_and_largest_remainders(spark):
+    rows = [(i, "w " * 10, lang, src) for i, (lang, src) in enumerate([("en", "src1"), ("en", "src2"), ("de", "src1"), ("en", "src3")] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    domain = F.when(F.col("source") == "src3", "b").otherwise("a")
+    weights = spark.createDataFrame([("a", None, None, 3), ("b", None, None, 1), ("a", "en", None, 1), ("a", "de", None, 1), ("a", "en", "src1", 1), ("a", "en", "src2", 2)], "domain string, lang string, source string, weight long")
+    got = mixing.mix_table(docs, share=0.5, epochs=2, weights=weights, domain=domain).select("domain", "lang", "source", "budget").distinct().collect()
+    assert {(r.domain, r.lang, r.source): r.budget for r in got} == {("a", "en", "src1"): 75, ("a", "en", "src2"): 150, ("a", "de", "src1"): 225, ("b", "en", "src3"): 150}
+    leaves = spark.createDataFrame([("a", "en", f"s{k}", 1000, 1, 1000) for k in range(7)], "domain string, lang string, source string, tokens long, weight long, capacity long")
+    assert sorted(r.budget for r in mixing.budgets(leaves, F.lit(100)).collect()) == [14] * 5 + [15] * 2
+
+
 def test_head_floor(spark):
     counts = spark.createDataFrame([(f"t{i}", 1 + i) for i in range(100)], "term string, n long")
     floor = terms.head_floor(counts, 20)

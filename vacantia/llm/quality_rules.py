@@ -117,7 +117,7 @@ def _group(df: DataFrame) -> dict[str, Column]:
     return {f"_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("") for c in ("lang", "source")}
 
 
-def thresholds(measured_rows: DataFrame) -> DataFrame:
+def thresholds(measured_rows: DataFrame, least: int = LEAST) -> DataFrame:
     """_lang, _source and for each metric its bounds `<metric>_hi`, `<metric>_lo` from rows that pass the base rules."""
     rows = measured_rows.filter(~F.col("_base")).select("_lang", "_source", "_m.*")
     sketch = rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, F.lit(SKETCH)).alias(m) for m in FENCES))
@@ -127,11 +127,11 @@ def thresholds(measured_rows: DataFrame) -> DataFrame:
     pick = lambda df, p: df.withColumnsRenamed({c: p + c for c in ("n", *FENCES)})
     both = pick(sketch, "a_").join(pick(by_lang, "b_"), "_lang", "left").crossJoin(F.broadcast(pick(sketch.agg(*merged), "c_")))
     out = {}
-    for m, (least, above, below) in FENCES.items():
-        own = F.when(F.col("a_n") >= LEAST, F.col("a_" + m)).when(F.col("b_n") >= LEAST, F.col("b_" + m)).otherwise(F.col("c_" + m))
+    for m, (narrow, above, below) in FENCES.items():
+        own = F.when(F.col("a_n") >= least, F.col("a_" + m)).when(F.col("b_n") >= least, F.col("b_" + m)).otherwise(F.col("c_" + m))
         at = F.kll_sketch_get_quantile_double(own, F.array(F.lit(0.25), F.lit(0.75)))
         q1, q3 = F.get(at, F.lit(0)), F.get(at, F.lit(1))
-        spread = F.greatest(q3 - q1, F.lit(least))
+        spread = F.greatest(q3 - q1, F.lit(narrow))
         out[m + "_hi"] = F.round(q3 + above * spread, 6)
         out[m + "_lo"] = F.round(q1 - below * spread, 6) if below is not None else F.lit(float("-inf"))
     return both.select("_lang", "_source", *(v.alias(k) for k, v in out.items()))
@@ -147,25 +147,27 @@ def _judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, ["_lang", "_source"], "left").withColumn("_kept", ~F.col("_base") & F.coalesce(inside, F.lit(True)))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the metrics.
 
     `docs` has doc_id and text, and lang and source where known; other columns aren't read. A null text is an empty
     one and fails the base rule, as any text under 50 words. Null languages and sources form a group of their own.
-    Repeated rows and ids, null ids too, each give a row. Groups under 200 rows that pass the base rules take the
-    quartiles of their language, or of all rows. An empty table gives no rows.
+    Repeated rows and ids, null ids too, each give a row. Groups under `least` rows that pass the base rules take
+    the quartiles of their language, or of all rows. Quartiles are exact up to `SKETCH` values of a group and those of a
+    sketch beyond, as the comparison SQL's exact ones then needn't be. An empty table gives no rows.
     """
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *(v.alias(k) for k, v in _group(docs).items())))
     rows = written(rows.select("doc_id", "_lang", "_source", "_q", "_m", "_base"), "measured")
-    out = _judged(rows, thresholds(rows))
+    out = _judged(rows, thresholds(rows, least))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *(F.col("_q")[c].alias(c) for c in counts), F.col("_base").alias("base_failed"), F.col("_kept").alias("kept"), *(F.col("_m")[m].alias(m) for m in FENCES))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with its own columns."""
-    rows = written(measured(docs.withColumns(_group(docs))).select(*docs.columns, "_lang", "_source", "_m", "_base"), "measured")
-    return _judged(rows, thresholds(rows)).filter("_kept").select(*docs.columns)
+def kept_documents(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of `docs` that the rules keep, with its own columns, whatever their names."""
+    rows = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), *(v.alias(k) for k, v in _group(docs).items())))
+    rows = written(rows.select("row", "_lang", "_source", "_m", "_base"), "measured")
+    return _judged(rows, thresholds(rows, least)).filter("_kept").select("row.*")
 
 
 def _oracle() -> str:
