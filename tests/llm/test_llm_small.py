@@ -51,6 +51,38 @@ def test_rebuilt_tokenizer_agrees_on_whole_texts():
             assert ids == sp.encode(t) and ("▁" in t or own.decode(ids, skip_special_tokens=False) == t)
 
 
+def test_unigram_models_with_byte_fallback(spark, tmp_path):
+    """A model whose pieces and scores are written down here, against the library's own reading of it."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    add = lambda piece, score, kind: proto.pieces.add(piece=piece, score=score, type=kind)
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(piece, 0.0, kind)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0.0, 6)
+    for k, piece in enumerate("▁ a b c t h e ▁a ▁the he th at ▁cat cat ▁b ab abc bc ▁▁".split(" ")):
+        add(piece, -1.0 - 0.37 * k, 1)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback, proto.trainer_spec.vocab_size = 1, True, len(proto.pieces)
+    proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = True, False, True
+    path = tmp_path / "unigram.model"
+    path.write_bytes(proto.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["the cat", "abc  that cab", "", "x é the", "\n", "a" * 300, "thecatthecat bcb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in spm_codec.encode(docs, str(path)).collect():
+        assert list(r.ids) == sp.encode(texts[r.doc_id]) and r.parity and r.decodes
+    back = {r.doc_id: r.text for r in spm_codec.decode(spm_codec.encode(docs, str(path)), str(path)).collect()}
+    assert back == dict(enumerate(texts))
+
+
+def test_codec_of_an_empty_table(spark, docs):
+    assert spm_codec.encode(docs.limit(0), _piece_model()).count() == 0 and token_counts.count_tokens(docs.limit(0), _piece_model()).count() == 0
+    assert matroska.media_digests(docs.limit(0)).count() == 0 and attention_lm.score(docs.limit(0), _piece_model(), sample=40).count() == 0
+    assert quality_classifier.classify(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
 def test_pretokens_join_to_the_text():
     import pyarrow as pa
 

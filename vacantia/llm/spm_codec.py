@@ -2,7 +2,8 @@
 
 The model's protobuf is read and rebuilt: normaliser (dummy prefix, space marks), pre-tokeniser, pieces with their
 scores (a unigram model as it stands; a BPE model's scores give the order of its merges), byte fallback and decoder.
-Each distinct pre-token of a slice is encoded, decoded and held against the sentencepiece library once.
+Whole texts are encoded and decoded by it in batches, and its ids are held against those of the sentencepiece library, which
+loads the model as it is.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a task keeps between slices.
-CACHED = 250_000
+#: Bytes of texts in a batch, at most; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 20
 
 
 def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
@@ -21,11 +22,10 @@ def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
     return [(a, b) for _, _, a, b in sorted(found, key=lambda x: (x[0], x[1], order[x[2]], order[x[3]]))]
 
 
-def rebuilt(path: str, texts: bool = True):
-    """A tokenizers.Tokenizer that gives the ids of the SentencePiece model at `path`.
+def rebuilt(path: str):
+    """A tokenizers.Tokenizer that gives the ids of the SentencePiece model at `path`, unigram or BPE.
 
-    texts: False for pre-tokens that spell the dummy prefix and the space marks out; they need neither normaliser nor
-    pre-tokeniser, and no cache of words, as each comes once.
+    Texts are split before runs of space marks, which changes nothing where no piece has a mark behind another character.
     """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
@@ -37,15 +37,17 @@ def rebuilt(path: str, texts: bool = True):
     fallback = bool(proto.trainer_spec.byte_fallback)
     if proto.trainer_spec.model_type == 1:
         model = models.Unigram([(p.piece, p.score) for p in proto.pieces], unk_id=vocab[unk], byte_fallback=fallback)
+    elif proto.trainer_spec.model_type == 2:
+        model = models.BPE(vocab, merges({p.piece: p.score for p in proto.pieces if p.type in (1, 4)}), unk_token=unk, fuse_unk=True, byte_fallback=fallback, cache_capacity=10_000)
     else:
-        model = models.BPE(vocab, merges({p.piece: p.score for p in proto.pieces if p.type in (1, 4)}), unk_token=unk, fuse_unk=True, byte_fallback=fallback, cache_capacity=10_000 if texts else 0)
+        raise ValueError(f"{path}: neither a unigram nor a BPE model")
     t = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.precompiled_charsmap)] if spec.precompiled_charsmap else []
     if spec.remove_extra_whitespaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    dummy = spec.add_dummy_prefix and texts
-    if texts:
-        t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
+    dummy = spec.add_dummy_prefix
+    t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
+    if not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (1, 4)):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if dummy else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
@@ -57,42 +59,26 @@ def _encode(path: str, threads: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        from array import array
-
         import numpy as np
         import pyarrow as pa
-
-        from . import pieces, texts
-
-        own, theirs = rebuilt(path, texts=False), pieces.processor(path)
-        cache: dict[str, bytes] = {}  # ids as four bytes each
-        bad: tuple[set[str], set[str]] = set(), set()  # pre-tokens that don't decode, or on which the libraries differ
-        for s in texts.slices(batches):
-            text = texts.filled(s.column("text"))
-            terms, codes, counts = pieces.pretokens(text)
-            new = [t for t in terms if t not in cache]
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                ids = [e.ids for e in own.encode_batch_fast([t.replace(" ", pieces.MARK) for t in part], add_special_tokens=False)]
-                bad[0].update(t for t, x in zip(part, own.decode_batch(ids, skip_special_tokens=False), strict=True) if t != x)
-                bad[1].update(t for t, x, y in zip(part, ids, theirs.encode(part, num_threads=1), strict=True) if x != y)
-                cache.update(zip(part, (array("i", x).tobytes() for x in ids), strict=True))
-            found = [cache[t] for t in terms]
-            if len(cache) > CACHED:  # what this slice has stays: frequent pre-tokens are in every slice
-                cache = dict(zip(terms, found, strict=True))
-            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            flat = np.frombuffer(b"".join(found), dtype=np.int32)
-            begin = np.cumsum(size) - size
-            each = size[codes] if len(codes) else np.zeros(0, np.int64)
-            at = np.repeat((begin[codes] if len(codes) else each) - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-            n = texts.sums(each, counts)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat[at]))
-            fine = [np.ones(len(counts), dtype=bool)] * 2
-            for k in (0, 1):
-                if bad[k]:
-                    fine[k] = texts.sums(np.array([t in bad[k] for t in terms], dtype=np.int64)[codes], counts) == 0
-            marked = pa.compute.match_substring(text, pieces.MARK).to_numpy(zero_copy_only=False).astype(bool)
-            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n), ids, pa.array(fine[0] & ~marked), pa.array(fine[1])], ["doc_id", "n_tokens", "ids", "decodes", "parity"])
+        import sentencepiece
+
+        from . import texts
+
+        own, theirs = rebuilt(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        for s in texts.slices(batches, target=BATCH_BYTES):
+            whole = texts.filled(s.column("text")).to_pylist()
+            full = [k for k, t in enumerate(whole) if t]
+            some = [whole[k] for k in full]
+            ids = [e.ids for e in own.encode_batch_fast(some, add_special_tokens=False)]
+            parity, decodes = np.ones(len(whole), dtype=bool), np.ones(len(whole), dtype=bool)
+            parity[full] = [x == y for x, y in zip(ids, theirs.encode(some, num_threads=threads), strict=True)]
+            decodes[full] = [x == t for x, t in zip(own.decode_batch(ids, skip_special_tokens=False), some, strict=True)]
+            n = np.zeros(len(whole), dtype=np.int64)
+            n[full] = [len(x) for x in ids]
+            flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(n.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n), lists, pa.array(decodes), pa.array(parity)], ["doc_id", "n_tokens", "ids", "decodes", "parity"])
 
     return run
 
@@ -102,8 +88,8 @@ def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
 
     `docs` has doc_id and text; other columns aren't read. A null or empty text has no ids; it decodes and agrees.
     Each row gives a row, repeated rows and null ids too. A text with a literal space mark (U+2581) is encoded as the
-    library does, as if it were a space, and so decodes is false. Only models whose texts fall apart exactly into
-    pre-tokens are taken (`pieces.splits_exactly`); for others ValueError is raised in the tasks.
+    library does, as if it were a space, and so decodes is false, as it is where the model's normaliser changes a text.
+    Unigram and BPE models are taken; for others ValueError is raised in the tasks. An empty table gives no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _encode(model, threads), "doc_id bigint, n_tokens bigint, ids array<int>, decodes boolean, parity boolean"
