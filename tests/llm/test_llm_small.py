@@ -253,12 +253,15 @@ def test_matroska(spark, docs):
     for r in matroska.media_digests(docs).collect():
         t = (TEXTS[3 if r.doc_id is None else r.doc_id] or "").encode()
         payload = t + b" " * (-len(t) % 192 if t else 192)
+        assert f"ms={len(payload) // 8};" in r.feature and f"packets={len(payload) // 192};" in r.feature
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
     media = matroska.contained(docs.filter("doc_id = 7"))
     raw = media.first().media
     packets = matroska.packet_table(media).orderBy("offset").collect()
     assert b"".join(raw[p.offset : p.offset + p.size] for p in packets) == ("word " * 3000).encode() + b" " * (-15000 % 192)
-    assert {p.lacing for p in packets} == {0, 1, 2, 3} and [p.timestamp_ns for p in packets] == sorted(p.timestamp_ns for p in packets)
+    assert {p.lacing for p in packets} == {0, 1, 2, 3} and [p.timestamp_ns // 1_000_000 for p in packets] == [24 * k for k in range(len(packets))]
+    assert {(p.duration_ns, p.codec) for p in packets} == {(24_000_000, "A_PCM/INT/LIT")}
+    assert [tuple(t) for t in matroska.track_table(media).collect()] == [(7, 1, 2, "A_PCM/INT/LIT", 24_000_000, 8000.0, 1, 8)]
     bad = matroska.packet_table(spark.createDataFrame([(1, bytearray(raw[:100])), (2, None)], "doc_id long, media binary")).collect()
     assert [b.doc_id for b in bad] == [1, 2] and all(b.error and b.track is None for b in bad)
 
@@ -273,8 +276,11 @@ def test_ebml_forms():
     group = ebml.element(ebml.BLOCK_GROUP, ebml.element(ebml.BLOCK, b"\x81\x00\x05\x00xyz") + ebml.element(ebml.REFERENCE, b"\xff"))
     cluster = bytes.fromhex("1F43B675") + b"\x01" + b"\xff" * 7 + ebml.number(ebml.TIMESTAMP, 10) + group
     data = bytes.fromhex("18538067") + b"\x01" + b"\xff" * 7 + cluster
-    packets, _ = ebml.parse(data)
-    assert [(p[0], p[1], data[p[2] : p[2] + p[3]], p[4]) for p in packets] == [(1, 15_000_000, b"xyz", False)]
+    packets, _, tracks = ebml.parse(data)
+    assert [(p[0], p[1], data[p[3] : p[3] + p[4]], p[5]) for p in packets] == [(1, 15_000_000, b"xyz", False)] and not tracks
+    laced = ebml.element(ebml.BLOCK, b"\x81\x00\x00\x04" + ebml.laced([b"ab", b"cd", b"ef"], ebml.FIXED)) + ebml.number(ebml.BLOCK_DURATION, 30)
+    segment = ebml.element(ebml.SEGMENT, ebml.element(ebml.CLUSTER, ebml.number(ebml.TIMESTAMP, 100) + ebml.element(ebml.BLOCK_GROUP, laced)))
+    assert [(p[1], p[2]) for p in ebml.parse(segment)[0]] == [(100_000_000, 10_000_000), (110_000_000, 10_000_000), (120_000_000, 10_000_000)]
 
 
 def test_mixing(spark):

@@ -1,4 +1,4 @@
-"""EBML elements and the part of Matroska that packet tables need: clusters, blocks, lacing, cues."""
+"""EBML elements and the part of Matroska that packet tables need: tracks, clusters, blocks, lacing, cues."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import struct
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
-TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, CODEC = 0x2AD7B1, 0xAE, 0xD7, 0x86
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_TYPE, CODEC, DEFAULT_DURATION = 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86, 0x23E383
+AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Lacing: two bits of a block's flags.
 NONE, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -125,51 +126,85 @@ def uint(data, at: int, end: int) -> int:
     return int.from_bytes(data[at:end], "big")
 
 
-def parse(data: bytes) -> tuple[list[tuple], list[tuple]]:
-    """Packets (track, timestamp in ns, offset, size, keyframe, lacing, cluster) and cues (time in ns, track, place of its cluster)."""
-    packets, cues, clusters, scale = [], [], {}, 1_000_000
+def parse(data: bytes) -> tuple[list[tuple], list[tuple], dict[int, dict]]:
+    """Packets, cues (time in ns, track, place of its cluster) and tracks by number.
+
+    A packet is (track, timestamp in ns, duration in ns or None, offset, size, keyframe, lacing, cluster). Frames of one lace
+    follow each other by the duration of the block over their number, where a group states it, else by the track's default
+    duration; without either they all have the block's time.
+    """
+    packets, cues, clusters, tracks, scale = [], [], {}, {}, 1_000_000
     for id_, _, top, top_end in children(data, 0, len(data)):
         if id_ != SEGMENT:
             continue
         for part, start, at, end in children(data, top, top_end):
             if part == INFO:
                 scale = next((uint(data, a, b) for i, _, a, b in children(data, at, end) if i == TIMESTAMP_SCALE), scale)
+            elif part == TRACKS:
+                for i, _, a, b in children(data, at, end):
+                    if i == TRACK_ENTRY:
+                        track = _track(data, a, b)
+                        tracks[track["number"]] = track
             elif part == CLUSTER:
                 clusters[start - top] = len(clusters)
-                _cluster(data, at, end, scale, len(clusters) - 1, packets)
+                _cluster(data, at, end, scale, len(clusters) - 1, tracks, packets)
             elif part == CUES:
                 for i, _, a, b in children(data, at, end):
                     if i == CUE_POINT:
                         _cue(data, a, b, scale, top, cues)
     if any(place not in clusters for _, _, place in cues):
         raise Malformed("a cue points at no cluster")
-    return packets, cues
+    return packets, cues, tracks
+
+
+def _float(data, at: int, end: int) -> float:
+    return struct.unpack(">f" if end - at == 4 else ">d", data[at:end])[0] if end - at in (4, 8) else 0.0
+
+
+def _track(data, at: int, end: int) -> dict:
+    """Number, type, codec and default duration of a track, and its rate, channels and bits if it is audio (else the defaults)."""
+    out = {"number": 0, "type": 0, "codec": "", "duration": None, "rate": 8000.0, "channels": 1, "bits": None}
+    for id_, _, a, b in children(data, at, end):
+        if id_ in (TRACK_NUMBER, TRACK_TYPE, DEFAULT_DURATION):
+            out[{TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "duration"}[id_]] = uint(data, a, b)
+        elif id_ == CODEC:
+            out["codec"] = bytes(data[a:b]).rstrip(b"\0").decode("ascii", "replace")
+        elif id_ == AUDIO:
+            for i, _, c, d in children(data, a, b):
+                if i == SAMPLING_FREQUENCY:
+                    out["rate"] = _float(data, c, d)
+                elif i in (CHANNELS, BIT_DEPTH):
+                    out["channels" if i == CHANNELS else "bits"] = uint(data, c, d)
+    return out
 
 
-def _cluster(data, at: int, end: int, scale: int, number_: int, packets: list) -> None:
+def _cluster(data, at: int, end: int, scale: int, number_: int, tracks: dict, packets: list) -> None:
     base = 0
     for id_, _, a, b in children(data, at, end):
         if id_ == TIMESTAMP:
             base = uint(data, a, b)
         elif id_ == SIMPLE_BLOCK:
-            _block(data, a, b, base, scale, number_, None, packets)
+            _block(data, a, b, base, scale, number_, None, None, tracks, packets)
         elif id_ == BLOCK_GROUP:
             inner = list(children(data, a, b))
             key = not any(i == REFERENCE for i, *_ in inner)
+            whole = next((uint(data, c, d) * scale for i, _, c, d in inner if i == BLOCK_DURATION), None)
             for i, _, c, d in inner:
                 if i == BLOCK:
-                    _block(data, c, d, base, scale, number_, key, packets)
+                    _block(data, c, d, base, scale, number_, key, whole, tracks, packets)
 
 
-def _block(data, at: int, end: int, base: int, scale: int, cluster: int, key: bool | None, packets: list) -> None:
+def _block(data, at: int, end: int, base: int, scale: int, cluster: int, key: bool | None, whole: int | None, tracks: dict, packets: list) -> None:
     track, at = vint(data, at)
     if at + 3 > end:
         raise Malformed("cut block")
     relative, flags = struct.unpack_from(">hB", data, at)
     lacing = flags >> 1 & 3
     keyframe = bool(flags & 0x80) if key is None else key
-    for offset, size in frames_of(data, at + 3, end, lacing):
-        packets.append((track, (base + relative) * scale, offset, size, keyframe, lacing, cluster))
+    frames = frames_of(data, at + 3, end, lacing)
+    duration = whole // len(frames) if whole is not None else tracks.get(track, {}).get("duration")
+    for k, (offset, size) in enumerate(frames):
+        packets.append((track, (base + relative) * scale + k * (duration or 0), duration, offset, size, keyframe, lacing, cluster))
 
 
 def _cue(data, at: int, end: int, scale: int, segment: int, cues: list) -> None:
