@@ -351,10 +351,68 @@ def test_attention_is_causal_and_windows_score_once():
     where = np.arange(a.WIDTH)
     one = np.zeros(a.WIDTH)
     for k in range(a.CLASSES):
-        one += 10.0 ** m.log_shares(x, where, np.full(a.WIDTH, k))
+        one += 10.0 ** m.log_shares(x, where, np.full(a.WIDTH, k))[0]
     assert np.allclose(one, 1, atol=1e-3)
 
 
+def test_scores_by_brute_force_and_mass_of_all_words():
+    """Scores from a plain forward pass per window; the words of a closed vocabulary and the end have at most 1 together."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vacantia.llm import attention as a
+    from vacantia.llm.pieces import MARK, model_proto
+
+    path = _piece_model()
+    names = [p.piece for p in model_proto(path).pieces]
+    begins = np.array([n.startswith(MARK) for n in names])
+    begins[a.END] = True
+    counts = np.random.default_rng(4).integers(0, 50, len(names)).astype(float)
+    group, within = a.classes(counts, begins)
+    assert all((group[begins] < a.BEGINNING * a.SIZE)) and all(group[~begins] >= a.BEGINNING * a.SIZE)
+    net = a.Model(len(names), seed=8)
+
+    def shares(before):
+        """P of every piece after the ids `before`, in full precision, by loops."""
+        e, place, w, wo, wg, bg, wi, bi = (p.astype(float) for p in net.p)
+        h = e[before] + place[: len(before)]
+        q, k, v = np.split(h @ w, 3, axis=1)
+        weight = np.array([math.exp(min(30, q[-1] @ k[j] / math.sqrt(a.DIM))) for j in range(len(before))])
+        z = np.clip(h[-1] + (weight @ v / weight.sum()) @ wo, -6, 6)
+        soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        p = np.concatenate([soft(z @ wg + bg)[g] * soft(z @ wi[g] + bi[g]) for g in range(a.GROUPS)])
+        return p[group] * 10.0 ** within.astype(float)
+
+    text = "The cat sat on the extraordinarily mat, naïvely"
+    low, pieces = text.lower().split(), attention_lm._Pieces(path)
+    coded = [pieces.flat(pa.array([x]))[0].tolist() for x in low]
+    ids, total, known = [a.BEGIN], 0.0, {"the": 7, "cat": 3, "mat,": 0}
+    n, kinds, ends = 40, 9, 5
+    mass = lambda net_p, c: math.log10(a.LAMBDA * net_p + ((1 - a.LAMBDA) * (c + 1) / (n + kinds + 1) if c else 0))
+    for word, code in zip(low, coded):
+        p = 1 / shares(ids)[begins].sum()
+        for i in code:
+            p *= shares(ids)[i]
+            ids.append(i)
+        total += mass(p * shares(ids)[begins].sum(), known.get(word, 0))
+    after = shares(ids)
+    total += mass(after[a.END] / after[begins].sum(), ends)
+    assert len(ids) < a.WIDTH
+    head = [w for w, c in known.items() if c]
+    found = [pieces.flat(pa.array([w])) for w in head]
+    given = (head, np.array([known[w] for w in head]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    run = attention_lm._scored(net, group, within, given, path, n, kinds, ends)
+    row = next(run([pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})])).to_pylist()[0]
+    assert abs(row["head_score"] + sum(t["logp"] + math.log10(a.LAMBDA) for t in row["tail"]) - total) < 1e-3
+    # One-piece words and the end after "the cat": no more than 1, and what they lack is that of longer words.
+    ids = [a.BEGIN, *coded[0], *coded[1]]
+    one = shares(ids)
+    words_mass = sum(one[i] / one[begins].sum() * shares([*ids, i])[begins].sum() for i in np.flatnonzero(begins)[:400])
+    assert words_mass + one[a.END] / one[begins].sum() <= 1 + 1e-9
+
+
 def test_attention_windows_reach_back():
     import numpy as np
 
@@ -366,8 +424,8 @@ def test_attention_windows_reach_back():
     m, x = a.Model(50), np.random.default_rng(0).integers(0, 50, (3, a.WIDTH))
     where, want = np.arange(3 * a.WIDTH), np.arange(3 * a.WIDTH) * 7 % a.CLASSES
     late = where % a.WIDTH >= a.CONTEXT
-    cut = m.log_shares(x, np.arange(late.sum()), want[late], a.CONTEXT)
-    assert np.allclose(cut, m.log_shares(x, where, want)[late], atol=1e-5)
+    for cut, whole in zip(m.log_shares(x, np.arange(late.sum()), want[late], a.CONTEXT), m.log_shares(x, where, want)):
+        assert np.allclose(cut, whole[late], atol=1e-5)
 
 
 def test_attention_gradients():
@@ -382,7 +440,7 @@ def test_attention_gradients():
 
     def loss():
         b, t = np.nonzero(y >= 0)
-        return -m.log_shares(x, np.flatnonzero((y >= 0).reshape(-1)), y[b, t]).astype(float).mean() * np.log(10)
+        return -m.log_shares(x, np.flatnonzero((y >= 0).reshape(-1)), y[b, t])[0].astype(float).mean() * np.log(10)
 
     for j, g in enumerate(m._gradients(x, y)):
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
@@ -580,9 +638,9 @@ def test_attention_parts_are_averaged_by_spark(spark):
     x = rng.integers(3, 40, (30_000, 1)) + np.arange(a.WIDTH) % 7
     rows = [(bytearray(r.astype(np.int32).tobytes()), bytearray(((r + 1) % 50).astype(np.int32).tobytes())) for r in x[:26_000]]
     net, group = a.Model(50), np.arange(50)
-    before = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50).mean()
+    before = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50)[0].mean()
     attention_lm._fit(net, spark.createDataFrame(rows, "x binary, y binary"), group)
-    after = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50).mean()
+    after = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50)[0].mean()
     assert after > before / 4
     one, two = a.Model(50), a.Model(50)
     start = [p.copy() for p in one.p]
