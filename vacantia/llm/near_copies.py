@@ -12,15 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import free_name, sized, written
+from .scratch import free_name, sized, temporary, written
 from .simhash import near_links
 
 #: Min-hashes of a band, and bands: a pair of similarity 0.8 shares a bucket with probability 0.995.
 ROWS, BANDS = 4, 10
-#: Bits in which fingerprints of candidates may differ (0.9999 of pairs at 0.8), and shingles below which this isn't asked.
-BITS, FEW = 20, 64
-#: Members of a bucket that are compared at once.
-BLOCK = 1024
+#: Bits in which fingerprints of candidates may differ (0.999 of pairs at 0.8), and shingles below which this isn't asked.
+BITS, FEW = 18, 64
+#: Members of a bucket that are compared at once, and centres that each bucket has before its other pairs are listed.
+BLOCK, ROUNDS = 1024, 4
+#: Min-hashes of a byte each by which the pairs of a block are judged, and by how much less than asked may be equal: of pairs
+#: at 0.8 a share of 0.997 passes.
+SIGNED, SLACK = 256, 0.07
+#: Pairs or texts, in rows of under 40 bytes, that are broadcast.
+SENT = 200_000
 
 _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -101,11 +106,17 @@ def _sets(width: int, seed: int):
 
         from . import texts
 
+        rng = np.random.default_rng(seed + 2)
+        a, b = (rng.integers(1, 1 << 63, SIGNED, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         for s in texts.slices(batches):
             sets = shingle_sets(s.column("text"), width, seed)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([s.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "shingles"])
+            size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+            flat, some = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.flatnonzero(size)
+            signed = np.zeros((len(sets), SIGNED), dtype=np.uint8)
+            for k in range(SIGNED if len(some) else 0):
+                signed[some, k] = _mixed(np.minimum.reduceat(flat * a[k] + b[k], (np.cumsum(size) - size)[some])).astype(np.uint8)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([s.column("node"), s.column("n"), lists, pa.array([r.tobytes() for r in signed], pa.binary())], ["node", "n", "shingles", "signed"])
 
     return run
 
@@ -126,68 +137,139 @@ def _likely(a: str, b: str, similarity: float) -> Column:
     return (least >= most * (similarity - 1e-9)) & (near | (least < FEW))
 
 
-def _stars(nodes: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a > b: in each bucket every member and the bucket's centre; fingerprints and those that the tree links."""
-    out = buckets.filter((F.col("node") != F.col("c_node")) & _likely("", "c_", similarity)).select(F.col("node").alias("x"), F.col("c_node").alias("y"))
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _equal_prints(nodes: DataFrame) -> DataFrame:
+    """(x, y): texts of equal fingerprints, and those whose fingerprints the tree links, by one text of each fingerprint."""
     same = written(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "fingerprints-of-texts")
     often = sized(written(same.filter("n > 1").select("fp", "rep"), "repeated-fingerprints"))
     equal = nodes.join(often, "fp").filter("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
     links = near_links(same.select("fp"), same.count())
     reps = same.select("fp", "rep")
-    linked = links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    every = out.unionByName(equal).unionByName(linked)
-    return every.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return equal.unionByName(links.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets overlap by `similarity` or more. A node of many pairs is dealt over blocks of them."""
-    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    left = pairs.join(often, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    right = sets.join(often, sets.node == often.b).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sb"))
+    often = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "centres")
+    left = pairs.join(sized(often, SENT), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(sized(written(left, "dealt-pairs"), SENT), "a")
+    right = sets.join(sized(often, SENT), sets.node == often.b).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     every = F.size("sa") + F.size("sb") - both
     return left.join(right, ["b", "part"]).filter((every == 0) | (both / every >= similarity)).select("a", "b")
 
 
-def _between(buckets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a > b of one bucket that the stars left in different components; large buckets are dealt in blocks."""
-    named = buckets.join(roots.withColumnRenamed("root", "r"), "node", "left").select("band", "node", "fp", "size", F.coalesce("r", "node").alias("root"))
+def _by_root(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, each with its `root`."""
+    roots = components(links)
+    named = buckets.join(roots.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
     named = written(named, "buckets-by-root")
-    open_ = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("x <> y").select("band", "parts")
-    rows = named.join(open_, "band")
-    left = rows.select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"l_{c}") for c in ("node", "fp", "size", "root")))
-    right = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"r_{c}") for c in ("node", "fp", "size", "root")))
-    found = left.join(right, ["band", "part"]).filter((F.col("l_node") > F.col("r_node")) & (F.col("l_root") != F.col("r_root")) & _likely("l_", "r_", similarity))
-    return found.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+    several = named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    return written(named.join(several, "band"), "open-buckets")
+
+
+def _around_centres(members: DataFrame, centres: DataFrame | None, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Per bucket a new centre, and pairs (x, y) of it and the members of other components.
+
+    The centre is the member that shares most buckets with most texts, among the components that had no centre there yet.
+    """
+    left = members if centres is None else members.join(members.join(centres, ["band", "node"]).select("band", "root").distinct(), ["band", "root"], "left_anti")
+    best = left.groupBy("band").agg(F.max_by(F.struct("node", "fp", "size", "root"), F.struct("shared", F.xxhash64("node"))).alias("c"))
+    best = written(best.select("band", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "fp", "size", "root"))), "bucket-centres")
+    found = members.join(best, "band").filter((F.col("root") != F.col("c_root")) & _likely("", "c_", similarity))
+    return best.select("band", F.col("c_node").alias("node")), found.select(F.col("node").alias("x"), F.col("c_node").alias("y"))
+
+
+def _in_blocks(similarity: float):
+    """Pairs of a group's left and right block that are of different components and whose signatures are near."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        least = int(np.ceil((similarity - SLACK) * SIGNED))
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        signed = np.frombuffer(b"".join(table.column("signed").to_pylist()), dtype=np.uint8).reshape(len(node), SIGNED)
+        left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
+        right = np.flatnonzero(table.column("right").to_numpy(zero_copy_only=False))
+        x, y = [], []
+        for i in range(0, len(left), 16):
+            at = left[i : i + 16]
+            near = (signed[at][:, None, :] == signed[right][None, :, :]).sum(axis=2, dtype=np.int16) >= least
+            near &= (root[at][:, None] != root[right][None, :]) & (node[at][:, None] > node[right][None, :])
+            a, b = np.nonzero(near)
+            x.append(node[at[a]])
+            y.append(node[right[b]])
+        empty = np.zeros(0, np.int64)
+        return pa.table({"x": pa.array(np.concatenate([*x, empty])), "y": pa.array(np.concatenate([*y, empty]))})
+
+    return run
+
+
+def _between(members: DataFrame, centres: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The other pairs (x, y) of one bucket and different components that may be alike, in blocks of bounded size."""
+    rest = members.join(centres, ["band", "node"], "left_anti")
+    parts = rest.groupBy("band").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("u <> v").select("band", "parts")
+    rows = rest.join(parts, "band").select("band", "node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own"))
+    rows = written(rows.join(sets.select("node", "signed"), "node"), "members-left")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    each = rows.select("band", "node", "root", "signed", "own", other)  # both orders of two blocks are one group each
+    left = each.select("band", F.col("own").alias("l"), F.col("other").alias("r"), "node", "root", "signed", F.lit(True).alias("left"), (F.col("own") == F.col("other")).alias("right"))
+    right = each.filter("own <> other").select("band", F.col("other").alias("l"), F.col("own").alias("r"), "node", "root", "signed", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    return left.unionByName(right).groupBy("band", "l", "r").applyInArrow(_in_blocks(similarity), "x bigint, y bigint")
+
+
+def _links(slim: DataFrame, nodes: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """Verified links (a, b) between nodes, as many as connect what all links connect.
+
+    In each bucket members are held against one centre after another, which takes one pair a member; what still is of
+    different components after that is compared pair by pair.
+    """
+    banded = nodes.select("node", "fp", "size", F.explode("bands").alias("band"))
+    members = written(banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared-bands")
+    buckets = written(banded.join(sized(members, SENT), "band"), "bucket-members")
+    shared = buckets.groupBy("node").agg(F.sum("members").alias("shared"))
+    buckets = written(buckets.join(shared, "node").select("band", "node", "fp", "size", "members", "shared"), "buckets")
+    centres, pairs = _around_centres(buckets.withColumn("root", F.col("node")), None, similarity)
+    tested = written(_pairs(pairs.unionByName(_equal_prints(nodes))), "candidates")
+    some = tested.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.filter("members > 2").select("node")).distinct()
+    wanted = sized(written(nodes.join(some, "node").select("node", F.col("key").alias("k"), F.col("doc_id").alias("d"), "n"), "candidate-texts"), SENT)
+    texts = slim.join(wanted, (slim.key == wanted.k) & slim.doc_id.eqNullSafe(wanted.d)).select("node", "n", "text")
+    sets = texts.mapInArrow(_sets(width, seed), "node bigint, n bigint, shingles array<bigint>, signed binary")
+    sets = written(sets, "shingle-sets-of-rows")
+    often = sets.filter("n > 1").groupBy("node").agg(F.first(F.struct("shingles", "signed")).alias("s")).select("node", "s.*")
+    sets = sets.filter("n = 1").select("node", "shingles", "signed").unionByName(often)
+    links = written(_verified(tested, sets, similarity), "links-found")
+    buckets = buckets.filter("members > 2")
+    for _ in range(ROUNDS - 1):
+        open_ = _by_root(buckets, links)
+        if open_.isEmpty():
+            return links
+        new, pairs = _around_centres(open_, centres, similarity)
+        pairs = written(_pairs(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested, centres = tested.unionByName(pairs), centres.unionByName(new)
+        links = written(links.unionByName(_verified(pairs, sets, similarity)), "links-found")
+    pairs = written(_pairs(_between(_by_root(buckets, links), centres, sets, similarity)).join(tested, ["a", "b"], "left_anti"), "candidates")
+    return links.unionByName(_verified(pairs, sets, similarity))
 
 
 def _classes(docs: DataFrame, width: int, similarity: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(rows: key, doc_id, n of equal rows, root) and (root, key, doc_id of the row that stands for it)."""
-    slim = docs.select(_id(), "text", text_key().alias("key"))
-    sketches = slim.mapInArrow(_sketched(width, seed), "doc_id bigint, key binary, fp bigint, size bigint, bands array<bigint>")
-    once = written(sketches.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.first(F.struct("fp", "size", "bands")).alias("s")), "sketches")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
-    nodes = once.groupBy("key").agg(least, F.first("s").alias("s")).select("key", F.col("least.doc_id").alias("doc_id"), "s.*")
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
-    banded = nodes.select("node", "fp", "size", F.explode("bands").alias("band"))
-    centre = F.min_by(F.struct("node", "fp", "size"), F.xxhash64("node", "band"))
-    shared = written(banded.groupBy("band").agg(F.count("*").alias("members"), centre.alias("c")).filter("members > 1"), "shared-bands")
-    shared = shared.select("band", F.col("c.node").alias("c_node"), F.col("c.fp").alias("c_fp"), F.col("c.size").alias("c_size"))
-    buckets = written(banded.join(sized(shared), "band"), "buckets")
-    stars = written(_stars(nodes, buckets, similarity), "candidates")
-    some = stars.select(F.explode(F.array("a", "b")).alias("node")).unionByName(buckets.select("node")).distinct()
-    wanted = written(nodes.join(some, "node").select("node", "key", "doc_id"), "candidate-texts")
-    match = sized(wanted.select(F.col("key").alias("k"), F.col("doc_id").alias("d")))
-    texts = slim.join(match, (slim.key == match.k) & slim.doc_id.eqNullSafe(match.d), "left_semi")
-    sets = texts.mapInArrow(_sets(width, seed), "key binary, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets.join(wanted.select("node", "key"), "key").select("node", "shingles"), "shingle-sets")
-    links = written(_verified(stars, sets, similarity), "star-links")
-    more = written(_between(buckets, components(links), similarity), "candidates-between")
-    roots = written(components(links.unionByName(_verified(more, sets, similarity))), "roots")
-    of = written(nodes.join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "roots-of-texts")
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select("root", "f.key", "f.doc_id")
-    return once.select("key", "doc_id", "n").join(of.select("key", "root"), "key"), written(first, "representatives")
+    with temporary(docs.sparkSession) as keep:
+        slim = docs.select(_id(), "text", text_key().alias("key"))
+        sketches = slim.mapInArrow(_sketched(width, seed), "doc_id bigint, key binary, fp bigint, size bigint, bands array<bigint>")
+        once = written(sketches.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.first(F.struct("fp", "size", "bands")).alias("s")), "sketches")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("least")
+        nodes = once.groupBy("key").agg(least, F.first("s").alias("s")).select("key", F.col("least.doc_id").alias("doc_id"), F.col("least.n").alias("n"), "s.*")
+        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
+        roots = components(_links(slim, nodes, width, similarity, seed))
+        of = written(nodes.join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "roots-of-texts")
+        first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select("root", "f.key", "f.doc_id")
+        rows = once.select("key", "doc_id", "n").join(of.select("key", "root"), "key")
+        return keep(written(rows, "rows-of-components")), keep(written(first, "representatives"))
 
 
 def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -195,7 +277,7 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int
 
     Similarity is the Jaccard overlap of the distinct shingles of `width` words (A-Z lower-cased); a text with fewer words
     has one shingle, all its words, and texts without a word are alike. Links that join texts are found with the chance
-    that `ROWS` and `BANDS` give; none is false. `docs` has doc_id and text; other columns aren't read. Repeated rows and
+    that `ROWS`, `BANDS`, `BITS` and `SLACK` give; none is false. `docs` has doc_id and text; other columns aren't read. Repeated rows and
     ids each give a row; a component without any id has null. An empty table gives no rows.
     """
     rows, first = _classes(docs, width, similarity, seed)
@@ -212,7 +294,6 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
     """
     rows, first = _classes(docs, width, similarity, seed)
     stay = first.select("key", F.col("doc_id").alias("d"))
-    rows = written(rows, "rows-of-components")
     here = rows.join(stay, (rows.key == stay.key) & rows.doc_id.eqNullSafe(stay.d), "left_semi")
     gone = rows.join(stay, (rows.key == stay.key) & rows.doc_id.eqNullSafe(stay.d), "left_anti").unionByName(here.filter("n > 1"))
     name = free_name(docs, "key")

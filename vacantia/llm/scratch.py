@@ -6,6 +6,7 @@ and they are compressed, which RDD checkpoints are not.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -26,12 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables written inside the innermost `temporary` block, by path.
+_made: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table that no lost executor can take away."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those passed to what this gives.
+
+    A result that isn't written yet must read no others. After an error all stay, for a look.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written_at)
+        return df
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.pop()
+    dropped(spark, [p for p in made if p not in kept])
+    if _made:
+        _made[-1] += [p for p in made if p in kept]
 
 
 def sized(df: DataFrame, rows: int = 50_000) -> DataFrame:

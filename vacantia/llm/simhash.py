@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import joined, written
+from .scratch import joined, temporary, written
 
 #: Fingerprints from which a tree of shards is made, at most; its shards, at most; fingerprints meant for a shard.
 SAMPLE, SHARDS, PER_SHARD = 65_536, 4096, 512
@@ -140,13 +140,14 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) ->
     equal fingerprints are linked, also those without a word (zero). Repeated rows and ids each give a row; a null id
     gives a row with the component's smallest id, null where the component has none. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, width, seed), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
-    count, rows = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    roots = written(components(near_links(distinct.select("fp"), count, radius), "near-links"), "roots")
-    # Only fingerprints with partners of other fingerprints are in `roots`; the others are components of their own.
-    each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(each.join(least, "root").select("fp", "n", "component_id"), "components")
+    with temporary(docs.sparkSession) as keep:
+        fps = keep(written(fingerprints(docs, width, seed), "fingerprints"))
+        distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
+        count, rows = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        roots = written(components(near_links(distinct.select("fp"), count, radius), "near-links"), "roots")
+        # Only fingerprints with partners of other fingerprints are in `roots`; the others are components of their own.
+        each = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+        least = each.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = keep(written(each.join(least, "root").select("fp", "n", "component_id"), "components"))
     out = joined(fps, named, ["fp"], "inner", rows)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
