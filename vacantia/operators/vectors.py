@@ -71,22 +71,60 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k_cosine(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+def usable(rows: DataFrame, dim: int | None = None, versions: dict[str, str] | None = None) -> DataFrame:
+    """`rows` of the wanted versions (column: value) whose embedding is there, finite, of length `dim` if given, and not zero."""
+    for column, value in (versions or {}).items():
+        rows = rows.filter(F.col(column) == value)
+    v = F.col("embedding")
+    fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    return rows.filter(fine & (F.size(v) == dim) if dim else fine)
+
+
+def _unit(column):
+    import numpy as np
+
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _best(scores, ids, k: int):
+    """Places of the k best scores of each row, of equal ones those with the smallest ids; scores have six places."""
+    import numpy as np
+
+    order = np.argsort(ids, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(ids.shape[1]), ids.shape), axis=1)
+    key = rank - np.rint(scores * 1e6).astype(np.int64) * (1 << 32)
+    return np.argpartition(key, min(k, key.shape[1]) - 1, axis=1)[:, :k]
+
+
+def top_k_cosine(queries: DataFrame, points: DataFrame, k: int, dim: int | None = None, versions: dict[str, str] | None = None) -> DataFrame:
     """query_id, point_id, score, rank: the k nearest points by cosine, exactly; ties by point id.
 
-    Queries are broadcast in sets of a bounded size against all points in blocks: each task keeps its own k best per
-    query, so what is shuffled is k rows per query and task, whatever the number of points.
+    Both sides count only where `usable` (version columns, length, finite). Queries are sent in sets of at most
+    `BROADCAST_ROWS` vectors; in a task they meet the points in blocks of QUERIES x POINTS, and only k rows per query and
+    task are shuffled, whatever the number of points.
     """
-    queries = queries.select("query_id", "embedding")
+    queries, points = usable(queries, dim, versions).select("query_id", "embedding"), usable(points, dim, versions)
     sets = max(1, -(-queries.count() // BROADCAST_ROWS))
     found = None
     for i in range(sets):
         part = _nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i), points, k)
         found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Queries and points of a block that a task compares at once: 4 MB of scores.
+QUERIES, POINTS = 256, 2048
+
+
 def _nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """The k best points of each task for one bounded set of queries."""
     got = queries.toPandas()
@@ -100,33 +138,92 @@ def _nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         q = np.stack(got["embedding"].to_numpy()).astype(np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         ids = got["query_id"].to_numpy()
-        best_s, best_p = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), dtype=np.int64)
+        best = [(np.zeros((len(q[i : i + QUERIES]), 0)), np.zeros((len(q[i : i + QUERIES]), 0), dtype=np.int64)) for i in range(0, len(q), QUERIES)]
         for b in batches:
-            p = b.column("point_id").to_numpy()
-            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1).astype(np.float64) if len(p) else np.zeros((0, q.shape[1]))
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for a in range(0, len(p), 2048):
-                s = np.concatenate([best_s, np.round(q @ x[a : a + 2048].T, 6)], axis=1)
-                w = np.concatenate([best_p, np.broadcast_to(p[a : a + 2048], (len(q), len(p[a : a + 2048])))], axis=1)
-                order = np.lexsort((w, -s), axis=1)[:, :k]
-                best_s, best_p = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-        if best_s.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_p.reshape(-1)), pa.array(best_s.reshape(-1))], ["query_id", "point_id", "score"])
+            p, x = b.column("point_id").to_numpy(), _unit(b.column("embedding"))
+            for a in range(0, len(p), POINTS):
+                for j, (s, w) in enumerate(best):
+                    own = q[j * QUERIES : (j + 1) * QUERIES]
+                    s = np.concatenate([s, np.round(own @ x[a : a + POINTS].T, 6)], axis=1)
+                    w = np.concatenate([w, np.broadcast_to(p[a : a + POINTS], (len(own), len(p[a : a + POINTS])))], axis=1)
+                    at = _best(s, w, k)
+                    best[j] = np.take_along_axis(s, at, 1), np.take_along_axis(w, at, 1)
+        for j, (s, w) in enumerate(best):
+            if s.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[j * QUERIES : (j + 1) * QUERIES], s.shape[1])), pa.array(w.reshape(-1)), pa.array(s.reshape(-1))], ["query_id", "point_id", "score"])
 
     return points.select("point_id", "embedding").mapInArrow(run, "query_id bigint, point_id bigint, score double")
 
 
-def top_k_lsh(queries: DataFrame, points: DataFrame, k: int, bucket: float = 1.0, tables: int = 6) -> DataFrame:
-    """As `top_k_cosine` over candidates of random-projection hashing only: approximate, for point sets of any size."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def _signs(name: str, bits: int, tables: int, dim: int, seed: int):
+    """Per vector and table the signs of `bits` random projections as a number."""
 
-    vec = lambda df, i: df.select(i, "embedding", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
-    q, p = vec(queries, "query_id"), vec(points, "point_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(p)
-    near = model.approxSimilarityJoin(q, p, 1.6, distCol="d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.point_id").alias("point_id"), F.round(dot(F.col("datasetA.embedding"), F.col("datasetB.embedding")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "point_id")
-    return near.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        planes = np.random.default_rng(seed).normal(size=(dim, bits * tables))
+        for b in batches:
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                on = (_unit(part.column("embedding")) @ planes > 0).reshape(part.num_rows, tables, bits)
+                code = (on * (1 << np.arange(bits))).sum(axis=2)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * tables), pa.array(code.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(name), part.column("embedding"), lists], [name, "embedding", "codes"])
+
+    return run
+
+
+def lsh_buckets(rows: DataFrame, name: str, bits: int, tables: int, dim: int, seed: int = 42) -> DataFrame:
+    """`name`, embedding, band, code: each vector in one bucket of each of `tables` tables of signed random projections."""
+    signed = rows.select(F.col(name).cast("long").alias(name), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_signs(name, bits, tables, dim, seed), f"{name} bigint, embedding array<double>, codes array<bigint>")
+    return signed.select(name, "embedding", F.posexplode("codes").alias("band", "code"))
+
+
+def _in_bucket(k: int):
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ask = table.column("is_query").to_numpy(zero_copy_only=False)
+        q, p = table.filter(pa.array(ask)), table.filter(pa.array(~ask))
+        out = ([], [], [])
+        if q.num_rows and p.num_rows:
+            x, ids = _unit(p.column("embedding")), p.column("id").to_numpy()
+            for a in range(0, q.num_rows, QUERIES):
+                part = q.slice(a, QUERIES)
+                s = np.round(_unit(part.column("embedding")) @ x.T, 6)
+                w = np.broadcast_to(ids, s.shape)
+                at = _best(s, w, k)
+                for o, v in zip(out, (np.repeat(part.column("id").to_numpy(), at.shape[1]), np.take_along_axis(w, at, 1).reshape(-1), np.take_along_axis(s, at, 1).reshape(-1)), strict=True):
+                    o.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(np.concatenate(o) if o else [], t) for n, o, t in zip(("query_id", "point_id", "score"), out, kinds, strict=True)})
+
+    return run
+
+
+def top_k_lsh(queries: DataFrame, points: DataFrame, k: int, dim: int = DIM, bits: int = 6, tables: int = 50, block: int = 4096) -> DataFrame:
+    """As `top_k_cosine` over the points that share a bucket with the query: approximate, for point sets of any size.
+
+    Each bucket is searched in blocks of at most about `block` points, with its queries sent to each, so a hot bucket is
+    many tasks; a block gives k rows a query. More `bits` make smaller buckets, more `tables` a higher recall: where the
+    neighbours have a cosine c, a table finds them with (1 - acos(c) / pi) ** bits.
+    """
+    q, p = lsh_buckets(usable(queries, dim), "query_id", bits, tables, dim), lsh_buckets(usable(points, dim), "point_id", bits, tables, dim)
+    parts = p.groupBy("band", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    left = q.join(parts, ["band", "code"]).select("band", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("query_id").alias("id"), "embedding", F.lit(True).alias("is_query"))
+    right = p.join(parts, ["band", "code"]).select("band", "code", F.pmod(F.xxhash64("point_id"), F.col("parts")).cast("int").alias("part"), F.col("point_id").alias("id"), "embedding", F.lit(False).alias("is_query"))
+    found = left.unionByName(right).groupBy("band", "code", "part").applyInArrow(_in_bucket(k), "query_id bigint, point_id bigint, score double")
+    return _ranked(found.distinct(), k)
+
+
+def compared_share(queries: DataFrame, points: DataFrame, dim: int = DIM, bits: int = 6, tables: int = 50) -> DataFrame:
+    """query_id, share: points that `top_k_lsh` holds against each query over all tables, as a share of all points."""
+    points = usable(points, dim)
+    held = lsh_buckets(points, "point_id", bits, tables, dim).groupBy("band", "code").agg(F.count("*").alias("n"))
+    met = lsh_buckets(usable(queries, dim), "query_id", bits, tables, dim).join(held, ["band", "code"], "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return met.select("query_id", F.round(F.col("n") / F.lit(max(1, points.count())), 4).alias("share"))
 
 
 def compatibility(points: DataFrame, dim: int, version: str) -> DataFrame:

@@ -85,11 +85,12 @@ def g2(spark, d):
 
 
 def g6(spark, d):
-    """Recall of the approximate search against the exact one."""
+    """Recall of the approximate search against the exact one, and the share of points that it looks at, repeats included."""
     q, p = _points(spark, d)
     exact, near = vectors.top_k_cosine(q, p, 10), vectors.top_k_lsh(q, p, 10)
     hit = exact.join(near.select("query_id", "point_id").withColumn("hit", F.lit(1)), ["query_id", "point_id"], "left")
-    return hit.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    recall = hit.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    return recall.join(vectors.compared_share(q, p), "query_id")
 
 
 def g7(spark, d):

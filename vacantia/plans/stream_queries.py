@@ -14,8 +14,12 @@ c = F.col
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that all machines see: the cluster's checkpoint folder, or the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the cluster's shared one; without that setting, in a local warehouse if all is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
     return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
@@ -42,32 +46,37 @@ def _sightings(events: DataFrame) -> DataFrame:
 
 
 def j1(spark, d):
-    out = _finish(streams.upsert_seen(_sightings(_events(spark, d)), ("value", "event_id"), ("ts", "event_id")), "update", "upsert")
-    last = out.groupBy("fingerprint").agg(F.max_by(F.struct("value", "event_id", "first_seen_at", "last_seen_at", "sightings"), "epoch").alias("n"))
-    return last.select("fingerprint", "n.value", "n.event_id", *(c(f"n.{x}").cast("timestamp_ntz").alias(x) for x in ("first_seen_at", "last_seen_at")), "n.sightings")
+    at, rows = _shared(spark), _sightings(_events(spark, d))
+    table, run = streams.seen_table(f"{at}/seen", rows, ("value", "event_id"), ("ts", "event_id"))
+    rows.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
+    return streams.seen(table, spark).select("fingerprint", "value", "event_id", *(c(x).cast("timestamp_ntz").alias(x) for x in ("first_seen_at", "last_seen_at")), "sightings")
 
 
-def j2(spark, d):
-    at = _shared(spark)
-    state: dict[str, str] = {}
-    schema = "fingerprint string, digest string"
+def _digested(spark, d):
+    return _sightings(_events(spark, d)).withColumn("digest", F.sha2((F.col("event_id") % 3).cast("string").cast("binary"), 256))
 
-    def read():
-        return spark.read.schema(schema).parquet(state["at"]) if state else None
 
-    def put(df):
-        path = f"{at}/digests/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        state["at"] = path
+def _batches(spark, rows, run, at: str) -> None:
+    rows.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(run).start().awaitTermination()
 
-    def emit(df, epoch):
-        df.write.mode("overwrite").parquet(f"{at}/changed/epoch={epoch}")
 
+def j2(spark, d):
+    at = _shared(spark)
     rows = _sightings(_events(spark, d)).withColumn("digest", F.sha2(F.concat_ws("|", c("value").cast("string")).cast("binary"), 256)).select("fingerprint", "ts", "digest")
-    rows.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(streams.changed_feed(read, put, emit)).start().awaitTermination()
+    emit = lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/changed/epoch={epoch}")
+    _batches(spark, rows, streams.changed_feed(streams.digests(f"{at}/digests"), emit), at)
     return spark.read.parquet(f"{at}/changed").select("fingerprint", "action")
 
 
+def j5_kinds(spark, d):
+    at = _shared(spark)
+    rows = _digested(spark, d).withColumn("kind", F.split_part("fingerprint", F.lit(":"), F.lit(1)))
+    emit = lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/kinds/epoch={epoch}")
+    _batches(spark, rows, streams.intake(streams.digests(f"{at}/digests"), emit, "kind", ("ts", "event_id")), at)
+    sums = spark.read.parquet(f"{at}/kinds").groupBy("day", "kind").agg(*(F.sum(x).alias(x) for x in ("new", "changed", "reseen")))
+    return sums.withColumn("day", c("day").cast("timestamp_ntz"))
+
+
 def j3(spark, d):
     rows = _events(spark, d).select("user_id", "event_type", "ts")
     out = _finish(streams.dedupe(rows, ["user_id", "event_type"], horizon="60 days"), "append", "dedupe")
@@ -94,9 +103,17 @@ def j5b(spark, d):
     return streams.sessions(e, "user_id", "30 minutes").select("user_id", c("start_at").cast("timestamp_ntz").alias("start_at"), c("end_at").cast("timestamp_ntz").alias("end_at"), "n")
 
 
-QUERIES = {"j1_stream_upsert_seen": j1, "j2_stream_changed_feed": j2, "j3_stream_dedupe": j3, "j4_stream_lease_timeout": j4, "j5_windowed_intake": j5, "j5_sessions": j5b}
+QUERIES = {"j1_stream_upsert_seen": j1, "j2_stream_changed_feed": j2, "j3_stream_dedupe": j3, "j4_stream_lease_timeout": j4, "j5_windowed_intake": j5, "j5_intake_kinds": j5_kinds, "j5_sessions": j5b}
 
 ORACLES = {
+    # A feed that sees all events in one batch, and in several ones of one fingerprint the newest: each is new once.
+    "j2_stream_changed_feed": "SELECT DISTINCT event_type || ':' || user_id AS fingerprint, 'CREATED' AS action FROM events",
+    "j4_stream_lease_timeout": """WITH e AS (SELECT user_id AS job_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events),
+  m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events)
+SELECT job_id, CAST(epoch_ms(ts) AS BIGINT) AS stuck_since_ms FROM e, m WHERE event_type = 'click' AND (next_ts > ts + INTERVAL 60 SECOND OR (next_ts IS NULL AND ts + INTERVAL 60 SECOND <= mark))""",
+    "j5_intake_kinds": """WITH e AS (SELECT event_type AS kind, event_type || ':' || user_id AS f, ts, event_id, event_id % 3 AS d FROM events),
+  o AS (SELECT *, lag(d) OVER w AS b, row_number() OVER w AS r FROM e WINDOW w AS (PARTITION BY f ORDER BY ts, event_id))
+SELECT date_trunc('day', ts) AS day, kind, count(*) FILTER (r = 1) AS new, count(*) FILTER (r > 1 AND b IS DISTINCT FROM d) AS changed, count(*) FILTER (r > 1 AND b IS NOT DISTINCT FROM d) AS reseen FROM o GROUP BY ALL""",
     "j1_stream_upsert_seen": "SELECT event_type || ':' || user_id AS fingerprint, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id, min(ts) AS first_seen_at, max(ts) AS last_seen_at, count(*) AS sightings FROM events GROUP BY event_type, user_id",
     "j3_stream_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
     "j5_windowed_intake": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL",

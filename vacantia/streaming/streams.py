@@ -4,42 +4,133 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.operators import keyed
 
 
-def upsert_seen(observations: DataFrame, fields: tuple[str, ...], order: tuple[str, ...], days: int = 30) -> DataFrame:
-    """Per fingerprint the newest fields by event time, first and last sighting; run in update mode.
+class Deltas:
+    """A keyed table in a folder as what each epoch changed: an epoch is written as often as it is run, and read by later ones.
 
-    A late sighting can move the first one back but never overwrites newer fields. observations: fingerprint, fields,
-    order columns; the first order column is the event time (timestamp).
+    `table` merges the epochs before a given one by `merge`, an aggregate that may be applied to its own results, from the
+    newest snapshot on; every `snapshots`-th epoch writes one. Nothing is held in memory, so a restart goes on from here.
     """
-    agg = observations.groupBy("fingerprint").agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("n"), F.min(order[0]).alias("first_seen_at"), F.max(order[0]).alias("last_seen_at"), F.count("*").alias("sightings"))
-    return agg.select("fingerprint", "n.*", "first_seen_at", "last_seen_at", (F.col("first_seen_at") + F.make_dt_interval(F.lit(days))).alias("expires_at"), "sightings")
 
+    def __init__(self, folder: str, schema: str, merge: Callable[[DataFrame], DataFrame], snapshots: int = 16):
+        self.folder, self.schema, self.merge, self.snapshots = folder, schema, merge, snapshots
+
+    def _read(self, spark, kind: str, epochs: list[int]) -> DataFrame | None:
+        paths = [f"{self.folder}/{kind}/epoch={e}" for e in epochs]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else None
+
+    def _epochs(self, spark, kind: str) -> list[int]:
+        """Epochs that were written to the end."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(s.getPath().getName().removeprefix("epoch=")) for s in fs.listStatus(root) if done(s.getPath()))
+
+    def table(self, spark, before: int | None = None) -> DataFrame:
+        """The table after the epochs below `before` (all: None)."""
+        fits = lambda kind: [e for e in self._epochs(spark, kind) if before is None or e < before]
+        base = fits("snapshot")[-1:]
+        rest = [e for e in fits("delta") if not base or e > base[0]]
+        found = [x for x in (self._read(spark, "snapshot", base), self._read(spark, "delta", rest)) if x is not None]
+        if not found:
+            return spark.createDataFrame([], self.schema)
+        return self.merge(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
+
+    def put(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/delta/epoch={epoch}")
+        if epoch % self.snapshots == self.snapshots - 1:
+            self.table(df.sparkSession, epoch + 1).write.mode("overwrite").parquet(f"{self.folder}/snapshot/epoch={epoch}")
+
+
+def seen_table(folder: str, observations: DataFrame, fields: tuple[str, ...], order: tuple[str, ...], days: int = 30) -> tuple[Deltas, Callable[[DataFrame, int], None]]:
+    """A table of sightings by fingerprint and the foreachBatch function that keeps it.
+
+    A late sighting can move the first one back but never overwrites newer fields. Each batch is combined by itself and
+    merged in the table, so the stream has no state of its own, however many fingerprints there are. observations:
+    fingerprint, fields, order columns; the first order column is the event time (timestamp).
+    """
+    kind = lambda *names: ", ".join(f"{n}: {observations.schema[n].dataType.simpleString()}" for n in names)
+    schema = f"fingerprint {observations.schema['fingerprint'].dataType.simpleString()}, n struct<{kind(*fields)}>, o struct<{kind(*order)}>, first_seen_at timestamp, last_seen_at timestamp, sightings bigint"
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("fingerprint").agg(F.max_by("n", "o").alias("n"), F.max("o").alias("o"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("sightings").alias("sightings"))
+
+    table = Deltas(folder, schema, merge)
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        one = batch.select("fingerprint", F.struct(*fields).alias("n"), F.struct(*order).alias("o"), F.col(order[0]).alias("first_seen_at"), F.col(order[0]).alias("last_seen_at"), F.lit(1).cast("long").alias("sightings"))
+        table.put(merge(one), epoch)
+
+    return table, run
 
-def changed_feed(read_state: Callable[[], DataFrame | None], write_state: Callable[[DataFrame], None], emit: Callable[[DataFrame, int], None], digest: str = "digest"):
-    """A foreachBatch function: rows that are new or differ from the stored digest go to `emit`, then the state is replaced.
 
-    A batch that is replayed finds its own digests stored, and emits nothing again.
+def seen(table: Deltas, spark, days: int = 30) -> DataFrame:
+    """Per fingerprint the newest fields, first and last sighting, expiry `days` after the first."""
+    return table.table(spark).select("fingerprint", "n.*", "first_seen_at", "last_seen_at", (F.col("first_seen_at") + F.make_dt_interval(F.lit(days))).alias("expires_at"), "sightings")
+
+
+def digests(folder: str) -> Deltas:
+    """The newest digest of each fingerprint."""
+    return Deltas(folder, "fingerprint string, digest string, ts timestamp", lambda rows: rows.groupBy("fingerprint").agg(F.max_by(F.struct("digest", "ts"), F.struct("ts", "digest")).alias("n")).select("fingerprint", "n.*"))
+
+
+def changed_feed(state: Deltas, emit: Callable[[DataFrame, int], None], digest: str = "digest"):
+    """A foreachBatch function: rows that are new or differ from the digest stored before the batch go to `emit`.
+
+    A batch that is run again sees the state of the epochs before it, so it emits the same rows again, under the same
+    epoch, and `emit` may overwrite. The state gets only what the batch changed.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         last = batch.groupBy("fingerprint").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "fingerprint"]), F.struct("ts", digest)).alias("n")).select("fingerprint", "n.*")
-        state = read_state()
-        if state is None:
-            state = last.select("fingerprint", digest).limit(0)
-        changed = keyed.changed_feed(keyed.normalization_action(last, state, ["fingerprint"], digest)).persist()
+        old = state.table(batch.sparkSession, epoch).join(last.select("fingerprint"), "fingerprint", "left_semi").select("fingerprint", F.col("digest").alias(digest), F.col("ts").alias("_at"))
+        late = last.join(old.select("fingerprint", "_at"), "fingerprint", "left").filter("_at IS NULL OR ts >= _at").drop("_at")
+        changed = keyed.changed_feed(keyed.normalization_action(late, old.drop("_at"), ["fingerprint"], digest)).persist()
         emit(changed, epoch)
-        new = changed.select("fingerprint", digest)
-        write_state(state.join(new, "fingerprint", "left_anti").unionByName(new))
+        state.put(changed.select("fingerprint", F.col(digest).alias("digest"), "ts"), epoch)
         changed.unpersist()
 
     return run
 
 
+def intake_kinds(rows: DataFrame, by: str, order: tuple[str, ...], digest: str = "digest", old: DataFrame | None = None) -> DataFrame:
+    """day, `by`, new, changed, reseen: observations by whether their fingerprint is new, or its digest another than before.
+
+    rows: fingerprint, `by`, `ts`, digest and the order columns; `old`: digests (fingerprint, digest) from before.
+    """
+    w = Window.partitionBy("fingerprint").orderBy("_old", *order)
+    fresh = rows.select("fingerprint", by, "ts", F.col(digest).alias("_d"), F.lit(1).alias("_old"), *(c for c in order if c != "ts"))
+    if old is not None:
+        fresh = fresh.unionByName(old.select("fingerprint", F.col("digest").alias("_d"), F.lit(0).alias("_old")), allowMissingColumns=True)
+    kinds = fresh.withColumn("_before", F.lag("_d").over(w)).withColumn("_first", F.row_number().over(w) == 1).filter("_old = 1")
+    same = F.col("_before").eqNullSafe(F.col("_d"))
+    return kinds.groupBy(F.date_trunc("day", "ts").alias("day"), by).agg(F.count_if("_first").alias("new"), F.count_if(~F.col("_first") & ~same).alias("changed"), F.count_if(~F.col("_first") & same).alias("reseen"))
+
+
+def intake(state: Deltas, emit: Callable[[DataFrame, int], None], by: str, order: tuple[str, ...], digest: str = "digest"):
+    """A foreachBatch function: counts of `intake_kinds` of each batch against the digests stored before it.
+
+    Counts of several epochs add up; an epoch that is run again gives the same ones.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        old = state.table(batch.sparkSession, epoch).join(batch.select("fingerprint").distinct(), "fingerprint", "left_semi")
+        emit(intake_kinds(batch, by, order, digest, old), epoch)
+        newest = batch.groupBy("fingerprint").agg(F.max_by(F.struct(F.col(digest).alias("digest"), "ts"), F.struct(*order)).alias("n")).select("fingerprint", "n.*")
+        state.put(newest, epoch)
+        batch.unpersist()
+
+    return run
+
+
 def dedupe(events: DataFrame, keys: list[str], time: str = "ts", horizon: str = "30 days") -> DataFrame:
     """The first of equal keys inside the horizon."""
     return events.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
@@ -57,16 +148,20 @@ def lease_timeouts(events: DataFrame, by: str = "job_id", lease_s: int = 60) ->
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
-            for frame in rows:
-                for status, ts in frame.sort_values("ts")[["status", "ts"]].itertuples(index=False):
-                    if self.since.exists():
-                        self.handle.deleteTimer(self.since.get()[0] + lease_s * 1000)
-                        self.since.clear()
-                    if status == "PROCESSING":
-                        ms = int(pd.Timestamp(ts).timestamp() * 1000)
-                        self.since.update((ms,))
-                        self.handle.registerTimer(ms + lease_s * 1000)
-            return iter(())
+            late = []
+            for status, ts in pd.concat(rows).sort_values("ts")[["status", "ts"]].itertuples(index=False):
+                ms = pd.Timestamp(ts).as_unit("ns").value // 1_000_000
+                if self.since.exists():
+                    since = self.since.get()[0]
+                    self.handle.deleteTimer(since + lease_s * 1000)
+                    self.since.clear()
+                    if ms > since + lease_s * 1000:  # it was stuck before this came, in whichever batch that is
+                        late.append(since)
+                if status == "PROCESSING":
+                    self.since.update((ms,))
+                    self.handle.registerTimer(ms + lease_s * 1000)
+            if late:
+                yield pd.DataFrame({by: [key[0]] * len(late), "stuck_since_ms": late})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
