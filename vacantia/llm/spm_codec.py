@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding with the tokenizers library as the engine.
 
-The model's protobuf is read and rebuilt: normaliser (dummy prefix, space marks), pre-tokeniser, pieces with their
+The model's protobuf is read and rebuilt: normaliser (dummy prefix, space marks), pieces with their
 scores (a unigram model as it stands; a BPE model's scores give the order of its merges), byte fallback and decoder.
 Whole texts are encoded and decoded by it in batches, and its ids are held against those of the sentencepiece library, which
 loads the model as it is.
@@ -25,9 +25,9 @@ def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
 def rebuilt(path: str):
     """A tokenizers.Tokenizer that gives the ids of the SentencePiece model at `path`, unigram or BPE.
 
-    Texts are split before runs of space marks, which changes nothing where no piece has a mark behind another character.
+    Like that library it takes a text as one piece of work, in which space marks stand for spaces: there is no pre-tokeniser.
     """
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     from .pieces import MARK, model_proto
 
@@ -47,8 +47,6 @@ def rebuilt(path: str):
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
     dummy = spec.add_dummy_prefix
     t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
-    if not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (1, 4)):
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if dummy else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return t
