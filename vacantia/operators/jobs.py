@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import blank_to_null, compact_key, fold, let, norm_inline, norm_multiline, stable_unique, truncate_marked
 from vacantia.sources import taxonomy
+from vacantia.sources.shared import sized
 
 _DEC = "decimal(38,6)"
 
@@ -227,25 +230,29 @@ def skill_list(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> Data
     """key, skills: the parts of `text` by their canonical names, each once by folded form, in order."""
     each = rows.select(key, F.posexplode(split_list(F.col(text))).alias("pos", "raw")).withColumn("k", compact_key(F.col("raw")))
     known = aliases.select(compact_key(F.col("alias")).alias("k"), "canonical").dropDuplicates(["k"])
-    named = each.join(F.broadcast(known), "k", "left").withColumn("skill", F.coalesce("canonical", "raw"))
+    named = each.join(sized(known), "k", "left").withColumn("skill", F.coalesce("canonical", "raw"))
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("all")).select(key, stable_unique(F.col("all")).alias("skills"))
 
 
-def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
+def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """key, at, n, alias and the columns of `aliases` (alias: folded words) for every run of words that is an alias.
 
-    Only words that begin some alias start a run, so an alias costs one hash lookup and no pattern is tried.
+    Runs are as long as the longest alias. Only words that begin some alias start one, with no more words behind them than
+    that, so an alias costs one hash lookup, no pattern is tried, and the work grows with the words of a text.
     """
+    words = aliases.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()[0]
     tokens = docs.select(key, F.split(F.trim(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
     heads = aliases.select(F.element_at(F.split("alias", " "), 1).alias("w")).distinct()
-    each = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).join(F.broadcast(heads), "w", "left_semi")
-    runs = each.select(key, "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(words), F.size("t") - F.col("at")))).alias("n"), "t")
-    return runs.select(key, "at", "n", F.array_join(F.slice("t", F.col("at") + 1, F.col("n")), " ").alias("alias")).join(F.broadcast(aliases), "alias")
+    runs = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.slice("t", i + 1, words))
+    each = tokens.select(key, F.posexplode(runs).alias("at", "t")).withColumn("w", F.get("t", F.lit(0))).join(sized(heads), "w", "left_semi")
+    found = each.select(key, "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda n: F.array_join(F.slice("t", F.lit(1), n), " "))).alias("n", "alias"))
+    return found.withColumn("n", F.col("n") + 1).join(sized(aliases), "alias")
 
 
 def prose_skills(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """key, at, n, alias, canonical: alias phrases in a text; ambiguous aliases and ones under three letters never count."""
-    known = aliases.select(fold(F.col("alias")).alias("alias"), "canonical").filter((F.length("alias") > 2) & ~F.col("alias").isin(*taxonomy.AMBIGUOUS))
+    """key, at, n, alias, canonical: alias phrases in a text; ambiguous aliases never count, ones under three letters only if listed."""
+    long = (F.length("alias") > 2) | F.col("alias").isin(*taxonomy.SHORT)
+    known = aliases.select(fold(F.col("alias")).alias("alias"), "canonical").filter(long & ~F.col("alias").isin(*taxonomy.AMBIGUOUS))
     return phrase_hits(rows, known.dropDuplicates(["alias"]), key, text)
 
 
@@ -259,22 +266,69 @@ def locations(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataF
     each = rows.select(key, F.posexplode(split_list(F.col(text), r"[,;|/\n]")).alias("pos", "raw")).withColumn("k", compact_key(F.col("raw")))
     known = aliases.select(compact_key(F.col("alias")).alias("k"), "canonical").dropDuplicates(["k"])
     gone = [k.replace("/", "").replace(" ", "").replace(".", "") for k in taxonomy.NOT_PLACES]
-    kept = each.filter(~F.col("k").isin(*gone)).join(F.broadcast(known), "k", "left")
+    kept = each.filter(~F.col("k").isin(*gone)).join(sized(known), "k", "left")
     name = F.when(F.col("k").isin(*taxonomy.AMBIGUOUS_PLACES), F.col("raw")).otherwise(F.coalesce("canonical", "raw"))
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", name.alias("v")))), lambda s: s["v"]).alias("all")).select(key, stable_unique(F.col("all")).alias("locations"))
 
 
-def normalized(raw: DataFrame, version: str = "rule-v2") -> DataFrame:
-    """Rows of the observation feed as normalised jobs: all scalar fields in one projection."""
-    s, e = salary(F.col("salary_text")), experience(F.col("experience_text"))
-    out = raw.withColumns({"_s": s, "_e": e})
+#: Texts that decide a posting's scalar fields, and those that decide its times.
+FIELDS, TIMES = ("salary_text", "experience_text", "title", "job_type_text"), ("posted_text", "deadline_text", "collected_at")
+
+
+def _looked_up(rows: DataFrame, keys: tuple[str, ...], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`rows` with what `made` adds to the distinct values of `keys`: texts repeat, so each is parsed once."""
+    known = made(rows.select(*keys).distinct()).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(known, same, "left").drop(*(f"_{k}" for k in keys))
+
+
+def _scalars(rows: DataFrame) -> DataFrame:
+    out = rows.withColumns({"_s": salary(F.col("salary_text")), "_e": experience(F.col("experience_text"))})
     out = out.withColumns({"salary_min": F.col("_s.salary_min"), "salary_max": F.col("_s.salary_max"), "currency": F.col("_s.currency"), "experience_min": F.col("_e.experience_min"), "experience_max": F.col("_e.experience_max")})
+    out = out.withColumn("seniority", resolve_seniority(F.lit(None).cast("string"), F.col("title"), F.col("experience_min"), F.col("experience_max")))
+    return out.withColumn("job_type", classify_job_type(F.col("job_type_text"), F.col("title"))).drop("_s", "_e")
+
+
+def _times(rows: DataFrame) -> DataFrame:
+    at = F.col("collected_at").cast("timestamp")
+    return rows.withColumns({"posted_at": posted_at(F.col("posted_text"), at), "deadline_at": deadline_at(F.col("deadline_text"), at)})
+
+
+def normalized(raw: DataFrame, version: str = "rule-v2") -> DataFrame:
+    """Rows of the observation feed with their scalar fields and times. Each distinct text is parsed once, then joined back."""
+    return _looked_up(_looked_up(raw, FIELDS, _scalars), TIMES, _times).withColumn("normalization_version", F.lit(version))
+
+
+def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFrame, version: str = "rule-v2", as_of: Column | None = None) -> DataFrame:
+    """Whole normalised jobs, one per row of `raw`, which has one row per `key`.
+
+    Scalars and times as `normalized`; skills: the listed ones by canonical name, and those of the title where the list is
+    poor; locations; apply_url and apply_type; content_hash of the raw fields and the skills; the texts for queries and
+    passages; version and time of normalisation. `raw` may lack apply_url, apply_type and description.
+    """
+    have = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
+    out = normalized(raw, version)
+    by_text = skill_list(raw.filter("skills_text IS NOT NULL").select("skills_text").distinct(), "skills_text", "skills_text", skills)
+    by_place = locations(raw.filter("location_text IS NOT NULL").select("location_text").distinct(), "location_text", "location_text", places)
+    out = out.join(by_text.withColumnRenamed("skills", "_raw"), "skills_text", "left").join(by_place, "location_text", "left")
+    prose = out.filter(F.size(F.coalesce("_raw", F.array().cast("array<string>"))) < 2).select(key, F.concat_ws(" ", "title", have("description")).alias("_prose"))
+    found = prose_skills(prose, key, "_prose", skills).groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "canonical"))), lambda x: x["canonical"]).alias("_found"))
+    out = out.join(found, key, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"skills": merge_skills(F.coalesce("_raw", none), F.coalesce("_found", none)), "locations": F.coalesce("locations", none)})
+    target = apply_target(have("apply_url"), have("apply_type"), F.col("detail_url"))
+    hashed = ("source_code", "source_job_id", "detail_url", "title", "company_name", "salary_text", "experience_text", "location_text", "job_type_text", "posted_text", "deadline_text")
+    years = format_experience(F.col("experience_min"), F.col("experience_max"))
+    listed = lambda c: blank_to_null(F.array_join(c, ", "))
+    shown = {"Title": F.col("title"), "Company": F.col("company_name"), "Level": F.when(F.col("seniority") != "UNKNOWN", F.col("seniority")), "Skills": listed("skills"), "Experience": years, "Locations": listed("locations"), "Description": have("description")}
     return out.withColumns(
         {
-            "seniority": resolve_seniority(F.lit(None).cast("string"), F.col("title"), F.col("experience_min"), F.col("experience_max")),
-            "job_type": classify_job_type(F.col("job_type_text"), F.col("title")),
-            "posted_at": posted_at(F.col("posted_text"), F.col("collected_at").cast("timestamp")),
-            "deadline_at": deadline_at(F.col("deadline_text"), F.col("collected_at").cast("timestamp")),
-            "normalization_version": F.lit(version),
+            "_target": target,
+            "content_hash": content_hash({k: F.col(k) for k in hashed}, F.col("skills")),
+            "passage": text_passage(shown),
+            "query": text_query({k: (v, 1200) for k, v in shown.items()}),
+            "normalized_at": F.current_timestamp() if as_of is None else as_of,
         }
-    ).drop("_s", "_e")
+    ).withColumns({"apply_url": F.col("_target.apply_url"), "apply_type": F.col("_target.apply_type")}).drop("_target", "_raw", "_found")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.sources.shared import sized, written
+
 FIELDS = ("title", "company_name", "salary_text", "experience_text", "location_text", "job_type_text", "posted_text", "deadline_text", "skills_text", "detail_url", "source_code", "source_job_id")
 ORDER = ("collected_at", "l_orderkey", "l_linenumber")
 
@@ -35,10 +37,17 @@ def live(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.filter(F.col("expires_at") > as_of)
 
 
-def purge_payload(raw: DataFrame, done: DataFrame, key: str, payload: tuple[str, ...], at: Column) -> DataFrame:
-    """Payload columns of rows whose key is in `done` become null and are stamped; others keep theirs, unstamped."""
-    hit = raw.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+def purge_payload(raw: DataFrame, done: DataFrame, key: str, payload: tuple[str, ...], at: Column, seen: str | None = None) -> DataFrame:
+    """Payload columns of rows whose key is in `done` become null and are stamped; others keep theirs, unstamped.
+
+    With `seen`, the time of a row's observation, a row that was observed after its key in `done` (its latest `seen`) keeps its
+    payload: a new observation clears the stamp.
+    """
     gone = F.coalesce("_done", F.lit(False))
+    if seen is None:
+        hit = raw.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    else:
+        hit = raw.join(done.groupBy(key).agg(F.max(seen).alias("_at")), key, "left").withColumn("_done", F.col(seen) <= F.col("_at")).drop("_at")
     return hit.withColumns({c: F.when(~gone, F.col(c)) for c in payload} | {"raw_payload_purged_at": F.when(gone, at)}).drop("_done")
 
 
@@ -71,10 +80,11 @@ def renormalization_report(actions: DataFrame, key: str, size: int = 500) -> Dat
 def ranks(rows: DataFrame, keys: list, parts: int = 64) -> DataFrame:
     """`rows` with `_rank`, the place in the order of `keys` over all rows, without sorting them in one task.
 
-    Rows are dealt by ranges of the keys; each range counts its rows, and places add what the ranges before hold.
+    Rows are dealt by ranges of the keys and written, so that both readings see the same ranges; each range counts its
+    rows, and places add what the ranges before hold.
     """
     order = [F.col(k) if isinstance(k, str) else k for k in keys]
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "dealt")
     dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     held = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = held.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
@@ -116,10 +126,16 @@ def reconciliation(stages: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataF
 MOVES = (("UPLOADED", "PARSING"), ("FAILED", "PARSING"), ("PARSING", "PARSED"), ("PARSING", "FAILED"))
 
 
-def transition_audit(events: DataFrame, key: str, status: str, order: list[str], moves: tuple = MOVES) -> DataFrame:
-    """Moves that aren't in `moves`, with how often each occurs."""
+def transition_audit(events: DataFrame, key: str, status: str, order: list[str], moves: tuple = MOVES, version: str | None = None, upgrades: tuple = ("PARSED",)) -> DataFrame:
+    """Moves that aren't in `moves`, with how often each occurs.
+
+    With `version`, a status in `upgrades` may begin work (the `after` of its first legal move) again where the version rises,
+    and only there.
+    """
     w = Window.partitionBy(key).orderBy(*order)
-    pairs = events.select(F.lag(status).over(w).alias("before"), F.col(status).alias("after")).filter("before IS NOT NULL AND before <> after")
+    rises = F.lit(False) if version is None else F.coalesce(F.col(version) > F.lag(version).over(w), F.lit(False))
+    pairs = events.select(F.lag(status).over(w).alias("before"), F.col(status).alias("after"), rises.alias("rises")).filter("before IS NOT NULL AND before <> after")
+    pairs = pairs.filter(~(F.col("rises") & F.col("before").isin(*upgrades) & (F.col("after") == moves[0][1])))
     legal = events.sparkSession.createDataFrame(list(moves), "before string, after string")
     return pairs.groupBy("before", "after").agg(F.count("*").alias("n")).join(F.broadcast(legal), ["before", "after"], "left_anti")
 

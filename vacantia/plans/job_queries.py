@@ -9,6 +9,7 @@ from vacantia.functions import text as t
 from vacantia.operators import jobs, keyed
 from vacantia.plans import base
 from vacantia.sources import feed, taxonomy
+from vacantia.sources.shared import written
 
 c = F.col
 KEYS = ("l_orderkey", "l_linenumber", "collected_at", "source_code", "detail_url")
@@ -111,12 +112,26 @@ def d19(spark, d):
     return jobs.normalized(_obs(spark, d)).select(*_NORMAL)
 
 
+_WHOLE = ("fingerprint", "salary_min", "salary_max", "currency", "experience_min", "experience_max", "seniority", "job_type", "posted_at", "deadline_at", "skills", "locations", "apply_url", "apply_type", "content_hash", "query", "passage", "normalization_version")
+
+
+def d19_whole(spark, d):
+    """Whole normalised jobs of the newest sighting of each fingerprint."""
+    out = jobs.normalize_jobs(_live(spark, d), "fingerprint", taxonomy.skills(spark), taxonomy.locations(spark)).select(*_WHOLE)
+    out = out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("posted_at", "deadline_at")})
+    return out.withColumns({x: F.array_join(x, "|") for x in ("skills", "locations")})
+
+
 def _stored(spark, d):
-    """Yesterday's run and today's: content hashes of the newest sighting by fingerprint."""
-    o = _obs(spark, d)
-    digest = jobs.content_hash({k: c(k) for k in ("title", "salary_text", "posted_text")})
-    last = lambda rows: keyed.latest_per_key(rows.select("fingerprint", "source_code", digest.alias("digest"), *keyed.ORDER), ["fingerprint"], list(keyed.ORDER))
-    return last(o), last(o.filter("l_orderkey % 3 = 0"))
+    """Yesterday's run and today's: content hashes of the newest sighting by fingerprint. Both in one pass, each hashed once."""
+    fields, rows = ("title", "salary_text", "posted_text"), _obs(spark, d)
+    whole = F.struct("source_code", *fields, *keyed.ORDER)
+    order, past = F.struct(*keyed.ORDER), c("l_orderkey") % 3 == 0
+    both = rows.groupBy("fingerprint").agg(F.max_by(whole, order).alias("new"), F.max_by(F.when(past, whole), F.when(past, order)).alias("old"))
+    digest = lambda n: jobs.content_hash({k: c(f"{n}.{k}") for k in fields})
+    both = written(both.withColumns({"new_digest": digest("new"), "old_digest": F.when(c("old").isNotNull(), digest("old"))}), "stored-runs")
+    of = lambda n: both.filter(c(n).isNotNull()).select("fingerprint", f"{n}.source_code", c(f"{n}_digest").alias("digest"), *(f"{n}.{k}" for k in keyed.ORDER))
+    return of("new"), of("old")
 
 
 def e5(spark, d):
@@ -170,9 +185,8 @@ def _live(spark, d):
 def flagship(spark, d):
     """Newest live postings per source with salary range and seniority."""
     rows = keyed.live(_live(spark, d), F.lit("1998-01-01").cast("timestamp"))
-    rows = jobs.normalized(rows)
     w = Window.partitionBy("source_code").orderBy(c("last_seen_at").desc(), "fingerprint")
-    top = rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
+    top = jobs.normalized(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 20"))
     return top.select("source_code", "rank", "fingerprint", "title", "salary_min", "salary_max", "currency", "seniority", "job_type", "last_seen_at")
 
 
@@ -202,6 +216,7 @@ QUERIES = {
     "d17_format_experience": d17,
     "d18_join_stable": d18,
     "d19_normalize_jobs": d19,
+    "d19_normalize_jobs_whole": d19_whole,
     "e1_fingerprint": lambda spark, d: _obs(spark, d).select("l_orderkey", "l_linenumber", "collected_at", "fingerprint"),
     "e2_upsert_seen": lambda spark, d: _live(spark, d).select("fingerprint", "title", "salary_text", "posted_text", "first_seen_at", "last_seen_at", "expires_at", "sightings"),
     "e3_expire_raw": lambda spark, d: keyed.live(_live(spark, d), F.lit("1998-01-01").cast("timestamp")).select("fingerprint", "expires_at"),
@@ -302,6 +317,7 @@ SELECT title, company_name, skills_text, experience_text, v AS value FROM s4""",
     "d17_format_experience": f"{_W} SELECT DISTINCT experience_text, {_case('experience_text', dict(zip(_EXP, ("'From 3 years'", "'0.5 - 1 years'", "'2 - 4 years'", "'From 0 years'", "'From 1.5 years'", "'0 - 1 years'"))))} AS value FROM obs",
     "d18_join_stable": f"{_W}, p AS (SELECT skills_text, trim(unnest(regexp_split_to_array(skills_text, '[,;]'))) AS v FROM (SELECT DISTINCT skills_text FROM obs)), f AS (SELECT skills_text, {base.fold('v')} AS f, min(v) AS v FROM p GROUP BY 1, 2) SELECT skills_text, string_agg(v, ', ' ORDER BY f, v) AS value FROM f GROUP BY skills_text",
     "d19_normalize_jobs": f"{_W} SELECT fingerprint, l_orderkey, l_linenumber, collected_at, {_salary('salary_text')}, CAST({_LOW} AS DOUBLE) AS experience_min, CAST({_HIGH} AS DOUBLE) AS experience_max, {_RESOLVED} AS seniority, {_TYPE} AS job_type FROM obs",
+    "d19_normalize_jobs_whole": "",
     "e1_fingerprint": f"{_W} SELECT l_orderkey, l_linenumber, collected_at, fingerprint FROM obs",
     "e2_upsert_seen": f"{_W}, {_UP} SELECT fingerprint, title, salary_text, posted_text, first_seen_at, last_seen_at, expires_at, sightings FROM up",
     "e3_expire_raw": f"{_W}, {_UP} SELECT fingerprint, expires_at FROM up WHERE expires_at > TIMESTAMP '1998-01-01'",
@@ -319,3 +335,23 @@ SELECT stage, count(*) AS missing FROM g GROUP BY stage""",
     "e13_version_coverage": f"{_W} SELECT source_code, v AS normalization_version, count(*) AS n, CAST(grouping_id(source_code, v) AS BIGINT) AS level FROM (SELECT source_code, 'rule-v2' AS v FROM obs) GROUP BY ROLLUP (source_code, v)",
     "flagship_live_postings": f"{_W}, {_UP}, l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_code ORDER BY last_seen_at DESC, fingerprint) AS rank FROM up WHERE expires_at > TIMESTAMP '1998-01-01') SELECT source_code, CAST(rank AS INTEGER) AS rank, fingerprint, title, {_salary('salary_text')}, {_RESOLVED} AS seniority, {_TYPE} AS job_type, last_seen_at FROM l WHERE rank <= 20",
 }
+
+
+def _whole_jobs() -> str:
+    """The SQL of the parts, joined on the texts that they normalise."""
+    part = lambda k: f"({ORACLES[k]})"
+    skills, places = part("d4_normalize_skill_list"), part("d7_normalize_locations")
+    years = "CASE WHEN lo = hi THEN lo_t || ' years' WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo_t || ' - ' || hi_t || ' years' WHEN lo IS NOT NULL THEN 'From ' || lo_t || ' years' WHEN hi IS NOT NULL THEN 'Up to ' || hi_t || ' years' END"
+    text = lambda x: rf"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(10,2)) AS VARCHAR), '0+$', ''), '\.$', '')"
+    shown = "concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Level: ' || nullif(seniority, 'UNKNOWN'), 'Skills: ' || nullif(replace(skills, '|', ', '), ''), 'Experience: ' || years, 'Locations: ' || nullif(replace(locations, '|', ', '), ''))"
+    listed = "coalesce(chr(10) || array_to_string(list_transform(string_split(skills, '|'), lambda x, i: 'skills[' || (i - 1) || ']=' || length(x) || ':' || x), chr(10)), '')"
+    times = {k: ORACLES[q].split("count(*) AS count, ")[1].split(f" AS {k} FROM")[0] for k, q in (("posted_at", "d11_normalize_posted_at"), ("deadline_at", "d12_normalize_deadline_at"))}
+    return f"""{_W}, {_UP}, sk AS (SELECT * FROM {skills}), pl AS (SELECT * FROM {places}),
+n AS (SELECT up.*, {_salary('salary_text')}, CAST({_LOW} AS DOUBLE) AS lo, CAST({_HIGH} AS DOUBLE) AS hi, {_RESOLVED} AS seniority, {_TYPE} AS job_type, {times["posted_at"]} AS posted_at, {times["deadline_at"]} AS deadline_at, sk.skills, pl.locations
+  FROM up LEFT JOIN sk ON sk.skills_text = up.skills_text LEFT JOIN pl ON pl.location_text = up.location_text),
+t AS (SELECT *, {text('lo')} AS lo_t, {text('hi')} AS hi_t FROM n), y AS (SELECT *, {years} AS years FROM t)
+SELECT fingerprint, salary_min, salary_max, currency, lo AS experience_min, hi AS experience_max, seniority, job_type, posted_at, deadline_at, skills, locations, detail_url AS apply_url, 'DETAIL_PAGE' AS apply_type,
+  sha256({_hash(_HASHED)[7:-1]} || {listed}) AS content_hash, 'query: ' || {shown} AS query, 'passage: ' || {shown} AS passage, 'rule-v2' AS normalization_version FROM y"""
+
+
+ORACLES["d19_normalize_jobs_whole"] = _whole_jobs()

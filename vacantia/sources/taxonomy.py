@@ -14,6 +14,8 @@ SKILLS = (
 )
 #: Aliases that also are common words: never found in prose.
 AMBIGUOUS = ("r", "c", "go", "ai", "hr", "js", "ts", "react", "word", "excel")
+#: Aliases of one or two letters that are found in prose all the same.
+SHORT = ("c#", "qa", "ux")
 LOCATIONS = (
     ("tp.hcm", "Hồ Chí Minh", "CITY"), ("tphcm", "Hồ Chí Minh", "CITY"), ("hcmc", "Hồ Chí Minh", "CITY"), ("saigon", "Hồ Chí Minh", "CITY"), ("ho chi minh city", "Hồ Chí Minh", "CITY"), ("ho chi minh", "Hồ Chí Minh", "CITY"),
     ("ha noi", "Hà Nội", "CITY"), ("hanoi", "Hà Nội", "CITY"), ("da nang", "Đà Nẵng", "CITY"), ("vietnam", "Vietnam", "COUNTRY"), ("france", "France", "COUNTRY"), ("germany", "Germany", "COUNTRY"),
@@ -77,6 +79,20 @@ def collisions(aliases: DataFrame, key, canonical: str = "canonical") -> DataFra
     return aliases.groupBy(key.alias("alias_key")).agg(F.countDistinct(canonical).alias("n")).filter("n > 1")
 
 
+def rank_faults(levels: DataFrame, name: str = "level", rank: str = "rank", order: str = "place") -> DataFrame:
+    """reason, `name`: levels whose rank isn't below that of the level before, whose rank or name is there twice, or which follow UNKNOWN.
+
+    levels: name, rank, place in the list. A list of levels is valid if this is empty and UNKNOWN, where it is listed, is last.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.orderBy(order)  # a list of levels is short
+    rows = levels.select(name, F.lag(rank).over(w).alias("before"), F.col(rank).alias("r"), F.lag(name).over(w).alias("last"), F.count("*").over(Window.partitionBy(rank)).alias("same"), F.count("*").over(Window.partitionBy(name)).alias("twice"))
+    reasons = F.array(F.when(F.col("r") >= F.col("before"), "NOT_DESCENDING"), F.when(F.col("same") > 1, "RANK_TWICE"), F.when(F.col("twice") > 1, "NAME_TWICE"), F.when(F.col("last") == "UNKNOWN", "AFTER_UNKNOWN"))
+    return rows.select(F.explode(F.filter(reasons, lambda x: x.isNotNull())).alias("reason"), name)
+
+
 def values(rows: tuple, names: str) -> str:
     """A VALUES table for SQL that runs in both engines."""
     quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
