@@ -5,28 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.functions.text import blank_to_null, compact_key, fold, let, norm_inline
+from vacantia.functions.text import ACCENTED, PLAIN, blank_to_null, compact_key, fold, let, norm_inline, stable_unique, truncate_marked
 from vacantia.operators import jobs
 from vacantia.sources import taxonomy
+from vacantia.sources.shared import sized
 
-# Common words of languages.
+# Common words of languages, headings, and letters with Vietnamese marks.
 COMMON = {
-    "en": ("the", "and", "of", "to", "in", "is", "for", "with", "on", "that"),
+    "vi": ("và", "của", "có", "trong", "với", "làm", "việc", "kinh", "nghiệm", "kỹ", "năng", "học", "vấn", "mục", "tiêu", "nghề", "nghiệp", "trình", "độ", "quản", "lý", "khách", "hàng", "công", "ty", "tại", "từ", "đến", "hiện", "nay"),
+    "en": ("and", "the", "of", "with", "for", "in", "to", "work", "experience", "skills", "education", "objective", "professional", "management", "customer", "company", "current", "present", "responsible", "business", "project", "training", "summary", "career"),
     "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "pour", "qui", "que"),
     "de": ("der", "die", "das", "und", "ist", "mit", "für", "den", "von", "sich"),
     "es": ("el", "la", "los", "de", "que", "y", "en", "un", "por", "con", "del"),
 }
+LANGUAGE_HEADINGS = {
+    "vi": ("kinh nghiệm", "kinh nghiệm làm việc", "học vấn", "kỹ năng", "mục tiêu nghề nghiệp", "chứng chỉ", "giới thiệu", "thông tin cá nhân"),
+    "en": ("work experience", "professional experience", "education", "skills", "career objective", "certifications", "professional summary", "contact information"),
+}
+VIETNAMESE = "ăâđêôơưàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
+
+
+def detect_language(text: Column, common: dict[str, tuple] = COMMON, least_words: int = 8, headings: dict[str, tuple] = LANGUAGE_HEADINGS, marks: dict[str, str] = {"vi": VIETNAMESE}) -> Column:
+    """The language of the highest score; MIXED if the best two have .22 or more and are within .35, UNKNOWN if all are under .16.
+
+    A score is six times the share of common words, .12 for each heading that occurs, and for languages with `marks` a fortieth
+    of the letters with marks, up to .35; at most 1.
+    """
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+
+    def score(k: str, ws: tuple, t: Column, w: Column) -> Column:
+        out = 6.0 * F.size(F.filter(w, lambda x: x.isin(*ws))) / F.size(w)
+        for h in headings.get(k, ()):
+            out = out + F.when(F.contains(t, F.lit(h)), 0.12).otherwise(0.0)
+        if k in marks:
+            out = out + F.least(F.lit(0.35), F.regexp_count(t, F.lit(f"[{marks[k]}]")) / 40.0)
+        return F.least(F.lit(1.0), out)
+
+    def decide(t: Column, w: Column) -> Column:
+        scores = F.array_sort(F.array(*(F.struct((-score(k, ws, t, w)).alias("s"), F.lit(k).alias("l")) for k, ws in common.items())))
+        return let(scores, lambda s: F.when(-s[0]["s"] < 0.16, "UNKNOWN").when((-s[1]["s"] >= 0.22) & (s[1]["s"] - s[0]["s"] <= 0.35), "MIXED").otherwise(s[0]["l"]))
 
+    both = F.struct(low.alias("t"), F.regexp_extract_all(low, F.lit(r"[\p{L}]+"), F.lit(0)).alias("w"))
+    return let(both, lambda v: F.when(F.size(v["w"]) < least_words, "UNKNOWN").otherwise(decide(v["t"], v["w"])))
 
-def detect_language(text: Column, common: dict[str, tuple] = COMMON, least_words: int = 8) -> Column:
-    """The language with the largest share of common words; MIXED if the best two are near and high, UNKNOWN if all are low."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0))
 
-    def decide(w: Column) -> Column:
-        scores = F.array_sort(F.array(*(F.struct((-F.least(F.lit(1.0), 6.0 * F.size(F.filter(w, lambda x: x.isin(*ws))) / F.size(w))).alias("s"), F.lit(k).alias("l")) for k, ws in common.items())))
-        return let(scores, lambda s: F.when(-s[0]["s"] < 0.16, "UNKNOWN").when((-s[1]["s"] >= 0.22) & (s[1]["s"] - s[0]["s"] < 0.05), "MIXED").otherwise(s[0]["l"]))
+def heading_key(line: Column) -> Column:
+    """A line as headings are looked up: folded, without numbering, bullets and closing marks; letter-spaced words are joined."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(fold(line), r"^(?:(?:\d{1,2}|[ivx]{1,4})[.)]\s*|[-*•#]+\s+)", ""), r"[\s:.\-]+$", ""))
+    return let(bare, lambda x: F.when(x.rlike(r"^(?:\S ){3,}\S$"), F.translate(x, " ", "")).otherwise(x))
 
-    return let(words, lambda w: F.when(F.size(w) < least_words, "UNKNOWN").otherwise(decide(w)))
+
+def _known_headings(headings: DataFrame) -> DataFrame:
+    """Headings by their key, and by their letters alone."""
+    own = headings.select(F.col("heading").alias("_k"), "section_type")
+    return own.unionByName(own.withColumn("_k", F.translate("_k", " ", ""))).dropDuplicates(["_k"])
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,8 +70,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def sections(line_table: DataFrame, headings: DataFrame, key: str = "doc_id", most: int = 50_000) -> DataFrame:
     """key, section_type, start_at, end_at, content: heading lines cut the text; what stands before the first is HEADER."""
-    known = F.broadcast(headings.select(F.col("heading").alias("_k"), "section_type"))
-    marked = line_table.withColumn("_k", F.trim(F.regexp_replace(fold(F.col("line")), r"[:.\-]+$", ""))).join(known, "_k", "left")
+    marked = line_table.withColumn("_k", heading_key(F.col("line"))).join(sized(_known_headings(headings)), "_k", "left")
     w = Window.partitionBy(key).orderBy("n")
     numbered = marked.withColumn("_s", F.sum(F.when(F.col("section_type").isNotNull(), 1).otherwise(0)).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section_type").isNull(), F.struct("n", "line")))), lambda x: x["line"]), "\n")
@@ -52,9 +83,9 @@ def unclassified_headings(line_table: DataFrame, headings: DataFrame, key: str =
     x = F.trim("line")
     letters, capitals = F.regexp_count(x, F.lit(r"[A-Za-z]")), F.regexp_count(x, F.lit("[A-Z]"))
     looks = (F.length(x) <= 80) & (F.size(F.split(x, r"\s+")).between(1, 8)) & (letters >= 3) & (capitals >= 0.85 * letters)
-    k = F.trim(F.regexp_replace(fold(F.col("line")), r"[:.\-]+$", "")).alias("_k")
+    k = heading_key(F.col("line")).alias("_k")
     rows = line_table.filter(x != "").withColumn("_first", F.min("n").over(Window.partitionBy(key)))
-    odd = rows.filter(looks & (F.col("n") > F.col("_first"))).select(key, k).join(F.broadcast(headings.select(F.col("heading").alias("_k"))), "_k", "left_anti")
+    odd = rows.filter(looks & (F.col("n") > F.col("_first"))).select(key, k).join(sized(_known_headings(headings).select("_k")), "_k", "left_anti")
     return rows.select(key).distinct().join(odd.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n_headings"))
 
 
@@ -97,12 +128,16 @@ def match_skills(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text:
     return free.groupBy(key, "canonical").agg(F.min("at").alias("at"))
 
 
+# Items of skill lists that name no skill.
+GENERIC = ("skills", "skill", "other", "others", "etc", "various", "tools", "khac", "ky nang")
+
+
 def unknown_skills(section_table: DataFrame, skills: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, skill: items of SKILLS sections that no alias names; sentences and long items aren't skills."""
     body = section_table.filter("section_type = 'SKILLS'").select(key, F.explode(F.split("content", r"[\n,;|]")).alias("item"))
     item = norm_inline(F.regexp_replace(F.regexp_replace("item", r"^\s*[-•*]\s*", ""), r"^[^:]{1,30}:\s*|\s*\([^)]*\)\s*$", ""))
-    rows = body.select(key, item.alias("skill")).filter((F.length("skill") <= 40) & (F.size(F.split("skill", " ")) <= 4)).withColumn("_k", compact_key(F.col("skill")))
-    return rows.join(F.broadcast(skills.select(compact_key(F.col("alias")).alias("_k")).distinct()), "_k", "left_anti").select(key, "skill").distinct()
+    rows = body.select(key, item.alias("skill")).filter((F.length("skill") <= 40) & (F.size(F.split("skill", " ")) <= 4) & ~fold(F.col("skill")).isin(*GENERIC)).withColumn("_k", compact_key(F.col("skill")))
+    return rows.join(sized(skills.select(compact_key(F.col("alias")).alias("_k")).distinct()), "_k", "left_anti").select(key, "skill").distinct()
 
 
 # Words for how well a skill is known.
@@ -110,21 +145,34 @@ LEVELS = (("expert", "EXPERT"), ("advanced", "ADVANCED"), ("intermediate", "INTE
 
 
 def skill_proficiency(docs: DataFrame, skills: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, canonical, level: a level word within 60 characters behind the skill, introduced by `-`, `:` or `(`."""
-    small = docs.select(key, F.lower(text).alias("t"))
-    hit = small.join(F.broadcast(skills.select(fold(F.col("alias")).alias("alias"), "canonical")), F.expr("contains(t, alias)"))
-    tail = F.expr("substring(t, locate(alias, t) + length(alias), 60)")
-    word = F.regexp_extract(tail, r"^[^\n,;]*?[-:(]\s*(" + "|".join(w for w, _ in LEVELS) + r")\b", 1)
-    level = F.coalesce(*(F.when(word == w, F.lit(v)) for w, v in LEVELS))
-    return hit.select(key, "canonical", level.alias("level")).filter("level IS NOT NULL").distinct()
+    """key, canonical, level: a level word within 60 characters behind the skill as whole words, introduced by `-`, `:` or `(`.
+
+    All places of a skill are looked at; the first that has a level counts. Which skills a text has is one join of its runs
+    of words, so no text meets an alias that it lacks.
+    """
+    known = skills.select(fold(F.col("alias")).alias("alias"), "canonical").dropDuplicates(["alias"])
+    hits = jobs.phrase_hits(docs, known, key, text).select(key, "alias", "canonical").distinct()
+    rows = hits.join(docs.select(key, F.translate(F.lower(text), ACCENTED, PLAIN).alias("t")), key)
+    place = F.concat(F.lit(r"(?<![a-z0-9+#])\Q"), F.col("alias"), F.lit(r"\E(?![a-z0-9+#])[^\n,;]{0,60}?[-:(]\s*(" + "|".join(w for w, _ in LEVELS) + r")\b"))
+    found = rows.select(key, "canonical", F.regexp_instr("t", place).alias("at"), F.get(F.regexp_extract_all("t", place, F.lit(1)), F.lit(0)).alias("word")).filter("word IS NOT NULL")
+    level = F.coalesce(*(F.when(F.col("word") == w, F.lit(v)) for w, v in LEVELS))
+    return found.groupBy(key, "canonical").agg(F.min_by(level, F.struct("at", level)).alias("level"))
 
 
 # Which section counts first as evidence.
 EVIDENCE = (("SKILLS", 1), ("WORK_EXPERIENCE", 2), ("PROJECTS", 3), ("HEADER", 4), ("SUMMARY", 4), ("EDUCATION", 5), ("CONTACT", 6))
 
 
-def skill_evidence(section_table: DataFrame, skills: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, canonical, sources (by priority), first source: where each skill of a document was found."""
+def skill_warnings(evidence: DataFrame, unknown: DataFrame, key: str = "doc_id", least: float = 0.4) -> DataFrame:
+    """key, share, warning: known skills of all a document names; under `least` the taxonomy doesn't fit it."""
+    n = evidence.select(key, F.lit(1).alias("known")).unionByName(unknown.select(key, F.lit(0).alias("known"))).groupBy(key).agg(F.avg("known").alias("share"))
+    return n.select(key, F.round("share", 4).alias("share"), F.when(F.col("share") < least, "SKILL_TAXONOMY_MATCH_LOW").alias("warning"))
+
+
+def skill_evidence(section_table: DataFrame, skills: DataFrame, key: str = "doc_id", levels: DataFrame | None = None) -> DataFrame:
+    """key, canonical, sources (by priority), first source: where each skill of a document was found; with `levels` its level too."""
+    if levels is not None:
+        return skill_evidence(section_table, skills, key).join(levels.select(key, "canonical", "level"), [key, "canonical"], "left")
     rows = section_table.withColumn("_k", F.concat_ws("|", F.col(key).cast("string"), "section_type"))
     hits = match_skills(rows.select("_k", "content"), skills, "_k", "content").select(F.split_part("_k", F.lit("|"), F.lit(1)).cast("long").alias(key), F.split_part("_k", F.lit("|"), F.lit(2)).alias("source"), "canonical")
     rank = F.coalesce(*(F.when(F.col("source") == s, F.lit(r)) for s, r in EVIDENCE), F.lit(9))
@@ -147,12 +195,19 @@ def month_index(date: Column, end: bool = False) -> Column:
 
 
 def periods(line_table: DataFrame, as_of: Column, key: str = "doc_id") -> DataFrame:
-    """key, n, start_month, end_month, current of the date ranges in lines; a current one ends at `as_of` (a month index)."""
-    f = fold(F.col("line"))
-    a, b = F.regexp_extract(f, rf"({_DATE})\s*(?:-|–|to|den)\s*({_DATE}|{_NOW})", 1), F.regexp_extract(f, rf"({_DATE})\s*(?:-|–|to|den)\s*({_DATE}|{_NOW})", 2)
-    rows = line_table.select(key, "n", a.alias("a"), b.alias("b")).filter("a <> ''")
+    """key, n, k, start_month, end_month, current and the precision of both ends, of all date ranges in lines, k by line.
+
+    A current range ends at `as_of` (a month index). Precision is MONTH, or YEAR where no month is given; null if current.
+    """
+    f, pattern = fold(F.col("line")), rf"({_DATE})\s*(?:-|–|to|den)\s*({_DATE}|{_NOW})"
+    both = F.arrays_zip(F.regexp_extract_all(f, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(f, F.lit(pattern), F.lit(2)).alias("b"))
+    rows = line_table.select(key, "n", F.posexplode(both).alias("k", "r")).select(key, "n", "k", F.col("r.a").alias("a"), F.col("r.b").alias("b"))
     current = F.col("b").rlike(f"^{_NOW}$")
-    return rows.select(key, "n", month_index(F.col("a")).alias("start_month"), F.when(current, as_of).otherwise(month_index(F.col("b"), True)).alias("end_month"), current.alias("current"))
+    precise = lambda c: F.when(F.col(c).rlike(r"^\d{4}$"), "YEAR").otherwise("MONTH")
+    return rows.select(
+        key, "n", "k", month_index(F.col("a")).alias("start_month"), F.when(current, as_of).otherwise(month_index(F.col("b"), True)).alias("end_month"), current.alias("current"),
+        precise("a").alias("start_precision"), F.when(~current, precise("b")).alias("end_precision"),
+    )
 
 
 def period_months(start: Column, end: Column) -> Column:
@@ -178,6 +233,42 @@ def explicit_years(text: Column) -> Column:
     return F.when(y.between(0, 100), y)
 
 
+def years_of(counted: Column, text: Column) -> Column:
+    """struct(years, warning): counted years, or those that a text states, with a warning that they were only stated."""
+    stated = explicit_years(text)
+    return F.struct(F.coalesce(counted, stated).alias("years"), F.when(counted.isNull() & stated.isNotNull(), "EXPERIENCE_YEARS_STATED_ONLY").alias("warning"))
+
+
+# Bands of levels that years of experience can be held against.
+BANDS = (("INTERN", 0), ("TRAINEE", 0), ("FRESHER", 0), ("ENTRY_LEVEL", 0), ("JUNIOR", 1), ("MID", 2), ("SENIOR", 3))
+
+
+def seniority_signals(rows: DataFrame, key: str, headline: str, titles: str, targets: str) -> DataFrame:
+    """key, text, priority, recency of a headline, of work titles (newest first) and of titles aimed at; later ones count less."""
+    one = lambda text, p, r: F.struct(text.alias("text"), F.lit(p).alias("priority"), r.cast("int").alias("recency"))
+    many = lambda c, p, top: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: one(x, p, top - 5 * i))
+    every = F.concat(F.array(one(F.col(headline), 100, F.lit(100))), many(titles, 95, F.lit(90)), many(targets, 80, F.lit(70)))
+    return rows.select(key, F.explode(every).alias("s")).select(key, "s.*").filter("text IS NOT NULL")
+
+
+def resolve_candidates(candidates: DataFrame, signals: DataFrame, key: str, years: str = "years") -> DataFrame:
+    """key, level, conflict of each candidate: the level of the first signal by priority, recency and rank, else one by years.
+
+    A conflict: signals of priority 95 and recency 90 or more are two levels apart, or the level's band and that of the years
+    are; leading levels have no band.
+    """
+    rank = F.coalesce(*(F.when(F.col("level") == lv, F.lit(r)) for lv, r, *_ in taxonomy.SENIORITY), F.lit(0))
+    rows = signals.withColumn("level", jobs.classify_seniority(F.col("text"))).filter("level <> 'UNKNOWN'").withColumn("rank", rank)
+    strong = F.when((F.col("priority") >= 95) & (F.col("recency") >= 90), F.col("rank"))
+    best = rows.groupBy(key).agg(F.max_by("level", F.struct("priority", "recency", "rank")).alias("_level"), (F.max(strong) - F.min(strong)).alias("_apart"))
+    none = F.lit(None).cast("string")
+    by_years = jobs.resolve_seniority(none, none, F.col(years).cast("double"), F.lit(None).cast("double"))
+    out = candidates.select(key, years).join(best, key, "left").withColumn("_years", by_years)
+    band = lambda c: F.coalesce(*(F.when(F.col(c) == lv, F.lit(b)) for lv, b in BANDS))
+    conflict = (F.coalesce("_apart", F.lit(0)) >= 20) | F.coalesce(F.abs(band("_level") - band("_years")) >= 2, F.lit(False))
+    return out.select(key, F.coalesce("_level", "_years").alias("level"), (F.col("_level").isNotNull() & conflict).alias("conflict"))
+
+
 def candidate_seniority(signals: DataFrame, key: str) -> DataFrame:
     """key, level: of signals (text, priority, recency) the level of the highest (priority, recency, rank)."""
     rank = F.coalesce(*(F.when(F.col("level") == lv, F.lit(r)) for lv, r, *_ in taxonomy.SENIORITY), F.lit(0))
@@ -196,6 +287,12 @@ def order_work_history(periods_: DataFrame, key: str, order: str) -> DataFrame:
     return periods_.withColumn("rank", F.row_number().over(w))
 
 
+def recents(ranked: DataFrame, key: str, value: str, most: int = 5) -> DataFrame:
+    """key, values: the first different values in the order of `rank` (as `order_work_history` gives)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value])
+    return ranked.groupBy(key).agg(listed.alias("_v")).select(key, stable_unique(F.col("_v"), most).alias("values"))
+
+
 def normalize_title(titles: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """key, title: the canonical title whose alias is in the text; exact first, then the longest; the rest must be a level word."""
     known = aliases.select(fold(F.col("alias")).alias("alias"), F.col("canonical"))
@@ -205,6 +302,12 @@ def normalize_title(titles: DataFrame, key: str, text: str, aliases: DataFrame)
     return hits.filter(fine).groupBy(key).agg(F.min_by("canonical", F.struct(F.col("alias") != F.col("_f"), -F.length("alias"), "canonical")).alias("title"))
 
 
+def match_degree(rows: DataFrame, degrees: DataFrame, key: str, text: str) -> DataFrame:
+    """key, level of a degree's name: the alias that is the whole text first, then the longest that is in it."""
+    hits = jobs.phrase_hits(rows, degrees, key, text).join(rows.select(key, fold(F.col(text)).alias("_f")), key)
+    return hits.groupBy(key).agg(F.min_by("level", F.struct(F.col("alias") != F.col("_f"), -F.length("alias"), "alias")).alias("level"))
+
+
 def highest_education(docs: DataFrame, degrees: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hits = jobs.phrase_hits(docs, degrees, key, text)
     return hits.groupBy(key).agg(F.max_by("level", F.struct("rank", "level")).alias("level"))
@@ -217,6 +320,24 @@ def labelled_lines(line_table: DataFrame, labels: dict[str, str], key: str = "do
     return line_table.select(key, field.alias("field"), norm_inline(F.regexp_extract("line", r":\s*(.+)$", 1)).alias("value")).filter("field IS NOT NULL AND value IS NOT NULL")
 
 
+# How work may be done, by folded words.
+WORK_MODES = (("REMOTE", r"\b(remote|wfh|work from home|tu xa)\b"), ("HYBRID", r"\bhybrid\b"), ("ONSITE", r"\b(on-?site|office|tai van phong)\b"))
+
+
+def career_preferences(line_table: DataFrame, places: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, locations, work_modes, employment_types, salary_text, availability from labelled lines; null or empty where none."""
+    rows = labelled_lines(line_table, PREFERENCES, key)
+    got = rows.groupBy(key).pivot("field", sorted(set(PREFERENCES.values()))).agg(F.concat_ws(", ", F.collect_set("value")))
+    named = jobs.locations(got.filter("LOCATION IS NOT NULL").select("LOCATION").distinct(), "LOCATION", "LOCATION", places)
+    f = lambda c: fold(F.coalesce(F.col(c), F.lit("")))
+    kept = lambda pairs, c: F.filter(F.array(*(F.when(f(c).rlike(p), F.lit(m)) for m, p in pairs)), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    return got.join(named, "LOCATION", "left").select(
+        key, F.coalesce("locations", none).alias("locations"), kept(WORK_MODES, "WORK_MODE").alias("work_modes"), kept(taxonomy.JOB_TYPES, "EMPLOYMENT_TYPE").alias("employment_types"),
+        blank_to_null(F.col("SALARY")).alias("salary_text"), blank_to_null(F.col("AVAILABILITY")).alias("availability"),
+    )
+
+
 # Labels of preferences, and names of languages and frameworks of their levels.
 PREFERENCES = {"location": "LOCATION", "desired location": "LOCATION", "work mode": "WORK_MODE", "employment type": "EMPLOYMENT_TYPE", "expected salary": "SALARY", "availability": "AVAILABILITY", "notice period": "AVAILABILITY"}
 SPOKEN = ("english", "french", "german", "spanish", "vietnamese", "japanese", "chinese", "korean")
@@ -244,23 +365,106 @@ def violations(rows: DataFrame, key: str, rules: dict[str, tuple[str, Column]])
     return rows.select(key, F.explode(F.filter(bad, lambda x: x.isNotNull())).alias("v")).select(key, "v.*")
 
 
-def text_quality(text: Column) -> Column:
-    """0 to 1 by steps of length, share of letters, and share of tiny lines."""
-    n = F.length(text)
-    letters = F.regexp_count(text, F.lit(r"[A-Za-z]")) / F.greatest(n, F.lit(1))
-    rows = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    tiny = F.size(F.filter(rows, lambda x: F.length(F.trim(x)) <= 3)) / F.greatest(F.size(rows), F.lit(1))
-    by_length = F.when(n >= 1000, 1.0).when(n >= 400, 0.8).when(n >= 150, 0.5).when(n > 0, 0.2).otherwise(0.0)
-    by_letters = F.when(letters >= 0.6, 1.0).when(letters >= 0.4, 0.7).when(letters >= 0.2, 0.4).otherwise(0.1)
-    by_tiny = F.when(tiny <= 0.05, 1.0).when(tiny <= 0.2, 0.7).otherwise(0.3)
-    return F.round(0.4 * by_length + 0.4 * by_letters + 0.2 * by_tiny, 4)
+def profile_rules(version: str, lists: tuple[str, ...] = (), most: int = 200) -> dict[str, tuple[str, Column]]:
+    """Rules for `violations` over profiles with the columns named here; `lists` are array columns of strings.
+
+    parser_version, text, text_length, start_date, end_date (YYYY or YYYY-MM), current, start_offset, end_offset, score, years, months.
+    """
+    c, date = F.col, r"^\d{4}(-(0[1-9]|1[0-2]))?$"
+    rules = {
+        "VERSION_MISMATCH": ("parser_version", ~c("parser_version").eqNullSafe(version)),
+        "TEXT_LENGTH": ("text_length", c("text_length") != F.length("text")),
+        "START_DATE_FORM": ("start_date", ~c("start_date").rlike(date)),
+        "END_DATE_FORM": ("end_date", ~c("end_date").rlike(date)),
+        "CURRENT_WITH_END": ("end_date", c("current") & c("end_date").isNotNull()),
+        "END_BEFORE_START": ("end_date", c("end_date") < F.substring("start_date", F.lit(1), F.length("end_date"))),
+        "OFFSET_NEGATIVE": ("start_offset", c("start_offset") < 0),
+        "OFFSET_ORDER": ("end_offset", c("end_offset") < c("start_offset")),
+        "OFFSET_BEYOND_TEXT": ("end_offset", c("end_offset") > F.length("text")),
+        "SCORE_RANGE": ("score", ~c("score").between(0, 1)),
+        "YEARS_RANGE": ("years", ~c("years").between(0, 100)),
+        "MONTHS_RANGE": ("months", ~c("months").between(0, 1200)),
+    }
+    for x in lists:
+        rules[f"{x.upper()}_TOO_LONG"] = (x, F.size(x) > most)
+        rules[f"{x.upper()}_BLANK_ITEM"] = (x, F.exists(x, lambda v: v.isNull() | (F.trim(v) == "")))
+    return rules
+
+
+# Sections that matter, steps of the quality score, and what warnings cost.
+IMPORTANT = ("SUMMARY", "OBJECTIVE", "SKILLS", "WORK_EXPERIENCE", "EDUCATION", "CERTIFICATIONS", "LICENSES", "LANGUAGES")
+LENGTHS = ((100, 0.15), (300, 0.35), (800, 0.58), (1500, 0.75), (5000, 0.9))
+WORK = (("title", 0.24), ("company", 0.18), ("start", 0.2), ("end", 0.14), ("duties", 0.12), ("achievements", 0.06), ("skills", 0.06))
+COMPLETE = (("full_name", 0.2), ("headline", 0.1), ("contact", 0.15), ("skills", 0.15), ("works", 0.25), ("educations", 0.15))
+PENALTIES = (("WORK_EXPERIENCE_PARTIALLY_PARSED", 0.04), ("AMBIGUOUS_WORK_EXPERIENCE_DATE", 0.03), ("EDUCATION_PARTIALLY_PARSED", 0.02), ("UNCLASSIFIED_SECTIONS_PRESENT", 0.02), ("CV_LANGUAGE_UNKNOWN", 0.02))
+AMBIGUOUS_FIELDS = (
+    ("AMBIGUOUS_WORK_EXPERIENCE_DATE", "workExperiences.date"), ("WORK_EXPERIENCE_PARTIALLY_PARSED", "workExperiences"), ("EDUCATION_PARTIALLY_PARSED", "educations"), ("CERTIFICATION_PARTIALLY_PARSED", "certifications"),
+    ("LICENSE_PARTIALLY_PARSED", "licenses"), ("SKILL_TAXONOMY_MATCH_LOW", "skills"), ("CV_LANGUAGE_UNKNOWN", "detectedLanguage"), ("TEXT_LAYOUT_MAY_BE_LOST", "rawText.layout"), ("MULTI_COLUMN_LAYOUT_SUSPECTED", "rawText.layout"),
+    ("UNCLASSIFIED_SECTIONS_PRESENT", "sections"), ("TRUNCATED_EXTRACTED_TEXT", "rawText"), ("TRUNCATED_SECTION_TEXT", "sections"),
+)
+
+
+def _clamp(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def _cost(warnings: Column, costs: tuple) -> Column:
+    return sum((F.when(F.array_contains(warnings, w), v).otherwise(0.0) for w, v in costs), F.lit(0.0))
+
+
+def text_quality(text: Column, warnings: Column) -> Column:
+    """0 to 1 by length, share of letters among what is visible, share of lines of one or two characters, and layout warnings."""
+    size = F.length(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))
+    out = F.lit(1.0)
+    for below, v in reversed(LENGTHS):
+        out = F.when(size < below, v).otherwise(out)
+    visible = F.regexp_count(text, F.lit(r"\S"))
+    letters = F.regexp_count(text, F.lit(r"\p{L}")) / F.greatest(visible, F.lit(1))
+    full = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), F.trim), lambda x: x != "")
+    tiny = let(full, lambda f: F.when(F.size(f) > 0, F.size(F.filter(f, lambda x: F.length(x) <= 2)) / F.size(f)).otherwise(0.0))
+    out = out - F.when(letters < 0.35, 0.25).when(letters < 0.5, 0.1).otherwise(0.0) - F.when(tiny >= 0.3, 0.18).when(tiny >= 0.15, 0.08).otherwise(0.0)
+    return _clamp(out - _cost(warnings, (("TRUNCATED_EXTRACTED_TEXT", 0.1), ("TEXT_LAYOUT_MAY_BE_LOST", 0.12), ("MULTI_COLUMN_LAYOUT_SUSPECTED", 0.08))))
+
+
+def section_quality(types: Column, warnings: Column) -> Column:
+    """0 to 1 by how many kinds of section there are, and how many of those that matter. types: an array."""
+    known = F.array_distinct(F.filter(types, lambda t: ~t.isin("HEADER", "OTHER")))
+    breadth = F.least(F.size(known) / 6.0, F.lit(1.0)) * 0.65 + F.size(F.array_intersect(known, F.array(*map(F.lit, IMPORTANT)))) / float(len(IMPORTANT)) * 0.35
+    out = F.when(F.size(known) == 0, 0.05).otherwise(breadth)
+    return _clamp(out - _cost(warnings, (("UNCLASSIFIED_SECTIONS_PRESENT", 0.12), ("TRUNCATED_SECTION_TEXT", 0.08))))
+
+
+def work_quality(works: Column, types: Column) -> Column:
+    """0 to 1 by how complete the entries are. works: an array of structs of booleans by the names in `WORK`."""
+    each = F.transform(works, lambda w: sum((F.when(w[n], v).otherwise(0.0) for n, v in WORK), F.lit(0.0)))
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.size(works)
+    none = F.when(F.array_contains(types, "WORK_EXPERIENCE"), 0.05).otherwise(0.0)
+    return F.when(F.size(works) == 0, none).otherwise(_clamp(mean + F.least(F.size(works) / 3.0, F.lit(1.0)) * 0.08))
+
+
+def completeness(have: dict[str, Column]) -> Column:
+    """have: whether there is each of the names in `COMPLETE`."""
+    return _clamp(sum((F.when(have[n], v).otherwise(0.0) for n, v in COMPLETE), F.lit(0.0)))
+
+
+def parse_quality(text: Column, types: Column, works: Column, have: dict[str, Column], warnings: Column) -> Column:
+    """struct(overall, text, sections, work, completeness), each 0 to 1 with four places.
+
+    overall: .35 text, .25 sections, .25 work, .15 completeness, less what warnings cost, .15 at most.
+    """
+    parts = F.struct(text_quality(text, warnings).alias("text"), section_quality(types, warnings).alias("sections"), work_quality(works, types).alias("work"), completeness(have).alias("completeness"))
+
+    def whole(p: Column) -> Column:
+        overall = p["text"] * 0.35 + p["sections"] * 0.25 + p["work"] * 0.25 + p["completeness"] * 0.15 - F.least(F.lit(0.15), _cost(warnings, PENALTIES))
+        return F.struct(F.round(_clamp(overall), 4).alias("overall"), *(F.round(p[c], 4).alias(c) for c in ("text", "sections", "work", "completeness")))
+
+    return let(parts, whole)
 
 
-def parse_quality(text: Column, n_sections: Column, n_warnings: Column) -> Column:
-    """.55 text, .30 sections, .15 completeness, less .05 a warning up to .15; between 0 and 1, four places."""
-    section = F.when(n_sections >= 4, 1.0).when(n_sections >= 2, 0.6).when(n_sections >= 1, 0.3).otherwise(0.0)
-    raw = 0.55 * text_quality(text) + 0.30 * section + 0.15 * F.when(n_sections >= 3, 1.0).otherwise(0.5) - F.least(F.lit(0.15), 0.05 * n_warnings)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)
+def ambiguous_fields(warnings: Column) -> Column:
+    """The fields that warnings speak of, each once, in the order of the warnings."""
+    field = lambda w: F.coalesce(*(F.when(w == k, F.lit(v)) for k, v in AMBIGUOUS_FIELDS))
+    return F.array_distinct(F.filter(F.transform(warnings, field), lambda x: x.isNotNull()))
 
 
 def missing_fields(fields: dict[str, Column]) -> Column:
@@ -274,3 +478,25 @@ def expired(year: Column, month: Column, as_of: Column) -> Column:
 
 def candidate_text(sections_: dict[str, tuple[Column, int]], most: int = 2400) -> Column:
     return jobs.text_query(sections_, most)
+
+
+def listed(items: Column, most: int, each: int | None = None, in_order: bool = False) -> Column:
+    """A list for `candidate_text`: at most `most` different items, sorted by their folded form unless they have an order of
+    their own, each cut to `each` characters; null if there is none."""
+    clean = stable_unique(items)
+    clean = clean if in_order else F.transform(F.array_sort(F.transform(clean, lambda x: F.struct(fold(x).alias("f"), x.alias("v")))), lambda p: p["v"])
+    cut = F.slice(clean, 1, most)
+    return blank_to_null(F.array_join(F.transform(cut, lambda x: truncate_marked(x, each)) if each else cut, "; " if in_order else ", "))
+
+
+def profile_text(columns: dict[str, str], most: int = 2400) -> Column:
+    """A candidate's text: headline and summary, sorted skills and tools, newest jobs, projects, certificates.
+
+    `columns` names the columns: headline, summary (strings); skills, jobs, projects, certificates (arrays).
+    """
+    c = {k: F.col(v) for k, v in columns.items()}
+    parts = {
+        "Title": (c["headline"], 200), "Summary": (c["summary"], 500), "Skills": (listed(c["skills"], 50), 1200), "Experience": (listed(c["jobs"], 3, 450, True), 1400),
+        "Projects": (listed(c["projects"], 3, 350, True), 1100), "Certificates": (listed(c["certificates"], 5), 400),
+    }
+    return candidate_text(parts, most)
