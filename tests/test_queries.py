@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 
 from conftest import SF
 
-QUICK = ("c3_fold", "b3_match_source_links", "d1_normalize_salary", "d7_normalize_locations", "d19_normalize_jobs", "e2_upsert_seen", "e7_renormalization_report", "f2_detect_sections", "f14_experience_years", "g5_top_k_cosine", "h8_rank_matches", "i1_list_jobs", "j1_stream_upsert_seen")
+#: Every comparison query outside the training-data package, whose tests stand beside it.
+NAMES = [n for m in entry._MODULES for n in m.ORACLES]
 
 
 def plain(df):
@@ -34,7 +35,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(duck.sql(entry.oracle_sql()[name]).df())
 

@@ -18,6 +18,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def composed(x: Column, form: str = "NFC") -> Column:
+    """Unicode normalisation (NFC, NFKC, …), which no built-in function has: an Arrow function over whole batches.
+
+    Put it once in front of the others where texts may hold decomposed letters or compatibility forms.
+    """
+    import pyarrow as pa
+
+    def run(batch: pa.Array) -> pa.Array:
+        import unicodedata
+
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in batch.to_pylist()], pa.string())
+
+    run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(x)
+
+
 def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
@@ -46,12 +62,13 @@ def compact_key(x: Column) -> Column:
 
 
 def norm_match(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    """Case folded, with single spaces. Lower case is folded further where two letters differ only in form."""
+    return F.trim(F.regexp_replace(F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "ςſ", "σs"), r"\s+", " "))
 
 
 def norm_document(x: Column, most: int = 200_000) -> tuple[Column, Column]:
     """The document's lines, bullets as `- `, at most one empty line in a row, cut at `most`; and its warnings."""
-    lines = F.transform(F.split(F.regexp_replace(x, "\r\n?", "\n"), "\n"), lambda y: F.regexp_replace(F.trim(F.regexp_replace(y, r"[ \t\x0b\x0c ]+", " ")), "^[•●▪*·] ?", "- "))
+    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), "[\x00-\x08\x0e-\x1f\x7f]", ""), "\n"), lambda y: F.regexp_replace(F.trim(F.regexp_replace(y, r"[ \t\x0b\x0c ]+", " ")), "^[•●▪*·] ?", "- "))
     text = F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
     warnings = F.filter(F.array(F.when(F.length(text) > most, "TEXT_TRUNCATED"), F.when(text == "", "TEXT_EMPTY")), lambda w: w.isNotNull())
     return F.substring(text, 1, most), warnings

@@ -113,6 +113,26 @@ def write_keyed(old: DataFrame, new: DataFrame, keys: list[str], order: list[str
     return latest_per_key(old.unionByName(new), keys, order)
 
 
+def write_table(folder: str, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Inserts or replaces the rows of `new` in the table of a shared folder, and gives the table as it is then.
+
+    Each write is a version of its own beside the last one, which readers keep until the new one is whole; versions older
+    than that go. `new` has the table's columns.
+    """
+    spark = new.sparkSession
+    path = lambda *p: spark._jvm.org.apache.hadoop.fs.Path(*p)
+    root = path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    whole = sorted(int(p.getName().removeprefix("version=")) for p in there if fs.exists(path(p, "_SUCCESS")))
+    old = spark.read.schema(new.schema).parquet(f"{folder}/version={whole[-1]}") if whole else new.limit(0)
+    at = f"{folder}/version={(whole[-1] if whole else 0) + 1}"
+    write_keyed(old, new, keys, order).select(*new.columns).write.mode("overwrite").parquet(at)
+    for v in whole[:-1]:
+        fs.delete(path(f"{folder}/version={v}"), True)
+    return spark.read.schema(new.schema).parquet(at)
+
+
 def reconciliation(stages: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     """Per named gap how many keys of the first frame the second lacks."""
     parts = [a.join(b.select(key), key, "left_anti").select(F.lit(name).alias("stage")) for name, (a, b, key) in stages.items()]

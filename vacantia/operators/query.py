@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def list_page(rows: DataFrame, filters: dict[str, object], order: list[Column], page: int = 0, size: int = 20) -> DataFrame:
-    """A page of the filtered rows in order, with the total and number of pages; size is kept between 1 and 100."""
+def list_page(rows: DataFrame, filters: dict[str, object], order: list[Column], page: int = 0, size: int = 20, codes: tuple[str, ...] = ("source_code",)) -> DataFrame:
+    """A page of the filtered rows in order, with the total and number of pages; size is kept between 1 and 100.
+
+    Filters without a value don't count; values of `codes` are trimmed and upper-cased, as those columns are.
+    """
     size, page = max(1, min(100, size)), max(0, page)
     for name, value in filters.items():
+        if name in codes and isinstance(value, str):
+            value = value.strip().upper() or None
         if value is not None:
             rows = rows.filter(F.col(name) == F.lit(value))
     total = rows.agg(F.count("*").alias("total"))
@@ -23,3 +28,8 @@ def latest(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def by_key(rows: DataFrame, name: str, value) -> DataFrame:
     return rows.filter(F.col(name) == F.lit(value))
+
+
+def latest_by_key(rows: DataFrame, name: str, value, order: list[Column]) -> DataFrame:
+    """The newest row of a key; no row where there is none."""
+    return by_key(rows, name, value).orderBy(*order).limit(1)

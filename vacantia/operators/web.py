@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import blank_to_null, norm_inline, stable_unique
+from vacantia.sources.shared import sized
 
 _ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
 
@@ -33,12 +34,18 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "pos", absolute(F.col("url"), F.trim("href")).alias("link"))
 
 
-def match_source_links(links: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links whose host ends in a source's and whose path fits its pattern, once each; `sources` is a small dimension."""
+def match_source_links(links: DataFrame, sources: DataFrame, subdomains: bool = False) -> DataFrame:
+    """Links whose host is a source's (or, with `subdomains`, below it) and whose path fits its pattern, once each.
+
+    Hosts are joined by equality; with `subdomains` each link has a row for every ending of its host.
+    """
     host = F.lower(F.regexp_extract("link", r"^[^:]+://([^/?#:]*)", 1))
     path = F.regexp_extract("link", r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    rows = links.select(canonical_url(F.col("link")).alias("link"), host.alias("_h"), path.alias("_p"))
-    hit = rows.join(F.broadcast(sources), F.expr("(_h = host OR endswith(_h, '.' || host)) AND _p rlike path_regex"))
+    rows = links.select(canonical_url(F.col("link")).alias("link"), host.alias("host"), path.alias("_p")).distinct()
+    if subdomains:
+        labels = F.split("host", r"\.")
+        rows = rows.withColumn("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+    hit = rows.join(sized(sources), "host").filter(F.expr("_p rlike path_regex"))
     return hit.select("source_code", "link").distinct()
 
 

@@ -28,6 +28,7 @@ def _broken_rows(spark, d):
 
 QUERIES = {
     "c1_norm_inline": _docs(lambda x: [t.norm_inline(x).alias("value")]),
+    "c1_norm_inline_composed": _docs(lambda x: [t.norm_inline(t.composed(F.replace(F.replace(x, F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308")))).alias("value")]),
     "c2_norm_multiline": _docs(lambda x: [t.norm_multiline(x).alias("value")]),
     "c3_fold": _docs(lambda x: [t.fold(x).alias("value")]),
     "c4_compact_key": _docs(lambda x: [t.compact_key(x).alias("value")]),
@@ -48,6 +49,7 @@ _document = "regexp_replace(regexp_replace(array_to_string(" + _LINES.format(r"r
 
 ORACLES = {
     "c1_norm_inline": _of(rf"nullif(trim(regexp_replace(text, '{_BLANK}', ' ', 'g')), '')"),
+    "c1_norm_inline_composed": _of(rf"nullif(trim(regexp_replace(nfc_normalize(text), '{_BLANK}', ' ', 'g')), '')"),
     "c2_norm_multiline": _of("nullif(regexp_replace(regexp_replace(array_to_string(" + _LINES.format(rf"trim(regexp_replace(x, '{_BLANK}', ' ', 'g'))") + r", chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g'), '')"),
     "c3_fold": _of(base.fold("text")),
     "c4_compact_key": _of(base.compact("text")),
@@ -55,7 +57,7 @@ ORACLES = {
     "c5_norm_document_whole": f"SELECT doc_id, substring(v, 1, 200000) AS value, array_to_string(list_filter([CASE WHEN length(v) > 200000 THEN 'TEXT_TRUNCATED' END, CASE WHEN v = '' THEN 'TEXT_EMPTY' END], lambda w: w IS NOT NULL), ',') AS warnings FROM (SELECT doc_id, {_document} AS v FROM documents)",
     "c6_mojibake": "SELECT doc_id, CAST(3 * len(regexp_extract_all(text, 'Ã[\\x{80}-\\x{bf}]')) + 2 * len(regexp_extract_all(text, 'Â[\\x{80}-\\x{bf}]')) + 3 * len(regexp_extract_all(text, 'â€')) + 5 * len(regexp_extract_all(text, '\\x{fffd}')) AS BIGINT) AS score, text AS value FROM documents",
     "c6_mojibake_repairs": f"SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN chr(10) || '{_SOUND[0]}' WHEN 1 THEN chr(10) || '{_KEPT}' || chr(10) || '{_SOUND[1]}' ELSE chr(10) || '{_KEPT}' || chr(10) || '{_SOUND[2]}' END AS value FROM documents",
-    "c7_norm_match": _of(r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"),
+    "c7_norm_match": _of(r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"),
     "c8_truncate_marked": _of("CASE WHEN length(text) > 120 THEN rtrim(substring(text, 1, 119)) || '…' ELSE text END"),
     "c9_stable_unique": f"""WITH l AS (SELECT doc_id, i, nullif(trim(regexp_replace(x, '{_BLANK}', ' ', 'g')), '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 f AS (SELECT doc_id, min_by(x, i) AS x, min(i) AS i FROM l WHERE x IS NOT NULL GROUP BY doc_id, {base.fold('x')}),

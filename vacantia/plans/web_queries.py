@@ -14,7 +14,15 @@ pages = lambda spark, d: feed.table(spark, d, "pages")
 
 def b3(spark, d):
     links = web.extract_links(pages(spark, d)).select("link").unionByName(pages(spark, d).select(c("url").alias("link")))
-    return web.match_source_links(links, taxonomy.sources(spark))
+    return web.match_source_links(links, taxonomy.sources(spark), subdomains=True)
+
+
+def b3_hosts(spark, d):
+    """Sources are the hosts of the pages themselves, so that a host and what lies below it are told apart."""
+    host = lambda x: F.lower(F.regexp_extract(x, r"^[^:]+://([^/?#:]*)", 1))
+    own = pages(spark, d).select(host(c("url")).alias("host")).filter("host <> ''").groupBy("host").count().filter("count > 1")
+    sources = own.select(F.concat(F.lit("S:"), "host").alias("source_code"), "host", F.lit("^/en/").alias("path_regex"))
+    return web.match_source_links(pages(spark, d).select(c("url").alias("link")).unionByName(pages(spark, d).select(F.replace("url", F.lit("://"), F.lit("://below.")).alias("link"))), sources)
 
 
 def b4(spark, d):
@@ -35,6 +43,7 @@ QUERIES = {
     "b1_extract_links": lambda spark, d: web.extract_links(pages(spark, d)),
     "b2_canonical_url": lambda spark, d: pages(spark, d).select("page_id", web.canonical_url(c("url")).alias("value")),
     "b3_match_source_links": b3,
+    "b3_match_source_links_hosts": b3_hosts,
     "b4_cap_links": b4,
     "b5_source_job_id": lambda spark, d: pages(spark, d).select("page_id", web.source_job_id(c("url"), r"(\d+)").alias("value")),
     "b6_html_to_text": lambda spark, d: pages(spark, d).select("page_id", web.html_to_text(c("html")).alias("value")),
@@ -56,6 +65,8 @@ for _mark, _char in web.ENTITIES:
 ORACLES = {
     "b1_extract_links": f"WITH {_LINKS} SELECT * FROM links",
     "b2_canonical_url": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS value FROM pages",
+    "b3_match_source_links_hosts": r"""WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS link, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS h, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+s AS (SELECT h AS host FROM p WHERE h <> '' GROUP BY h HAVING count(*) > 1) SELECT DISTINCT 'S:' || host AS source_code, link FROM p JOIN s ON h = host WHERE p LIKE '/en/%'""",
     "b3_match_source_links": rf"""WITH {_LINKS}, u AS (SELECT DISTINCT regexp_replace(link, '[?#].*$', '') AS link FROM (SELECT link FROM links UNION ALL SELECT url FROM pages)), p AS (SELECT link, lower(regexp_extract(link, '^[^:]+://([^/?#:]*)', 1)) AS h, regexp_extract(link, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM u)
 SELECT DISTINCT source_code, link FROM p JOIN {taxonomy.values(taxonomy.SOURCES, "s(source_code, host, path_regex, id_regex)")} ON (h = host OR h LIKE '%.' || host) AND regexp_matches(p, path_regex)""",
     "b4_cap_links": f"WITH {_LINKS} SELECT source, page_id, pos, link FROM (SELECT page_id % 7 AS source, *, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id, pos) AS r FROM links) WHERE r <= 40",
