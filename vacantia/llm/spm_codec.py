@@ -48,12 +48,13 @@ def rebuilt(path: str):
     dummy = spec.add_dummy_prefix
     t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
     strip = [decoders.Strip(" ", 1, 0)] if dummy else []
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *strip])
     return t
 
 
 def _encode(path: str, threads: int):
     def run(batches):
+        import itertools
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
@@ -70,11 +71,11 @@ def _encode(path: str, threads: int):
             some = [whole[k] for k in full]
             ids = [e.ids for e in own.encode_batch_fast(some, add_special_tokens=False)]
             parity, decodes = np.ones(len(whole), dtype=bool), np.ones(len(whole), dtype=bool)
-            parity[full] = [x == y for x, y in zip(ids, theirs.encode(some, num_threads=threads), strict=True)]
+            parity[full] = [x == y for x, y in zip(ids, theirs.encode(some, num_threads=1), strict=True)]
             decodes[full] = [x == t for x, t in zip(own.decode_batch(ids, skip_special_tokens=False), some, strict=True)]
             n = np.zeros(len(whole), dtype=np.int64)
             n[full] = [len(x) for x in ids]
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(n.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(n.sum()))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(n), lists, pa.array(decodes), pa.array(parity)], ["doc_id", "n_tokens", "ids", "decodes", "parity"])
 
