@@ -110,7 +110,7 @@ ORACLES = {
     "j2_stream_changed_feed": "SELECT DISTINCT event_type || ':' || user_id AS fingerprint, 'CREATED' AS action FROM events",
     "j4_stream_lease_timeout": """WITH e AS (SELECT user_id AS job_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events),
   m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events)
-SELECT job_id, CAST(epoch_ms(ts) AS BIGINT) AS stuck_since_ms FROM e, m WHERE event_type = 'click' AND (next_ts > ts + INTERVAL 60 SECOND OR (next_ts IS NULL AND ts + INTERVAL 60 SECOND <= mark))""",
+SELECT job_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS stuck_since_ms FROM e, m WHERE event_type = 'click' AND (next_ts > ts + INTERVAL 60 SECOND OR (next_ts IS NULL AND ts + INTERVAL 60 SECOND <= mark))""",
     "j5_intake_kinds": """WITH e AS (SELECT event_type AS kind, event_type || ':' || user_id AS f, ts, event_id, event_id % 3 AS d FROM events),
   o AS (SELECT *, lag(d) OVER w AS b, row_number() OVER w AS r FROM e WINDOW w AS (PARTITION BY f ORDER BY ts, event_id))
 SELECT date_trunc('day', ts) AS day, kind, count(*) FILTER (r = 1) AS new, count(*) FILTER (r > 1 AND b IS DISTINCT FROM d) AS changed, count(*) FILTER (r > 1 AND b IS NOT DISTINCT FROM d) AS reseen FROM o GROUP BY ALL""",
