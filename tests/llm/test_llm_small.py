@@ -317,6 +317,49 @@ def test_classifier(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 200, 2))
 
 
+def test_classifier_vectors_and_network_by_brute_force(spark):
+    import numpy as np
+
+    q = quality_classifier
+    texts = ["Good words are good", "some Other words 12 here here", "", "good 3 words; some good"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index = q.index_vectors()
+    total = np.zeros_like(index)
+
+    def streams(t):
+        w = words(t)
+        own = [zlib.crc32(x.lower().encode()) % q.WORDS for x in w]
+        form = [q.AGAIN if k and w[k] == w[k - 1] else q.WORDS + zlib.crc32(q.shape(x).encode()) % (q.SHAPES - 1) for k, x in enumerate(w)]
+        return own, form
+
+    for t in texts:
+        for s in streams(t):
+            for a, b in zip(s, s[1:]):
+                total[a] += np.roll(index[b], -1)
+                total[b] += np.roll(index[a], 1)
+    size = np.linalg.norm(total, axis=1, keepdims=True)
+    want = total / np.where(size > 0, size, 1)
+    got = q.word_vectors(df)
+    assert np.allclose(got, want, atol=1e-6)
+    for r in q.features(df, got).collect():
+        parts = []
+        for s in streams(texts[r.doc_id]):
+            mean = sum((want[k] for k in s), np.zeros(q.DIM)) / max(1, len(s))
+            parts += [*mean, np.linalg.norm(mean)]
+        assert np.allclose(r.features, parts, atol=1e-5)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, q.FEATURES))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    net = q.Network(x, y)
+    z = (x[7] - net.mean) / net.scale
+    hidden = [np.tanh(sum(z[i] * net.p[0][i, j] for i in range(q.FEATURES)) + net.p[1][j]) for j in range(q.HIDDEN)]
+    logit = sum(h * w for h, w in zip(hidden, net.p[2])) + net.p[3][0]
+    assert abs(net.score(x[7:8])[0] - 1 / (1 + np.exp(-logit / net.temperature))) < 1e-9
+    held = np.arange(400) % 6 == 5
+    loss = lambda t: np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * net.logit(x[held]) / t))
+    assert loss(net.temperature) <= min(loss(t) for t in (0.3, 0.5, 1.0, 2.0, 5.0)) + 1e-3
+
+
 def test_language_model(spark, docs):
     import math
     from collections import Counter

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Hash buckets of words, and of word shapes behind them: the vector table has this size whatever the corpus.
+#: Hash buckets of words, and of word shapes behind them: the vector table has this size whatever the corpus. Words of one
+#: bucket share a vector, which is coarser the more words there are.
 WORDS, SHAPES = 12_288, 4_096
 DIM, NONZERO = 32, 4
 #: Labelled rows from which the network is fit, at most (the first by hash of doc_id), and its width.
@@ -32,7 +33,7 @@ def index_vectors() -> np.ndarray:
 
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9, runs of them once; other characters stay."""
-    return _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
+    return _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))
 
 
 def _buckets(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +167,7 @@ class Network:
                     p[k] = p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         self.p, self.temperature = p, 1.0
         logit, want = self.logit(x[held]), y[held]
-        grid = np.geomspace(1, 8, 49)
+        grid = np.geomspace(0.25, 8, 61)
         self.temperature = float(min(grid, key=lambda t: np.mean(np.logaddexp(0, -np.where(want == 1, 1, -1) * logit / t))))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -219,6 +220,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def calibration(scored: DataFrame, labels: DataFrame, label: str = "quality", bins: int = 10) -> DataFrame:
+    """Per bin of scores of held-out rows that have a label: bin, n, mean score, share of label 1."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
+    rows = scored.filter("held_out").join(known, "doc_id")
+    return rows.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("y").alias("share"))
+
+
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality") -> DataFrame:
     """The rows of `docs`, with its own columns, that `classify` predicts as 1."""
     vectors, known = word_vectors(docs), known_labels(labels, label)
