@@ -650,6 +650,9 @@ def test_head_floor(spark):
     counts = spark.createDataFrame([(f"t{i}", 1 + i) for i in range(100)], "term string, n long")
     floor = terms.head_floor(counts, 20)
     assert 0 < counts.filter(F.col("n") >= floor).count() <= 20
+    giant = counts.unionByName(spark.createDataFrame([("g" * 5_000_000, 10**6)], "term string, n long"))
+    head, rest = terms.head_and_rest(giant)
+    assert head.count() + rest.count() == 101 and head.count() > 50 and rest.filter("n = 1000000").count() == 1
 
 
 def test_attention_training_grows_with_the_corpus_and_copies_are_drawn_apart():

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most terms that are broadcast, and their total length in characters.
 HEAD, HEAD_CHARS = 262_144, 4 << 20
+#: Longer terms are never broadcast, so that a few giant ones don't take the room of all others.
+LONGEST = 1024
 #: Distinct terms that a task holds before it passes its counts on.
 HELD = 500_000
 
@@ -51,7 +53,7 @@ def term_counts(docs: DataFrame, split) -> DataFrame:
 def head_floor(counts: DataFrame, most: int = HEAD) -> int:
     """The least count of the broadcast terms: a power-law histogram of at most a few hundred rows decides."""
     bucket = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
-    bins = counts.filter("n > 1").groupBy(bucket.alias("b")).agg(F.count("*").alias("terms"), F.sum(F.length("term")).alias("chars"), F.min("n").alias("least"))
+    bins = counts.filter((F.col("n") > 1) & (F.length("term") <= LONGEST)).groupBy(bucket.alias("b")).agg(F.count("*").alias("terms"), F.sum(F.length("term")).alias("chars"), F.min("n").alias("least"))
     floor, terms, chars = None, 0, 0
     for r in sorted(bins.collect(), key=lambda r: -r.b):
         terms, chars = terms + r.terms, chars + r.chars
@@ -61,6 +63,12 @@ def head_floor(counts: DataFrame, most: int = HEAD) -> int:
     return floor if floor is not None else 1 << 62
 
 
+def head_and_rest(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The terms that are broadcast, and the others."""
+    inside = (F.col("n") >= head_floor(counts)) & (F.length("term") <= LONGEST)
+    return counts.filter(inside), counts.filter(~inside)
+
+
 def joined_sums(partial: DataFrame, table: DataFrame, values: dict[str, F.Column]) -> DataFrame:
     """`partial` (row_key, …, tail: an array of structs with a term) with a sum per text of each of `values`.
 

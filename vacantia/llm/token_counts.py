@@ -72,11 +72,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     distinct = written(piece_counts(terms.term_counts(docs.select("text"), _split), model), "pretokens")
-    floor = terms.head_floor(distinct)
-    head = distinct.filter(F.col("n") >= floor).select("term", "pieces").toPandas()
+    head, rare = terms.head_and_rest(distinct)
+    head = head.select("term", "pieces").toPandas()
     partial = docs.mapInArrow(_partial(head["term"].tolist(), head["pieces"].tolist()), f"doc_id bigint, n_bytes bigint, head_tokens bigint, tail {terms.TAIL}")
     partial = written(partial.withColumn("row_key", F.monotonically_increasing_id()), "token-sums")
-    rare = distinct.filter(F.col("n") < floor).select("term", "pieces")
-    out = terms.joined_sums(partial, rare, {"tail_tokens": F.col("freq") * F.col("pieces").cast("long")})
+    out = terms.joined_sums(partial, rare.select("term", "pieces"), {"tail_tokens": F.col("freq") * F.col("pieces").cast("long")})
     total = F.col("head_tokens") + F.col("tail_tokens")
     return out.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
