@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of texts in a batch, at most; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def merges(scores: dict[str, float]) -> list[tuple[str, str]]:
