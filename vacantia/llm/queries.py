@@ -77,11 +77,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), _piece_model())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece, op11_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, quality_rules, warc_index
+    from . import mixing, quality_rules, spelling, warc_index
 
-    return {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE, "op11_spelling": spelling.ORACLE}
