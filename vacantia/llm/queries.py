@@ -83,8 +83,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece, op11_spelling)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece, op11_spelling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
