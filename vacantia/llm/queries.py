@@ -83,6 +83,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened
 
@@ -90,10 +96,10 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece, op11_spelling, op13_whitening)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_matroska, op3_simhash, op4_mixing, op5_attention_lm, op6_warc_index, op7_url_rules, op8_token_counts, op9_quality_classifier, op10_sentencepiece, op11_spelling, op12_suffix_dedup, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing, quality_rules, spelling, warc_index
+    from . import mixing, quality_rules, spelling, suffix_dedup, warc_index
 
-    return {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE, "op11_spelling": spelling.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op4_mixing": mixing.ORACLE, "op6_warc_index": warc_index.ORACLE, "op11_spelling": spelling.ORACLE, "op12_suffix_dedup": suffix_dedup.ORACLE}
