@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 DIM = 64
 #: Vectors of the smaller side up to which it may be broadcast (their size is fixed by the dimension).
 BROADCAST_ROWS = 50_000
+#: Vectors of either side in a block, where both sides are dealt to blocks.
+BLOCK = 32_768
 
 
 def hashed_vector(text: str, dim: int = DIM) -> list[float]:
@@ -100,20 +102,34 @@ def _best(scores, ids, k: int):
     return np.argpartition(key, min(k, key.shape[1]) - 1, axis=1)[:, :k]
 
 
-def top_k_cosine(queries: DataFrame, points: DataFrame, k: int, dim: int | None = None, versions: dict[str, str] | None = None) -> DataFrame:
+def top_k_cosine(queries: DataFrame, points: DataFrame, k: int, dim: int | None = None, versions: dict[str, str] | None = None, few: int = BROADCAST_ROWS, block: int = BLOCK) -> DataFrame:
     """query_id, point_id, score, rank: the k nearest points by cosine, exactly; ties by point id.
 
-    Both sides count only where `usable` (version columns, length, finite). Queries are sent in sets of at most
-    `BROADCAST_ROWS` vectors; in a task they meet the points in blocks of QUERIES x POINTS, and only k rows per query and
-    task are shuffled, whatever the number of points.
+    Both sides count only where `usable` (version columns, length, finite). Up to `few` queries are sent to the tasks, where
+    they meet the points in blocks of QUERIES x POINTS. More are dealt to blocks of about `block`, as are the points, and
+    each pair of blocks is a group of its own; no vector comes to the driver then. Either way k rows per query and group
+    of points are shuffled, and the best of them remain.
     """
-    queries, points = usable(queries, dim, versions).select("query_id", "embedding"), usable(points, dim, versions)
-    sets = max(1, -(-queries.count() // BROADCAST_ROWS))
-    found = None
-    for i in range(sets):
-        part = _nearest(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i), points, k)
-        found = part if found is None else found.unionByName(part)
-    return _ranked(found, k)
+    queries, points = usable(queries, dim, versions).select("query_id", "embedding"), usable(points, dim, versions).select("point_id", "embedding")
+    asked = queries.count()
+    if asked <= few:
+        return _ranked(_nearest(queries, points, k), k)
+    return _ranked(_by_blocks(queries, points, k, -(-asked // block), -(-points.count() // block)), k)
+
+
+def _by_blocks(queries: DataFrame, points: DataFrame, k: int, query_blocks: int, point_blocks: int) -> DataFrame:
+    """The k best points of every pair of a block of queries and a block of points.
+
+    Points are copied once per block of queries and queries once per block of points, so the rows that are shuffled are
+    those of one side times the blocks of the other.
+    """
+
+    def dealt(rows: DataFrame, name: str, block: str, blocks: int, other: str, others: int) -> DataFrame:
+        each = rows.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64(name), F.lit(max(1, blocks))).cast("int").alias(block), F.lit(name == "query_id").alias("is_query"))
+        return each.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(max(1, others) - 1))))
+
+    left, right = dealt(queries, "query_id", "q", query_blocks, "p", point_blocks), dealt(points, "point_id", "p", point_blocks, "q", query_blocks)
+    return left.unionByName(right).groupBy("q", "p").applyInArrow(_in_bucket(k), "query_id bigint, point_id bigint, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators import keyed, match, query, vectors
+from vacantia.operators import keyed, match, pools, quantiser, query, vectors
 from vacantia.plans import base
 from vacantia.sources import feed
 
@@ -93,6 +93,33 @@ def g6(spark, d):
     return recall.join(vectors.compared_share(q, p), "query_id")
 
 
+def g5_blocks(spark, d):
+    """Both sides dealt to blocks, as for query sets of any size."""
+    return vectors.top_k_cosine(*_points(spark, d), 10, few=0, block=256).select("query_id", "point_id", "score", "rank")
+
+
+def g6_cells(spark, d):
+    """Recall and share of points looked at, on vectors that lie around every twentieth one."""
+    e = _embeddings(spark, d).select("vec_id", "embedding")
+    around = e.filter("vec_id < 25").select(c("vec_id").alias("g"), c("embedding").alias("m"))
+    rows = e.withColumn("g", c("vec_id") % 25).join(F.broadcast(around), "g").select("vec_id", F.zip_with("m", "embedding", lambda a, b: a + b * 0.6).alias("embedding"))
+    q, p = rows.filter("vec_id % 50 = 7").select(c("vec_id").alias("query_id"), "embedding"), rows.select(c("vec_id").alias("point_id"), "embedding")
+    index = quantiser.Cells(p)
+    exact, near = vectors.top_k_cosine(q, p, 10), index.top_k(q, 10, probes=4)
+    hit = exact.join(near.select("query_id", "point_id").withColumn("hit", F.lit(1)), ["query_id", "point_id"], "left")
+    recall = hit.groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+    return recall.join(index.looked_at(q, probes=4), "query_id")
+
+
+def h3_pools(spark, d):
+    """Customers and orders: a customer has the parts of all own lines, an order needs those of its lines."""
+    lines = feed.table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("part "), c("l_partkey").cast("string")).alias("skill"))
+    need = lines.groupBy(c("l_orderkey").alias("job_id")).agg(F.collect_list("skill").alias("need"))
+    own = feed.table(spark, d, "orders").select(c("o_custkey").alias("candidate_id"), c("o_orderkey").alias("l_orderkey"))
+    have = lines.join(own, "l_orderkey").groupBy("candidate_id").agg(F.collect_set("skill").alias("have"))
+    return pools.skill_pools(have, need, 0.5, most=500).withColumn("skill_score", _ROUND(c("skill_score")))
+
+
 def g7(spark, d):
     o = feed.table(spark, d, "orders").select((c("o_custkey") % 97).alias("point_id"), c("o_orderdate").alias("ts"), c("o_orderkey").alias("payload"))
     return keyed.write_keyed(o.filter("payload % 2 = 0"), o.filter("payload % 2 = 1"), ["point_id"], ["ts", "payload"])
@@ -117,12 +144,15 @@ QUERIES = {
     "g3_l2_normalize": lambda spark, d: _embeddings(spark, d).select("vec_id", F.round(vectors.norm(vectors.l2_normalize(F.transform("embedding", lambda x: x * 3))), 5).alias("norm")),
     "g4_point_id": lambda spark, d: feed.table(spark, d, "part").select("p_partkey", vectors.point_id(F.concat(c("p_partkey").cast("string"), F.lit(":hash-v1"))).alias("point_id")),
     "g5_top_k_cosine": lambda spark, d: vectors.top_k_cosine(*_points(spark, d), 10).select("query_id", "point_id", "score", "rank"),
+    "g5_top_k_cosine_blocks": g5_blocks,
     "g6_top_k_lsh": g6,
+    "g6_top_k_cells": g6_cells,
     "g7_upsert_points": g7,
     "g8_compatibility_check": g8,
     "h1_eligible_jobs": lambda spark, d: _eligible(spark, d).select("job_id"),
     "h2_vector_score": lambda spark, d: vectors.top_k_cosine(*_points(spark, d), 20).select("query_id", "point_id", match.vector_score(c("score")).alias("vector_score")),
     "h3_skill_score": lambda spark, d: _pairs(spark, d).select("o_orderkey", _ROUND(match.skill_score(c("have"), c("need"))).alias("score")),
+    "h3_skill_pools": h3_pools,
     "h4_seniority_score": lambda spark, d: _pairs(spark, d).select("o_orderkey", match.seniority_score(c("level"), c("job_level")).alias("score")),
     "h5_location_score": lambda spark, d: _pairs(spark, d).select("o_orderkey", match.location_score(c("wanted"), c("places"), c("place_text")).alias("score")),
     "h6_freshness_score": lambda spark, d: _pairs(spark, d).select("o_orderkey", match.freshness_score(c("posted_at"), F.lit(AS_OF).cast("date")).alias("score")),
@@ -163,11 +193,15 @@ ORACLES = {
     "g3_l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings",
     "g4_point_id": "WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_partkey || ':hash-v1')) AS h FROM part) SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h",
     "g5_top_k_cosine": f"WITH {_TOP} SELECT query_id, point_id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10",
+    "g5_top_k_cosine_blocks": f"WITH {_TOP} SELECT query_id, point_id, score, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10",
     "g7_upsert_points": "SELECT point_id, arg_max(ts, (ts, payload)) AS ts, arg_max(payload, (ts, payload)) AS payload FROM (SELECT o_custkey % 97 AS point_id, o_orderdate AS ts, o_orderkey AS payload FROM orders) GROUP BY point_id",
     "g8_compatibility_check": "SELECT CAST(min(len(embedding)) AS INTEGER) AS least, CAST(max(len(embedding)) AS INTEGER) AS most, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_length, count(*) FILTER (WHERE vec_id % 7 = 0) AS other_version FROM embeddings",
     "h1_eligible_jobs": f"WITH {_JOBS} SELECT job_id FROM elig",
     "h2_vector_score": f"WITH {_TOP} SELECT query_id, point_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) AS vector_score FROM t WHERE rank <= 20",
     "h3_skill_score": f"{_PAIRS} SELECT o_orderkey, round({_SKILL}, 6) AS score FROM pairs",
+    "h3_skill_pools": """WITH need AS (SELECT DISTINCT l_orderkey AS job_id, l_partkey AS skill FROM lineitem), have AS (SELECT DISTINCT o_custkey AS candidate_id, l_partkey AS skill FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  m AS (SELECT candidate_id, job_id, CAST(count(*) AS INTEGER) AS matched FROM need JOIN have USING (skill) GROUP BY ALL), n AS (SELECT job_id, CAST(count(*) AS INTEGER) AS needed FROM need GROUP BY job_id)
+SELECT candidate_id, job_id, matched, needed, round(matched / needed::DOUBLE, 6) AS skill_score FROM m JOIN n USING (job_id) WHERE matched >= 0.5 * needed""",
     "h4_seniority_score": f"{_PAIRS} SELECT o_orderkey, {_SEN} AS score FROM pairs",
     "h5_location_score": f"{_PAIRS} SELECT o_orderkey, {_LOC} AS score FROM pairs",
     "h6_freshness_score": f"{_PAIRS} SELECT o_orderkey, {_FRESH} AS score FROM pairs",
