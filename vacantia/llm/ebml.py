@@ -14,6 +14,10 @@ CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0
 NONE, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 
+#: The largest number of a signed 64-bit column.
+MOST = (1 << 63) - 1
+
+
 class Malformed(ValueError):
     """Bytes that aren't a whole element, block or lace."""
 
@@ -123,7 +127,19 @@ def frames_of(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
 
 
 def uint(data, at: int, end: int) -> int:
-    return int.from_bytes(data[at:end], "big")
+    """A whole number of up to eight bytes; those that no signed 64-bit column holds are refused."""
+    out = int.from_bytes(data[at:end], "big")
+    if out > MOST:
+        raise Malformed("a number beyond 63 bits")
+    return out
+
+
+def _checked(packets: list[tuple], tracks: dict[int, dict]) -> None:
+    """Times are products and sums of numbers that fit; numbers of tracks, kinds and channels are of 31 bits."""
+    if any(abs(t) > MOST or (d or 0) > MOST or track >= 1 << 31 for track, t, d, *_ in packets):
+        raise Malformed("a packet's time or track is out of range")
+    if any(x >= 1 << 31 for t in tracks.values() for x in (t["number"], t["type"], t["channels"], t["bits"] or 0)):
+        raise Malformed("a track's number is out of range")
 
 
 def parse(data: bytes) -> tuple[list[tuple], list[tuple], dict[int, dict]]:
@@ -154,6 +170,7 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], dict[int, dict]]:
                         _cue(data, a, b, scale, top, cues)
     if any(place not in clusters for _, _, place in cues):
         raise Malformed("a cue points at no cluster")
+    _checked(packets, tracks)
     return packets, cues, tracks
 
 
