@@ -77,6 +77,56 @@ def test_unigram_models_with_byte_fallback(spark, tmp_path):
     assert back == dict(enumerate(texts))
 
 
+def test_strip_takes_spaces_only(tmp_path):
+    """Models without a character map strip and fold spaces, not line feeds and tabs."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))):
+        proto.pieces.add(piece=piece, score=0.0, type=kind)
+    for k, piece in enumerate("▁ a b c t h e ▁a ▁the he th at ▁cat cat ▁t ▁th ▁c ca".split(" ")):
+        proto.pieces.add(piece=piece, score=-1.0 - 0.37 * k, type=1)
+    path = str(tmp_path / "strip.model")
+    for kind in (1, 2):
+        for dummy in (True, False):
+            proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = kind, True
+            n = proto.normalizer_spec
+            n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = dummy, True, True
+            open(path, "wb").write(proto.SerializeToString())
+            sp, own = sentencepiece.SentencePieceProcessor(model_file=path), spm_codec.rebuilt(path)
+            for t in ("the cat", "\nthe cat\n", "\tthe", "  the  cat  ", " \n the\n \ncat \n ", "the cat \n", "   ", "\n ", "a \n\n  b "):
+                assert own.encode(t, add_special_tokens=False).ids == sp.encode(t)
+    for field in ("escape", "suffix"):
+        proto.normalizer_spec.escape_whitespaces, proto.trainer_spec.treat_whitespace_as_suffix = field != "escape", field == "suffix"
+        open(path, "wb").write(proto.SerializeToString())
+        with pytest.raises(ValueError, match="spaces"):
+            spm_codec.rebuilt(path)
+
+
+def test_null_ids_decode_to_empty_texts(spark):
+    rows = spark.createDataFrame([(1, None), (None, []), (None, None)], "doc_id long, ids array<int>")
+    assert sorted((r.doc_id or 0, r.text) for r in spm_codec.decode(rows, _piece_model()).collect()) == [(0, ""), (0, ""), (1, "")]
+
+
+def test_numbers_beyond_a_column_are_malformed(spark):
+    from vacantia.llm import ebml
+
+    head = ebml.element(ebml.TRACKS, ebml.element(ebml.TRACK_ENTRY, ebml.number(ebml.TRACK_NUMBER, 1)))
+    block = ebml.element(ebml.SIMPLE_BLOCK, ebml.as_vint(1) + b"\0\0\x80" + b"abc")
+    media = lambda *parts: ebml.element(ebml.EBML, b"") + ebml.element(ebml.SEGMENT, b"".join(parts))
+    cluster = lambda time, *more: ebml.element(ebml.CLUSTER, ebml.number(ebml.TIMESTAMP, time) + b"".join(more))
+    group = ebml.element(ebml.BLOCK_GROUP, ebml.number(ebml.BLOCK_DURATION, 2**62) + ebml.element(ebml.BLOCK, ebml.as_vint(1) + b"\0\0\0" + b"abc"))
+    wide = ebml.element(ebml.TRACKS, ebml.element(ebml.TRACK_ENTRY, ebml.number(ebml.TRACK_NUMBER, 2**40)))
+    slow = ebml.element(ebml.TRACKS, ebml.element(ebml.TRACK_ENTRY, ebml.number(ebml.TRACK_NUMBER, 1) + ebml.number(ebml.DEFAULT_DURATION, 2**64 - 1)))
+    far = ebml.element(ebml.SIMPLE_BLOCK, ebml.as_vint(2**40) + b"\0\0\x80" + b"abc")
+    bad = [media(head, cluster(2**64 - 1, block)), media(head, cluster(2**62, block)), media(head, cluster(0, group)), media(wide, cluster(0, block)), media(slow, cluster(0, block)), media(head, cluster(0, far))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*bad, media(head, cluster(5, block))])], "doc_id long, media binary")
+    got = {r.doc_id: r for r in matroska.packet_table(rows).collect()}
+    assert len(got) == 7 and all(got[i].error and got[i].size is None for i in range(6))
+    assert got[6].error is None and (got[6].timestamp_ns, got[6].size) == (5_000_000, 3)
+
+
 def test_codec_of_an_empty_table(spark, docs):
     assert spm_codec.encode(docs.limit(0), _piece_model()).count() == 0 and token_counts.count_tokens(docs.limit(0), _piece_model()).count() == 0
     assert matroska.media_digests(docs.limit(0)).count() == 0 and attention_lm.score(docs.limit(0), _piece_model(), sample=40).count() == 0

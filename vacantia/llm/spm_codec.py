@@ -41,10 +41,12 @@ def rebuilt(path: str):
         model = models.BPE(vocab, merges({p.piece: p.score for p in proto.pieces if p.type in (1, 4)}), unk_token=unk, fuse_unk=True, byte_fallback=fallback, cache_capacity=10_000)
     else:
         raise ValueError(f"{path}: neither a unigram nor a BPE model")
+    if not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError(f"{path}: spaces are not marked, or marked behind words; neither is rebuilt")
     t = Tokenizer(model)
     steps = [normalizers.Precompiled(spec.precompiled_charsmap)] if spec.precompiled_charsmap else []
     if spec.remove_extra_whitespaces:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces only; ends of the text, not of lines
     dummy = spec.add_dummy_prefix
     t.normalizer = normalizers.Sequence([*steps, *([normalizers.Prepend(MARK)] if dummy else []), normalizers.Replace(" ", MARK)])
     strip = [decoders.Strip(" ", 1, 0)] if dummy else []
@@ -88,7 +90,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
     `docs` has doc_id and text; other columns aren't read. A null or empty text has no ids; it decodes and agrees.
     Each row gives a row, repeated rows and null ids too. A text with a literal space mark (U+2581) is encoded as the
     library does, as if it were a space, and so decodes is false, as it is where the model's normaliser changes a text.
-    Unigram and BPE models are taken; for others ValueError is raised in the tasks. An empty table gives no rows.
+    Unigram and BPE models that mark spaces before words are taken; for others ValueError is raised in the tasks. An empty table gives no rows.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _encode(model, threads), "doc_id bigint, n_tokens bigint, ids array<int>, decodes boolean, parity boolean"
