@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vacantia.operators import vectors
 from vacantia.streaming import streams
 
+from conftest import SF
+
 
 def batch(spark, *rows):
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
@@ -93,3 +95,27 @@ def test_buckets_prune_where_vectors_cluster(spark):
     near = {(r.query_id, r.point_id) for r in vectors.top_k_lsh(q, p, 10, bits=10, tables=12, block=20).collect()}
     share = vectors.compared_share(q, p, bits=10, tables=12).agg(F.avg("share")).first()[0]
     assert len(exact & near) >= 0.9 * len(exact) and share < 0.25
+
+
+def test_a_late_row_does_not_overwrite_a_newer_sighting(spark, tmp_path):
+    """Day 1 says d1, day 10 says d1 again, then day 5 comes late and says d2: day 10 knows better."""
+    state, told = streams.digests(f"{tmp_path}/state"), {}
+    run = streams.changed_feed(state, lambda df, epoch: told.__setitem__(epoch, sorted((r.fingerprint, r.action) for r in df.collect())))
+    batches = [[("A", 1, "d1")], [("A", 10, "d1"), ("B", 3, "x")], [("A", 5, "d2"), ("B", 4, "y")], [("A", 11, "d2")]]
+    for epoch, rows in enumerate(batches):
+        run(spark.createDataFrame([(f, datetime.datetime(2024, 1, day), d) for f, day, d in rows], "fingerprint string, ts timestamp, digest string"), epoch)
+    assert told == {0: [("A", "CREATED")], 1: [("B", "CREATED")], 2: [("B", "UPDATED")], 3: [("A", "UPDATED")]}
+    run(spark.createDataFrame([("A", datetime.datetime(2024, 1, 5), "d2"), ("B", datetime.datetime(2024, 1, 4), "y")], "fingerprint string, ts timestamp, digest string"), 2)
+    assert told[2] == [("B", "UPDATED")]
+
+
+def test_stream_queries_equal_their_batch_forms(spark):
+    """All four actions occur over several batches, and gaps are those that a batch query finds."""
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    actions = Counter(r.action for r in entry.queries()["j2_stream_versions"](spark, SF).collect())
+    assert sum(actions.values()) == spark.read.parquet(f"{SF}/events.parquet").count() and set(actions) == {"CREATED", "UPDATED", "UNCHANGED", "LATE"}
+    gaps = Counter(r.stage for r in entry.queries()["e10_stream_reconciliation"](spark, SF).collect())
+    assert set(gaps) == {"raw_without_normalized", "normalized_without_vector"}

@@ -68,6 +68,40 @@ def j2(spark, d):
     return spark.read.parquet(f"{at}/changed").select("fingerprint", "action")
 
 
+def _split(spark, d, parts: int = 4):
+    """The events as a stream of `parts` files, one a batch, by event_id modulo that; so later batches hold older rows."""
+    at = _shared(spark)
+    events = feed.table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    for k in range(parts):
+        events.filter(c("event_id") % parts == k).coalesce(1).write.parquet(f"{at}/batch={k}")
+    return _sightings(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/batch=*"))
+
+
+def _stateful(spark, run):
+    """Runs a stream whose state needs RocksDB. Without empty batches, which a state with a time to live asks for without end."""
+    ours = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in ours}
+    try:
+        for k, v in ours.items():
+            spark.conf.set(k, v)
+        return run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
+def j2_versions(spark, d):
+    rows = _split(spark, d).withColumn("digest", F.sha2((F.floor("value") % 2).cast("string").cast("binary"), 256))
+    return _stateful(spark, lambda: _finish(streams.versions(rows, more=("event_id",)), "update", "versions")).select("event_id", "fingerprint", "action")
+
+
+def e10_stream(spark, d):
+    """Views without a click, and clicks without a purchase, of the same user within an hour."""
+    stage = lambda kind: _events(spark, d).filter(c("event_type") == kind).select(c("user_id").alias("key"), "ts")
+    gaps = streams.missing({"raw_without_normalized": (stage("view"), stage("click")), "normalized_without_vector": (stage("click"), stage("purchase"))})
+    return _finish(gaps, "append", "missing").select("stage", "key", c("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def j5_kinds(spark, d):
     at = _shared(spark)
     rows = _digested(spark, d).withColumn("kind", F.split_part("fingerprint", F.lit(":"), F.lit(1)))
@@ -103,11 +137,18 @@ def j5b(spark, d):
     return streams.sessions(e, "user_id", "30 minutes").select("user_id", c("start_at").cast("timestamp_ntz").alias("start_at"), c("end_at").cast("timestamp_ntz").alias("end_at"), "n")
 
 
-QUERIES = {"j1_stream_upsert_seen": j1, "j2_stream_changed_feed": j2, "j3_stream_dedupe": j3, "j4_stream_lease_timeout": j4, "j5_windowed_intake": j5, "j5_intake_kinds": j5_kinds, "j5_sessions": j5b}
+QUERIES = {"j1_stream_upsert_seen": j1, "j2_stream_changed_feed": j2, "j2_stream_versions": j2_versions, "e10_stream_reconciliation": e10_stream, "j3_stream_dedupe": j3, "j4_stream_lease_timeout": j4, "j5_windowed_intake": j5, "j5_intake_kinds": j5_kinds, "j5_sessions": j5b}
 
 ORACLES = {
     # A feed that sees all events in one batch, and in several ones of one fingerprint the newest: each is new once.
     "j2_stream_changed_feed": "SELECT DISTINCT event_type || ':' || user_id AS fingerprint, 'CREATED' AS action FROM events",
+    "j2_stream_versions": """WITH e AS (SELECT event_id, event_type || ':' || user_id AS f, ts, event_id % 4 AS b, sha256(CAST(CAST(floor(value) AS BIGINT) % 2 AS VARCHAR)) AS d FROM events),
+  m AS (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY f ORDER BY b, ts, d, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM e),
+  n AS (SELECT *, lag(d) OVER (PARTITION BY f ORDER BY b, ts, d, event_id) AS old FROM m WHERE NOT late)
+SELECT event_id, f AS fingerprint, CASE WHEN old IS NULL THEN 'CREATED' WHEN old = d THEN 'UNCHANGED' ELSE 'UPDATED' END AS action FROM n UNION ALL SELECT event_id, f, 'LATE' FROM m WHERE late""",
+    "e10_stream_reconciliation": """WITH mark AS (SELECT min(t) - INTERVAL 10 MINUTE AS mark FROM (SELECT max(ts) AS t FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY event_type)),
+  s AS (SELECT 'raw_without_normalized' AS stage, 'view' AS a, 'click' AS b UNION ALL SELECT 'normalized_without_vector', 'click', 'purchase')
+SELECT stage, e.user_id AS key, e.ts FROM s JOIN events e ON e.event_type = a, mark WHERE e.ts + INTERVAL 1 HOUR < mark AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_type = b AND n.user_id = e.user_id AND n.ts BETWEEN e.ts AND e.ts + INTERVAL 1 HOUR)""",
     "j4_stream_lease_timeout": """WITH e AS (SELECT user_id AS job_id, event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events),
   m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events)
 SELECT job_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS stuck_since_ms FROM e, m WHERE event_type = 'click' AND (next_ts > ts + INTERVAL 60 SECOND OR (next_ts IS NULL AND ts + INTERVAL 60 SECOND <= mark))""",

@@ -85,21 +85,84 @@ def changed_feed(state: Deltas, emit: Callable[[DataFrame, int], None], digest:
     """A foreachBatch function: rows that are new or differ from the digest stored before the batch go to `emit`.
 
     A batch that is run again sees the state of the epochs before it, so it emits the same rows again, under the same
-    epoch, and `emit` may overwrite. The state gets only what the batch changed.
+    epoch, and `emit` may overwrite. The state gets what was seen last of each fingerprint, changed or not, so that a
+    late row is held against the newest sighting; late rows are left out.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         last = batch.groupBy("fingerprint").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "fingerprint"]), F.struct("ts", digest)).alias("n")).select("fingerprint", "n.*")
         old = state.table(batch.sparkSession, epoch).join(last.select("fingerprint"), "fingerprint", "left_semi").select("fingerprint", F.col("digest").alias(digest), F.col("ts").alias("_at"))
-        late = last.join(old.select("fingerprint", "_at"), "fingerprint", "left").filter("_at IS NULL OR ts >= _at").drop("_at")
-        changed = keyed.changed_feed(keyed.normalization_action(late, old.drop("_at"), ["fingerprint"], digest)).persist()
-        emit(changed, epoch)
-        state.put(changed.select("fingerprint", F.col(digest).alias("digest"), "ts"), epoch)
-        changed.unpersist()
+        timely = last.join(old.select("fingerprint", "_at"), "fingerprint", "left").filter("_at IS NULL OR ts >= _at").drop("_at")
+        actions = keyed.normalization_action(timely, old.drop("_at"), ["fingerprint"], digest).persist()
+        emit(keyed.changed_feed(actions), epoch)
+        state.put(actions.select("fingerprint", F.col(digest).alias("digest"), "ts"), epoch)
+        actions.unpersist()
 
     return run
 
 
+def versions(rows: DataFrame, digest: str = "digest", more: tuple[str, ...] = (), keep_days: int = 30) -> DataFrame:
+    """fingerprint, ts, `digest`, `more` and action of every row of a stream: CREATED, UPDATED, UNCHANGED or LATE.
+
+    Per fingerprint a map holds when each digest was last seen; the newest of them is the current version. A row older than
+    that is LATE, whatever it says, also where the newer sighting changed nothing. A version that isn't seen for
+    `keep_days` of processing time leaves the map, and a fingerprint without one is new again. Inside a batch rows count in the
+    order of ts and digest. rows: fingerprint (string), ts (timestamp), the digest (string), `more`.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = ["fingerprint", "ts", digest, *more]
+    ttl = keep_days * 86_400_000
+
+    class Versions(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getMapState("seen", "digest string", "us bigint", ttl)
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            batch = pd.concat(rows)
+            batch["_us"] = batch["ts"].astype("datetime64[us]").astype("int64")
+            batch = batch.sort_values(["_us", digest], kind="stable")
+            now = max(((v[0], k[0]) for k, v in self.seen.iterator()), default=None)
+            touched, actions = {}, []
+            for us, d in batch[["_us", digest]].itertuples(index=False):
+                late = now is not None and us < now[0]
+                actions.append("CREATED" if now is None else "LATE" if late else "UNCHANGED" if d == now[1] else "UPDATED")
+                touched[d] = max(us, touched.get(d, us))
+                if not late:
+                    now = (us, d)
+            for d, us in touched.items():
+                old = self.seen.getValue((d,)) if self.seen.containsKey((d,)) else None
+                if old is None or old[0] < us:
+                    self.seen.updateValue((d,), (us,))
+            batch["fingerprint"], batch["action"] = key[0], actions
+            yield batch[[*names, "action"]]
+
+        def close(self):
+            pass
+
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names).groupBy("fingerprint").transformWithStateInPandas(Versions(), f"{kinds}, action string", "Update", "ProcessingTime")
+
+
+def missing(stages: dict[str, tuple[DataFrame, DataFrame]], key: str = "key", within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """stage, key, ts of rows of a first stream that no row of a second one with the same key follows within a time.
+
+    stages: name -> (first, second), each with the key and ts. A gap is told once the watermark, `late` behind the newest
+    rows of the slowest stream, has passed the end of its time, so what only comes late isn't told, and state goes with the
+    watermark. A null key is never followed.
+    """
+    out = None
+    for name, (first, second) in stages.items():
+        a = first.select(F.col(key).alias("key"), "ts").withWatermark("ts", late)
+        b = second.select(F.col(key).alias("_key"), F.col("ts").alias("_ts")).withWatermark("_ts", late)
+        follows = (F.col("key") == F.col("_key")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+        gaps = a.join(b, follows, "left_outer").filter("_ts IS NULL").select(F.lit(name).alias("stage"), "key", "ts")
+        out = gaps if out is None else out.unionByName(gaps)
+    return out
+
+
 def intake_kinds(rows: DataFrame, by: str, order: tuple[str, ...], digest: str = "digest", old: DataFrame | None = None) -> DataFrame:
     """day, `by`, new, changed, reseen: observations by whether their fingerprint is new, or its digest another than before.
 
