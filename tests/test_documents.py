@@ -102,4 +102,47 @@ def test_whole_jobs_take_skills_of_the_title_where_the_list_is_poor(spark):
     got = {r.fingerprint: r for r in jobs.normalize_jobs(spark.createDataFrame([tuple(r[k] for k in rows[0]) for r in rows], schema), "fingerprint", taxonomy.skills(spark), taxonomy.locations(spark)).collect()}
     assert got["p"].skills == ["SQL", "Python"] and got["r"].skills == ["SQL", "JavaScript"] and got["n"].skills == [] == got["n"].locations
     assert (got["p"].apply_type, got["r"].apply_type) == ("EMAIL", "DETAIL_PAGE") and got["p"].locations == ["Hồ Chí Minh"]
-    assert len({r.content_hash for r in got.values()}) == 3 and got["p"].passage.startswith("passage: Title: Python developer\nCompany: Co\nLevel: MID\nSkills: SQL, Python\nExperience: 2 - 4 years")
+    assert len({r.content_hash for r in got.values()}) == 3 and got["p"].passage.startswith("passage: Title: Python developer\nCompany: Co\nSkills: Python, SQL\nSeniority: Mid\nExperience: 2 - 4 years")
+
+
+def _raw(spark, **changes):
+    """One raw job for each change of a whole one."""
+    import datetime
+
+    one = {"fingerprint": "f", "source_code": "A", "source_job_id": "1", "detail_url": "https://x.example/1", "title": "Builder", "company_name": "Co", "salary_text": "10 - 20 triệu", "experience_text": "2 - 4 years", "location_text": "Saigon", "job_type_text": "full time", "posted_text": "today", "deadline_text": "in 3 days", "skills_text": "SQL", "seniority_text": None, "requirements_text": None, "description_text": None, "benefits_text": None, "apply_url": None, "apply_type": None, "collected_at": datetime.datetime(2024, 1, 2)}
+    rows = [one | {"fingerprint": k} | v for k, v in changes.items()]
+    return spark.createDataFrame([tuple(r[k] for k in one) for r in rows], ", ".join(f"{k} {'timestamp' if k == 'collected_at' else 'string'}" for k in one))
+
+
+def test_the_hash_covers_every_raw_field(spark):
+    fields = (*jobs.HASHED_INLINE, *jobs.HASHED_MULTILINE, *jobs.HASHED_LAST)
+    assert len(fields) + 1 == 16
+    changes = {"same": {}, "blanks": {"title": "  Builder ​"}} | {k: {k: "other"} for k in (*fields, "skills_text")} | {f"null_{k}": {k: None} for k in ("title", "benefits_text")}
+    got = {r.fingerprint: r.content_hash for r in jobs.normalize_jobs(_raw(spark, **changes), "fingerprint", taxonomy.skills(spark), taxonomy.locations(spark)).select("fingerprint", "content_hash").collect()}
+    assert got["same"] == got["blanks"] == got["null_benefits_text"] and len(set(got.values())) == 1 + 16 + 1
+
+
+def test_sections_levels_and_skills_of_whole_jobs(spark):
+    raw = _raw(
+        spark,
+        all={"title": "Head of things", "seniority_text": "senior", "requirements_text": "Python,\n\n\n sql server ", "description_text": "C++ and python", "benefits_text": " Lunch"},
+        long={"requirements_text": "x" * 3000, "skills_text": None},
+        none={k: None for k in ("title", "company_name", "salary_text", "experience_text", "location_text", "job_type_text", "skills_text")},
+    )
+    got = {r.fingerprint: r for r in jobs.normalize_jobs(raw, "fingerprint", taxonomy.skills(spark, placed=True), taxonomy.locations(spark)).collect()}
+    assert got["all"].seniority == "SENIOR" and got["all"].skills == ["SQL", "SQL Server", "Python", "C++"]  # listed ones first, then as the taxonomy has them
+    assert got["all"].passage == "passage: Title: Head of things\nCompany: Co\nSkills: C++, Python, SQL, SQL Server\nSeniority: Senior\nExperience: 2 - 4 years\nLocations: Hồ Chí Minh\nJob type: Full time\nRequirements: Python,\n\nsql server\nDescription: C++ and python\nBenefits: Lunch"
+    assert len(got["long"].passage) == 2400 and got["long"].passage.endswith("x…")
+    assert got["none"].passage is None and got["none"].query is None and got["none"].skills == []
+
+
+def test_rows_that_break_are_set_aside_and_the_others_go_on(spark, tmp_path):
+    raw = _raw(spark, ok={}, salary={"salary_text": "9" * 30 + " tỷ"}, far={"posted_text": "999999999 weeks ago", "deadline_text": "in 99999999999 days"}, grouped={"salary_text": "1.000.000.000.000.000.000 triệu"}, time={"collected_at": None}, blank={"fingerprint": " "})
+    rows = jobs.checked(jobs.normalized(raw), "fingerprint")
+    good, bad = jobs.quarantine(rows, f"file://{tmp_path}/aside")
+    assert [(r.fingerprint, r.salary_min) for r in good.collect()] == [("ok", 10_000_000)]
+    kept = {r.fingerprint: r.error for r in spark.read.parquet(f"file://{tmp_path}/aside").collect()}
+    assert kept == {"salary": "salary_text: OUT_OF_RANGE", "far": "posted_text: OUT_OF_RANGE; deadline_text: OUT_OF_RANGE", "grouped": "salary_text: OUT_OF_RANGE", "time": "collected_at: NO_TIME", " ": "fingerprint: BLANK"}
+    assert bad.count() == 5 and {r.fingerprint for r in rows.filter("posted_at IS NULL").collect()} == {"far", "time"}
+    report = keyed.renormalization_report(keyed.normalization_action(rows.withColumn("d", F.lit("x")), rows.limit(0).withColumn("d", F.lit("x")), ["fingerprint"], "d"), "fingerprint", 4).collect()
+    assert sorted((r.page, r.processed, r.created, r.failed) for r in report) == [(0, 4, 0, 4), (1, 2, 1, 1)]

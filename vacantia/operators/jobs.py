@@ -26,6 +26,8 @@ def parse_number(x: Column) -> Column:
     return plain.try_cast(_DEC)
 
 
+#: Amounts from here on are no salary; without a bound one such text would end the whole job by overflow.
+_FAR = 10**15
 _AMOUNT = r"(\d+(?:[.,]\d+)*)\s*(trieu|tr|ty|k)?(?![a-z0-9])"
 
 
@@ -35,7 +37,7 @@ def salary(text: Column) -> Column:
 
 
 def _salary(f: Column) -> Column:
-    numbers = F.transform(F.regexp_extract_all(f, F.lit(_AMOUNT), F.lit(1)), lambda x: let(x, parse_number))
+    numbers = F.transform(F.regexp_extract_all(f, F.lit(_AMOUNT), F.lit(1)), lambda x: let(let(x, parse_number), lambda v: F.when(v < _FAR, v)))
     scale = F.transform(F.regexp_extract_all(f, F.lit(_AMOUNT), F.lit(2)), lambda u: F.when(u.isin("trieu", "tr"), 1_000_000).when(u == "ty", 1_000_000_000).when(u == "k", 1000).otherwise(1))
     return let(F.struct(numbers.alias("n"), scale.alias("s")), lambda v: _salary_of(f, v["n"], v["s"]))
 
@@ -139,7 +141,7 @@ def _instants(text: Column) -> Column:
 
 
 def _ago(f: Column, unit: str) -> Column:
-    return F.regexp_extract(f, rf"^(\d+)\s*(?:{unit})\s*(?:ago|truoc)$", 1).try_cast("int")
+    return F.regexp_extract(f, rf"^(\d{{1,6}})\s*(?:{unit})\s*(?:ago|truoc)$", 1).try_cast("int")  # more would leave the calendar
 
 
 def posted_at(text: Column, as_of: Column) -> Column:
@@ -161,7 +163,7 @@ def deadline_at(text: Column, as_of: Column) -> Column:
 
 def _deadline(f: Column, text: Column, day: Column) -> Column:
     end = lambda d: F.to_utc_timestamp(F.date_add(d, 1).cast("timestamp"), ZONE) - F.expr("interval 1 microsecond")
-    ahead = F.coalesce(*(F.regexp_extract(f, p, 1).try_cast("int") for p in (r"^in (\d+) days?$", r"^(\d+) days? left$", r"^con (\d+) ngay( nua)?$")))
+    ahead = F.coalesce(*(F.regexp_extract(f, p, 1).try_cast("int") for p in (r"^in (\d{1,6}) days?$", r"^(\d{1,6}) days? left$", r"^con (\d{1,6}) ngay( nua)?$")))
     ahead = F.when(f.rlike("^(today|hom nay)$"), 0).when(f.rlike("^(tomorrow|ngay mai)$"), 1).otherwise(ahead)
     back = F.when(f.rlike("^(yesterday|hom qua)$"), 1).otherwise(F.coalesce(_ago(f, "days?|ngay"), _ago(f, "weeks?|tuan") * 7))
     return F.coalesce(_instants(text), end(F.date_add(day, ahead)), end(F.date_sub(day, back)), end(_dates(text)))
@@ -234,17 +236,27 @@ def skill_list(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> Data
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "skill"))), lambda s: s["skill"]).alias("all")).select(key, stable_unique(F.col("all")).alias("skills"))
 
 
+#: First words of aliases up to which they are literals of the plan; more are joined.
+HEADS = 2000
+
+
 def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> DataFrame:
     """key, at, n, alias and the columns of `aliases` (alias: folded words) for every run of words that is an alias.
 
     Runs are as long as the longest alias. Only words that begin some alias start one, with no more words behind them than
     that, so an alias costs one hash lookup, no pattern is tried, and the work grows with the words of a text.
     """
-    words = aliases.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()[0]
+    heads = aliases.groupBy(F.element_at(F.split("alias", " "), 1).alias("w")).agg(F.max(F.size(F.split("alias", " "))).alias("words"))
+    few = heads.limit(HEADS + 1).collect()
+    words = max((r.words for r in few), default=1) if len(few) <= HEADS else heads.agg(F.max("words")).first()[0]
     tokens = docs.select(key, F.split(F.trim(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
-    heads = aliases.select(F.element_at(F.split("alias", " "), 1).alias("w")).distinct()
-    runs = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.slice("t", i + 1, words))
-    each = tokens.select(key, F.posexplode(runs).alias("at", "t")).withColumn("w", F.get("t", F.lit(0))).join(sized(heads), "w", "left_semi")
+    if len(few) <= HEADS:  # few words begin an alias: only their places leave the array
+        starts = F.filter(F.transform("t", lambda w, i: F.when(w.isin([r.w for r in few]), i)), lambda i: i.isNotNull())
+        each = tokens.select(key, "t", F.explode(starts).alias("at"))
+        each = each.select(key, "at", F.slice("t", F.col("at") + 1, words).alias("t"))
+    else:
+        runs = tokens.select(key, "t", F.posexplode("t").alias("at", "w")).join(sized(heads.select("w")), "w", "left_semi")
+        each = runs.select(key, "at", F.slice("t", F.col("at") + 1, words).alias("t"))
     found = each.select(key, "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t")), lambda n: F.array_join(F.slice("t", F.lit(1), n), " "))).alias("n", "alias"))
     return found.withColumn("n", F.col("n") + 1).join(sized(aliases), "alias")
 
@@ -296,39 +308,115 @@ def _times(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"posted_at": posted_at(F.col("posted_text"), at), "deadline_at": deadline_at(F.col("deadline_text"), at)})
 
 
-def normalized(raw: DataFrame, version: str = "rule-v2") -> DataFrame:
-    """Rows of the observation feed with their scalar fields and times. Each distinct text is parsed once, then joined back."""
-    return _looked_up(_looked_up(raw, FIELDS, _scalars), TIMES, _times).withColumn("normalization_version", F.lit(version))
+def faults(raw: DataFrame, key: str) -> Column:
+    """array<struct<field, reason>> of what a row can't be normalised for: a blank key, no time of observation, amounts out of range.
+
+    The normalisers give null there; nothing of this ends a job.
+    """
+    have = lambda n: F.coalesce(fold(F.col(n)), F.lit("")) if n in raw.columns else F.lit("")
+    rules = (
+        (key, "BLANK", F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) == ""),
+        ("collected_at", "NO_TIME", F.col("collected_at").isNull() if "collected_at" in raw.columns else F.lit(False)),
+        ("salary_text", "OUT_OF_RANGE", F.regexp_replace(have("salary_text"), "[.,]", "").rlike(r"\d{16,}")),
+        ("experience_text", "OUT_OF_RANGE", have("experience_text").rlike(r"\d{16,}")),
+        ("posted_text", "OUT_OF_RANGE", have("posted_text").rlike(r"^\d{7,}\s*\w+ (ago|truoc)$")),
+        ("deadline_text", "OUT_OF_RANGE", have("deadline_text").rlike(r"^(in |con )?\d{7,} (days?|ngay)\b")),
+    )
+    each = F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"))) for field, reason, bad in rules))
+    return F.filter(each, lambda x: x.isNotNull())
 
 
-def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFrame, version: str = "rule-v2", as_of: Column | None = None) -> DataFrame:
-    """Whole normalised jobs, one per row of `raw`, which has one row per `key`.
+def checked(raw: DataFrame, key: str) -> DataFrame:
+    """`raw` with `errors` (`faults`) and `error`: their text, null for a row that can be normalised."""
+    out = raw.withColumn("errors", faults(raw, key))
+    return out.withColumn("error", blank_to_null(F.array_join(F.transform("errors", lambda x: F.concat(x["field"], F.lit(": "), x["reason"])), "; ")))
 
-    Scalars and times as `normalized`; skills: the listed ones by canonical name, and those of the title where the list is
-    poor; locations; apply_url and apply_type; content_hash of the raw fields and the skills; the texts for queries and
-    passages; version and time of normalisation. `raw` may lack apply_url, apply_type and description.
+
+def quarantine(rows: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of `checked` that can be normalised, and the others, which are a table of their own in `folder` if one is given."""
+    good, bad = rows.filter("error IS NULL").drop("errors", "error"), rows.filter("error IS NOT NULL")
+    if folder:
+        bad.write.mode("append").parquet(folder)
+    return good, bad
+
+
+def normalized(raw: DataFrame, version: str = "rule-v2", repeated: bool = True) -> DataFrame:
+    """Rows of the observation feed with their scalar fields and times.
+
+    With `repeated` each distinct text is parsed once and joined back, which reads `raw` three times: a table, or a cheap
+    plan. Without, rows are parsed as they come, in one pass: for few rows behind a costly plan.
+    """
+    out = _looked_up(_looked_up(raw, FIELDS, _scalars), TIMES, _times) if repeated else _times(_scalars(raw))
+    return out.withColumn("normalization_version", F.lit(version))
+
+
+#: Raw fields that the content hash covers, by kind of cleaning, in its order; the skills stand behind the inline ones.
+HASHED_INLINE = ("title", "company_name", "salary_text", "location_text", "experience_text", "seniority_text", "job_type_text", "deadline_text", "posted_text")
+HASHED_MULTILINE = ("description_text", "requirements_text", "benefits_text")
+HASHED_LAST = ("detail_url", "apply_url", "apply_type")
+#: Most characters of a section of the passage, and of the whole.
+SECTIONS, PASSAGE = {"Requirements": 4000, "Description": 6000, "Benefits": 2000}, 2400
+
+
+def raw_hash(fields: dict[str, Column], skills: Column) -> Column:
+    """SHA-256 over `name=length:value` lines of the 16 raw fields and the listed skills; null is -1, lengths are code points."""
+    line = lambda name, v: F.concat(F.lit(name + "="), F.coalesce(F.length(v), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(v, F.lit("")))
+    listed = F.transform(skills, lambda s, i: F.concat(F.lit("skills["), i.cast("string"), F.lit("]="), F.length(s).cast("string"), F.lit(":"), s))
+    lines = [*(line(k, norm_inline(fields[k])) for k in HASHED_INLINE), blank_to_null(F.array_join(listed, "\n")), *(line(k, norm_multiline(fields[k])) for k in HASHED_MULTILINE), *(line(k, norm_inline(fields[k])) for k in HASHED_LAST)]
+    return F.sha2(F.concat_ws("\n", *lines).cast("binary"), 256)
+
+
+def taxonomy_order(found: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
+    """key, found: the skills of `prose_skills` once each, in the order of the taxonomy's first alias of each."""
+    place = aliases.groupBy("canonical").agg(F.min("place").alias("place"))
+    return found.select(key, "canonical").distinct().join(sized(place), "canonical").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "canonical"))), lambda x: x["canonical"]).alias("_found"))
+
+
+def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFrame, version: str = "rule-v2", as_of: Column | None = None) -> DataFrame:
+    """Whole normalised jobs, one per row of `raw`, which has one row per `key`; give a table, as it is read several times.
+
+    Scalars and times as `normalized`, the level by the explicit text first; skills: the listed ones by canonical name and,
+    where the list is poor, those that title, requirements and description name, in the order of `skills` (column place, else
+    of the alias); locations; apply_url and apply_type; the hash of all 16 raw fields and the listed skills; the texts for
+    queries and passages with all ten sections (null for a job without any); version and time of normalisation; `errors`
+    and `error` (`checked`). `raw` may lack seniority_text, requirements_text, description_text, benefits_text, apply_url and
+    apply_type.
     """
     have = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
-    out = normalized(raw, version)
+    out = checked(normalized(raw, version), key)
+    level = let(classify_seniority(have("seniority_text")), lambda v: F.when(v != "UNKNOWN", v))
+    out = out.withColumn("seniority", F.coalesce(level, "seniority"))
     by_text = skill_list(raw.filter("skills_text IS NOT NULL").select("skills_text").distinct(), "skills_text", "skills_text", skills)
     by_place = locations(raw.filter("location_text IS NOT NULL").select("location_text").distinct(), "location_text", "location_text", places)
     out = out.join(by_text.withColumnRenamed("skills", "_raw"), "skills_text", "left").join(by_place, "location_text", "left")
-    prose = out.filter(F.size(F.coalesce("_raw", F.array().cast("array<string>"))) < 2).select(key, F.concat_ws(" ", "title", have("description")).alias("_prose"))
-    found = prose_skills(prose, key, "_prose", skills).groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "canonical"))), lambda x: x["canonical"]).alias("_found"))
-    out = out.join(found, key, "left")
+    prose = out.filter(F.size(F.coalesce("_raw", F.array().cast("array<string>"))) < 2).select(key, F.concat_ws("\n", "title", have("requirements_text"), have("description_text")).alias("_prose"))
+    ordered = skills if "place" in skills.columns else skills.withColumn("place", F.col("alias"))
+    out = out.join(taxonomy_order(prose_skills(prose, key, "_prose", skills), key, ordered), key, "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"skills": merge_skills(F.coalesce("_raw", none), F.coalesce("_found", none)), "locations": F.coalesce("locations", none)})
     target = apply_target(have("apply_url"), have("apply_type"), F.col("detail_url"))
-    hashed = ("source_code", "source_job_id", "detail_url", "title", "company_name", "salary_text", "experience_text", "location_text", "job_type_text", "posted_text", "deadline_text")
-    years = format_experience(F.col("experience_min"), F.col("experience_max"))
-    listed = lambda c: blank_to_null(F.array_join(c, ", "))
-    shown = {"Title": F.col("title"), "Company": F.col("company_name"), "Level": F.when(F.col("seniority") != "UNKNOWN", F.col("seniority")), "Skills": listed("skills"), "Experience": years, "Locations": listed("locations"), "Description": have("description")}
+    raw_fields = {k: have(k) for k in (*HASHED_INLINE, *HASHED_MULTILINE, *HASHED_LAST)}
+    listed = F.filter(F.transform(F.split(F.coalesce("skills_text", F.lit("")), r"[,;|\n]"), norm_inline), lambda x: x.isNotNull())
+    shown_name = lambda x: F.concat(F.substring(x, 1, 1), F.lower(F.translate(F.substring(x, 2, 100), "_", " ")))
+    known = lambda c: F.when(F.col(c) != "UNKNOWN", shown_name(F.col(c)))
+    cut = lambda name, label: truncate_marked(norm_multiline(have(name)), SECTIONS[label])
+    shown = {
+        "Title": norm_inline(F.col("title")), "Company": norm_inline(F.col("company_name")), "Skills": blank_to_null(join_stable(F.col("skills"))), "Seniority": known("seniority"),
+        "Experience": format_experience(F.col("experience_min"), F.col("experience_max")), "Locations": blank_to_null(join_stable(F.col("locations"))), "Job type": known("job_type"),
+        "Requirements": cut("requirements_text", "Requirements"), "Description": cut("description_text", "Description"), "Benefits": cut("benefits_text", "Benefits"),
+    }
+    names = {k: f"s{i}" for i, k in enumerate(shown)}
+
+    def texts(v: Column) -> Column:
+        sections = {k: v[n] for k, n in names.items()}
+        some = F.coalesce(*sections.values()).isNotNull()
+        return F.struct(F.when(some, text_passage(sections, PASSAGE)).alias("passage"), F.when(some, text_query({k: (x, SECTIONS.get(k, 1200)) for k, x in sections.items()})).alias("query"))
+
     return out.withColumns(
         {
             "_target": target,
-            "content_hash": content_hash({k: F.col(k) for k in hashed}, F.col("skills")),
-            "passage": text_passage(shown),
-            "query": text_query({k: (v, 1200) for k, v in shown.items()}),
+            "content_hash": raw_hash(raw_fields, listed),
+            "_texts": let(F.struct(*(v.alias(names[k]) for k, v in shown.items())), texts),
             "normalized_at": F.current_timestamp() if as_of is None else as_of,
         }
-    ).withColumns({"apply_url": F.col("_target.apply_url"), "apply_type": F.col("_target.apply_type")}).drop("_target", "_raw", "_found")
+    ).withColumns({"apply_url": F.col("_target.apply_url"), "apply_type": F.col("_target.apply_type"), "passage": F.col("_texts.passage"), "query": F.col("_texts.query")}).drop("_target", "_texts", "_raw", "_found")

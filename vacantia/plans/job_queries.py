@@ -115,9 +115,21 @@ def d19(spark, d):
 _WHOLE = ("fingerprint", "salary_min", "salary_max", "currency", "experience_min", "experience_max", "seniority", "job_type", "posted_at", "deadline_at", "skills", "locations", "apply_url", "apply_type", "content_hash", "query", "passage", "normalization_version")
 
 
+#: Further raw fields, made from those of the feed; the SQL runs unchanged in both engines.
+_RICH = {
+    "skills_text": "CASE WHEN length(company_name) % 2 = 0 THEN split_part(skills_text, ',', 1) ELSE skills_text END",
+    "seniority_text": "CASE WHEN title LIKE 'Head of%' THEN 'Senior level' WHEN length(title) % 4 = 0 THEN 'Fresher' END",
+    "requirements_text": "CASE WHEN length(title) % 2 = 0 THEN 'Must know ' || title || ' and sql server' || chr(10) || ' - C++  a plus' END",
+    "description_text": "'We make ' || skills_text || '.' || chr(10) || 'Python helps.'",
+    "benefits_text": "CASE WHEN length(title) % 3 = 0 THEN ' Lunch ' || chr(10) || '13th  month pay ' END",
+    "apply_url": "CASE WHEN length(title) % 5 = 0 THEN 'mailto:jobs@mail.example.com' END",
+}
+
+
 def d19_whole(spark, d):
-    """Whole normalised jobs of the newest sighting of each fingerprint."""
-    out = jobs.normalize_jobs(_live(spark, d), "fingerprint", taxonomy.skills(spark), taxonomy.locations(spark)).select(*_WHOLE)
+    """Whole normalised jobs of the newest sighting of each fingerprint, with all sections; the feed is read once."""
+    rich = written(_live(spark, d).withColumns({k: F.expr(v) for k, v in _RICH.items()}), "newest")
+    out = jobs.normalize_jobs(rich, "fingerprint", taxonomy.skills(spark, placed=True), taxonomy.locations(spark)).select(*_WHOLE)
     out = out.withColumns({x: c(x).cast("timestamp_ntz") for x in ("posted_at", "deadline_at")})
     return out.withColumns({x: F.array_join(x, "|") for x in ("skills", "locations")})
 
@@ -143,6 +155,30 @@ def e7(spark, d):
     return keyed.renormalization_report(e5(spark, d), "fingerprint", 500)
 
 
+def _broken(spark, d):
+    """Raw jobs of which some break a normaliser, and the digests of an earlier run."""
+    p, k = feed.table(spark, d, "part"), c("p_partkey")
+    salary = F.when(k % 40 == 7, F.concat(F.repeat(F.lit("9"), 20), F.lit(" USD"))).when(k % 40 == 8, "99999999999999999999 tỷ").otherwise("1000 - 2000 USD")
+    posted = F.when(k % 50 == 3, "99999999 days ago").when(k % 50 == 4, "999999999 weeks ago").otherwise("hôm qua")
+    raw = p.select(F.when(k % 90 != 5, F.lpad(k.cast("string"), 8, "0")).alias("raw_id"), k.alias("p_partkey"), salary.alias("salary_text"), posted.alias("posted_text"), F.when(k % 60 != 1, F.lit("2001-12-01").cast("timestamp")).alias("collected_at"), c("p_name").alias("title"), F.sha2(c("p_name").cast("binary"), 256).alias("digest"))
+    old = raw.filter(k % 3 != 0).select("raw_id", F.when(k % 3 == 1, c("digest")).otherwise("other").alias("digest")).filter("raw_id IS NOT NULL")
+    lacking = {n: F.lit(None).cast("string") for n in ("experience_text", "job_type_text", "deadline_text")}
+    return jobs.checked(jobs.normalized(raw.withColumns(lacking), repeated=False), "raw_id"), old
+
+
+def e7_failures(spark, d):
+    rows, old = _broken(spark, d)
+    return keyed.renormalization_report(keyed.normalization_action(rows, old, ["raw_id"], "digest"), "p_partkey", 500)
+
+
+def e7_quarantine(spark, d):
+    """The rows that failed with why; the others are normalised (salary and time of each)."""
+    good, bad = jobs.quarantine(_broken(spark, d)[0])
+    failed = bad.select("p_partkey", F.explode("errors").alias("e")).select("p_partkey", "e.field", "e.reason")
+    done = good.select("p_partkey", "salary_min", "salary_max", c("posted_at").cast("timestamp_ntz").alias("posted_at"))
+    return failed.unionByName(done, allowMissingColumns=True)
+
+
 def e4(spark, d):
     new, old = _stored(spark, d)
     raw = new.select("fingerprint", c("digest").alias("raw_html"))
@@ -186,7 +222,7 @@ def flagship(spark, d):
     """Newest live postings per source with salary range and seniority."""
     rows = keyed.live(_live(spark, d), F.lit("1998-01-01").cast("timestamp"))
     w = Window.partitionBy("source_code").orderBy(c("last_seen_at").desc(), "fingerprint")
-    top = jobs.normalized(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 20"))
+    top = jobs.normalized(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 20"), repeated=False)
     return top.select("source_code", "rank", "fingerprint", "title", "salary_min", "salary_max", "currency", "seniority", "job_type", "last_seen_at")
 
 
@@ -224,6 +260,8 @@ QUERIES = {
     "e5_normalization_action": e5,
     "e6_changed_feed": lambda spark, d: keyed.changed_feed(e5(spark, d)),
     "e7_renormalization_report": e7,
+    "e7_renormalization_failures": e7_failures,
+    "e7_quarantine": e7_quarantine,
     "e8_embedding_work_queue": e8,
     "e9_latest_per_key": lambda spark, d: keyed.latest_per_key(_obs(spark, d).select("detail_url", "title", "salary_text", *keyed.ORDER), ["detail_url"], list(keyed.ORDER)),
     "e10_pipeline_reconciliation": e10,
@@ -338,20 +376,43 @@ SELECT stage, count(*) AS missing FROM g GROUP BY stage""",
 
 
 def _whole_jobs() -> str:
-    """The SQL of the parts, joined on the texts that they normalise."""
-    part = lambda k: f"({ORACLES[k]})"
+    """The SQL of the parts over the newest sightings with further fields."""
+    part = lambda k: "(WITH " + ORACLES[k].removeprefix(_W + ", ").replace("FROM obs)", "FROM rich)") + ")"
     skills, places = part("d4_normalize_skill_list"), part("d7_normalize_locations")
     years = "CASE WHEN lo = hi THEN lo_t || ' years' WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo_t || ' - ' || hi_t || ' years' WHEN lo IS NOT NULL THEN 'From ' || lo_t || ' years' WHEN hi IS NOT NULL THEN 'Up to ' || hi_t || ' years' END"
     text = lambda x: rf"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(10,2)) AS VARCHAR), '0+$', ''), '\.$', '')"
-    shown = "concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Level: ' || nullif(seniority, 'UNKNOWN'), 'Skills: ' || nullif(replace(skills, '|', ', '), ''), 'Experience: ' || years, 'Locations: ' || nullif(replace(locations, '|', ', '), ''))"
-    listed = "coalesce(chr(10) || array_to_string(list_transform(string_split(skills, '|'), lambda x, i: 'skills[' || (i - 1) || ']=' || length(x) || ':' || x), chr(10)), '')"
+    name = lambda x: f"{x}[1] || lower(replace({x}[2:], '_', ' '))"
+    stable = lambda x: f"nullif(array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({x}, '|'), lambda v: v <> ''), lambda v: {{'f': {base.fold('v')}, 'v': v}})), lambda p: p.v), ', '), '')"
+    needed, pay = "CASE WHEN requirements_text IS NOT NULL THEN 'Must know ' || title || ' and sql server' || chr(10) || '- C++ a plus' END", "CASE WHEN benefits_text IS NOT NULL THEN 'Lunch' || chr(10) || '13th month pay' END"
+    shown = f"""concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || {stable('skills')}, 'Seniority: ' || {name("nullif(seniority, 'UNKNOWN')")}, 'Experience: ' || years, 'Locations: ' || {stable('locations')}, 'Job type: ' || {name("nullif(job_type, 'UNKNOWN')")}, 'Requirements: ' || {needed}, 'Description: ' || description_text, 'Benefits: ' || {pay})"""
+    line = lambda n, v: f"'{n}=' || coalesce(length({v}), -1) || ':' || coalesce({v}, '')"
+    inline = [line(n, _ml(n)) for n in jobs.HASHED_INLINE]
+    listed = "nullif(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(skills_text, '[,;|\n]'), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: 'skills[' || (i - 1) || ']=' || length(x) || ':' || x), chr(10)), '')"
+    rest = [line("description_text", "description_text"), line("requirements_text", f"({needed})"), line("benefits_text", f"({pay})"), line("detail_url", "detail_url"), line("apply_url", "raw_url"), line("apply_type", "CAST(NULL AS VARCHAR)")]
     times = {k: ORACLES[q].split("count(*) AS count, ")[1].split(f" AS {k} FROM")[0] for k, q in (("posted_at", "d11_normalize_posted_at"), ("deadline_at", "d12_normalize_deadline_at"))}
-    return f"""{_W}, {_UP}, sk AS (SELECT * FROM {skills}), pl AS (SELECT * FROM {places}),
-n AS (SELECT up.*, {_salary('salary_text')}, CAST({_LOW} AS DOUBLE) AS lo, CAST({_HIGH} AS DOUBLE) AS hi, {_RESOLVED} AS seniority, {_TYPE} AS job_type, {times["posted_at"]} AS posted_at, {times["deadline_at"]} AS deadline_at, sk.skills, pl.locations
-  FROM up LEFT JOIN sk ON sk.skills_text = up.skills_text LEFT JOIN pl ON pl.location_text = up.location_text),
+    aliases = taxonomy.values(tuple((*r, i) for i, r in enumerate(taxonomy.SKILLS)), "k(alias, canonical, category, place)")
+    words = f"' ' || trim(regexp_replace(regexp_replace({base.fold('prose')}, '[^a-z0-9+#.]+|\\.( |$)', ' ', 'g'), ' +', ' ', 'g')) || ' '"
+    # Each expression sees the feed's own columns, as Spark's do; a later one doesn't see an earlier one's.
+    rich = ", ".join(f"{v} AS {k}" for k, v in _RICH.items())
+    return f"""{_W}, {_UP}, rich AS (SELECT * EXCLUDE (skills_text, first_), {rich.replace("skills_text", "first_.skills_text").replace("AS first_.skills_text", "AS skills_text")} FROM (SELECT *, {{'skills_text': skills_text}} AS first_ FROM up)),
+sk AS (SELECT * FROM {skills}), pl AS (SELECT * FROM {places}),
+pr AS (SELECT fingerprint, concat_ws(chr(10), title, requirements_text, description_text) AS prose FROM rich JOIN sk USING (skills_text) WHERE NOT contains(skills, '|')),
+fd AS (SELECT fingerprint, string_agg(canonical, '|' ORDER BY place) AS found FROM (SELECT fingerprint, canonical, min(place) AS place FROM (SELECT fingerprint, {words} AS w FROM pr) JOIN {aliases} ON (length(alias) > 2 OR alias IN ({", ".join(f"'{a}'" for a in taxonomy.SHORT)})) AND alias NOT IN ({", ".join(f"'{a}'" for a in taxonomy.AMBIGUOUS)}) AND contains(w, ' ' || alias || ' ') GROUP BY ALL) GROUP BY fingerprint),
+mg AS (SELECT fingerprint, CASE WHEN found IS NULL THEN skills WHEN list_contains(string_split({base.fold('found')}, '|'), {base.fold('skills')}) THEN skills || coalesce('|' || nullif(array_to_string(list_filter(string_split(found, '|'), lambda x: {base.fold('x')} <> {base.fold('skills')}), '|'), ''), '') ELSE skills || '|' || found END AS skills FROM rich JOIN sk USING (skills_text) LEFT JOIN fd USING (fingerprint)),
+n AS (SELECT rich.* EXCLUDE (apply_url), rich.apply_url AS raw_url, {_salary('salary_text')}, CAST({_LOW} AS DOUBLE) AS lo, CAST({_HIGH} AS DOUBLE) AS hi, CASE seniority_text WHEN 'Senior level' THEN 'SENIOR' WHEN 'Fresher' THEN 'FRESHER' ELSE {_RESOLVED} END AS seniority, {_TYPE} AS job_type, {times["posted_at"]} AS posted_at, {times["deadline_at"]} AS deadline_at, mg.skills, pl.locations
+  FROM rich LEFT JOIN mg ON mg.fingerprint = rich.fingerprint LEFT JOIN pl ON pl.location_text = rich.location_text),
 t AS (SELECT *, {text('lo')} AS lo_t, {text('hi')} AS hi_t FROM n), y AS (SELECT *, {years} AS years FROM t)
-SELECT fingerprint, salary_min, salary_max, currency, lo AS experience_min, hi AS experience_max, seniority, job_type, posted_at, deadline_at, skills, locations, detail_url AS apply_url, 'DETAIL_PAGE' AS apply_type,
-  sha256({_hash(_HASHED)[7:-1]} || {listed}) AS content_hash, 'query: ' || {shown} AS query, 'passage: ' || {shown} AS passage, 'rule-v2' AS normalization_version FROM y"""
+SELECT fingerprint, salary_min, salary_max, currency, lo AS experience_min, hi AS experience_max, seniority, job_type, posted_at, deadline_at, skills, locations, coalesce(raw_url, detail_url) AS apply_url, CASE WHEN raw_url IS NULL THEN 'DETAIL_PAGE' ELSE 'EMAIL' END AS apply_type,
+  sha256(concat_ws(chr(10), {", ".join([*inline, listed, *rest])})) AS content_hash, 'query: ' || {shown} AS query, 'passage: ' || {shown} AS passage, 'rule-v2' AS normalization_version FROM y"""
 
 
 ORACLES["d19_normalize_jobs_whole"] = _whole_jobs()
+
+_BROKEN = """raw AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 90 <> 5 THEN lpad(CAST(p_partkey AS VARCHAR), 8, '0') END AS raw_id, p_partkey % 60 <> 1 AS timed, p_partkey % 40 IN (7, 8) AS far, p_partkey % 50 IN (3, 4) AS gone FROM part),
+act AS (SELECT *, CASE WHEN raw_id IS NULL OR k % 3 = 0 THEN 'CREATED' WHEN k % 3 = 1 THEN 'UNCHANGED' ELSE 'UPDATED' END AS action, raw_id IS NULL OR NOT timed OR far OR gone AS failed FROM raw)"""
+ORACLES["e7_renormalization_failures"] = f"""WITH {_BROKEN}, p AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY k) - 1) // 500 AS page FROM act),
+g AS (SELECT page, count(*) AS processed, count(*) FILTER (WHERE action = 'CREATED' AND NOT failed) AS created, count(*) FILTER (WHERE action = 'UPDATED' AND NOT failed) AS updated, count(*) FILTER (WHERE action = 'UNCHANGED' AND NOT failed) AS unchanged, count(*) FILTER (WHERE failed) AS failed FROM p GROUP BY page)
+SELECT *, CAST(sum(processed) OVER () AS BIGINT) AS total, max(page) OVER () + 1 AS pages, CASE WHEN page < max(page) OVER () THEN page + 1 END AS next_page FROM g"""
+ORACLES["e7_quarantine"] = f"""WITH {_BROKEN}
+SELECT k AS p_partkey, field, reason, NULL::BIGINT AS salary_min, NULL::BIGINT AS salary_max, NULL::TIMESTAMP AS posted_at FROM (SELECT k, 'raw_id' AS field, 'BLANK' AS reason FROM act WHERE raw_id IS NULL UNION ALL SELECT k, 'collected_at', 'NO_TIME' FROM act WHERE NOT timed UNION ALL SELECT k, 'salary_text', 'OUT_OF_RANGE' FROM act WHERE far UNION ALL SELECT k, 'posted_text', 'OUT_OF_RANGE' FROM act WHERE gone)
+UNION ALL SELECT k, NULL, NULL, 1000, 2000, TIMESTAMP '2001-11-29 17:00:00' FROM act WHERE NOT failed"""

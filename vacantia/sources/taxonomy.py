@@ -52,8 +52,10 @@ TITLES = (("engineer", "Engineer"), ("analyst", "Analyst"), ("store manager", "S
 SOURCES = (("ENGLISH", "example.com", r"^/en/\d+", r"(\d+)"), ("FRENCH", "example.net", r"^/fr/\d+", r"(\d+)"))
 
 
-def skills(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SKILLS), "alias string, canonical string, category string")
+def skills(spark: SparkSession, placed: bool = False) -> DataFrame:
+    """The skills; with `placed` also their places in the list."""
+    rows = [(*r, i) for i, r in enumerate(SKILLS)] if placed else list(SKILLS)
+    return spark.createDataFrame(rows, "alias string, canonical string, category string" + (", place int" if placed else ""))
 
 
 def locations(spark: SparkSession) -> DataFrame:
