@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as t
-from vacantia.operators import jobs, keyed
+from vacantia.operators import jobs, keyed, tables
 from vacantia.plans import base
-from vacantia.sources import feed, taxonomy
-from vacantia.sources.shared import written
+from vacantia.sources import feed, layout, taxonomy
+from vacantia.sources.shared import folder, written
 
 c = F.col
 KEYS = ("l_orderkey", "l_linenumber", "collected_at", "source_code", "detail_url")
@@ -203,6 +205,29 @@ def a1(spark, d):
     return feed.observations(spark, d).filter(c("source_code") == "ALPHA").select("source_job_id", "detail_url", "title", "l_orderkey", "l_linenumber")
 
 
+def _new_folder(spark, label: str) -> str:
+    return f"{folder(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
+
+
+def a1_pruned(spark, d):
+    """The feed written by source and year, and read back: two sources of some years that a table names."""
+    at = _new_folder(spark, "observations")
+    layout.write_observations(feed.observations(spark, d), at, "year")
+    years = feed.table(spark, d, "orders").filter(c("o_orderdate") < "1996-01-01").select(F.date_format("o_orderdate", "yyyy").alias("period")).distinct()
+    rows = layout.read_observations(spark, at, ["alpha", " Delta "], since="1995", only=years)
+    return rows.select("source_code", "period", "source_job_id", "detail_url", "title", "l_orderkey", "l_linenumber")
+
+
+def a3_table(spark, d):
+    """Three writes, the newest rows first, to a table in parts; then one of few keys, which leaves the other parts alone."""
+    o = _obs(spark, d).select("fingerprint", "title", *keyed.ORDER)
+    table = tables.KeyedTable(spark, _new_folder(spark, "keyed"), o.schema.simpleString().removeprefix("struct<").removesuffix(">"), ["fingerprint"], list(keyed.ORDER), parts=16)
+    for k in (2, 0, 1):
+        table.write(o.filter(c("l_orderkey") % 3 == k))
+    table.write(o.filter("fingerprint = 'ALPHA:11'"))
+    return table.read()
+
+
 def a2(spark, d):
     a = taxonomy.skills(spark).select("alias", "canonical").unionByName(taxonomy.locations(spark).select("alias", "canonical"))
     parts = feed.table(spark, d, "part").select(c("p_name").alias("alias"), c("p_type").alias("canonical"))
@@ -228,8 +253,10 @@ def flagship(spark, d):
 
 QUERIES = {
     "a1_read_raw_observations": a1,
+    "a1_pruned_reads": a1_pruned,
     "a2_load_taxonomy": a2,
     "a3_write_keyed": a3,
+    "a3_write_keyed_table": a3_table,
     "a4_read_pages": lambda spark, d: feed.table(spark, d, "pages").select("page_id", "url", F.length("html").alias("n_chars")),
     "d1_normalize_salary": _struct("salary_text", jobs.salary),
     "d2_parse_number_token": lambda spark, d: feed.table(spark, d, "part").select("p_partkey", F.format_number("p_retailprice", 2).alias("token")).select("p_partkey", "token", jobs.parse_number(c("token")).cast("double").alias("value")),
@@ -407,6 +434,8 @@ SELECT fingerprint, salary_min, salary_max, currency, lo AS experience_min, hi A
 
 
 ORACLES["d19_normalize_jobs_whole"] = _whole_jobs()
+ORACLES["a3_write_keyed_table"] = ORACLES["a3_write_keyed"]
+ORACLES["a1_pruned_reads"] = f"{_W} SELECT source_code, strftime(collected_at, '%Y') AS period, source_job_id, detail_url, title, l_orderkey, l_linenumber FROM obs WHERE source_code IN ('ALPHA', 'DELTA') AND year(collected_at) >= 1995 AND year(collected_at) IN (SELECT year(o_orderdate) FROM orders WHERE o_orderdate < DATE '1996-01-01')"
 
 _BROKEN = """raw AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 90 <> 5 THEN lpad(CAST(p_partkey AS VARCHAR), 8, '0') END AS raw_id, p_partkey % 60 <> 1 AS timed, p_partkey % 40 IN (7, 8) AS far, p_partkey % 50 IN (3, 4) AS gone FROM part),
 act AS (SELECT *, CASE WHEN raw_id IS NULL OR k % 3 = 0 THEN 'CREATED' WHEN k % 3 = 1 THEN 'UNCHANGED' ELSE 'UPDATED' END AS action, raw_id IS NULL OR NOT timed OR far OR gone AS failed FROM raw)"""
