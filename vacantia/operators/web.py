@@ -27,11 +27,48 @@ def absolute(base: Column, link: Column) -> Column:
     )
 
 
+# Entities that are spelt out.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: A tag's attributes: quoted values may hold anything, `>` too.
+_ATTRIBUTES = r"""((?:[^'">]++|"[^"]*+"|'[^']*+')*+)"""
+#: What hides everything inside it: comments, and elements whose content isn't markup; open ones reach to the end.
+_HIDDEN = r"""<!--.*?(?:--!?>|\z)|<(script|style|textarea|noscript)(?=[\s/>])(?:[^'">]++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"""
+#: Any tag, whole.
+_TAG = r"""<[/!?a-z](?:[^'">]++|"[^"]*+"|'[^']*+'|["'])*+(?:>|\z)"""
+#: A value behind an attribute's name: in double quotes, in single ones, or bare.
+_VALUE = r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?"""
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the replacement character for none."""
+    fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def unescape(x: Column) -> Column:
+    """Named (`ENTITIES`) and numeric entities, decimal or hexadecimal, as characters; each is spelt out once."""
+    digits = lambda m: F.regexp_extract(m, r"(?i)^&#x?([0-9a-f]+);$", 1)
+    code = lambda m: F.coalesce(F.when(F.length(digits(m)) <= 8, F.when(F.lower(m).startswith("&#x"), F.conv(digits(m), 16, 10)).otherwise(digits(m)).try_cast("bigint")), F.lit(0))
+    numeric = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?i)(&#(?:x[0-9a-f]+|[0-9]+);)"), F.lit(1)))
+    x = F.when(F.contains(x, F.lit("&#")), F.aggregate(numeric, x, lambda text, m: F.replace(text, m, F.when(code(m) == 38, "&amp;").otherwise(_character(code(m)))))).otherwise(x)
+    for mark, char in ENTITIES:
+        x = F.replace(x, F.lit(mark), F.lit(char))
+    return x
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, link of every `a[href]` that isn't blank."""
-    found = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r'<a [^>]*?href="([^"]+)"'), F.lit(1))
-    each = pages.select("page_id", "url", F.posexplode(found).alias("pos", "href")).filter(F.trim("href") != "")
-    return each.select("page_id", "pos", absolute(F.col("url"), F.trim("href")).alias("link"))
+    """page_id, pos, link of every `a` tag's href that isn't blank, as a browser reads it.
+
+    One pass over the tokens of a page: tags in any case, with attributes in any order, over lines, in double, single or no
+    quotes; what stands in comments, scripts and styles is no tag. Entities in the value are spelt out.
+    """
+    tags = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(rf"(?is){_HIDDEN}|<a(?=[\s/]){_ATTRIBUTES}>|{_TAG}"), F.lit(2))
+    names = lambda t: F.transform(F.regexp_extract_all(t, F.lit(_VALUE), F.lit(1)), F.lower)
+    value = lambda t, k: F.get(F.regexp_extract_all(t, F.lit(_VALUE), F.lit(k)), F.array_position(names(t), "href").cast("int") - 1)
+    href = lambda t: F.when(F.lower(t).contains("href"), F.concat(value(t, 2), value(t, 3), value(t, 4)))
+    found = F.filter(F.transform(F.filter(tags, lambda t: t != ""), href), lambda h: h.isNotNull() & (h != ""))
+    each = pages.select("page_id", "url", F.posexplode(found).alias("pos", "href")).withColumn("href", F.trim(unescape(F.col("href")))).filter("href <> ''")
+    return each.select("page_id", "pos", absolute(F.col("url"), F.col("href")).alias("link"))
 
 
 def match_source_links(links: DataFrame, sources: DataFrame, subdomains: bool = False) -> DataFrame:
@@ -60,17 +97,12 @@ def source_job_id(url: Column, id_regex: str) -> Column:
     return F.coalesce(blank_to_null(F.regexp_extract(last, id_regex, 1)), blank_to_null(last))
 
 
-# Entities that are spelt out.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-
-
 def html_to_text(html: Column) -> Column:
-    """Visible text: no scripts, styles, comments or tags; entities spelt out; blanks collapsed; blank is null."""
-    x = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for mark, char in ENTITIES:
-        x = F.replace(x, F.lit(mark), F.lit(char))
-    return norm_inline(x)
+    """Visible text: no comments, scripts, styles or tags, in one pass over a page's tokens; entities spelt out; blanks collapsed; blank is null.
+
+    A `<` that begins no tag stays. Quoted attributes may hold `>`; a tag that isn't closed reaches to the end.
+    """
+    return norm_inline(unescape(F.regexp_replace(html, rf"(?is){_HIDDEN}|{_TAG}", " ")))
 
 
 def job_posting(pages: DataFrame) -> DataFrame:

@@ -39,7 +39,27 @@ def _postings(spark, d):
     return web.job_posting(pages(spark, d).select("page_id", F.concat(F.lit('<script type="application/ld+json">{bad</script>'), "html", block).alias("html")))
 
 
+#: Six ways to write a link, by page: as it is, upper case with more blanks, single quotes, over lines behind an attribute that looks like it, bare, and in a comment.
+_FORMS = (None, r'<A class=x HREF = "$1"', "<a href='$1'", '<a\n data-x=\'<a href="/no">\'\n\thref="$1"', r"<a href=$1", r'<!-- <a href="$1"> --><b title="<a href=no>"')
+
+
+def _varied(spark, d):
+    html = c("html")
+    for k, form in enumerate(_FORMS):
+        if form:
+            html = F.when(c("page_id") % 6 == k, F.regexp_replace("html", r'<a href="([^" ]+)"', form)).otherwise(html)
+    return pages(spark, d).withColumn("html", html)
+
+
+def _marked(spark, d):
+    """Texts with entities, hidden parts and signs that aren't tags, made from each page's url."""
+    url = F.concat(F.lit("<p title='a > b'>1 < 2 &amp;&#38;#39; "), c("url"), F.lit(" &#233;&#x1F600;&#xe9;&#0;</p><!-- <p>no</p> --><SCRIPT>if (a < b) '</p>'</SCRIPT ><style>no</style><img alt=\"x>y\">end<br"))
+    return pages(spark, d).select("page_id", web.html_to_text(url).alias("value"))
+
+
 QUERIES = {
+    "b1_extract_links_forms": lambda spark, d: web.extract_links(_varied(spark, d)),
+    "b6_html_to_text_forms": _marked,
     "b1_extract_links": lambda spark, d: web.extract_links(pages(spark, d)),
     "b2_canonical_url": lambda spark, d: pages(spark, d).select("page_id", web.canonical_url(c("url")).alias("value")),
     "b3_match_source_links": b3,
@@ -64,6 +84,8 @@ for _mark, _char in web.ENTITIES:
 
 ORACLES = {
     "b1_extract_links": f"WITH {_LINKS} SELECT * FROM links",
+    "b1_extract_links_forms": f"WITH {_LINKS} SELECT * FROM links WHERE page_id % 6 <> 5",
+    "b6_html_to_text_forms": "SELECT page_id, '1 < 2 &&#39; ' || trim(replace(url, '&amp;', '&')) || ' é😀é\ufffd end' AS value FROM pages",
     "b2_canonical_url": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS value FROM pages",
     "b3_match_source_links_hosts": r"""WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS link, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS h, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
 s AS (SELECT h AS host FROM p WHERE h <> '' GROUP BY h HAVING count(*) > 1) SELECT DISTINCT 'S:' || host AS source_code, link FROM p JOIN s ON h = host WHERE p LIKE '/en/%'""",
