@@ -7,9 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Precomposed Latin letters with marks, and the letters below them.
-ACCENTED = "àáâãäåāăạảấầẩẫậắằẳẵặèéêëēĕėęẹẻẽếềểễệìíîïĩīỉịòóôõöøōŏọỏốồổỗộơớờởỡợùúûüũūụủưứừửữựỳýỷỹỵÿđçñ"
-PLAIN = "aaaaaaaaaaaaaaaaaaaaeeeeeeeeeeeeeeeeiiiiiiiiooooooooooooooooooooouuuuuuuuuuuuuuyyyyyydcn"
+
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters of all scripts that are another letter with marks, and that letter; and `đ`, `ø`, whose stroke isn't a mark."""
+    import unicodedata
+
+    pairs = [("đ", "d"), ("ø", "o")]
+    for c in map(chr, range(0x80, 0x30000)):
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c and c == c.lower() and all(unicodedata.category(x)[0] == "M" for x in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _plain_letters()
 _INVISIBLE = "[​‌‍⁠﻿]"
 
 
@@ -18,17 +29,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def composed(x: Column, form: str = "NFC") -> Column:
+def composed(x: Column, form: str = "NFC", casefold: bool = False) -> Column:
     """Unicode normalisation (NFC, NFKC, …), which no built-in function has: an Arrow function over whole batches.
 
-    Put it once in front of the others where texts may hold decomposed letters or compatibility forms.
+    With `casefold` the full folding of case follows, which `lower` isn't. Put it once in front of the others where texts
+    may hold decomposed letters or compatibility forms.
     """
     import pyarrow as pa
 
     def run(batch: pa.Array) -> pa.Array:
         import unicodedata
 
-        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in batch.to_pylist()], pa.string())
+        def one(t: str) -> str:
+            t = t if t.isascii() else unicodedata.normalize(form, t)
+            return t.casefold() if casefold else t
+
+        return pa.array([t if t is None else one(t) for t in batch.to_pylist()], pa.string())
 
     run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "string")(x)
@@ -52,9 +68,10 @@ def norm_multiline(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents (đ is d), single spaces."""
-    x = F.translate(F.lower(F.regexp_replace(x, _INVISIBLE, "")), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[̀-ͯ]+", ""), r"\s+", " "))
+    """Lower case without marks in any script (đ is d), single spaces. Texts of ASCII alone take a short way."""
+    plain = F.translate(F.lower(F.regexp_replace(x, _INVISIBLE, "")), ACCENTED, PLAIN)
+    whole = F.regexp_replace(plain, r"\p{M}+", "")
+    return F.trim(F.regexp_replace(F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(whole), r"\s+", " "))
 
 
 def compact_key(x: Column) -> Column:
@@ -62,13 +79,13 @@ def compact_key(x: Column) -> Column:
 
 
 def norm_match(x: Column) -> Column:
-    """Case folded, with single spaces. Lower case is folded further where two letters differ only in form."""
-    return F.trim(F.regexp_replace(F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), "ςſ", "σs"), r"\s+", " "))
+    """NFKC, case folded in full, with single spaces."""
+    return F.trim(F.regexp_replace(composed(x, "NFKC", casefold=True), r"\s+", " "))
 
 
 def norm_document(x: Column, most: int = 200_000) -> tuple[Column, Column]:
-    """The document's lines, bullets as `- `, at most one empty line in a row, cut at `most`; and its warnings."""
-    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), "[\x00-\x08\x0e-\x1f\x7f]", ""), "\n"), lambda y: F.regexp_replace(F.trim(F.regexp_replace(y, r"[ \t\x0b\x0c ]+", " ")), "^[•●▪*·] ?", "- "))
+    """The document's lines in NFKC, bullets as `- `, at most one empty line in a row, cut at `most`; and its warnings."""
+    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(composed(x, "NFKC"), "\r\n?", "\n"), "[\x00-\x08\x0e-\x1f\x7f]", ""), "\n"), lambda y: F.regexp_replace(F.trim(F.regexp_replace(y, r"[ \t\x0b\x0c ]+", " ")), "^[•●▪*·] ?", "- "))
     text = F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
     warnings = F.filter(F.array(F.when(F.length(text) > most, "TEXT_TRUNCATED"), F.when(text == "", "TEXT_EMPTY")), lambda w: w.isNotNull())
     return F.substring(text, 1, most), warnings
@@ -80,10 +97,15 @@ def truncate_marked(x: Column, n: int) -> Column:
 
 
 def stable_unique(items: Column, most: int | None = None) -> Column:
-    """Cleaned items, the first of each folded form, in order."""
+    """Cleaned items, the first of each folded form, in order. Each is folded once; the first of a form stands first when sorted."""
     clean = F.filter(F.transform(items, norm_inline), lambda y: y.isNotNull())
-    keys = F.transform(clean, fold)
-    out = F.filter(clean, lambda y, i: F.array_position(keys, fold(y)) == i + 1)
+    marked = F.array_sort(F.transform(clean, lambda y, i: F.struct(fold(y).alias("k"), i.alias("i"), y.alias("y"))))
+
+    def first(ps: Column) -> Column:
+        own = F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["k"] != p["k"]))
+        return F.transform(F.array_sort(F.transform(own, lambda p: F.struct(p["i"].alias("i"), p["y"].alias("y")))), lambda p: p["y"])
+
+    out = let(marked, first)
     return F.slice(out, 1, most) if most else out
 
 

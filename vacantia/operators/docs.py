@@ -25,12 +25,24 @@ LANGUAGE_HEADINGS = {
 VIETNAMESE = "ăâđêôơưàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
 
 
-def detect_language(text: Column, common: dict[str, tuple] = COMMON, least_words: int = 8, headings: dict[str, tuple] = LANGUAGE_HEADINGS, marks: dict[str, str] = {"vi": VIETNAMESE}) -> Column:
+#: Vietnamese letters that French, German and Spanish don't have.
+VIETNAMESE_ONLY = "".join(x for x in VIETNAMESE if x not in "àáâèéêìíòóôùúý")
+
+
+def telling(common: dict[str, tuple]) -> dict[str, tuple]:
+    """Of each language the common words that no other one has."""
+    return {k: tuple(w for w in ws if not any(w in other for o, other in common.items() if o != k)) for k, ws in common.items()}
+
+
+def detect_language(text: Column, common: dict[str, tuple] = COMMON, least_words: int = 8, headings: dict[str, tuple] = LANGUAGE_HEADINGS, marks: dict[str, str] | None = None) -> Column:
     """The language of the highest score; MIXED if the best two have .22 or more and are within .35, UNKNOWN if all are under .16.
 
     A score is six times the share of common words, .12 for each heading that occurs, and for languages with `marks` a fortieth
-    of the letters with marks, up to .35; at most 1.
+    of the letters with marks, up to .35; at most 1. Among more than two languages only words and marks count that one of
+    them alone has, since neighbours share many of their commonest words.
     """
+    marks = {"vi": VIETNAMESE if len(common) <= 2 else VIETNAMESE_ONLY} if marks is None else marks
+    common = telling(common) if len(common) > 2 else common
     low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
 
     def score(k: str, ws: tuple, t: Column, w: Column) -> Column:

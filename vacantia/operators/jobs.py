@@ -203,7 +203,7 @@ def join_stable(items: Column) -> Column:
     """Cleaned items once each by folded form, in the order of (folded, item), comma-joined."""
     clean = F.filter(F.transform(items, norm_inline), lambda x: x.isNotNull())
     pairs = F.array_sort(F.transform(clean, lambda x: F.struct(fold(x).alias("f"), x.alias("v"))))
-    first = F.filter(pairs, lambda p, i: (i == 0) | (F.get(pairs, i - 1)["f"] != p["f"]))
+    first = let(pairs, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["f"] != p["f"])))
     return F.array_join(F.transform(first, lambda p: p["v"]), ", ")
 
 

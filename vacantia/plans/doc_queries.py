@@ -200,9 +200,9 @@ QUERIES = {
 _W = f"WITH {base.CV}"
 _LINES = "lines AS (SELECT candidate_id, doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS n FROM (SELECT candidate_id, doc_id, string_split(text, chr(10)) AS x FROM cv))"
 def _score(k: str) -> str:
-    parts = [f"6.0::DOUBLE * len(list_filter(w, lambda x: x IN ({', '.join(map(repr, docs.COMMON[k]))}))) / len(w)"]
+    parts = [f"6.0::DOUBLE * len(list_filter(w, lambda x: x IN ({', '.join(map(repr, docs.telling(docs.COMMON)[k]))}))) / len(w)"]
     parts += [f"CASE WHEN contains(t, '{h}') THEN 0.12::DOUBLE ELSE 0 END" for h in docs.LANGUAGE_HEADINGS.get(k, ())]
-    parts += [f"least(0.35::DOUBLE, (length(t) - length(regexp_replace(t, '[{docs.VIETNAMESE}]', '', 'g'))) / 40.0::DOUBLE)"] if k == "vi" else []
+    parts += [f"least(0.35::DOUBLE, (length(t) - length(regexp_replace(t, '[{docs.VIETNAMESE_ONLY}]', '', 'g'))) / 40.0::DOUBLE)"] if k == "vi" else []
     return f"least(1.0::DOUBLE, {' + '.join(parts)})"
 
 

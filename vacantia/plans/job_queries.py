@@ -78,16 +78,6 @@ def d14(spark, d):
     return o.select(*KEYS[:2], "detail_url", "collected_at", jobs.content_hash({k: c(k) for k in _HASHED}).alias("content_hash"))
 
 
-def d15(spark, d):
-    o = feed.observations(spark, d).select("title", "company_name", "skills_text", "experience_text").distinct()
-    return o.select("*", jobs.text_query({"Title": (c("title"), 20), "Company": (c("company_name"), 40), "Skills": (c("skills_text"), 30), "Experience": (c("experience_text"), 40)}, 90).alias("value"))
-
-
-def d16(spark, d):
-    o = feed.observations(spark, d).select("title", "company_name", "skills_text", "experience_text").distinct()
-    return o.select("*", jobs.text_passage({"Title": c("title"), "Company": c("company_name"), "Skills": c("skills_text"), "Experience": c("experience_text")}, 80).alias("value"))
-
-
 def d15_whole(spark, d):
     o = feed.observations(spark, d).select("title", "company_name", "skills_text", "experience_text").distinct()
     return o.select("*", jobs.text_query({"Title": (c("title"), 2400), "Company": (c("company_name"), 2400), "Skills": (c("skills_text"), 2400), "Experience": (c("experience_text"), 2400)}).alias("value"))
@@ -272,8 +262,8 @@ QUERIES = {
     "d12_normalize_deadline_at": lambda spark, d: feed.observations(spark, d).groupBy("deadline_text", "collected_at").count().select("*", jobs.deadline_at(c("deadline_text"), c("collected_at").cast("timestamp")).cast("timestamp_ntz").alias("deadline_at")),
     "d13_normalize_apply": d13,
     "d14_content_hash": d14,
-    "d15_job_text_query": d15,
-    "d16_job_text_passage": d16,
+    "d15_job_text_query": d15_whole,
+    "d16_job_text_passage": d16_whole,
     "d15_job_text_query_whole": d15_whole,
     "d16_job_text_passage_whole": d16_whole,
     "d17_format_experience": d17,
@@ -335,14 +325,6 @@ _UP = f"up AS (SELECT l.*, a.first_seen_at, a.last_seen_at, a.sightings, a.first
 _W = f"WITH {base.OBS}"
 
 
-def _step(i: int, label: str, column: str, most: int) -> str:
-    """One section added to the text within 90 characters."""
-    cut = f"CASE WHEN length({column}) > {most} THEN rtrim(substring({column}, 1, {most - 1})) || '…' ELSE {column} END"
-    fit = "CASE WHEN length(x) > room THEN rtrim(substring(x, 1, room - 1)) || '…' ELSE x END"
-    return f"""s{i + 1} AS (SELECT * EXCLUDE (v, x, room), CASE WHEN x IS NULL OR room <= 1 THEN v ELSE v || CASE WHEN v = 'query: ' THEN '' ELSE chr(10) END || '{label}: ' || {fit} END AS v FROM (SELECT *, {cut} AS x, 90 - length(v) - {len(label) + 2} - 1 AS room FROM s{i}))"""
-
-
-
 ORACLES = {
     "a1_read_raw_observations": f"{_W} SELECT source_job_id, detail_url, title, l_orderkey, l_linenumber FROM obs WHERE source_code = 'ALPHA'",
     "a2_load_taxonomy": f"SELECT {base.compact('alias')} AS alias_key, count(DISTINCT canonical) AS n FROM (SELECT p_name AS alias, p_type AS canonical FROM part UNION ALL SELECT alias, canonical FROM {_SKILLS} UNION ALL SELECT alias, canonical FROM {_PLACES}) GROUP BY 1 HAVING count(DISTINCT canonical) > 1",
@@ -372,10 +354,6 @@ SELECT o.location_text, coalesce(string_agg(v, '|' ORDER BY pos), '') AS locatio
     "d12_normalize_deadline_at": f"{_W} SELECT deadline_text, collected_at, count(*) AS count, {_DAY} + CASE deadline_text WHEN 'in 3 days' THEN INTERVAL 4 DAY WHEN 'còn 5 ngày nữa' THEN INTERVAL 6 DAY WHEN 'tomorrow' THEN INTERVAL 2 DAY END - INTERVAL 7 HOUR - INTERVAL 1 MICROSECOND AS deadline_at FROM obs GROUP BY deadline_text, collected_at",
     "d13_normalize_apply": f"{_W} SELECT DISTINCT detail_url, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'mailto:jobs@mail.example.com' WHEN 1 THEN regexp_extract(detail_url, '^https?://[^/]+') || '/apply' WHEN 2 THEN detail_url ELSE 'https://apply.example.org/x' END AS apply_url, CASE l_linenumber % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'APPLY_BUTTON' WHEN 2 THEN 'DETAIL_PAGE' ELSE 'EXTERNAL' END AS apply_type FROM obs",
     "d14_content_hash": f"{_W} SELECT l_orderkey, l_linenumber, detail_url, collected_at, {_hash(_HASHED)} AS content_hash FROM obs",
-    "d15_job_text_query": f"""{_W}, o AS (SELECT DISTINCT title, company_name, skills_text, experience_text FROM obs), s0 AS (SELECT *, 'query: ' AS v FROM o),
-{_step(0, 'Title', 'title', 20)}, {_step(1, 'Company', 'company_name', 40)}, {_step(2, 'Skills', 'skills_text', 30)}, {_step(3, 'Experience', 'experience_text', 40)}
-SELECT title, company_name, skills_text, experience_text, v AS value FROM s4""",
-    "d16_job_text_passage": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, CASE WHEN length(v) > 80 THEN rtrim(substring(v, 1, 79)) || '…' ELSE v END AS value FROM (SELECT *, 'passage: ' || concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || skills_text, 'Experience: ' || experience_text) AS v FROM obs)",
     # Fields are far shorter than 2,400 characters together; a test cuts longer ones.
     "d15_job_text_query_whole": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, v AS value FROM (SELECT *, 'query: ' || concat_ws(chr(10), 'Title: ' || nullif(title, ''), 'Company: ' || nullif(company_name, ''), 'Skills: ' || nullif(skills_text, ''), 'Experience: ' || nullif(experience_text, '')) AS v FROM obs)",
     "d16_job_text_passage_whole": f"{_W} SELECT DISTINCT title, company_name, skills_text, experience_text, CASE WHEN length(v) > 2400 THEN rtrim(substring(v, 1, 2399)) || '…' ELSE v END AS value FROM (SELECT *, 'passage: ' || concat_ws(chr(10), 'Title: ' || title, 'Company: ' || company_name, 'Skills: ' || skills_text, 'Experience: ' || experience_text) AS v FROM obs)",
@@ -434,6 +412,7 @@ SELECT fingerprint, salary_min, salary_max, currency, lo AS experience_min, hi A
 
 
 ORACLES["d19_normalize_jobs_whole"] = _whole_jobs()
+ORACLES |= {k: ORACLES[f"{k}_whole"] for k in ("d15_job_text_query", "d16_job_text_passage")}
 ORACLES["a3_write_keyed_table"] = ORACLES["a3_write_keyed"]
 ORACLES["a1_pruned_reads"] = f"{_W} SELECT source_code, strftime(collected_at, '%Y') AS period, source_job_id, detail_url, title, l_orderkey, l_linenumber FROM obs WHERE source_code IN ('ALPHA', 'DELTA') AND year(collected_at) >= 1995 AND year(collected_at) IN (SELECT year(o_orderdate) FROM orders WHERE o_orderdate < DATE '1996-01-01')"
 
