@@ -78,3 +78,36 @@ def test_stages_take_odd_rows(spark):
 def test_registered():
     names = list(entry.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_blocks_of_near_copies_give_a_forest_of_exact_links():
+    """A group of variants around 0.8: what the pairs of two blocks connect, in fewer rows than members."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vacantia.llm import near_copies as nc
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 120)
+    sets = [np.unique(np.concatenate([rng.choice(base, 120 - k % 17, replace=False), rng.integers(0, 1 << 60, k % 17)])) for k in range(160)]
+    # signatures as the operator makes them
+    a, b = (np.random.default_rng(44).integers(1, 1 << 63, nc.SIGNED, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    signed = [np.array([nc._mixed(np.array([(s.view(np.uint64) * x + y).min()]))[0] & np.uint64(255) for x, y in zip(a, b, strict=True)], dtype=np.uint8).tobytes() for s in sets]
+    jaccard = lambda s, t: len(np.intersect1d(s, t)) / len(np.union1d(s, t))
+    n = len(sets)
+    left = np.arange(n) % 2 == 0
+    for right in (~left, left):
+        table = pa.table({"node": pa.array(np.arange(n)), "root": pa.array(np.where(np.arange(n) < 6, 0, np.arange(n))), "signed": pa.array(signed, pa.binary()), "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int64())), "left": pa.array(left), "right": pa.array(right)})
+        got = nc._in_blocks(0.8)(table).to_pylist()
+        assert all(jaccard(sets[r["x"]], sets[r["y"]]) >= 0.8 and left[r["x"]] and right[r["y"]] for r in got) and len(got) < n
+
+        def components(pairs):
+            up = {k: 0 if k < 6 else k for k in range(n)}
+            for x, y in pairs:
+                u, v = up[x], up[y]
+                for k, w in up.items():
+                    up[k] = min(u, v) if w in (u, v) else w
+            return up
+
+        pairs = [(x, y) for x in range(n) if left[x] for y in range(n) if right[y] and y < x and jaccard(sets[x], sets[y]) >= 0.8]
+        assert components([(r["x"], r["y"]) for r in got]) == components(pairs) and len(pairs) > 2 * len(got)

@@ -21,6 +21,8 @@ ROWS, BANDS = 4, 10
 BITS, FEW = 18, 64
 #: Members of a bucket that are compared at once, and centres that each bucket has before its other pairs are listed.
 BLOCK, ROUNDS = 1024, 4
+#: Shingles of a block, at most; one longer text is a block of its own.
+HELD = 1 << 20
 #: Min-hashes of a byte each by which the pairs of a block are judged, and by how much less than asked may be equal: of pairs
 #: at 0.8 a share of 0.997 passes.
 SIGNED, SLACK = 256, 0.07
@@ -184,7 +186,11 @@ def _around_centres(members: DataFrame, centres: DataFrame | None, similarity: f
 
 
 def _in_blocks(similarity: float):
-    """Pairs of a group's left and right block that are of different components and whose signatures are near."""
+    """Links (x, y) of a group's left and right block: a forest that connects what all links between them connect.
+
+    Pairs of different components whose signatures are near are held against their shingles, the nearest first, unless
+    links found before already connect them. So a group gives fewer rows than it has members, however many are alike.
+    """
 
     def run(table):
         import numpy as np
@@ -193,40 +199,63 @@ def _in_blocks(similarity: float):
         least = int(np.ceil((similarity - SLACK) * SIGNED))
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
         signed = np.frombuffer(b"".join(table.column("signed").to_pylist()), dtype=np.uint8).reshape(len(node), SIGNED)
+        lists = table.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         left = np.flatnonzero(table.column("left").to_numpy(zero_copy_only=False))
         right = np.flatnonzero(table.column("right").to_numpy(zero_copy_only=False))
+        up: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while k in up:
+                up[k] = k = up.get(up[k], up[k])
+            return k
+
         x, y = [], []
         for i in range(0, len(left), 16):
             at = left[i : i + 16]
-            near = (signed[at][:, None, :] == signed[right][None, :, :]).sum(axis=2, dtype=np.int16) >= least
-            near &= (root[at][:, None] != root[right][None, :]) & (node[at][:, None] > node[right][None, :])
+            alike = (signed[at][:, None, :] == signed[right][None, :, :]).sum(axis=2, dtype=np.int16)
+            near = (alike >= least) & (root[at][:, None] != root[right][None, :]) & (node[at][:, None] > node[right][None, :])
             a, b = np.nonzero(near)
-            x.append(node[at[a]])
-            y.append(node[right[b]])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"x": pa.array(np.concatenate([*x, empty])), "y": pa.array(np.concatenate([*y, empty]))})
+            for k in np.argsort(-alike[a, b], kind="stable").tolist():
+                p, q = int(at[a[k]]), int(right[b[k]])
+                u, v = top(int(root[p])), top(int(root[q]))
+                if u == v:
+                    continue
+                one, two = flat[ends[p] : ends[p + 1]], flat[ends[q] : ends[q + 1]]
+                if min(len(one), len(two)) < (similarity - 1e-9) * max(len(one), len(two)):
+                    continue
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= similarity * (len(one) + len(two) - both):
+                    up[u] = v
+                    x.append(int(node[p]))
+                    y.append(int(node[q]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return run
 
 
 def _between(members: DataFrame, centres: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The other pairs (x, y) of one bucket and different components that may be alike, in blocks of bounded size."""
+    """The other links (a, b) inside buckets, in pairs of blocks of at most about `BLOCK` members and `HELD` shingles."""
     rest = members.join(centres, ["band", "node"], "left_anti")
-    parts = rest.groupBy("band").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("u <> v").select("band", "parts")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / HELD)).cast("int")
+    parts = rest.groupBy("band").agg(F.min("root").alias("u"), F.max("root").alias("v"), blocks.alias("parts")).filter("u <> v").select("band", "parts")
     rows = rest.join(parts, "band").select("band", "node", "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("own"))
-    rows = written(rows.join(sets.select("node", "signed"), "node"), "members-left")
+    rows = written(rows.join(sets.select("node", "signed", "shingles"), "node"), "members-left")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    each = rows.select("band", "node", "root", "signed", "own", other)  # both orders of two blocks are one group each
-    left = each.select("band", F.col("own").alias("l"), F.col("other").alias("r"), "node", "root", "signed", F.lit(True).alias("left"), (F.col("own") == F.col("other")).alias("right"))
-    right = each.filter("own <> other").select("band", F.col("other").alias("l"), F.col("own").alias("r"), "node", "root", "signed", F.lit(False).alias("left"), F.lit(True).alias("right"))
-    return left.unionByName(right).groupBy("band", "l", "r").applyInArrow(_in_blocks(similarity), "x bigint, y bigint")
+    each = rows.select("band", "node", "root", "signed", "shingles", "own", other)  # both orders of two blocks are one group each
+    of = lambda l, r, left, right: (F.col(l).alias("l"), F.col(r).alias("r"), "node", "root", "signed", "shingles", left.alias("left"), right.alias("right"))
+    left = each.select("band", *of("own", "other", F.lit(True), F.col("own") == F.col("other")))
+    right = each.filter("own <> other").select("band", *of("other", "own", F.lit(False), F.lit(True)))
+    found = left.unionByName(right).groupBy("band", "l", "r").applyInArrow(_in_blocks(similarity), "x bigint, y bigint")
+    return _pairs(found)
 
 
 def _links(slim: DataFrame, nodes: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
     """Verified links (a, b) between nodes, as many as connect what all links connect.
 
     In each bucket members are held against one centre after another, which takes one pair a member; what still is of
-    different components after that is compared pair by pair.
+    different components after that is compared in blocks.
     """
     banded = nodes.select("node", "fp", "size", F.explode("bands").alias("band"))
     members = written(banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "shared-bands")
@@ -252,8 +281,7 @@ def _links(slim: DataFrame, nodes: DataFrame, width: int, similarity: float, see
         pairs = written(_pairs(pairs).join(tested, ["a", "b"], "left_anti"), "candidates")
         tested, centres = tested.unionByName(pairs), centres.unionByName(new)
         links = written(links.unionByName(_verified(pairs, sets, similarity)), "links-found")
-    pairs = written(_pairs(_between(_by_root(buckets, links), centres, sets, similarity)).join(tested, ["a", "b"], "left_anti"), "candidates")
-    return links.unionByName(_verified(pairs, sets, similarity))
+    return links.unionByName(written(_between(_by_root(buckets, links), centres, sets, similarity), "links-found"))
 
 
 def _classes(docs: DataFrame, width: int, similarity: float, seed: int) -> tuple[DataFrame, DataFrame]:
