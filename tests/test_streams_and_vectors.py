@@ -119,3 +119,17 @@ def test_stream_queries_equal_their_batch_forms(spark):
     assert sum(actions.values()) == spark.read.parquet(f"{SF}/events.parquet").count() and set(actions) == {"CREATED", "UPDATED", "UNCHANGED", "LATE"}
     gaps = Counter(r.stage for r in entry.queries()["e10_stream_reconciliation"](spark, SF).collect())
     assert set(gaps) == {"raw_without_normalized", "normalized_without_vector"}
+
+
+def test_old_deltas_go_once_two_snapshots_hold_them(spark, tmp_path):
+    import os
+
+    table = streams.Deltas(f"file://{tmp_path}/d", "k long, n long", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), snapshots=3)
+    for epoch in range(8):
+        table.put(spark.createDataFrame([(epoch % 2, 1), (7, 1)], "k long, n long"), epoch)
+    got = lambda before=None: sorted(map(tuple, table.table(spark, before).collect()))
+    assert got() == [(0, 4), (1, 4), (7, 8)]
+    assert sorted(os.listdir(tmp_path / "d/delta")) == [f"epoch={e}" for e in (3, 4, 5, 6, 7)] and sorted(os.listdir(tmp_path / "d/snapshot")) == ["epoch=2", "epoch=5"]
+    assert got(5) == [(0, 3), (1, 2), (7, 5)]  # an epoch that is run again
+    table.put(spark.createDataFrame([(1, 1), (7, 1)], "k long, n long"), 5)
+    assert got() == [(0, 4), (1, 4), (7, 8)]

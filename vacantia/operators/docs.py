@@ -356,13 +356,31 @@ SPOKEN = ("english", "french", "german", "spanish", "vietnamese", "japanese", "c
 FRAMEWORKS = ("ielts", "toeic", "toefl", "jlpt", "hsk", "topik", "delf")
 
 
+# Levels of languages by what they are called; the longest name in a text counts.
+LANGUAGE_LEVELS = {
+    "NATIVE": ("native", "native speaker", "mother tongue", "bilingual"), "FLUENT": ("fluent", "full professional proficiency"), "ADVANCED": ("advanced", "proficient", "professional working proficiency"),
+    "UPPER_INTERMEDIATE": ("upper intermediate", "upper-intermediate"), "INTERMEDIATE": ("intermediate", "conversational", "limited working proficiency"), "BASIC": ("basic", "beginner", "elementary", "elementary proficiency"),
+    **{x: (x.lower(),) for x in ("A1", "A2", "B1", "B2", "C1", "C2")},
+}
+
+
 def language_skills(line_table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, language, framework, score, level of lines that name a language."""
+    """key, language, framework, score, level of every language that a line names, once each.
+
+    What stands behind a language up to the next one is about it; what stands before the first is about the first. Of the
+    names of levels in it the longest counts, of equally long ones the first in the alphabet.
+    """
+    names = "|".join(SPOKEN)
     f = fold(F.col("line"))
-    rows = line_table.select(key, f.alias("f")).withColumn("language", blank_to_null(F.regexp_extract("f", r"\b(" + "|".join(SPOKEN) + r")\b", 1))).filter("language IS NOT NULL")
+    rows = line_table.select(key, f.alias("f")).filter(F.col("f").rlike(rf"\b({names})\b"))
+    cut = rf"\b({names})\b((?:(?!\b(?:{names})\b).)*)"
+    found = F.arrays_zip(F.regexp_extract_all("f", F.lit(cut), F.lit(1)).alias("language"), F.regexp_extract_all("f", F.lit(cut), F.lit(2)).alias("rest"))
+    each = rows.select(key, F.regexp_extract("f", rf"^(.*?)\b(?:{names})\b", 1).alias("head"), F.posexplode(found).alias("i", "x"))
+    each = each.select(key, "x.language", F.when(F.col("i") == 0, F.concat_ws(" ", "head", "x.rest")).otherwise(F.col("x.rest")).alias("about"))
     frame = r"\b(" + "|".join(FRAMEWORKS) + r")\b\s*:?\s*([0-9]+(?:\.[0-9])?|n[1-5])?"
-    level = blank_to_null(F.regexp_extract("f", r"\b(native|fluent|advanced|intermediate|basic|[abc][12])\b", 1))
-    return rows.select(key, "language", F.upper(blank_to_null(F.regexp_extract("f", frame, 1))).alias("framework"), blank_to_null(F.regexp_extract("f", frame, 2)).alias("score"), F.upper(level).alias("level")).distinct()
+    known = F.array(*(F.struct(F.lit(-len(n)).alias("n"), F.lit(n).alias("name"), F.lit(level).alias("level")) for level, all_ in LANGUAGE_LEVELS.items() for n in all_))
+    fits = F.filter(known, lambda k: F.concat(F.lit(" "), F.regexp_replace("about", r"[^a-z0-9-]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), k["name"], F.lit(" "))))
+    return each.select(key, "language", F.upper(blank_to_null(F.regexp_extract("about", frame, 1))).alias("framework"), blank_to_null(F.regexp_extract("about", frame, 2)).alias("score"), F.array_min(fits)["level"].alias("level")).distinct()
 
 
 def classify_bullets(line_table: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -77,12 +77,14 @@ def renormalization_report(actions: DataFrame, key: str, size: int = 500) -> Dat
     return out.select("page", "processed", "created", "updated", "unchanged", "failed", total.alias("total"), pages.alias("pages"), F.when(F.col("page") + 1 < pages, F.col("page") + 1).alias("next_page"))
 
 
-def ranks(rows: DataFrame, keys: list, parts: int = 64) -> DataFrame:
+def ranks(rows: DataFrame, keys: list, parts: int | None = None) -> DataFrame:
     """`rows` with `_rank`, the place in the order of `keys` over all rows, without sorting them in one task.
 
     Rows are dealt by ranges of the keys and written, so that both readings see the same ranges; each range counts its
-    rows, and places add what the ranges before hold.
+    rows, and places add what the ranges before hold. There are as many ranges as the session shuffles to, which a cluster
+    sets by its data, or `parts`.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k) if isinstance(k, str) else k for k in keys]
     dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "dealt")
     dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

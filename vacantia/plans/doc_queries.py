@@ -158,6 +158,13 @@ def f28(spark, d):
     return t.select("doc_id", docs.candidate_text({"Name": (F.get("l", F.lit(0)), 20), "Title": (F.get("l", F.lit(1)), 30), "Work": (F.get("l", F.lit(5)), 40)}, 2400).alias("value"))
 
 
+def _language_lines(spark, d):
+    """Customers with lines that name languages in several forms, and none."""
+    k = c("c_custkey") % 5
+    line = F.when(k == 0, F.concat(F.lit("- English: upper intermediate (IELTS 6.5), "), F.initcap("c_mktsegment"), F.lit("; French - basic"))).when(k == 1, "Vietnamese (Native speaker) | Japanese JLPT N2").when(k == 2, "Professional working proficiency in German / Korean").when(k == 3, "DELF B2 español Spanish").otherwise(F.concat(F.lit("Fluent in "), "c_name"))
+    return feed.table(spark, d, "customer").select(c("c_custkey").alias("doc_id"), line.alias("line"))
+
+
 QUERIES = {
     "f1_detect_language": lambda spark, d: documents(spark, d).select("doc_id", docs.detect_language(c("text")).alias("language")),
     "f2_detect_sections": cv_sections,
@@ -180,6 +187,7 @@ QUERIES = {
     "f19_normalize_job_title": f19,
     "f20_highest_education": lambda spark, d: docs.highest_education(cv(spark, d), taxonomy.degrees(spark)),
     "f21_career_preferences": lambda spark, d: docs.labelled_lines(_pref_lines(spark, d), docs.PREFERENCES),
+    "f22_language_skills_forms": lambda spark, d: docs.language_skills(_language_lines(spark, d)),
     "f22_language_skills": lambda spark, d: docs.language_skills(_pref_lines(spark, d)),
     "f23_classify_bullets": lambda spark, d: docs.classify_bullets(cv_lines(spark, d)),
     "f24_validate_profiles": f24,
@@ -261,6 +269,8 @@ SELECT doc_id, kind, arg_min(canonical, (pos, -n, canonical)) AS canonical FROM
     "f19_normalize_job_title": f"{_W} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Engineer' WHEN 1 THEN 'Analyst' WHEN 2 THEN 'Store Manager' ELSE 'Analyst' END AS title FROM cv",
     "f20_highest_education": f"{_W} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'BACHELOR' WHEN 1 THEN 'MASTER' ELSE 'DOCTORATE' END AS level FROM cv",
     "f21_career_preferences": "SELECT c_custkey AS doc_id, f AS field, replace(v, '?', CAST(c_custkey AS VARCHAR)) AS value FROM customer, (VALUES ('LOCATION', 'Town ?'), ('SALARY', '20 tr'), ('AVAILABILITY', '30 days')) AS t(f, v)",
+    "f22_language_skills_forms": """SELECT c_custkey AS doc_id, language, framework, score, level FROM customer JOIN (VALUES (0, 'english', 'IELTS', '6.5', 'UPPER_INTERMEDIATE'), (0, 'french', NULL, NULL, 'BASIC'), (1, 'vietnamese', NULL, NULL, 'NATIVE'), (1, 'japanese', 'JLPT', 'n2', NULL),
+  (2, 'german', NULL, NULL, 'ADVANCED'), (2, 'korean', NULL, NULL, NULL), (3, 'spanish', 'DELF', NULL, 'B2')) AS v(k, language, framework, score, level) ON c_custkey % 5 = k""",
     "f22_language_skills": "SELECT c_custkey AS doc_id, 'english' AS language, 'IELTS' AS framework, '7.0' AS score, 'FLUENT' AS level FROM customer",
     "f23_classify_bullets": f"{_W}, {_LINES} SELECT doc_id, CAST(n AS INTEGER) AS n, CASE WHEN line LIKE '%\\%%' ESCAPE '\\' THEN 'ACHIEVEMENT' ELSE 'RESPONSIBILITY' END AS kind FROM lines WHERE line LIKE '- %'",
     "f24_validate_profiles": f"WITH {base.PERIODS} SELECT period_id, 'end_month' AS field, 'END_BEFORE_START' AS reason FROM periods WHERE end_month < start_month UNION ALL SELECT period_id, 'end_month', 'TOO_LONG' FROM periods WHERE end_month - start_month > 12 UNION ALL SELECT period_id, 'start_month', 'EARLY' FROM periods WHERE start_month < 23916",

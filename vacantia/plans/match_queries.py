@@ -135,6 +135,12 @@ def i1(spark, d):
     return query.list_page(o.select("source_code", "title", "l_orderkey", "l_linenumber", "detail_url", "collected_at"), {"source_code": " bravo", "title": None}, [c("collected_at").desc(), c("l_orderkey").desc(), c("l_linenumber"), c("detail_url")], 2, 20).select("source_code", "title", "l_orderkey", "l_linenumber", "total", "pages")
 
 
+def i1_deep(spark, d):
+    """A page in the middle of all rows, by ranks."""
+    o = feed.observations(spark, d).select("source_code", "title", "l_orderkey", "l_linenumber", "detail_url", "collected_at")
+    return query.list_page(o, {"source_code": None}, [c("collected_at").desc(), c("l_orderkey").desc(), c("l_linenumber"), c("detail_url")], 30, 50, deep=0).select("source_code", "title", "l_orderkey", "l_linenumber", "total", "pages")
+
+
 _ROUND = lambda x: F.round(x, 6)
 
 QUERIES = {
@@ -160,6 +166,7 @@ QUERIES = {
     "h8_rank_matches": lambda spark, d: match.rank_matches(_scored(spark, d)).select("candidate_id", "job_id", "final_score", "rank"),
     "h9_match_results": lambda spark, d: match.match_results(match.rank_matches(_scored(spark, d))).select("candidate_id", "job_id", "rank", *(F.array_join(x, ",").alias(x) for x in ("matched_skills", "missing_skills", "reasons")), "ranking_version"),
     "i1_list_jobs": i1,
+    "i1_list_jobs_deep": i1_deep,
     "i2_latest_raw": lambda spark, d: query.latest(feed.observations(spark, d).select("title", "collected_at", "l_orderkey", "l_linenumber", "detail_url"), [c("collected_at").desc(), c("l_orderkey").desc(), c("l_linenumber"), c("detail_url")], 50),
     "i3_get_latest_embedding": lambda spark, d: query.latest_by_key(feed.table(spark, d, "orders"), "o_custkey", 7, [c("o_orderdate").desc(), c("o_orderkey").desc()]).select("o_custkey", "o_orderkey", "o_orderdate"),
     "i3_get_job": lambda spark, d: query.by_key(keyed.with_fingerprint(feed.observations(spark, d)), "fingerprint", "ALPHA:11").select("fingerprint", "title", "l_orderkey", "l_linenumber"),
@@ -210,6 +217,7 @@ SELECT candidate_id, job_id, matched, needed, round(matched / needed::DOUBLE, 6)
     "h9_match_results": f"""{_SCORED} SELECT candidate_id, job_id, rank, array_to_string(list_sort(list_filter(list_distinct({_NEED}), lambda x: list_contains({_HAVE}, x))), ',') AS matched_skills, array_to_string(list_sort(list_filter(list_distinct({_NEED}), lambda x: NOT list_contains({_HAVE}, x))), ',') AS missing_skills,
   array_to_string(list_filter([CASE WHEN v >= 0.5 THEN 'SIMILAR_TEXT' END, CASE WHEN sk > 0 THEN 'SHARED_SKILLS' END, CASE WHEN se = 1 THEN 'SAME_LEVEL' END, CASE WHEN lo = 1 THEN 'SAME_PLACE' END, CASE WHEN fr = 1 THEN 'NEW' END], lambda x: x IS NOT NULL), ',') AS reasons, 'hybrid-v1' AS ranking_version FROM s4 WHERE rank <= 20""",
     "i1_list_jobs": f"{_W}, f AS (SELECT *, count(*) OVER () AS total FROM obs WHERE source_code = 'BRAVO') SELECT source_code, title, l_orderkey, l_linenumber, total, CAST(ceil(total / 20) AS BIGINT) AS pages FROM f ORDER BY collected_at DESC, l_orderkey DESC, l_linenumber, detail_url LIMIT 20 OFFSET 40",
+    "i1_list_jobs_deep": f"{_W} SELECT source_code, title, l_orderkey, l_linenumber, count(*) OVER () AS total, CAST(ceil(count(*) OVER () / 50) AS BIGINT) AS pages FROM obs ORDER BY collected_at DESC, l_orderkey DESC, l_linenumber, detail_url LIMIT 50 OFFSET 1500",
     "i2_latest_raw": f"{_W} SELECT title, collected_at, l_orderkey, l_linenumber, detail_url FROM obs ORDER BY collected_at DESC, l_orderkey DESC, l_linenumber, detail_url LIMIT 50",
     "i3_get_latest_embedding": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "i3_get_job": f"{_W} SELECT fingerprint, title, l_orderkey, l_linenumber FROM obs WHERE fingerprint = 'ALPHA:11'",

@@ -15,6 +15,7 @@ class Deltas:
 
     `table` merges the epochs before a given one by `merge`, an aggregate that may be applied to its own results, from the
     newest snapshot on; every `snapshots`-th epoch writes one. Nothing is held in memory, so a restart goes on from here.
+    What lies before the last snapshot but one is deleted then: an epoch that is run again needs the one before it only.
     """
 
     def __init__(self, folder: str, schema: str, merge: Callable[[DataFrame], DataFrame], snapshots: int = 16):
@@ -47,6 +48,15 @@ class Deltas:
         df.write.mode("overwrite").parquet(f"{self.folder}/delta/epoch={epoch}")
         if epoch % self.snapshots == self.snapshots - 1:
             self.table(df.sparkSession, epoch + 1).write.mode("overwrite").parquet(f"{self.folder}/snapshot/epoch={epoch}")
+            self._clean(df.sparkSession)
+
+    def _clean(self, spark) -> None:
+        kept = self._epochs(spark, "snapshot")[-2:][:1]
+        for kind in ("snapshot", "delta") if kept else ():
+            for e in self._epochs(spark, kind):
+                if e < kept[0] or (kind == "delta" and e == kept[0]):
+                    path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}/epoch={e}")
+                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def seen_table(folder: str, observations: DataFrame, fields: tuple[str, ...], order: tuple[str, ...], days: int = 30) -> tuple[Deltas, Callable[[DataFrame, int], None]]:
