@@ -133,3 +133,27 @@ def test_old_deltas_go_once_two_snapshots_hold_them(spark, tmp_path):
     assert got(5) == [(0, 3), (1, 2), (7, 5)]  # an epoch that is run again
     table.put(spark.createDataFrame([(1, 1), (7, 1)], "k long, n long"), 5)
     assert got() == [(0, 4), (1, 4), (7, 8)]
+
+
+def test_texts_are_embedded_once_by_a_provider_loaded_once_a_task(spark, tmp_path):
+    """Hot, empty and null texts; a loaded provider; rows keep their columns."""
+    texts = ["same"] * 40 + ["", None] * 10 + [f"t{i}" for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    log = f"{tmp_path}/calls"
+
+    def load():
+        with open(log, "a") as f:
+            f.write("load\n")
+
+        def make(batch):
+            with open(log, "a") as f:
+                f.writelines(f"{len(x)}\n" for x in batch)
+            return [[float(len(x)), 1.0] for x in batch]
+
+        return make
+
+    for hot in (5, 100_000):
+        got = vectors.embed_batch(rows, "t", load=load, hot=hot).collect()
+        assert len(got) == len(texts) and all(r.embedding == [float(len(r.t or "")), 1.0] for r in got)
+    lines = open(log).read().split()
+    assert sum(x != "load" for x in lines) == 2 * 32  # null is the empty text: 32 distinct ones in each run

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.sources.shared import SMALL, joined, written
+
 DIM = 64
 #: Vectors of the smaller side up to which it may be broadcast (their size is fixed by the dimension).
 BROADCAST_ROWS = 50_000
@@ -28,22 +30,35 @@ def hashed_vector(text: str, dim: int = DIM) -> list[float]:
     return [x / n for x in v]
 
 
-def embed_batch(rows: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]] | None = None, version: str = "hash-v1") -> DataFrame:
-    """`rows` with text_hash, embedding and embedding_version. Each distinct text is embedded once, in Arrow batches."""
-    make = provider or (lambda texts: [hashed_vector(t) for t in texts])
+#: Rows of one text from which it is joined by broadcast; such texts are at most the rows over this.
+HOT = 100_000
+
+
+def embed_batch(rows: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]] | None = None, version: str = "hash-v1", load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None, hot: int = HOT) -> DataFrame:
+    """`rows` with text_hash, embedding and embedding_version. Each distinct text is embedded once, in Arrow batches.
+
+    `provider` makes vectors of texts; with `load` each task makes its provider once, such as a model that it loads. Vectors
+    are a written table, so no text is embedded twice. Texts of more than `hot` rows (the empty one, boilerplate) don't meet
+    in one task: their vectors are broadcast as far as they are few, the others shuffled.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        make = load() if load else provider or (lambda texts: [hashed_vector(t) for t in texts])
         for b in batches:
             vectors = make([t or "" for t in b.column("_text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(vectors, pa.list_(pa.float32()))], ["text_hash", "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), b.column("_n"), pa.array(vectors, pa.list_(pa.float32()))], ["text_hash", "_n", "embedding"])
 
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     hashed = rows.withColumn("text_hash", digest)
-    distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("_text"))
-    made = distinct.mapInArrow(run, "text_hash string, embedding array<float>")
-    return hashed.join(made, "text_hash").withColumn("embedding_version", F.lit(version))
+    distinct = hashed.groupBy("text_hash").agg(F.first(text).alias("_text"), F.count("*").alias("_n"))
+    made = written(distinct.mapInArrow(run, "text_hash string, _n bigint, embedding array<float>"), "embeddings")
+    often = made.filter(F.col("_n") > hot)
+    n = often.limit(SMALL + 1).count()
+    vectors = made.drop("_n")
+    out = joined(hashed, vectors, "text_hash", often) if 0 < n <= SMALL else hashed.join(vectors, "text_hash")
+    return out.withColumn("embedding_version", F.lit(version))
 
 
 def norm(v: Column) -> Column:

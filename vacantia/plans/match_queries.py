@@ -135,6 +135,11 @@ def i1(spark, d):
     return query.list_page(o.select("source_code", "title", "l_orderkey", "l_linenumber", "detail_url", "collected_at"), {"source_code": " bravo", "title": None}, [c("collected_at").desc(), c("l_orderkey").desc(), c("l_linenumber"), c("detail_url")], 2, 20).select("source_code", "title", "l_orderkey", "l_linenumber", "total", "pages")
 
 
+def _letters():
+    """A provider: the shares of five letters in a text."""
+    return lambda texts: [[t.count(x) / max(1, len(t)) for x in "aeiou"] for t in texts]
+
+
 def i1_deep(spark, d):
     """A page in the middle of all rows, by ranks."""
     o = feed.observations(spark, d).select("source_code", "title", "l_orderkey", "l_linenumber", "detail_url", "collected_at")
@@ -145,6 +150,7 @@ _ROUND = lambda x: F.round(x, 6)
 
 QUERIES = {
     "a5_ranking_config": a5,
+    "g1_embed_batch_vectors": lambda spark, d: vectors.embed_batch(feed.table(spark, d, "documents").select("doc_id", "text"), "text", load=_letters, hot=3).select("doc_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 10_000).cast("long")).cast("string").alias("vector")),
     "g1_embed_batch": lambda spark, d: vectors.embed_batch(feed.table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "text_hash", _ROUND(vectors.norm(c("embedding"))).alias("norm"), "embedding_version"),
     "g2_validate_vectors": g2,
     "g3_l2_normalize": lambda spark, d: _embeddings(spark, d).select("vec_id", F.round(vectors.norm(vectors.l2_normalize(F.transform("embedding", lambda x: x * 3))), 5).alias("norm")),
@@ -196,6 +202,7 @@ _W = f"WITH {base.OBS}"
 ORACLES = {
     "a5_ranking_config": "SELECT v AS version, a::DOUBLE AS vector, b::DOUBLE AS skill, c::DOUBLE AS seniority, d::DOUBLE AS location, e::DOUBLE AS freshness, 100 AS pool, 20 AS n, (SELECT count(*) FROM embeddings) AS vectors FROM (VALUES ('hybrid-v1', 0.5, 0.3, 0.1, 0.05, 0.05), ('hybrid-v1-plain', 0.1, 0.6, 0.15, 0.1, 0.05)) t(v, a, b, c, d, e)",
     "g1_embed_batch": "SELECT doc_id, sha256(coalesce(text, '')) AS text_hash, 1.0::DOUBLE AS norm, 'hash-v1' AS embedding_version FROM documents",
+    "g1_embed_batch_vectors": "SELECT doc_id, '[' || array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda x: CAST(CAST(round(CAST(CAST((length(text) - length(replace(text, x, ''))) / greatest(1, length(text))::DOUBLE AS FLOAT) AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR)), ', ') || ']' AS vector FROM documents",
     "g2_validate_vectors": "SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'WRONG_LENGTH' WHEN 1 THEN 'NOT_UNIT' WHEN 2 THEN 'NULL_VECTOR' END AS reason FROM embeddings",
     "g3_l2_normalize": "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings",
     "g4_point_id": "WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_partkey || ':hash-v1')) AS h FROM part) SELECT p_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h",

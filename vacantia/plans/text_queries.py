@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from vacantia.functions import text as t
 from vacantia.plans import base
 from vacantia.sources.feed import table
+from vacantia.sources.shared import spread
 
-_docs = lambda make: lambda spark, d: table(spark, d, "documents").select("doc_id", *make(F.col("text")))
+_docs = lambda make: lambda spark, d: spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *make(F.col("text")))
 _BLANK = r"[\s\x00-\x1f\x7f\x{a0}]+"
 
 # Lines that are put below each document and broken: by Latin-1 with the whole text, by Latin-1 and by cp1252 alone.

@@ -35,3 +35,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def sized(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """A table of short rows, marked for broadcast if it has at most `rows`; else Spark joins it by its keys."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, bytes_a_task: int = 128 << 20) -> DataFrame:
+    """`df` dealt over all cores where its files are so few and small that a scan leaves cores idle; else `df` itself.
+
+    For costly work behind small tables. What is shuffled is less than `bytes_a_task` for each core; of larger or more files Spark makes
+    enough tasks by itself.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    held = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(cores) if held < bytes_a_task * cores else df
+
+
+def joined(rows: DataFrame, table: DataFrame, on: str, hot: DataFrame) -> DataFrame:
+    """`rows` with `table`, which has one row a key: keys in `hot` (at most `SMALL`) by broadcast, the others by a shuffle."""
+    hot = F.broadcast(hot.select(on))
+    few = F.broadcast(table.join(hot, on, "left_semi"))
+    rest = rows.join(hot, on, "left_anti").join(table.join(hot, on, "left_anti"), on)
+    return rest.unionByName(rows.join(few, on))
