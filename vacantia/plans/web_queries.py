@@ -39,6 +39,22 @@ def _postings(spark, d):
     return web.job_posting(pages(spark, d).select("page_id", F.concat(F.lit('<script type="application/ld+json">{bad</script>'), "html", block).alias("html")))
 
 
+#: Records in other shapes, by page: alone with one place, in a list with a lower bound only, without a type that counts.
+_SHAPES = (
+    '{"@type":"JobPosting","title":"One %d","baseSalary":{"currency":"EUR","value":{"value":15,"unitText":"HOUR"}},"jobLocation":{"address":{"addressRegion":"Region","addressLocality":"Town %d"}}}',
+    '[{"@type":"Person"},{"@type":["X","JobPosting"],"title":"Two %d","baseSalary":{"value":{"minValue":10,"unitText":"YEAR"}},"jobLocation":[{"address":{"addressRegion":"Hanoi","addressLocality":"Hanoi City %d"}},{"address":{"addressRegion":"Hue"}}]}]',
+    '{"@graph":[{"@type":"Jobs","title":"None %d"},{"title":"%d"}]}',
+)
+
+
+def _shaped(spark, d):
+    kind = c("page_id") % 3
+    record = F.when(kind == 0, F.format_string(_SHAPES[0], "page_id", "page_id")).when(kind == 1, F.format_string(_SHAPES[1], "page_id", "page_id")).otherwise(F.format_string(_SHAPES[2], "page_id", "page_id"))
+    block = F.concat(F.lit("<SCRIPT id=x type=\"application/ld+json\">\n"), record, F.lit("</SCRIPT>"))
+    found = web.job_posting(pages(spark, d).select("page_id", F.concat("html", block).alias("html")))
+    return found.select("page_id", F.expr("try_variant_get(posting, '$.title', 'string')").alias("title"), web.posting_salary().alias("salary"), web.posting_locations().alias("locations"))
+
+
 #: Six ways to write a link, by page: as it is, upper case with more blanks, single quotes, over lines behind an attribute that looks like it, bare, and in a comment.
 _FORMS = (None, r'<A class=x HREF = "$1"', "<a href='$1'", '<a\n data-x=\'<a href="/no">\'\n\thref="$1"', r"<a href=$1", r'<!-- <a href="$1"> --><b title="<a href=no>"')
 
@@ -60,6 +76,7 @@ def _marked(spark, d):
 QUERIES = {
     "b1_extract_links_forms": lambda spark, d: web.extract_links(_varied(spark, d)),
     "b6_html_to_text_forms": _marked,
+    "b7_b8_b9_jsonld_shapes": _shaped,
     "b1_extract_links": lambda spark, d: web.extract_links(pages(spark, d)),
     "b2_canonical_url": lambda spark, d: pages(spark, d).select("page_id", web.canonical_url(c("url")).alias("value")),
     "b3_match_source_links": b3,
@@ -86,6 +103,7 @@ ORACLES = {
     "b1_extract_links": f"WITH {_LINKS} SELECT * FROM links",
     "b1_extract_links_forms": f"WITH {_LINKS} SELECT * FROM links WHERE page_id % 6 <> 5",
     "b6_html_to_text_forms": "SELECT page_id, '1 < 2 &&#39; ' || trim(replace(url, '&amp;', '&')) || ' é😀é\ufffd end' AS value FROM pages",
+    "b7_b8_b9_jsonld_shapes": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'One ' ELSE 'Two ' END || page_id AS title, CASE page_id % 3 WHEN 0 THEN '15 EUR HOUR' ELSE '10 YEAR' END AS salary, CASE page_id % 3 WHEN 0 THEN 'Region - Town ' || page_id ELSE 'Hanoi City ' || page_id || ', Hue' END AS locations FROM pages WHERE page_id % 3 < 2",
     "b2_canonical_url": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS value FROM pages",
     "b3_match_source_links_hosts": r"""WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS link, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS h, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
 s AS (SELECT h AS host FROM p WHERE h <> '' GROUP BY h HAVING count(*) > 1) SELECT DISTINCT 'S:' || host AS source_code, link FROM p JOIN s ON h = host WHERE p LIKE '/en/%'""",
