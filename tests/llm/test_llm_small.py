@@ -738,6 +738,9 @@ def test_attention_parts_are_averaged_by_spark(spark):
     attention_lm._fit(net, spark.createDataFrame(rows, "x binary, y binary"), group)
     after = net.log_shares(x[:64], np.arange(64 * a.WIDTH), (x[:64].reshape(-1) + 1) % 50)[0].mean()
     assert after > before / 4
+    again = a.Model(50)
+    attention_lm._fit(again, spark.createDataFrame(rows, "x binary, y binary"), group)
+    assert all(np.array_equal(p, q) for p, q in zip(net.p, again.p))  # whole numbers are added, in any order
     one, two = a.Model(50), a.Model(50)
     start = [p.copy() for p in one.p]
     one.train(x[:640], x[:640] % 50, epochs=1)
