@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from vacantia.operators import docs
 from vacantia.plans import base
 from vacantia.sources import feed, taxonomy
+from vacantia.sources.shared import spread
 
 c = F.col
-documents = lambda spark, d: feed.table(spark, d, "documents")
+documents = lambda spark, d: spread(feed.table(spark, d, "documents").select("doc_id", "text", "lang"))
 #: The month at which current work ends: December 2001.
 AS_OF = 2001 * 12 + 11
 
 
 def cv(spark, d):
-    return feed.cv_text(spark, d)
+    return spread(feed.cv_text(spark, d))
 
 
 def cv_lines(spark, d):
