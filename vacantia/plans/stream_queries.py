@@ -73,26 +73,16 @@ def _split(spark, d, parts: int = 4):
     at = _shared(spark)
     events = feed.table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
     for k in range(parts):
-        events.filter(c("event_id") % parts == k).coalesce(1).write.parquet(f"{at}/batch={k}")
+        events.filter(c("event_id") % parts == k).repartition(1).write.parquet(f"{at}/batch={k}")
     return _sightings(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/batch=*"))
 
 
-def _stateful(spark, run):
-    """Runs a stream whose state needs RocksDB. Without empty batches, which a state with a time to live asks for without end."""
-    ours = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    old = {k: spark.conf.get(k, None) for k in ours}
-    try:
-        for k, v in ours.items():
-            spark.conf.set(k, v)
-        return run()
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
-
-
 def j2_versions(spark, d):
+    at = _shared(spark)
     rows = _split(spark, d).withColumn("digest", F.sha2((F.floor("value") % 2).cast("string").cast("binary"), 256))
-    return _stateful(spark, lambda: _finish(streams.versions(rows, more=("event_id",)), "update", "versions")).select("event_id", "fingerprint", "action")
+    emit = lambda df, epoch: df.write.mode("overwrite").parquet(f"{at}/versions/epoch={epoch}")
+    _batches(spark, rows, streams.versions(streams.version_table(f"{at}/seen"), emit, more=("event_id",)), at)
+    return spark.read.parquet(f"{at}/versions").select("event_id", "fingerprint", "action")
 
 
 def e10_stream(spark, d):

@@ -111,49 +111,44 @@ def changed_feed(state: Deltas, emit: Callable[[DataFrame, int], None], digest:
     return run
 
 
-def versions(rows: DataFrame, digest: str = "digest", more: tuple[str, ...] = (), keep_days: int = 30) -> DataFrame:
-    """fingerprint, ts, `digest`, `more` and action of every row of a stream: CREATED, UPDATED, UNCHANGED or LATE.
+def version_table(folder: str, keep_days: int = 30) -> Deltas:
+    """When each digest of a fingerprint was last seen; one that isn't seen for `keep_days` of processing time is gone."""
 
-    Per fingerprint a map holds when each digest was last seen; the newest of them is the current version. A row older than
-    that is LATE, whatever it says, also where the newer sighting changed nothing. A version that isn't seen for
-    `keep_days` of processing time leaves the map, and a fingerprint without one is new again. Inside a batch rows count in the
-    order of ts and digest. rows: fingerprint (string), ts (timestamp), the digest (string), `more`.
-    """
-    from pyspark.sql.streaming import StatefulProcessor
+    def merge(rows: DataFrame) -> DataFrame:
+        newest = rows.groupBy("fingerprint", "digest").agg(F.max_by(F.struct("ts", "at", "epoch"), "epoch").alias("n")).select("fingerprint", "digest", "n.*")
+        return newest.filter(F.col("at") > F.current_timestamp() - F.make_dt_interval(F.lit(keep_days)))
 
-    names = ["fingerprint", "ts", digest, *more]
-    ttl = keep_days * 86_400_000
+    return Deltas(folder, "fingerprint string, digest string, ts timestamp, at timestamp, epoch bigint", merge)
 
-    class Versions(StatefulProcessor):
-        def init(self, handle):
-            self.seen = handle.getMapState("seen", "digest string", "us bigint", ttl)
 
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
+def versions(state: Deltas, emit: Callable[[DataFrame, int], None], digest: str = "digest", more: tuple[str, ...] = ()):
+    """A foreachBatch function that gives fingerprint, ts, `digest`, `more` and action of every row to `emit`: CREATED, UPDATED, UNCHANGED or LATE.
 
-            batch = pd.concat(rows)
-            batch["_us"] = batch["ts"].astype("datetime64[us]").astype("int64")
-            batch = batch.sort_values(["_us", digest], kind="stable")
-            now = max(((v[0], k[0]) for k, v in self.seen.iterator()), default=None)
-            touched, actions = {}, []
-            for us, d in batch[["_us", digest]].itertuples(index=False):
-                late = now is not None and us < now[0]
-                actions.append("CREATED" if now is None else "LATE" if late else "UNCHANGED" if d == now[1] else "UPDATED")
-                touched[d] = max(us, touched.get(d, us))
-                if not late:
-                    now = (us, d)
-            for d, us in touched.items():
-                old = self.seen.getValue((d,)) if self.seen.containsKey((d,)) else None
-                if old is None or old[0] < us:
-                    self.seen.updateValue((d,), (us,))
-            batch["fingerprint"], batch["action"] = key[0], actions
-            yield batch[[*names, "action"]]
+    `state` (`version_table`) holds when each digest was last seen; the newest of a fingerprint is its current version. A row
+    older than that is LATE, whatever it says, also where the newer sighting changed nothing. A fingerprint without a version
+    is new. Inside a batch rows count in the order of ts and digest, so none is late because of another of its batch, and a
+    batch is one join and one window, however many fingerprints it has. rows: fingerprint (string), ts (timestamp), the digest
+    (string), `more`.
+    """
 
-        def close(self):
-            pass
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("fingerprint", "ts", digest, *more)
+        table = state.table(spark, epoch)
+        now = table.groupBy(F.col("fingerprint").alias("_f")).agg(F.max(F.struct("ts", "digest")).alias("_now"))
+        marked = rows.join(now, F.col("fingerprint").eqNullSafe(F.col("_f")), "left")
+        late = F.col("_now").isNotNull() & F.coalesce(F.col("ts") < F.col("_now.ts"), F.col("ts").isNull())
+        w = Window.partitionBy("fingerprint", "_late").orderBy("ts", digest)
+        old = F.coalesce(F.lag(F.struct("ts", F.col(digest).alias("digest"))).over(w), "_now")
+        action = F.when(F.col("_late"), "LATE").when(F.col("_old").isNull(), "CREATED").when(F.col("_old.digest").eqNullSafe(F.col(digest)), "UNCHANGED").otherwise("UPDATED")
+        emit(marked.withColumn("_late", late).withColumn("_old", old).select(*rows.columns, action.alias("action")), epoch)
+        seen = rows.groupBy("fingerprint", F.col(digest).alias("digest")).agg(F.max("ts").alias("ts"))
+        known = table.select(F.col("fingerprint").alias("_f"), F.col("digest").alias("_d"), F.col("ts").alias("_ts"))
+        both = seen.join(known, F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("digest").eqNullSafe(F.col("_d")), "left")
+        newer = both.filter(F.col("_d").isNull() | F.col("_ts").isNull() | (F.col("_ts") < F.col("ts")))
+        state.put(newer.select("fingerprint", "digest", "ts", F.current_timestamp().alias("at"), F.lit(epoch).cast("long").alias("epoch")), epoch)
 
-    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.select(*names).groupBy("fingerprint").transformWithStateInPandas(Versions(), f"{kinds}, action string", "Update", "ProcessingTime")
+    return run
 
 
 def missing(stages: dict[str, tuple[DataFrame, DataFrame]], key: str = "key", within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
