@@ -25,3 +25,41 @@ def test_versions_over_epochs(spark, tmp_path):
         assert got[2] == {11: "LATE", 12: "UPDATED", 13: "UNCHANGED", 14: "UPDATED"}
     gone = streams.version_table(f"{tmp_path}/seen", keep_days=0)
     assert gone.table(spark).isEmpty() and state.table(spark).filter("fingerprint = 'a'").count() == 2
+
+
+def test_lease_state_is_touched_once_a_key():
+    import pandas as pd
+
+    calls = []
+
+    class Events:
+        def groupBy(self, by):
+            return self
+
+        def transformWithStateInPandas(self, processor, *rest):
+            return processor
+
+    class State:
+        value = None
+
+        def getValueState(self, *rest):
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "exists":
+                    return self.value is not None
+                if name == "get":
+                    return self.value
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+
+            return call
+
+    lease, state = streams.lease_timeouts(Events(), lease_s=60), State()
+    lease.init(state)
+    at = lambda *s: pd.DataFrame({"status": ["PROCESSING"] * len(s), "ts": pd.to_datetime(list(s), unit="s")})
+    assert [list(x["stuck_since_ms"]) for x in lease.handleInputRows((1,), [at(*range(0, 500, 10))], None)] == []
+    assert len(calls) <= 5 and state.value == (490_000,)
+    assert [list(x["stuck_since_ms"]) for x in lease.handleInputRows((1,), [at(551, 700)], None)] == [[490_000, 551_000]]

@@ -216,18 +216,22 @@ def lease_timeouts(events: DataFrame, by: str = "job_id", lease_s: int = 60) ->
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
-            late = []
+            # State is read and written once for all rows of a key, not for each of them.
+            late, old = [], self.since.get()[0] if self.since.exists() else None
+            since = old
             for status, ts in pd.concat(rows).sort_values("ts")[["status", "ts"]].itertuples(index=False):
                 ms = pd.Timestamp(ts).as_unit("ns").value // 1_000_000
-                if self.since.exists():
-                    since = self.since.get()[0]
-                    self.handle.deleteTimer(since + lease_s * 1000)
+                if since is not None and ms > since + lease_s * 1000:  # it was stuck before this came, in whichever batch that is
+                    late.append(since)
+                since = ms if status == "PROCESSING" else None
+            if since != old:
+                if old is not None:
+                    self.handle.deleteTimer(old + lease_s * 1000)
+                if since is None:
                     self.since.clear()
-                    if ms > since + lease_s * 1000:  # it was stuck before this came, in whichever batch that is
-                        late.append(since)
-                if status == "PROCESSING":
-                    self.since.update((ms,))
-                    self.handle.registerTimer(ms + lease_s * 1000)
+                else:
+                    self.since.update((since,))
+                    self.handle.registerTimer(since + lease_s * 1000)
             if late:
                 yield pd.DataFrame({by: [key[0]] * len(late), "stuck_since_ms": late})
 
