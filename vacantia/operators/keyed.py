@@ -65,10 +65,10 @@ def changed_feed(actions: DataFrame) -> DataFrame:
 def renormalization_report(actions: DataFrame, key: str, size: int = 500) -> DataFrame:
     """Per page of `size` keys in order: rows by outcome, and whether there is a next page. An `error` column marks failures.
 
-    Pages follow ranks that are counted per range first, so no task sorts all rows.
+    Pages follow ranks that are counted per range first, so no task sorts all rows; only key and outcome are dealt.
     """
-    ranked = ranks(actions, [key])
     failed = F.col("error").isNotNull() if "error" in actions.columns else F.lit(False)
+    ranked, failed = ranks(actions.select(key, "action", failed.alias("_failed")), [key]), F.col("_failed")
     page = F.floor((F.col("_rank") - 1) / size).cast("long")
     count = lambda c: F.count_if(c)
     out = ranked.groupBy(page.alias("page")).agg(F.count("*").alias("processed"), *(count((F.col("action") == a) & ~failed).alias(a.lower()) for a in ("CREATED", "UPDATED", "UNCHANGED")), count(failed).alias("failed"))

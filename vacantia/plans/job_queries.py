@@ -155,7 +155,7 @@ def _broken(spark, d):
     raw = p.select(F.when(k % 90 != 5, F.lpad(k.cast("string"), 8, "0")).alias("raw_id"), k.alias("p_partkey"), salary.alias("salary_text"), posted.alias("posted_text"), F.when(k % 60 != 1, F.lit("2001-12-01").cast("timestamp")).alias("collected_at"), c("p_name").alias("title"), F.sha2(c("p_name").cast("binary"), 256).alias("digest"))
     old = raw.filter(k % 3 != 0).select("raw_id", F.when(k % 3 == 1, c("digest")).otherwise("other").alias("digest")).filter("raw_id IS NOT NULL")
     lacking = {n: F.lit(None).cast("string") for n in ("experience_text", "job_type_text", "deadline_text")}
-    return jobs.checked(jobs.normalized(raw.withColumns(lacking), repeated=False), "raw_id"), old
+    return jobs.checked(jobs.normalized(raw.withColumns(lacking)), "raw_id"), old
 
 
 def e7_failures(spark, d):
