@@ -10,3 +10,14 @@ def test_a_report_deals_keys_and_outcomes_only(spark, monkeypatch):
     got = keyed.renormalization_report(rows, "k", 2).orderBy("page").collect()
     assert dealt == [["k", "action", "_failed"]]
     assert [(r.processed, r.created, r.updated, r.unchanged, r.failed) for r in got] == [(2, 1, 0, 0, 1), (1, 0, 0, 1, 0)]
+
+
+def test_the_keyed_table_reads_its_feed_once(spark, monkeypatch):
+    from conftest import SF
+    from vacantia.operators import tables
+    from vacantia.plans import job_queries
+
+    plans, write = [], tables.KeyedTable.write
+    monkeypatch.setattr(tables.KeyedTable, "write", lambda self, new: plans.append(new._jdf.queryExecution().optimizedPlan().toString()) or write(self, new))
+    assert job_queries.a3_table(spark, SF).count() > 0
+    assert len(plans) == 4 and not any("Join" in p for p in plans)

@@ -210,7 +210,7 @@ def a1_pruned(spark, d):
 
 def a3_table(spark, d):
     """Three writes, the newest rows first, to a table in parts; then one of few keys, which leaves the other parts alone."""
-    o = _obs(spark, d).select("fingerprint", "title", *keyed.ORDER)
+    o = written(_obs(spark, d).select("fingerprint", "title", *keyed.ORDER), "sightings")  # the writes read it many times, its four tables once
     table = tables.KeyedTable(spark, _new_folder(spark, "keyed"), o.schema.simpleString().removeprefix("struct<").removesuffix(">"), ["fingerprint"], list(keyed.ORDER), parts=16)
     for k in (2, 0, 1):
         table.write(o.filter(c("l_orderkey") % 3 == k))
