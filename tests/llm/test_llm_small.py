@@ -746,3 +746,30 @@ def test_attention_parts_are_averaged_by_spark(spark):
     one.train(x[:640], x[:640] % 50, epochs=1)
     two.move(one.moved(start, x[:640]))
     assert all(np.allclose(p, q, atol=1e-4) for p, q in zip(one.p, two.p))
+
+
+def test_attention_learns_from_every_passage(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    n = 1500  # more windows than any share of them that was drawn before
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1200)), lambda i: F.substring(F.md5((i * 7919 + F.col("doc_id")).cast("string")), 1, 3)))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    seen = []
+
+    def fit(net, windows, group, about):
+        each = [windows(k, 4).select(F.hex("y").alias("y")).agg(F.count("*").alias("n"), F.sum((F.length("y") - F.length(F.replace("y", F.lit("FFFFFFFF"), F.lit("")))) / 8).alias("none")).first() for k in range(4)]
+        seen.append((sum(r.n for r in each), sum(r.n * 32 - r.none for r in each), about))
+
+    monkeypatch.setattr(attention_lm, "_fit", fit)
+    attention_lm.score(docs, _piece_model())
+    windows, places, about = seen[0]
+    pieces = attention_lm._Pieces(_piece_model())
+    train = docs.filter(~attention_lm.held_out()).toPandas()["text"]
+    whole = sum(int(pieces.flat(pa.array(t.split()))[1].sum()) + 1 for t in train)
+    assert places == whole and windows > 60_000 and abs(about - windows) < windows / 10
+    plan = attention_lm._plan(10**7, 100, True)
+    assert sorted((k, of) for _, k, of in plan) == [(k, len(plan)) for k in range(len(plan))] and all(e == 1 for e, _, _ in plan)
+    x, y = attention_lm._cut(np.arange(10, 110), np.arange(9, 109), np.array([0, 40]), np.array([40, 45]))
+    assert (y >= 0).sum(1).tolist() == [32, 8, 5] and y[2, :5].tolist() == [50, 51, 52, 53, 54] and (x[1, 8:] == 0).all()

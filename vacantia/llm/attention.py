@@ -119,10 +119,14 @@ class Model:
                     self.p[j][rows] -= np.float32(now) * (m[j][rows] / (1 - 0.9**step)) / (np.sqrt(v[j][rows] / (1 - 0.99**step)) + np.float32(1e-8))
 
     def moved(self, old: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-        """What training on windows x changed from `old`, times its weight (a piece's uses, else the windows), and the weights."""
-        uses = np.bincount(x.reshape(-1), minlength=len(old[0])).astype(np.float32)
-        rest = [((a - b) * np.float32(len(x))).reshape(-1) for a, b in zip(self.p[1:], old[1:], strict=True)]
-        return np.concatenate([((self.p[0] - old[0]) * uses[:, None]).reshape(-1), uses, *rest, [np.float32(len(x))]]).astype(np.float32)
+        """`changed` by training on windows x."""
+        return self.changed(old, np.bincount(x.reshape(-1), minlength=len(old[0])), len(x))
+
+    def changed(self, old: list[np.ndarray], uses: np.ndarray, n: int) -> np.ndarray:
+        """What training changed from `old`, times its weight (a piece's uses, else the n windows), and the weights."""
+        uses = uses.astype(np.float32)
+        rest = [((a - b) * np.float32(n)).reshape(-1) for a, b in zip(self.p[1:], old[1:], strict=True)]
+        return np.concatenate([((self.p[0] - old[0]) * uses[:, None]).reshape(-1), uses, *rest, [np.float32(n)]]).astype(np.float32)
 
     def move(self, total: np.ndarray) -> None:
         """The weighted mean of what the parts of the corpus changed, from the sum of their `moved`."""

@@ -1,13 +1,14 @@
 """Language-model scores: a causal self-attention model over subword ids, beside a smoothed unigram base.
 
-Counts of words and pieces cover every training text; the network is fit on a share of their passages that has no bound:
-parts of the corpus train copies of it, and Spark adds up what they changed.
+Counts of words and pieces cover every training text, and the network is fit on every place of them: parts of the corpus
+train copies of it, and Spark adds up what they changed.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ from . import terms
 from .attention import BEGIN, CONTEXT, END, LAMBDA, WIDTH, Model, classes, windows
 from .scratch import written
 
-#: Share of all passages on which the network is fit, and about how many windows it has at least, if the corpus has them.
-SHARE, WINDOWS = 0.02, 48_000
+#: Windows that training sees about, if the corpus has fewer: then it is gone through again, at most `EPOCHS` times.
+SEEN, EPOCHS = 240_000, 30
 #: Characters of a passage, and about how many windows one has.
 PASSAGE, PER_PASSAGE = 1024, 12
-#: Windows of one part of the corpus in a round, about; rounds after which parts are averaged; values of a sent chunk.
-PART, ROUNDS, CHUNK = 12_000, 4, 1 << 14
+#: Windows of one part of a table of windows in a round, about; rounds after which parts are averaged; values of a sent chunk;
+#: windows that a task holds at once, and that one step of training takes.
+PART, ROUNDS, CHUNK, HELD, STEP = 12_000, 4, 1 << 14, 48_000, 128
 #: Windows scored at once.
 BATCH = 512
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
@@ -122,50 +124,78 @@ def _chances(doc_ids: list, texts: list[str], n: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
 
 
-def _sampled(path: str, share: float):
+def _cut(ids: np.ndarray, before: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows over the runs from `first` to `end`, side by side: the ids before each place and the ids there; the rest is 0 and -1."""
+    n = np.maximum(0, -(-(end - first) // WIDTH))
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.repeat(first, n) + k * WIDTH)[:, None] + np.arange(WIDTH)
+    inside = at < np.repeat(end, n)[:, None]
+    at = np.where(inside, at, 0)
+    return np.where(inside, before[at], 0).astype(np.int32), np.where(inside, ids[at], -1).astype(np.int32)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _sampled(path: str, share: float, words: pa.Array | None = None, ids: np.ndarray | None = None, sizes: np.ndarray | None = None, k: int = 0, of: int = 1):
+    """Windows of all whole texts, with a share under 1 of the passages that are drawn; or of the k-th of `of` parts of these."""
+
     def run(batches):
         from . import texts
 
-        pieces = _Pieces(path)
-        for s in texts.slices(batches):
+        pieces = _Pieces(path, words, ids, sizes)
+        for s in texts.slices(batches, target=3 << 19):
             whole = texts.filled(s.column("text")).to_pylist()
-            n = np.array([max(1, -(-len(t) // PASSAGE)) for t in whole], dtype=np.int64)
-            drawn = np.flatnonzero(_chances(s.column("doc_id").to_pylist(), whole, n) < share)
+            n = np.array([1 if share >= 1 else max(1, -(-len(t) // PASSAGE)) for t in whole], dtype=np.int64)
+            chance = _chances(s.column("doc_id").to_pylist(), whole, n)
+            drawn = np.flatnonzero((chance >= share * k / of) & (chance < share * (k + 1) / of))
             if not len(drawn):
                 continue
             row = np.repeat(np.arange(len(n)), n)[drawn]
             place = drawn - (np.cumsum(n) - n)[row]
-            edges = [_passage(whole[r], int(k)) for r, k in zip(row, place, strict=True)]
+            edges = [(0, len(whole[r])) if share >= 1 else _passage(whole[r], int(p)) for r, p in zip(row, place, strict=True)]
             taken = pa.RecordBatch.from_arrays([pa.array([whole[r][a:b] for r, (a, b) in zip(row, edges, strict=True)], pa.string())], ["text"])
-            ids, lengths = _sequences(taken, pieces)[3:5]
-            before, begin = _inputs(ids, lengths), np.cumsum(lengths) - lengths
-            xs, ys = [], []
-            for j in range(len(lengths)):
-                first = int(begin[j]) + (place[j] > 0)
-                end = int(begin[j] + lengths[j]) - (edges[j][1] < len(whole[row[j]]))
-                for a in range(first, end, WIDTH):
-                    b = min(end, a + WIDTH)
-                    xs.append(np.pad(before[a:b], (0, WIDTH - b + a)))
-                    ys.append(np.pad(ids[a:b], (0, WIDTH - b + a), constant_values=-1))
-            if xs:
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a in xs]), pa.array([a.tobytes() for a in ys])], ["x", "y"])
+            found, lengths = _sequences(taken, pieces)[3:5]
+            begin = np.cumsum(lengths) - lengths
+            last = np.array([b >= len(whole[r]) for r, (_, b) in zip(row, edges, strict=True)])
+            x, y = _cut(found, _inputs(found, lengths), begin + (place > 0), begin + lengths - ~last)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([_binary(x), _binary(y)], ["x", "y"])
 
     return run
 
 
 def _trained(model: Model, group: np.ndarray, epochs: int, done: float, part: float, slots: int):
+    """Trains a copy of `model` on a part of the windows, `HELD` at a time, and gives what that changed."""
+
+    def held(batches):
+        some, n = [], 0
+        for b in batches:
+            some.append(b)
+            n += b.num_rows
+            while n >= HELD:
+                table = pa.Table.from_batches(some)
+                yield table.slice(0, HELD)
+                some, n = table.slice(HELD).to_batches(), n - HELD
+        if n:
+            yield pa.Table.from_batches(some)
+
     def run(batches):
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        old, uses, n = [a.copy() for a in model.p], np.zeros(len(model.p[0]), dtype=np.int64), 0
+        for table in held(batches):
+            x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int32).reshape(-1, WIDTH).astype(np.int64) for c in ("x", "y"))
+            order = np.lexsort(x.T[::-1])
+            x, y = x[order], np.where(y[order] >= 0, group[y[order]], -1)
+            model.train(x, y, epochs=epochs, batch=STEP, done=done, part=part)
+            uses += np.bincount(x.reshape(-1), minlength=len(uses))
+            n += len(x)
+        if not n:
             return
-        x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int32).reshape(-1, WIDTH).astype(np.int64) for c in ("x", "y"))
-        order = np.lexsort(x.T[::-1])
-        x, y = x[order], np.where(y[order] >= 0, group[y[order]], -1)
-        old = [a.copy() for a in model.p]
-        model.train(x, y, epochs=epochs, done=done, part=part)
-        out = np.rint(model.moved(old, x).astype(np.float64) * FIXED).astype(np.int64)
+        out = np.rint(model.changed(old, uses, n).astype(np.float64) * FIXED).astype(np.int64)
         at = range(0, len(out), CHUNK)
         slot = TaskContext.get().partitionId() % slots
         yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([slot] * len(at), pa.int32()), pa.array([out[i : i + CHUNK].tobytes() for i in at])], ["chunk", "slot", "values"])
@@ -185,25 +215,37 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "slot": table.column("slot").slice(0, 1), "values": pa.array([total.tobytes()])})
 
 
-def _fit(net: Model, windows: DataFrame, group: np.ndarray) -> None:
+def _plan(n: int, parts: int, sliced: bool) -> list[tuple[int, int, int]]:
+    """(epochs, k, of) of each round: k-th of `of` parts of the windows. A large corpus is gone through once, a part a round."""
+    epochs = min(EPOCHS, max(1, SEEN // max(1, n)))
+    if epochs == 1 and sliced:
+        return [(1, k, ROUNDS) for k in range(ROUNDS)]
+    rounds = min(ROUNDS, epochs) if parts > 1 else 1
+    return [((epochs + k) // rounds, 0, 1) for k in range(rounds)]
+
+
+def _fit(net: Model, windows: DataFrame | Callable[[int, int], DataFrame], group: np.ndarray, n: int | None = None) -> None:
     """Trains `net` in rounds: parts of the windows train copies of it, Spark adds up their changes, the mean is kept.
 
-    Changes are added in two steps, first those of a slot, of which there are as many as parts in a slot; so no task adds more
-    than the root of all parts, and memory is that of one chunk of numbers for each.
+    `windows` is a table of them, or gives the k-th of so many parts of about `n` of them, dealt as they come. Changes are added
+    in two steps, first those of a slot, of which there are as many as parts in a slot; so no task adds more than the root of
+    all parts, and memory is that of one chunk of numbers for each.
     """
-    n = windows.count()
+    sliced = callable(windows)
+    n = n if sliced else windows.count()
     if not n:
         return
-    parts, epochs = max(1, -(-n // PART)), min(30, max(ROUNDS, 120_000 // n))
-    rounds = ROUNDS if parts > 1 else 1
-    for k in range(rounds):
-        local = (epochs + k) // rounds
-        run = _trained(net, group, local, k / rounds, 1 / rounds, math.isqrt(parts - 1) + 1)
-        sent = windows.repartition(parts).mapInArrow(run, "chunk int, slot int, values binary")
+    parts = windows(0, 1).rdd.getNumPartitions() if sliced else max(1, -(-n // PART))
+    plan = _plan(n, parts, sliced)
+    for i, (epochs, k, of) in enumerate(plan):
+        run = _trained(net, group, epochs, i / len(plan), 1 / len(plan), math.isqrt(max(0, parts - 1)) + 1)
+        dealt = windows(k, of) if sliced else windows.repartition(parts)
+        sent = dealt.mapInArrow(run, "chunk int, slot int, values binary")
         for by in (("chunk", "slot"), ("chunk",)):
             sent = sent.groupBy(*by).applyInArrow(_added, "chunk int, slot int, values binary")
         chunks = sent.toPandas().sort_values("chunk")
-        net.move(np.frombuffer(b"".join(chunks["values"]), dtype=np.int64) / FIXED)
+        if len(chunks):
+            net.move(np.frombuffer(b"".join(chunks["values"]), dtype=np.int64) / FIXED)
 
 
 def _piece_totals(path: str):
@@ -278,15 +320,15 @@ def _piece_logs(model: Model, group, within, ids: np.ndarray, lengths: np.ndarra
     return out, opens
 
 
-def score(docs: DataFrame, path: str, sample: int = WINDOWS) -> DataFrame:
+def score(docs: DataFrame, path: str, sample: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Training rows are those that aren't held out. A-Z are lower-cased; a text's tokens are its words and one end. base:
     the sum of log10((c + 1) / (N + V + 1)) over tokens. score: log10 of the model's probability of the text: a word has
     with weight LAMBDA what the network gives its pieces, where a word begins, and that none follows them before the next
     word or the end; with the rest its smoothed share of the training tokens, if it is among them; the end likewise. So
-    what all words and the end have after any words adds up to 1 at most. The network is fit on SHARE of all passages, or on about `sample`
-    windows where that is more: passages are drawn by row, text and place, so copies are drawn apart.
+    what all words and the end have after any words adds up to 1 at most. The network is fit on all
+    places of all texts; with `sample`, for trials, on about so many windows: passages are drawn by row, text and place, so copies are drawn apart.
 
     `docs` has doc_id and text; other columns aren't read. Null and empty texts have one token, the end. Each row gives
     a row, repeated rows and null ids too; a null id trains. Without training rows N, V and n_known are 0, and an empty
@@ -309,12 +351,15 @@ def score(docs: DataFrame, path: str, sample: int = WINDOWS) -> DataFrame:
     pieces[END] += rows
     group, within = classes(pieces, begins)
     net = Model(size)
-    share = min(1.0, max(SHARE, sample / PER_PASSAGE / max(1, passages)))
-    _fit(net, written(train.mapInArrow(_sampled(path, share), "x binary, y binary"), "windows"), group)
     often, rare = terms.head_and_rest(counts)
     often = often.toPandas()
     ids, sizes, _ = _Pieces(path).flat(pa.array(often["term"], pa.string()))
     head = (often["term"].tolist(), often["n"].to_numpy(dtype=np.int64), ids, sizes)
+    share = 1.0 if sample is None else min(1.0, sample / PER_PASSAGE / max(1, passages))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    dealt = train.repartition(cores, "doc_id") if train.rdd.getNumPartitions() < cores else train
+    known = pa.array(head[0], pa.string())
+    _fit(net, lambda k, of: dealt.mapInArrow(_sampled(path, share, known, ids, sizes, k, of), "x binary, y binary"), group, int(share * (pieces.sum() / WIDTH + (rows if share >= 1 else passages) / 2)) + (rows > 0))
     schema = f"doc_id bigint, n_tokens bigint, head_known bigint, head_base double, head_score double, tail array<struct<term:string,logp:float>>"
     partial = docs.mapInArrow(_scored(net, group, within, head, path, total, kinds, rows), schema)
     partial = written(partial.withColumn("row_key", F.monotonically_increasing_id()), "scores")
