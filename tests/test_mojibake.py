@@ -49,3 +49,15 @@ def test_repairs_query(spark):
     for name in ("c6_mojibake_repairs", "c6_mojibake", "c6_mojibake_scores"):
         assert plain(entry.queries()[name](spark, SF).toPandas()) == plain(con.sql(entry.oracle_sql()[name]).df())
     assert con.sql(f"SELECT min(score) FROM ({entry.oracle_sql()['c6_mojibake_scores']})").fetchall()[0][0] > 0
+
+
+def test_lines_and_signs_are_those_of_the_plain_way(spark):
+    import re
+
+    plain_lines = re.compile("(?<=[\n\x0b\x0c\x1c-\x1e\u0085  ])|(?<=\r)(?!\n)")
+    some = ["", "a", "\n", "a\r\nb\rc\n\nd\x0b\x0ce\x1cf\u0085g h ", "\r\r\n\n\r", "á\n»Ã\u0081", "á º áº Ã© â\u0080\u0093 â x€\u0085�", "abc é dÃ©", "x" * 50 + "Ã" + "y\u0081", "ê a\U0001f600" * 50_000 + "\nx"]
+    rows = spark.createDataFrame(list(enumerate(some)), "i int, t string")
+    got = rows.select("i", F.regexp_extract_all("t", F.lit(text._LINE), F.lit(0)).alias("l"), text._signs(F.col("t")).alias("s"), text._broken(F.col("t")).alias("a"), text._broken(text._signs(F.col("t"))).alias("b")).collect()
+    for r in got:
+        assert r.l == [x for x in plain_lines.split(some[r.i]) if x], ascii(some[r.i])
+        assert r.a == r.b and len(r.s) <= len(some[r.i])

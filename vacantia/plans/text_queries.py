@@ -23,7 +23,7 @@ def _broken_rows(spark, d):
     latin = lambda y: F.decode(F.encode(y, "UTF-8"), "ISO-8859-1")
     whole = latin(F.concat_ws("\n", x, F.lit(_SOUND[0])))
     lines = [F.concat_ws("\n", x, F.lit(_KEPT), F.lit(y)) for y in (_SOUND[1].encode().decode("latin-1"), _SOUND[2].encode().decode("cp1252"))]
-    rows = table(spark, d, "documents").select("doc_id", F.when(kind == 0, whole).when(kind == 1, lines[0]).otherwise(lines[1]).alias("text"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.when(kind == 0, whole).when(kind == 1, lines[0]).otherwise(lines[1]).alias("text"))
     return rows.select("doc_id", t.repair_mojibake(x).alias("value"))
 
 
