@@ -35,7 +35,7 @@ _SCRIPTS = "\u1f08\u03b8\u1fc6\u03bd\u03b1\u03b9 \u0401\u043b\u043a\u0430 \u0439
 
 def _with(spark, d, line: str):
     """Documents with a line more."""
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", "text", F.lit(line)).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat_ws("\n", "text", F.lit(line)).alias("text"))
 
 
 def _broken_texts(spark, d):
