@@ -23,13 +23,16 @@ def with_fingerprint(observations: DataFrame) -> DataFrame:
     return observations.withColumn("fingerprint", fingerprint(c("source_code"), c("source_job_id"), c("detail_url"), c("title"), c("company_name")))
 
 
-def upsert_seen(observations: DataFrame, days: int = 30, order: tuple[str, ...] = ORDER, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def upsert_seen(observations: DataFrame, days: int = 30, order: tuple[str, ...] = ORDER, fields: tuple[str, ...] = FIELDS, combined: bool = False) -> DataFrame:
     """One row per fingerprint: the newest fields by observation time, first and last sighting, expiry `days` after the first.
 
-    One aggregate, so a fingerprint of any number of sightings is combined before the shuffle.
+    One aggregate, so a fingerprint of any number of sightings is combined before the shuffle. Rows of `combined` stand for several sightings
+    each, the newest of them, with first_seen_at and sightings: where keys alone can tell so much, long fields needn't be made and sorted for
+    every sighting.
     """
     newest = F.max_by(F.struct(*fields), F.struct(*order))
-    out = observations.groupBy("fingerprint").agg(newest.alias("n"), F.min(order[0]).alias("first_seen_at"), F.max(order[0]).alias("last_seen_at"), F.count("*").alias("sightings"))
+    first, n = (F.min("first_seen_at"), F.sum("sightings")) if combined else (F.min(order[0]), F.count("*"))
+    out = observations.groupBy("fingerprint").agg(newest.alias("n"), first.alias("first_seen_at"), F.max(order[0]).alias("last_seen_at"), n.alias("sightings"))
     return out.select("fingerprint", "n.*", "first_seen_at", "last_seen_at", F.col("last_seen_at").alias("collected_at"), (F.col("first_seen_at") + F.make_dt_interval(F.lit(days))).alias("expires_at"), "sightings")
 
 

@@ -229,8 +229,8 @@ def a3(spark, d):
     return keyed.write_keyed(o.filter("l_orderkey % 3 = 0"), o.filter("l_orderkey % 3 <> 0"), ["fingerprint"], list(keyed.ORDER))
 
 
-def _live(spark, d):
-    return keyed.upsert_seen(_obs(spark, d))
+def _live(spark, d, *fields):
+    return keyed.upsert_seen(keyed.with_fingerprint(feed.newest(spark, d)), fields=fields or keyed.FIELDS, combined=True)
 
 
 def flagship(spark, d):
@@ -271,8 +271,8 @@ QUERIES = {
     "d19_normalize_jobs": d19,
     "d19_normalize_jobs_whole": d19_whole,
     "e1_fingerprint": lambda spark, d: _obs(spark, d).select("l_orderkey", "l_linenumber", "collected_at", "fingerprint"),
-    "e2_upsert_seen": lambda spark, d: _live(spark, d).select("fingerprint", "title", "salary_text", "posted_text", "first_seen_at", "last_seen_at", "expires_at", "sightings"),
-    "e3_expire_raw": lambda spark, d: keyed.live(_live(spark, d), F.lit("1998-01-01").cast("timestamp")).select("fingerprint", "expires_at"),
+    "e2_upsert_seen": lambda spark, d: _live(spark, d, "title", "salary_text", "posted_text").select("fingerprint", "title", "salary_text", "posted_text", "first_seen_at", "last_seen_at", "expires_at", "sightings"),
+    "e3_expire_raw": lambda spark, d: keyed.live(_live(spark, d, "source_code"), F.lit("1998-01-01").cast("timestamp")).select("fingerprint", "expires_at"),
     "e4_purge_payload": e4,
     "e5_normalization_action": e5,
     "e6_changed_feed": lambda spark, d: keyed.changed_feed(e5(spark, d)),
