@@ -235,7 +235,7 @@ def _live(spark, d, *fields):
 
 def flagship(spark, d):
     """Newest live postings per source with salary range and seniority."""
-    rows = keyed.live(_live(spark, d), F.lit("1998-01-01").cast("timestamp"))
+    rows = keyed.live(_live(spark, d, "source_code", *jobs.FIELDS, "posted_text", "deadline_text"), F.lit("1998-01-01").cast("timestamp"))
     w = Window.partitionBy("source_code").orderBy(c("last_seen_at").desc(), "fingerprint")
     top = jobs.normalized(rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 20"), repeated=False)
     return top.select("source_code", "rank", "fingerprint", "title", "salary_min", "salary_max", "currency", "seniority", "job_type", "last_seen_at")
