@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.text import blank_to_null, compact_key, fold, let, norm_inline, norm_multiline, stable_unique, truncate_marked
 from vacantia.sources import taxonomy
-from vacantia.sources.shared import sized
+from vacantia.sources.shared import sized, written
 
 _DEC = "decimal(38,6)"
 
@@ -210,18 +210,23 @@ def join_stable(items: Column) -> Column:
 def text_passage(sections: dict[str, Column], most: int = 2400) -> Column:
     """`passage: ` and the sections that have a value, one per line, cut at `most`."""
     lines = [F.when(v.isNotNull(), F.concat(F.lit(k + ": "), v)) for k, v in sections.items()]
-    return truncate_marked(F.concat(F.lit("passage: "), F.concat_ws("\n", *lines)), most)
+    return let(F.concat(F.lit("passage: "), F.concat_ws("\n", *lines)), lambda x: truncate_marked(x, most))
 
 
 def text_query(sections: dict[str, tuple[Column, int]], most: int = 2400) -> Column:
-    """`query: ` and labelled sections, each cut to its own limit and to what is left of the whole budget."""
-    parts = F.filter(F.array(*(F.struct(F.lit(k + ": ").alias("k"), truncate_marked(blank_to_null(v), n).alias("v")) for k, (v, n) in sections.items())), lambda p: p["v"].isNotNull())
+    """`query: ` and labelled sections, each cut to its own limit and to what is left of the whole budget.
+
+    Where all of them fit, as they mostly do, they are just joined; else they are added one by one.
+    """
+    cut = {k: truncate_marked(blank_to_null(v), n) for k, (v, n) in sections.items()}
+    parts = F.filter(F.array(*(F.struct(F.lit(k + ": ").alias("k"), v.alias("v")) for k, v in cut.items())), lambda p: p["v"].isNotNull())
 
     def add(text: Column, p: Column) -> Column:
         left = most - F.length(text) - F.length(p["k"]) - 1
         return F.when(left > 1, F.concat(text, F.when(text == "query: ", "").otherwise("\n"), p["k"], F.when(F.length(p["v"]) > left, F.concat(F.rtrim(F.substring(p["v"], F.lit(1), left - 1)), F.lit("…"))).otherwise(p["v"]))).otherwise(text)
 
-    return F.aggregate(parts, F.lit("query: "), add)
+    whole = F.concat(F.lit("query: "), F.concat_ws("\n", *(F.concat(F.lit(k + ": "), v) for k, v in cut.items())))
+    return let(whole, lambda x: F.when(F.length(x) < most - 1, x).otherwise(F.aggregate(parts, F.lit("query: "), add)))
 
 
 def split_list(x: Column, marks: str = r"[,;|\n]") -> Column:
@@ -360,9 +365,14 @@ SECTIONS, PASSAGE = {"Requirements": 4000, "Description": 6000, "Benefits": 2000
 
 def raw_hash(fields: dict[str, Column], skills: Column) -> Column:
     """SHA-256 over `name=length:value` lines of the 16 raw fields and the listed skills; null is -1, lengths are code points."""
-    line = lambda name, v: F.concat(F.lit(name + "="), F.coalesce(F.length(v), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(v, F.lit("")))
+    return _hash_of({k: (norm_multiline if k in HASHED_MULTILINE else norm_inline)(fields[k]) for k in (*HASHED_INLINE, *HASHED_MULTILINE, *HASHED_LAST)}, skills)
+
+
+def _hash_of(clean: dict[str, Column], skills: Column) -> Column:
+    """`raw_hash` of fields that are clean already."""
+    line = lambda name: F.concat(F.lit(name + "="), F.coalesce(F.length(clean[name]), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(clean[name], F.lit("")))
     listed = F.transform(skills, lambda s, i: F.concat(F.lit("skills["), i.cast("string"), F.lit("]="), F.length(s).cast("string"), F.lit(":"), s))
-    lines = [*(line(k, norm_inline(fields[k])) for k in HASHED_INLINE), blank_to_null(F.array_join(listed, "\n")), *(line(k, norm_multiline(fields[k])) for k in HASHED_MULTILINE), *(line(k, norm_inline(fields[k])) for k in HASHED_LAST)]
+    lines = [*map(line, HASHED_INLINE), blank_to_null(F.array_join(listed, "\n")), *map(line, HASHED_MULTILINE), *map(line, HASHED_LAST)]
     return F.sha2(F.concat_ws("\n", *lines).cast("binary"), 256)
 
 
@@ -372,6 +382,26 @@ def taxonomy_order(found: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
     return found.select(key, "canonical").distinct().join(sized(place), "canonical").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "canonical"))), lambda x: x["canonical"]).alias("_found"))
 
 
+#: Texts of a posting itself, whenever and wherever it was seen.
+POSTING = (*FIELDS, "company_name", "skills_text", "seniority_text", "requirements_text", "description_text", "benefits_text")
+
+
+def _of_posting(raw: DataFrame, own: list[str], digest: Column, skills: DataFrame) -> DataFrame:
+    """`_k`, the texts `own` and what they alone decide, each distinct set of them once: scalars, skills, and the cleaned texts as `_<name>`."""
+    have = lambda n: F.col(n) if n in own else F.lit(None).cast("string")
+    out = _scalars(raw.select(*own).distinct()).withColumn("_k", digest)
+    level = let(classify_seniority(have("seniority_text")), lambda v: F.when(v != "UNKNOWN", v))
+    clean = {f"_{k}": (norm_multiline if k in HASHED_MULTILINE else norm_inline)(have(k)) for k in POSTING if k != "skills_text"}
+    out = written(out.withColumns({"seniority": F.coalesce(level, "seniority"), "_listed": split_list(F.coalesce("skills_text", F.lit("")), r"[,;|\n]"), **clean}), "postings")
+    none = F.array().cast("array<string>")
+    out = out.join(skill_list(out.filter("skills_text IS NOT NULL"), "_k", "skills_text", skills).withColumnRenamed("skills", "_raw"), "_k", "left")
+    prose = out.filter(F.size(F.coalesce("_raw", none)) < 2).select("_k", F.concat_ws("\n", "title", have("requirements_text"), have("description_text")).alias("_prose"))
+    ordered = skills if "place" in skills.columns else skills.withColumn("place", F.col("alias"))
+    out = out.join(taxonomy_order(prose_skills(prose, "_k", "_prose", skills), "_k", ordered), "_k", "left")
+    out = out.withColumn("skills", merge_skills(F.coalesce("_raw", none), F.coalesce("_found", none))).drop("_raw", "_found")
+    return out.withColumn("_skills", blank_to_null(join_stable(F.col("skills"))))
+
+
 def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFrame, version: str = "rule-v2", as_of: Column | None = None) -> DataFrame:
     """Whole normalised jobs, one per row of `raw`, which has one row per `key`; give a table, as it is read several times.
 
@@ -381,29 +411,25 @@ def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFram
     queries and passages with all ten sections (null for a job without any); version and time of normalisation; `errors`
     and `error` (`checked`). `raw` may lack seniority_text, requirements_text, description_text, benefits_text, apply_url and
     apply_type.
+
+    Sources show a posting's texts again, so each distinct set of them is worked on once, and only its digest is dealt with a row.
     """
-    have = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
-    out = checked(normalized(raw, version), key)
-    level = let(classify_seniority(have("seniority_text")), lambda v: F.when(v != "UNKNOWN", v))
-    out = out.withColumn("seniority", F.coalesce(level, "seniority"))
-    by_text = skill_list(raw.filter("skills_text IS NOT NULL").select("skills_text").distinct(), "skills_text", "skills_text", skills)
+    own = [k for k in POSTING if k in raw.columns]
+    # a length in front of each text, so that no two sets give the same bytes
+    digest = F.unhex(F.sha2(F.concat(*(F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in own)).cast("binary"), 256))
+    rows = _looked_up(raw.withColumn("_k", digest).drop(*own), TIMES, _times)
     by_place = locations(raw.filter("location_text IS NOT NULL").select("location_text").distinct(), "location_text", "location_text", places)
-    out = out.join(by_text.withColumnRenamed("skills", "_raw"), "skills_text", "left").join(by_place, "location_text", "left")
-    prose = out.filter(F.size(F.coalesce("_raw", F.array().cast("array<string>"))) < 2).select(key, F.concat_ws("\n", "title", have("requirements_text"), have("description_text")).alias("_prose"))
-    ordered = skills if "place" in skills.columns else skills.withColumn("place", F.col("alias"))
-    out = out.join(taxonomy_order(prose_skills(prose, key, "_prose", skills), key, ordered), key, "left")
-    none = F.array().cast("array<string>")
-    out = out.withColumns({"skills": merge_skills(F.coalesce("_raw", none), F.coalesce("_found", none)), "locations": F.coalesce("locations", none)})
-    target = apply_target(have("apply_url"), have("apply_type"), F.col("detail_url"))
-    raw_fields = {k: have(k) for k in (*HASHED_INLINE, *HASHED_MULTILINE, *HASHED_LAST)}
-    listed = F.filter(F.transform(F.split(F.coalesce("skills_text", F.lit("")), r"[,;|\n]"), norm_inline), lambda x: x.isNotNull())
+    rows = rows.join(sized(by_place.withColumn("_locations", blank_to_null(join_stable(F.col("locations"))))), "location_text", "left")
+    out = rows.join(_of_posting(raw, own, digest, skills), "_k").withColumn("normalization_version", F.lit(version))
+    out = checked(out.withColumn("locations", F.coalesce("locations", F.array().cast("array<string>"))), key)
+    have = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
+    clean = {k: F.col(f"_{k}") if k in POSTING else norm_inline(have(k)) for k in (*HASHED_INLINE, *HASHED_MULTILINE, *HASHED_LAST)}
     shown_name = lambda x: F.concat(F.substring(x, 1, 1), F.lower(F.translate(F.substring(x, 2, 100), "_", " ")))
     known = lambda c: F.when(F.col(c) != "UNKNOWN", shown_name(F.col(c)))
-    cut = lambda name, label: truncate_marked(norm_multiline(have(name)), SECTIONS[label])
     shown = {
-        "Title": norm_inline(F.col("title")), "Company": norm_inline(F.col("company_name")), "Skills": blank_to_null(join_stable(F.col("skills"))), "Seniority": known("seniority"),
-        "Experience": format_experience(F.col("experience_min"), F.col("experience_max")), "Locations": blank_to_null(join_stable(F.col("locations"))), "Job type": known("job_type"),
-        "Requirements": cut("requirements_text", "Requirements"), "Description": cut("description_text", "Description"), "Benefits": cut("benefits_text", "Benefits"),
+        "Title": F.col("_title"), "Company": F.col("_company_name"), "Skills": F.col("_skills"), "Seniority": known("seniority"),
+        "Experience": format_experience(F.col("experience_min"), F.col("experience_max")), "Locations": F.col("_locations"), "Job type": known("job_type"),
+        **{k: truncate_marked(F.col(f"_{k.lower()}_text"), n) for k, n in SECTIONS.items()},
     }
     names = {k: f"s{i}" for i, k in enumerate(shown)}
 
@@ -412,11 +438,12 @@ def normalize_jobs(raw: DataFrame, key: str, skills: DataFrame, places: DataFram
         some = F.coalesce(*sections.values()).isNotNull()
         return F.struct(F.when(some, text_passage(sections, PASSAGE)).alias("passage"), F.when(some, text_query({k: (x, SECTIONS.get(k, 1200)) for k, x in sections.items()})).alias("query"))
 
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "_target": target,
-            "content_hash": raw_hash(raw_fields, listed),
+            "_target": apply_target(have("apply_url"), have("apply_type"), F.col("detail_url")),
+            "content_hash": _hash_of(clean, F.col("_listed")),
             "_texts": let(F.struct(*(v.alias(names[k]) for k, v in shown.items())), texts),
             "normalized_at": F.current_timestamp() if as_of is None else as_of,
         }
-    ).withColumns({"apply_url": F.col("_target.apply_url"), "apply_type": F.col("_target.apply_type"), "passage": F.col("_texts.passage"), "query": F.col("_texts.query")}).drop("_target", "_texts", "_raw", "_found")
+    ).withColumns({"apply_url": F.col("_target.apply_url"), "apply_type": F.col("_target.apply_type"), "passage": F.col("_texts.passage"), "query": F.col("_texts.query")})
+    return out.drop("_k", "_target", "_texts", "_listed", "_skills", "_locations", *(f"_{k}" for k in POSTING if k != "skills_text"))
