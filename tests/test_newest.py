@@ -6,7 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from vacantia.operators import keyed
+from vacantia.operators import jobs, keyed
 from vacantia.plans import job_queries
 from vacantia.sources import feed
 
@@ -39,3 +39,15 @@ def test_texts_are_made_for_the_newest_sightings_alone(spark):
     upper, lower = [m.start() for m in re.finditer("Aggregate ", plan)]
     assert "jobs" in plan[upper:lower] and "jobs" not in plan[lower:]
     assert "skills_text" not in plan
+
+
+@pytest.mark.parametrize("which", ["given", "odd"])
+def test_stored_runs_are_those_of_all_sightings(spark, odd, which):
+    """Today's newest sighting and yesterday's (a third of the orders), hashed alike; no text of a posting is in their table."""
+    d = SF if which == "given" else odd
+    rows = keyed.with_fingerprint(feed.observations(spark, d))
+    hashed = rows.select("fingerprint", "source_code", jobs.content_hash({k: F.col(k) for k in ("title", "salary_text", "posted_text")}).alias("digest"), *keyed.ORDER)
+    for got, seen in zip(job_queries._stored(spark, d), (hashed, hashed.filter("l_orderkey % 3 = 0")), strict=True):
+        want = keyed.latest_per_key(seen, ["fingerprint"], list(keyed.ORDER)).select(*got.columns)
+        assert want.count() == got.count() > 0 and want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+        assert "title" not in got._jdf.queryExecution().logical().toString()

@@ -127,14 +127,15 @@ def d19_whole(spark, d):
 
 
 def _stored(spark, d):
-    """Yesterday's run and today's: content hashes of the newest sighting by fingerprint. Both in one pass, each hashed once."""
-    fields, rows = ("title", "salary_text", "posted_text"), _obs(spark, d)
-    whole = F.struct("source_code", *fields, *keyed.ORDER)
-    order, past = F.struct(*keyed.ORDER), c("l_orderkey") % 3 == 0
-    both = rows.groupBy("fingerprint").agg(F.max_by(whole, order).alias("new"), F.max_by(F.when(past, whole), F.when(past, order)).alias("old"))
-    digest = lambda n: jobs.content_hash({k: c(f"{n}.{k}") for k in fields})
-    both = written(both.withColumns({"new_digest": digest("new"), "old_digest": F.when(c("old").isNotNull(), digest("old"))}), "stored-runs")
-    of = lambda n: both.filter(c(n).isNotNull()).select("fingerprint", f"{n}.source_code", c(f"{n}_digest").alias("digest"), *(f"{n}.{k}" for k in keyed.ORDER))
+    """Yesterday's run and today's: content hashes of the newest sighting by fingerprint. Both in one pass, each hashed once.
+
+    What one source shows of one part is hashed before runs meet by fingerprint, so texts are neither sorted nor shuffled for them.
+    """
+    fields, rows = ("title", "salary_text", "posted_text"), keyed.with_fingerprint(feed.newest(spark, d, c("l_orderkey") % 3 == 0))
+    seen = rows.select("fingerprint", "is_new", "is_past", F.struct(*keyed.ORDER).alias("at"), F.struct("source_code", F.unhex(jobs.content_hash({k: c(k) for k in fields})).alias("digest"), *keyed.ORDER).alias("row"))
+    newest = lambda which: F.max_by(F.when(c(which), c("row")), F.when(c(which), c("at")))
+    both = written(seen.groupBy("fingerprint").agg(newest("is_new").alias("new"), newest("is_past").alias("old")), "stored-runs")
+    of = lambda n: both.filter(c(n).isNotNull()).select("fingerprint", f"{n}.source_code", F.lower(F.hex(f"{n}.digest")).alias("digest"), *(f"{n}.{k}" for k in keyed.ORDER))
     return of("new"), of("old")
 
 
