@@ -773,3 +773,60 @@ def test_attention_learns_from_every_passage(spark, monkeypatch):
     assert sorted((k, of) for _, k, of in plan) == [(k, len(plan)) for k in range(len(plan))] and all(e == 1 for e, _, _ in plan)
     x, y = attention_lm._cut(np.arange(10, 110), np.arange(9, 109), np.array([0, 40]), np.array([40, 45]))
     assert (y >= 0).sum(1).tolist() == [32, 8, 5] and y[2, :5].tolist() == [50, 51, 52, 53, 54] and (x[1, 8:] == 0).all()
+
+
+def test_attention_windows_are_made_once(spark, monkeypatch):
+    """Each round reads its part of the written windows; no round splits the texts anew."""
+    import os
+
+    import numpy as np
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat(concat('word', id, ' of many '), 20 + CAST(id AS INT)) AS text")
+    seen = []
+
+    def fit(net, windows, group, about):
+        each = [windows(k, 4) for k in range(4)]
+        paths = {f for e in each for f in e.inputFiles()}
+        x, y = (np.concatenate([np.frombuffer(bytes(r[c]), np.int32).reshape(1, -1) for e in each for r in e.collect()]) for c in ("x", "y"))
+        seen.append((["MapInArrow" in e._jdf.queryExecution().executedPlan().toString() for e in each], paths, x, y, windows(0, 1).count()))
+
+    monkeypatch.setattr(attention_lm, "_fit", fit)
+    attention_lm.score(docs, _piece_model())
+    made, paths, x, y, n = seen[0]
+    assert not any(made) and len(x) == n > 300
+    assert (x[:, 1:] == y[:, :-1]).all() and (x[:, 0] >= 0).all()
+    assert paths and not any(os.path.exists(p.removeprefix("file://")) for p in paths)  # they are gone after the fit
+
+
+def test_attention_steps_by_the_pieces_of_a_batch_only():
+    """Gradients of the pieces that a batch has, moments of these alone, and shares from tables: as by the whole arrays."""
+    import numpy as np
+
+    from vacantia.llm import attention as a
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 60, (40, a.WIDTH)), rng.integers(-1, a.CLASSES, (40, a.WIDTH))
+    one, two = a.Model(90), a.Model(90)
+    used, grads = one._used_gradients(x, y)
+    whole = one._gradients(x, y)
+    assert used.tolist() == sorted(set(x.reshape(-1).tolist())) and np.array_equal(whole[0][used], grads[0])
+    assert not np.delete(whole[0], used, axis=0).any()
+    one.train(x, y, epochs=2, batch=16)
+    order, m, v, step = np.random.default_rng(9), [np.zeros_like(p) for p in two.p], [np.zeros_like(p) for p in two.p], 0
+    for _ in range(2):
+        at = order.permutation(40)
+        for i in range(0, 40, 16):
+            step += 1
+            rows = np.unique(x[at[i : i + 16]])
+            now = 0.012 * min(1, step / 50) * (1 - 0.95 * step / 6)
+            for j, g in enumerate(two._gradients(x[at[i : i + 16]], y[at[i : i + 16]])):
+                k = rows if j == 0 else slice(None)
+                m[j][k] = 0.9 * m[j][k] + 0.1 * g[k]
+                v[j][k] = 0.99 * v[j][k] + 0.01 * g[k] ** 2
+                two.p[j][k] -= now * (m[j][k] / (1 - 0.9**step)) / (np.sqrt(v[j][k] / (1 - 0.99**step)) + 1e-8)
+    assert all(np.allclose(p, q, atol=1e-5) for p, q in zip(one.p, two.p))
+    where, want = np.arange(40 * (a.WIDTH - a.CONTEXT)), rng.integers(0, a.CLASSES, 40 * (a.WIDTH - a.CONTEXT))
+    for p, q in zip(one.log_shares(x, where, want, a.CONTEXT), one.log_shares(x, where, want, a.CONTEXT, one.tables())):
+        assert np.allclose(p, q, atol=1e-4)
+    one.p[4] *= 1000  # far beyond what exp takes in float32
+    assert all(np.isfinite(g).all() for g in one._gradients(x, y)) and np.isfinite(one.log_shares(x, where, want, a.CONTEXT)[0]).all()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import terms
 from .attention import BEGIN, CONTEXT, END, LAMBDA, WIDTH, Model, classes, windows
-from .scratch import written
+from .scratch import temporary, written
 
 #: Windows that training sees about, if the corpus has fewer: then it is gone through again, at most `EPOCHS` times.
 SEEN, EPOCHS = 240_000, 30
@@ -27,7 +27,9 @@ PASSAGE, PER_PASSAGE = 1024, 12
 #: windows that a task holds at once, and that one step of training takes.
 PART, ROUNDS, CHUNK, HELD, STEP = 12_000, 4, 1 << 14, 48_000, 128
 #: Windows scored at once.
-BATCH = 512
+BATCH = 256
+#: Bytes of text that a task holds at once: each such slice hashes all of the head, so small ones would spend most on that.
+SLICE = 4 << 20
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 
 
@@ -139,18 +141,18 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _sampled(path: str, share: float, words: pa.Array | None = None, ids: np.ndarray | None = None, sizes: np.ndarray | None = None, k: int = 0, of: int = 1):
-    """Windows of all whole texts, with a share under 1 of the passages that are drawn; or of the k-th of `of` parts of these."""
+def _sampled(path: str, share: float, words: pa.Array | None = None, ids: np.ndarray | None = None, sizes: np.ndarray | None = None):
+    """Windows of all whole texts, with a share under 1 of the passages that are drawn, and each's part of `ROUNDS`: its text's or passage's."""
 
     def run(batches):
         from . import texts
 
         pieces = _Pieces(path, words, ids, sizes)
-        for s in texts.slices(batches, target=3 << 19):
+        for s in texts.slices(batches, target=SLICE):
             whole = texts.filled(s.column("text")).to_pylist()
             n = np.array([1 if share >= 1 else max(1, -(-len(t) // PASSAGE)) for t in whole], dtype=np.int64)
             chance = _chances(s.column("doc_id").to_pylist(), whole, n)
-            drawn = np.flatnonzero((chance >= share * k / of) & (chance < share * (k + 1) / of))
+            drawn = np.flatnonzero(chance < share)
             if not len(drawn):
                 continue
             row = np.repeat(np.arange(len(n)), n)[drawn]
@@ -160,9 +162,22 @@ def _sampled(path: str, share: float, words: pa.Array | None = None, ids: np.nda
             found, lengths = _sequences(taken, pieces)[3:5]
             begin = np.cumsum(lengths) - lengths
             last = np.array([b >= len(whole[r]) for r, (_, b) in zip(row, edges, strict=True)])
-            x, y = _cut(found, _inputs(found, lengths), begin + (place > 0), begin + lengths - ~last)
+            first, end = begin + (place > 0), begin + lengths - ~last
+            x, y = _cut(found, _inputs(found, lengths), first, end)
+            part = np.repeat(np.minimum(chance[drawn] / share * ROUNDS, ROUNDS - 1).astype(np.int32), np.maximum(0, -(-(end - first) // WIDTH)))
             if len(x):
-                yield pa.RecordBatch.from_arrays([_binary(x), _binary(y)], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), _binary(x), _binary(y)], ["part", "x", "y"])
+
+    return run
+
+
+def _stored(path: str, share: float, *head):
+    """The windows of `_sampled` as ids: the one before the first place, and those of the places."""
+
+    def run(batches):
+        for b in _sampled(path, share, *head)(batches):
+            x, y = (np.frombuffer(b.column(c).buffers()[2], dtype=np.int32).reshape(-1, WIDTH) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([b.column("part"), _binary(np.concatenate([x[:, :1], y], axis=1))], ["part", "ids"])
 
     return run
 
@@ -187,9 +202,11 @@ def _trained(model: Model, group: np.ndarray, epochs: int, done: float, part: fl
 
         old, uses, n = [a.copy() for a in model.p], np.zeros(len(model.p[0]), dtype=np.int64), 0
         for table in held(batches):
-            x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int32).reshape(-1, WIDTH).astype(np.int64) for c in ("x", "y"))
-            order = np.lexsort(x.T[::-1])
-            x, y = x[order], np.where(y[order] >= 0, group[y[order]], -1)
+            x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int32).reshape(-1, WIDTH) for c in ("x", "y"))
+            # Any order will do that doesn't depend on how they came.
+            order = np.argsort((x.astype(np.uint64) * _ODD[:WIDTH] + y.astype(np.uint64) * _ODD[WIDTH:]).sum(axis=1), kind="stable")
+            x, y = np.maximum(x[order], 0), y[order]
+            y = np.where(y >= 0, group[y], -1)
             model.train(x, y, epochs=epochs, batch=STEP, done=done, part=part)
             uses += np.bincount(x.reshape(-1), minlength=len(uses))
             n += len(x)
@@ -203,6 +220,9 @@ def _trained(model: Model, group: np.ndarray, epochs: int, done: float, part: fl
     return run
 
 
+#: Factors of the places' ids in what windows are sorted by.
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, 2 * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 #: What parts changed is added up as whole numbers of this fraction, so the sum doesn't depend on the order of arrival.
 FIXED = float(1 << 20)
 
@@ -269,7 +289,7 @@ def _scored(model: Model, group: np.ndarray, within: np.ndarray, head: tuple, pa
 
         words, often, head_ids, sizes = head
         pieces, floor = _Pieces(path, pa.array(words, pa.string()), head_ids, sizes), math.log10(max(1, total + distinct + 1))
-        for s in texts.slices(batches, target=3 << 19):
+        for s in texts.slices(batches, target=SLICE):
             found, codes, counts, ids, lengths, each, places = _sequences(s, pieces)
             logs, begin = _piece_logs(model, group, within, ids, lengths)
             ends_at = np.cumsum(lengths) - 1
@@ -304,7 +324,7 @@ def _piece_logs(model: Model, group, within, ids: np.ndarray, lengths: np.ndarra
     before, begin = _inputs(ids, lengths), np.cumsum(lengths) - lengths
     row, start, first = windows(lengths)
     out, opens = np.zeros(len(ids), dtype=np.float64), np.zeros(len(ids), dtype=np.float64)
-    steps = np.arange(WIDTH)
+    steps, tables = np.arange(WIDTH), model.tables()
     for skip in (0, CONTEXT):
         some = np.flatnonzero(first == skip)
         for i in range(0, len(some), BATCH):
@@ -315,7 +335,7 @@ def _piece_logs(model: Model, group, within, ids: np.ndarray, lengths: np.ndarra
             scored = inside[:, skip:] < left
             places = at[:, skip:][scored]
             want = ids[places]
-            out[places], opens[places] = model.log_shares(before[at], np.flatnonzero(scored.reshape(-1)), group[want], skip)
+            out[places], opens[places] = model.log_shares(before[at], np.flatnonzero(scored.reshape(-1)), group[want], skip, tables)
             out[places] += within[want]
     return out, opens
 
@@ -358,8 +378,17 @@ def score(docs: DataFrame, path: str, sample: int | None = None) -> DataFrame:
     share = 1.0 if sample is None else min(1.0, sample / PER_PASSAGE / max(1, passages))
     cores = docs.sparkSession.sparkContext.defaultParallelism
     dealt = train.repartition(cores, "doc_id") if train.rdd.getNumPartitions() < cores else train
-    known = pa.array(head[0], pa.string())
-    _fit(net, lambda k, of: dealt.mapInArrow(_sampled(path, share, known, ids, sizes, k, of), "x binary, y binary"), group, int(share * (pieces.sum() / WIDTH + (rows if share >= 1 else passages) / 2)) + (rows > 0))
+    with temporary(docs.sparkSession):
+        # Texts are made into windows once, not in every round.
+        stored = written(dealt.mapInArrow(_stored(path, share, pa.array(head[0], pa.string()), ids, sizes), "part int, ids binary"), "windows")
+        tasks = max(cores, stored.rdd.getNumPartitions())
+
+        def part(k: int, of: int) -> DataFrame:
+            some = stored.filter((F.col("part") >= k * ROUNDS // of) & (F.col("part") < (k + 1) * ROUNDS // of))
+            some = some.select(F.substring("ids", 1, 4 * WIDTH).alias("x"), F.substring("ids", 5, 4 * WIDTH).alias("y"))
+            return some if tasks > cores or some.rdd.getNumPartitions() == cores else some.repartition(tasks)
+
+        _fit(net, part, group, int(share * (pieces.sum() / WIDTH + (rows if share >= 1 else passages) / 2)) + (rows > 0))
     schema = f"doc_id bigint, n_tokens bigint, head_known bigint, head_base double, head_score double, tail array<struct<term:string,logp:float>>"
     partial = docs.mapInArrow(_scored(net, group, within, head, path, total, kinds, rows), schema)
     partial = written(partial.withColumn("row_key", F.monotonically_increasing_id()), "scores")
