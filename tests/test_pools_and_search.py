@@ -71,3 +71,41 @@ def test_cells_find_the_neighbours_and_look_at_few_points(spark):
     assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
     empty = quantiser.Cells(p.limit(0))
     assert empty.top_k(q, 3).isEmpty()
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Many rows of few vectors give the neighbours of all pairs, and what is searched is the vectors."""
+    v = [[1.0, float(i % 7), float(i % 5)] for i in range(35)]
+    q = spark.createDataFrame([(i, v[i % 35]) for i in range(210)], "query_id long, embedding array<float>")
+    p = spark.createDataFrame([(1000 - i, v[(3 * i) % 35]) for i in range(400)], "point_id long, embedding array<float>")
+    unit = {tuple(x): [c / math.sqrt(sum(d * d for d in x)) for c in x] for x in v}
+    at = {r.point_id: unit[tuple(r.embedding)] for r in p.collect()}
+    want = set()
+    for r in q.collect():
+        own = unit[tuple(r.embedding)]
+        ordered = sorted((-round(sum(a * b for a, b in zip(own, x, strict=True)), 6), i) for i, x in at.items())[:30]
+        want |= {(r.query_id, i, n + 1) for n, (_, i) in enumerate(ordered)}
+    sizes, one, two = [], vectors._nearest, vectors._by_blocks
+    monkeypatch.setattr(vectors, "_nearest", lambda a, b, k: sizes.append((a.count(), b.count())) or one(a, b, k))
+    monkeypatch.setattr(vectors, "_by_blocks", lambda a, b, *k: sizes.append((a.count(), b.count())) or two(a, b, *k))
+    for few in (50, 0):
+        got = {(r.query_id, r.point_id, r["rank"]) for r in vectors.top_k_cosine(q, p, 30, few=few, block=10).collect()}
+        assert got == want
+    assert sizes == [(35, 35), (35, 35)]
+
+
+def test_pools_of_equal_profiles_are_scored_once(spark):
+    from vacantia.operators import match
+
+    day = F.lit("2001-12-01").cast("date")
+    who = spark.createDataFrame([(i, [1.0, float(i % 2)], ["a", "b"], None if i % 4 > 1 else "SENIOR", []) for i in range(40)], "candidate_id long, embedding array<float>, have array<string>, level string, wanted array<string>")
+    jobs = spark.createDataFrame([(i, [1.0, i / 9], ["a", f"x{i}"] if i % 2 else None, "MID", ["Y"], None) for i in range(9)], "job_id long, embedding array<float>, need array<string>, job_level string, places array<string>, place_text string").withColumn("posted_at", day)
+    for members in (4096, 3):
+        pools = match.pooled(who, jobs, day, match.Ranking(pool=5, limit=3), members)
+        assert pools.count() == 4 if members > 3 else pools.count() > 4
+        got = match.matches(match.rank_matches(pools, match.Ranking(pool=5, limit=3))).collect()
+        assert sorted((r.candidate_id, r["rank"]) for r in got) == [(i, n) for i in range(40) for n in (1, 2, 3)]
+        for r in got:
+            near = sorted(((-round((1 + (r.candidate_id % 2) * j / 9) / math.sqrt(1 + r.candidate_id % 2) / math.sqrt(1 + (j / 9) ** 2), 6), j) for j in range(9)))[:5]
+            full = sorted((-round(-s * 0.5 + 0.5 * 0.3 + (0.5 if r.candidate_id % 4 > 1 else 0.7) * 0.1 + 0.5 * 0.05 + 0.05, 8), s, j) for s, j in near)
+            assert full[r["rank"] - 1][2] == r.job_id
