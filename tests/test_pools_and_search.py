@@ -94,6 +94,15 @@ def test_equal_vectors_are_searched_once(spark, monkeypatch):
     assert sizes == [(35, 35), (35, 35)]
 
 
+def test_every_candidate_is_matched(spark):
+    """The matches are of all candidates; those of one profile share a pool, which rows of a few members carry."""
+    from conftest import SF
+    from vacantia.plans import match_queries
+
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    assert {r[0] for r in match_queries.QUERIES["h9_match_results"](spark, SF).select("candidate_id").distinct().collect()} == ids
+
+
 def test_pools_of_equal_profiles_are_scored_once(spark):
     from vacantia.operators import match
 
