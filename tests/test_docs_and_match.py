@@ -111,3 +111,24 @@ def test_levels_by_one_pattern(spark):
     assert got == [(0, "C++", "ADVANCED"), (1, "C++", "BASIC"), (4, "Bolt", "EXPERT"), (5, "Bolt", "ADVANCED"), (6, "A.B", "EXPERT"), (7, "Bolt", "INTERMEDIATE")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "\\Q" not in plan  # a pattern made of a row's alias is compiled for each row
+
+
+def test_skill_levels_within_a_row(spark):
+    """What is found within a document's row is what the tables give, and no document is shuffled."""
+    from vacantia.operators import docs
+
+    skills = spark.createDataFrame([("small ring", "Small Ring"), ("ring", "Ring"), ("c++", "C++"), ("red bolt", "Bolt"), ("bolt", "Bolt"), ("a.b", "A.B"), ("big red bolt set", "Set"), ("node.js", "Node.js")], "alias string, canonical string")
+    heads = spark.createDataFrame([("skills", "SKILLS"), ("work experience", "WORK_EXPERIENCE"), ("projects", "PROJECTS")], "heading string, section_type string")
+    texts = [
+        "Ann\nSKILLS\n- C++, small ring; red bolt (advanced)\nWORK EXPERIENCE\nbig red bolt set, ring - expert\nSKILLS\nnode.js: basic | Größe & Maß | tools", "SKILLS\nbolt", "skills\n\n\nWORK  EXPERIENCE:\nred bolt\nred bolt (basic)",
+        "c++ -\n expert foo (basic) a.b\nP R O J E C T S\n.a.b (expert), a.b x (beginner) y", "", None, "none at all\n", "SKILLS", "SKILLS\nunheard, of; things\nfor, you\nring", "big red bolt set bolt: " + "y" * 61 + " - expert\nbig red bolt - basic",
+        "1. Skills\n* red bolt big red bolt set ring small ring (intermediate); small ring - advanced\nSkills:\nnothing new", "a.b (experts) a.b -\n\n expert; c++ (expert)\n, c++", "Ring,\nadvanced ring - basic (expert) ring (advanced)",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, two = docs.skill_levels(rows, heads, skills), docs.skill_levels(rows, heads, skills, few=0)
+    got = sorted(map(str, one.collect()))
+    assert got == sorted(map(str, two.select(*one.columns).collect())) and len(got) == 20
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    levels = {(r.doc_id, r.canonical): (r.first_source, r.level) for r in one.collect()}
+    assert levels[0, "Ring"] == ("WORK_EXPERIENCE", "EXPERT") and levels[0, "Bolt"] == ("SKILLS", "ADVANCED") and levels[0, "Node.js"] == ("SKILLS", "BASIC")
+    assert levels[3, "C++"] == ("HEADER", "EXPERT")

@@ -254,7 +254,7 @@ def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> Dat
     heads = aliases.groupBy(F.element_at(F.split("alias", " "), 1).alias("w")).agg(F.max(F.size(F.split("alias", " "))).alias("words"))
     few = heads.limit(HEADS + 1).collect()
     words = max((r.words for r in few), default=1) if len(few) <= HEADS else heads.agg(F.max("words")).first()[0]
-    tokens = docs.select(key, F.split(F.trim(F.regexp_replace(fold(F.col(text)), r"[^a-z0-9+#.]+|\.(?![a-z0-9])", " ")), " ").alias("t"))
+    tokens = docs.select(key, _tokens(F.col(text)).alias("t"))
     if len(few) <= HEADS:  # few words begin an alias: only their places leave the array
         starts = F.filter(F.transform("t", lambda w, i: F.when(w.isin([r.w for r in few]), i)), lambda i: i.isNotNull())
         each = tokens.select(key, "t", F.explode(starts).alias("at"))
@@ -266,6 +266,31 @@ def phrase_hits(docs: DataFrame, aliases: DataFrame, key: str, text: str) -> Dat
     return found.withColumn("n", F.col("n") + 1).join(sized(aliases), "alias")
 
 
+def phrase_list(text: Column, known: dict[str, str]) -> Column:
+    """The hits of `phrase_hits` as an array within the row: at, n, alias and the name that `known` has for it, in the order of at and n.
+
+    For few aliases (folded words: name), which become a literal map.
+    """
+    heads, words = sorted({a.split(" ")[0] for a in known}), max((len(a.split(" ")) for a in known), default=1)
+    if not known:
+        return F.array().cast("array<struct<at:int,n:int,alias:string,canonical:string>>")
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+
+    def hits(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull())
+        run = lambda i, n: let(F.array_join(F.slice(t, i + 1, n), " "), lambda a: F.struct(i.alias("at"), n.alias("n"), a.alias("alias"), F.try_element_at(names, a).alias("canonical")))
+        runs = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size(t) - i)), lambda n: run(i, n)))
+        return F.filter(F.flatten(runs), lambda x: x["canonical"].isNotNull())
+
+    return let(_tokens(text), hits)
+
+
+def _tokens(text: Column) -> Column:
+    """Folded words; a point is of a word if a letter or digit follows, else it parts words by itself."""
+    plain = F.regexp_replace(fold(text), "[^a-z0-9+#.]+", " ")  # in two steps: a pattern of both would try each place twice
+    return F.split(F.trim(let(plain, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.(?![a-z0-9])", " ")).otherwise(x))), " ")
+
+
 def prose_skills(rows: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """key, at, n, alias, canonical: alias phrases in a text; ambiguous aliases never count, ones under three letters only if listed."""
     long = (F.length("alias") > 2) | F.col("alias").isin(*taxonomy.SHORT)

@@ -139,9 +139,8 @@ def f20_match(spark, d):
 def f11_levels(spark, d):
     """Evidence with levels, and the share of known skills; every fifth text has mostly skills that aren't known."""
     rows = cv(spark, d).withColumn("text", F.when(c("doc_id") % 5 == 0, F.replace("text", F.lit(", small ring; red bolt"), F.lit(", frobbing, glarking; red bolt"))).otherwise(c("text")))
-    parts, skills = docs.sections(docs.lines(rows), taxonomy.headings(spark)), taxonomy.skills(spark).filter("category <> 'SEGMENT'")
-    evidence = docs.skill_evidence(parts, skills, levels=docs.skill_proficiency(rows, skills))
-    return evidence.join(docs.skill_warnings(evidence, docs.unknown_skills(parts, skills)), "doc_id").select("doc_id", "canonical", "first_source", "level", "share", "warning")
+    out = docs.skill_levels(rows, taxonomy.headings(spark), taxonomy.skills(spark).filter("category <> 'SEGMENT'"))
+    return out.select("doc_id", "canonical", "first_source", "level", "share", "warning")
 
 
 def f26(spark, d):
